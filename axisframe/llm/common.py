@@ -49,14 +49,14 @@ def uniform(*columns: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
 
 
-def ordinals(frame: DataFrame, groups: list[str], key: str, ties: list[Column], rows_per_bucket: int, name: str) -> DataFrame:
+def ordinals(frame: DataFrame, groups: list[str], key: str, ties: list[Column], rows_per_bucket: int, name: str, total: int | None = None) -> DataFrame:
     """Append ``name``: 0, 1, ... within each group by (key, ties), without sorting a whole group in one task.
 
     ``key`` is a long column, spread evenly over all longs. Its range is cut into equal buckets, of about
     ``rows_per_bucket`` rows over the whole frame; rows are numbered inside (group, bucket), and the sizes of
     earlier buckets are added. A hot group thus spreads over as many tasks as it has buckets.
     """
-    total = frame.count()
+    total = frame.count() if total is None else total
     bits = max(0, (max(1, total) // rows_per_bucket).bit_length())
     bucket, offset, size = (free_name(frame, stem=s) for s in ("bucket", "offset", "bucket_rows"))
     # the top bits of (key + 2^63): signed order and bucket order agree

@@ -5,19 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from axisframe.llm import decontaminate as _decontaminate
+from axisframe.llm import sharding as _sharding
 from axisframe.llm import sql
+from axisframe.llm import topk as _topk
 from axisframe.tables import table
 
 
+def op3_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return _sharding.digest(_sharding.shuffle_into_shards(table(spark, folder, "documents"), 40))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return _decontaminate.digest(_decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _topk.scaled(table(spark, folder, "embeddings"), "embedding", 256)
+    return _topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, 5, id_column="vec_id", vector="embedding")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_shuffle_shards": op3_shuffle_shards,
         "op5_decontaminate": op5_decontaminate,
+        "op9_top_k": op9_top_k,
     }
 
 

@@ -17,6 +17,16 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_hit, 0) as bi
 from d left join covered using (doc_id) left join who using (doc_id)
 """
 
+OP9 = """
+with v as (select vec_id, [floor(256 * x::double) for x in embedding] e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select q.vec_id query_id, c.vec_id vec_id, cast(list_dot_product(q.e, c.e) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 ORACLES = {
+    "op9_top_k": OP9,
     "op5_decontaminate": OP5,
 }
