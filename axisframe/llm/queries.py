@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from axisframe.llm import decontaminate as _decontaminate
 from axisframe.llm import sharding as _sharding
 from axisframe.llm import sql
+from axisframe.llm import tokens as _tokens
 from axisframe.llm import topk as _topk
+from axisframe.llm import warc as _warc
+from axisframe.llm.common import fresh_path
 from axisframe.tables import table
 
 
@@ -22,6 +25,25 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return _decontaminate.digest(_decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    _warc.write_captures(_warc.with_revisits(table(spark, folder, "pages")), path)
+    return _warc.digest(_warc.assemble(spark, path))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the token output; every executor has the library."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    _tokens.write_tokens(table(spark, folder, "documents"), path, tokenizer_path())
+    return _tokens.digest(_tokens.read_tokens(spark, path))
+
+
 def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
     rows = _topk.scaled(table(spark, folder, "embeddings"), "embedding", 256)
     return _topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, 5, id_column="vec_id", vector="embedding")
@@ -31,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_shuffle_shards": op3_shuffle_shards,
         "op5_decontaminate": op5_decontaminate,
+        "op7_warc": op7_warc,
+        "op8_token_ids": op8_token_ids,
         "op9_top_k": op9_top_k,
     }
 

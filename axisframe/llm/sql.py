@@ -17,6 +17,15 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_hit, 0) as bi
 from d left join covered using (doc_id) left join who using (doc_id)
 """
 
+OP7 = """
+with p as (select page_id, encode(coalesce(html, '')) body from pages),
+f as (select body, max(page_id) first_id from p where octet_length(body) >= 1000 group by body)
+select page_id, cast(octet_length(p.body) as bigint) payload_bytes, sha1(p.body) payload_digest,
+  case when page_id < first_id then 'revisit' else 'response' end record_type,
+  case when page_id < first_id then first_id end refers_to
+from p left join f on p.body = f.body
+"""
+
 OP9 = """
 with v as (select vec_id, [floor(256 * x::double) for x in embedding] e from embeddings
   where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
@@ -27,6 +36,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 ORACLES = {
+    "op7_warc": OP7,
     "op9_top_k": OP9,
     "op5_decontaminate": OP5,
 }
