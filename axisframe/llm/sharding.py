@@ -103,7 +103,7 @@ def communication_matrix(block_rows: DataFrame, bits: int, shards: int, rows: in
     return tree.select(F.col("node").alias("block"), F.col("free").alias("counts"))
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 40, *, seed: int = 20240601, rows_per_block: int = 65536) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 40, *, seed: int = 20240601, rows_per_block: int = 16384) -> DataFrame:
     """Append ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in its shard): a uniform random arrangement.
 
     Law ``rows``: shard sizes differ by one row at most, whatever the texts. Equal texts are not kept together.

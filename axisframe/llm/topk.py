@@ -89,11 +89,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, id_column: str,
     tiles = written(_packed(asked, query_rows, n_asked), "query-tiles")
     shards = written(_packed(there, tile_rows, n_there).withColumn("shard", F.monotonically_increasing_id()), "candidate-tiles")
     # every query tile meets every candidate tile once: the stated query set against all rows, in blocks
-    met = shards.crossJoin(tiles.select(*[F.col(c).alias(f"q_{c}") for c in tiles.columns])).where("dim = q_dim")
+    met = shards.crossJoin(tiles.select(*[F.col(c).alias(f"q_{c}") for c in tiles.columns]))
 
     def multiply(batches):
         for pdf in batches:
             for row in pdf.itertuples():
+                if row.dim != row.q_dim:
+                    continue
                 q_ids, c_ids = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.ids, "<i8")
                 q = np.frombuffer(row.q_matrix, row.q_kind).reshape(len(q_ids), row.dim)
                 c = np.frombuffer(row.matrix, row.kind).reshape(len(c_ids), row.dim)
