@@ -54,7 +54,8 @@ def ordinals(frame: DataFrame, groups: list[str], key: str, ties: list[Column],
 
     ``key`` is a long column, spread evenly over all longs. Its range is cut into equal buckets, of about
     ``rows_per_bucket`` rows over the whole frame; rows are numbered inside (group, bucket), and the sizes of
-    earlier buckets are added. A hot group thus spreads over as many tasks as it has buckets.
+    earlier buckets are added. A hot group thus spreads over as many tasks as it has buckets. The group columns
+    have no nulls, so the sizes join on the partitioning that the numbering already has.
     """
     total = frame.count() if total is None else total
     bits = max(0, (max(1, total) // rows_per_bucket).bit_length())
@@ -69,8 +70,7 @@ def ordinals(frame: DataFrame, groups: list[str], key: str, ties: list[Column],
     renamed = offsets.select(*[F.col(c).alias(f"__o_{i}") for i, c in enumerate(keys)], offset)
     inside = Window.partitionBy(*keys).orderBy(F.col(key), *ties)
     numbered = dealt.withColumn(name, F.row_number().over(inside).cast("long") - 1)
-    same = [F.col(c).eqNullSafe(F.col(f"__o_{i}")) for i, c in enumerate(keys)]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
+    on = F.col(keys[0]) == F.col("__o_0")
+    for i, c in enumerate(keys[1:], 1):
+        on = on & (F.col(c) == F.col(f"__o_{i}"))
     return numbered.join(renamed, on).withColumn(name, F.col(name) + F.col(offset)).select(*frame.columns, name)
