@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm import decontaminate as _decontaminate
+from axisframe.llm import langid as _langid
+from axisframe.llm import mixing as _mixing
+from axisframe.llm import resample as _resample
 from axisframe.llm import sharding as _sharding
 from axisframe.llm import sql
 from axisframe.llm import tokens as _tokens
@@ -17,6 +20,11 @@ from axisframe.llm.common import fresh_path
 from axisframe.tables import table
 
 
+def op1_quality_resample(spark: SparkSession, folder: str) -> DataFrame:
+    kept = _resample.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return kept.select("doc_id", "log_weight", "gumbel_key")
+
+
 def op3_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
     return _sharding.digest(_sharding.shuffle_into_shards(table(spark, folder, "documents"), 40))
 
@@ -25,6 +33,12 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return _decontaminate.digest(_decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = _langid.fit(docs.where(~_langid.held_out(F.col("doc_id"))))
+    return _langid.identify(docs, model).select("doc_id", _langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     _warc.write_captures(_warc.with_revisits(table(spark, folder, "pages")), path)
@@ -49,13 +63,25 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return _topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, 5, id_column="vec_id", vector="embedding")
 
 
+#: Softens the hot source's share: weights are row counts to this power.
+MIX_TEMPERATURE = 0.7
+
+
+def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = _mixing.mix(table(spark, folder, "documents"), temperature=MIX_TEMPERATURE)
+    return mixed.select("doc_id", "source", *[c for c in mixed.columns if c.startswith("mix_")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_resample": op1_quality_resample,
         "op3_shuffle_shards": op3_shuffle_shards,
         "op5_decontaminate": op5_decontaminate,
+        "op6_language_id": op6_language_id,
         "op7_warc": op7_warc,
         "op8_token_ids": op8_token_ids,
         "op9_top_k": op9_top_k,
+        "op10_pfair_mix": op10_pfair_mix,
     }
 
 

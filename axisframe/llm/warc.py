@@ -11,6 +11,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = (
@@ -156,8 +157,16 @@ def parse_records(content: bytes, kinds: frozenset[str] | None = None):
         del held[: end + 4 + length]
 
 
-def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...] = ()) -> DataFrame:
-    """One row per record of the archives in a folder; damaged archives raise an error."""
+@F.pandas_udf(T.BinaryType())
+def _inflate(packed: pd.Series) -> pd.Series:
+    return packed.map(lambda x: None if x is None else zlib.decompress(x))
+
+
+def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...] = (), *, packed: bool = False) -> DataFrame:
+    """One row per record of the archives in a folder; damaged archives raise an error.
+
+    ``packed`` leaves payloads deflated, for a shuffle.
+    """
     wanted = frozenset(kinds) or None
 
     def run(batches):
@@ -165,6 +174,7 @@ def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...] = ()) ->
             for content in pdf["content"]:
                 rows, size = [], 0
                 for row in parse_records(content, wanted):
+                    row = (*row[:-1], zlib.compress(row[-1], 1)) if packed else row
                     rows.append(row)
                     size += len(row[-1]) + 500
                     if size > _FLUSH:
@@ -178,12 +188,12 @@ def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...] = ()) ->
 
 def assemble(spark: SparkSession, path: str) -> DataFrame:
     """One row per capture: capture_id, response (null if missing), requests and metadata (arrays, by record id)."""
-    response = read_records(spark, path, ("response", "revisit")).select(F.col("record_id"), F.struct("record_type", "target_uri", "warc_date", "payload_digest", "refers_to_uri", "http_header", "payload").alias("response"))
+    response = read_records(spark, path, ("response", "revisit"), packed=True).select(F.col("record_id"), F.struct("record_type", "target_uri", "warc_date", "payload_digest", "refers_to_uri", "http_header", "payload").alias("response"))
     side = read_records(spark, path, ("request", "metadata")).groupBy("concurrent_to").agg(F.array_sort(F.collect_list(F.struct("record_id", "record_type", "target_uri", "http_header", F.col("payload").cast("string").alias("fields")))).alias("parts"))
     joined = response.join(side, F.col("record_id") == F.col("concurrent_to"), "full")
     return joined.select(
         F.coalesce("record_id", "concurrent_to").alias("capture_id"),
-        "response",
+        F.when(F.col("record_id").isNotNull(), F.col("response").withField("payload", _inflate(F.col("response.payload")))).alias("response"),
         F.filter("parts", lambda x: x["record_type"] == "request").alias("requests"),
         F.filter("parts", lambda x: x["record_type"] == "metadata").alias("metadata"),
     )
