@@ -7,6 +7,8 @@ the row groups' and pages' statistics lead a reader of some documents to their p
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -15,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Encoded words that a worker keeps; beyond it, it starts anew.
-_KEPT_WORDS = 500_000
+from axisframe.llm.common import written
+
+#: Encoded words of a worker's memory; beyond it, a new one starts and the last is kept beside it.
+_KEPT_WORDS = 250_000
 _KEPT_BYTES = 48
 _TOKENIZERS: dict = {}
 
@@ -33,17 +37,49 @@ LAYOUT = {
 }
 
 
+def _byte_letters() -> dict[int, str]:
+    """The tokenizer's letter for each byte: printable bytes stand for themselves, others for letters from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER = _byte_letters()
+#: Western letters and at most full stops and commas behind them: two pieces, whose lower case is plain.
+_SIMPLE = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+
+
 class Encoder:
     """Encodes whole texts word by word with memory of the words seen.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. Words of
+    letters go straight to its merges, other words through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        letters = text if text.isascii() else "".join([_LETTER[b] for b in text.encode()])
+        return struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(letters)) else b""
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "surrogatepass")
+        if simple := _SIMPLE.fullmatch(text):
+            head, tail = simple.groups()
+            out = self.piece(head.lower())
+            if tail:
+                if tail not in self.pieces:
+                    self.pieces[tail] = self.piece(tail) if len(tail) < 9 else b""
+                out += self.pieces[tail] or self.piece(tail)
+            return out
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -52,19 +88,16 @@ class Encoder:
             raw = t.encode("utf-8", "surrogatepass")
             # lower case is what the tokenizer makes of A-Z anyway; its special tokens are told by their case
             split.append((raw if b"<|" in raw else raw.lower()).split())
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for low in range(0, len(new), 1000):
-            part = new[low : low + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        known, before = self.known, self.before
+        new = [w for w in {w for words in split for w in words} if w not in known]
+        for w in new:
+            known[w] = before[w] if w in before else self.word(w)
         out = [b"".join([known[w] for w in words]) for words in split]
+        for w in new:
+            if len(w) > _KEPT_BYTES:
+                del known[w]
         if len(known) > _KEPT_WORDS:
-            known.clear()
-        else:
-            for w in new:
-                if len(w) > _KEPT_BYTES:
-                    del known[w]
+            self.before, self.known = known, {}
         return out
 
 
@@ -111,6 +144,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # a written table's size is known before the join is planned: while it is small, the ids stay where they are
+    parts = written(parts, "token-parts")
     return rows.join(parts, F.col("part") == F.col("p")).select("doc_id", "part", (F.col("offset") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
