@@ -12,6 +12,7 @@ from axisframe.llm import langid as _langid
 from axisframe.llm import mixing as _mixing
 from axisframe.llm import resample as _resample
 from axisframe.llm import sharding as _sharding
+from axisframe.llm import simhash as _simhash
 from axisframe.llm import sql
 from axisframe.llm import tokens as _tokens
 from axisframe.llm import topk as _topk
@@ -25,6 +26,10 @@ def op1_quality_resample(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "log_weight", "gumbel_key")
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return _simhash.digest(_simhash.near_duplicates(table(spark, folder, "documents")))
+
+
 def op3_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
     return _sharding.digest(_sharding.shuffle_into_shards(table(spark, folder, "documents"), 40))
 
@@ -75,6 +80,7 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_resample": op1_quality_resample,
+        "op2_simhash": op2_simhash,
         "op3_shuffle_shards": op3_shuffle_shards,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
