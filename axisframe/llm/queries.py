@@ -77,6 +77,12 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", *[c for c in mixed.columns if c.startswith("mix_")])
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_resample": op1_quality_resample,
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_ids": op8_token_ids,
         "op9_top_k": op9_top_k,
         "op10_pfair_mix": op10_pfair_mix,
+        "pipeline": pipeline,
     }
 
 
