@@ -14,6 +14,7 @@ from axisframe.llm import resample as _resample
 from axisframe.llm import sharding as _sharding
 from axisframe.llm import simhash as _simhash
 from axisframe.llm import sql
+from axisframe.llm import suffixes as _suffixes
 from axisframe.llm import tokens as _tokens
 from axisframe.llm import topk as _topk
 from axisframe.llm import warc as _warc
@@ -34,6 +35,10 @@ def op3_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
     return _sharding.digest(_sharding.shuffle_into_shards(table(spark, folder, "documents"), 40))
 
 
+def op4_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return _suffixes.digest(_suffixes.repeated_spans(table(spark, folder, "documents"), length=50))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return _decontaminate.digest(_decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_resample": op1_quality_resample,
         "op2_simhash": op2_simhash,
         "op3_shuffle_shards": op3_shuffle_shards,
+        "op4_repeated_spans": op4_repeated_spans,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
         "op7_warc": op7_warc,

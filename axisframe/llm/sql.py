@@ -17,6 +17,21 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, cast(coalesce(n_hit, 0) as bi
 from d left join covered using (doc_id) left join who using (doc_id)
 """
 
+OP4 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+p as (select doc_id, i, substr(x, 2 * i + 1, 100) w from (select doc_id, x, unnest(range(0, len(x) // 2 - 49)) i from d where len(x) >= 100)),
+least as (select w, min(doc_id) m from p group by w),
+hit as (select distinct doc_id, i from p join least using (w) where m < doc_id),
+edge as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end e from hit),
+island as (select doc_id, min(i) a, max(i) + 50 b from (select *, sum(e) over (partition by doc_id order by i rows unbounded preceding) k from edge) group by doc_id, k),
+piece as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) z from island),
+kept as (select doc_id, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' order by a) h, max(b) b, sum(b - a) n_removed, count(*) n_spans
+  from piece join d using (doc_id) group by doc_id)
+select doc_id, cast(len(x) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans,
+  sha256(unhex(case when kept.doc_id is null then x else h || substr(x, 2 * kept.b + 1) end)) kept_sha256
+from d left join kept using (doc_id)
+"""
+
 OP7 = """
 with p as (select page_id, encode(coalesce(html, '')) body from pages),
 f as (select body, max(page_id) first_id from p where octet_length(body) >= 1000 group by body)
@@ -36,6 +51,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 ORACLES = {
+    "op4_repeated_spans": OP4,
     "op7_warc": OP7,
     "op9_top_k": OP9,
     "op5_decontaminate": OP5,
