@@ -24,7 +24,7 @@ BINS = WORD_BINS + PAIR_BINS + STEM_BINS * len(STEMS)
 LEAST_RATIO, LEAST_SD, PRIOR = 0.5, 4.0, 1.0
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
 _KEPT_WORDS = 400_000
-_SLICE = 1 << 20
+_SLICE, _CHUNK = 1 << 20, 2 << 20
 
 
 class Features:
@@ -36,7 +36,8 @@ class Features:
     def clear(self):
         self.number: dict[bytes, int] = {}
         self.rows: list[tuple] = []
-        self.table = np.zeros((0, 2 + len(STEMS)), dtype=np.int64)
+        self.table = np.zeros((1 << 12, 2 + len(STEMS)), dtype=np.int64)
+        self.filled = 0
 
     def add(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace").lower()
@@ -46,29 +47,58 @@ class Features:
         n = self.number[word] = len(self.number)
         return n
 
-    def of(self, text: str | None):
-        """The bins of a text, in slices of bounded size."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        last = None
-        for low in range(0, max(1, len(raw)), _SLICE):
-            # a word that lies across two slices is cut in two; its halves are words in every model alike
-            words = _TOKEN.findall(raw[low : low + _SLICE])
-            get, add = self.number.get, self.add
-            at = [n if (n := get(w)) is not None else add(w) for w in words]
-            if len(self.rows):
-                self.table = np.concatenate((self.table, np.array(self.rows, dtype=np.int64)))
-                self.rows = []
-            found = self.table[np.array(at, dtype=np.int64)]
-            h = found[:, 0].astype(np.uint64)
-            if last is not None:
-                h = np.concatenate(([last], h)).astype(np.uint64)
-            pairs = ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-            last = h[-1] if len(h) else last
-            bins = found[:, 1:].ravel()
-            yield np.concatenate((bins[bins >= 0], (pairs % np.uint64(PAIR_BINS)).astype(np.int64) + WORD_BINS))
+    def _grow(self):
+        n = self.filled + len(self.rows)
+        if n > len(self.table):
+            self.table = np.concatenate((self.table[: self.filled], np.zeros((n, self.table.shape[1]), np.int64)))
+        if self.rows:
+            self.table[self.filled : n] = self.rows
+        self.filled, self.rows = n, []
+
+    def of(self, texts: list[str | None]):
+        """(bins, whose): the feature bins of the texts and each one's text, some MB of text at a time."""
+        get, add = self.number.get, self.add
+        at: list[int] = []
+        whose: list[int] = []
+        sizes: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for raw in _slices((text or "").encode("utf-8", "surrogatepass")):
+                words = _TOKEN.findall(raw)
+                at += [n if (n := get(w)) is not None else add(w) for w in words]
+                whose.append(i)
+                sizes.append(len(words))
+                held += len(raw)
+                if held > _CHUNK:
+                    yield self._bins(at, whose, sizes)
+                    at, whose, sizes, held = [], [], [], 0
+        yield self._bins(at, whose, sizes)
         if len(self.number) > _KEPT_WORDS:
             self.clear()
 
+    def _bins(self, at, whose, sizes):
+        self._grow()
+        found = self.table[np.array(at, dtype=np.int64)]
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.array(whose, dtype=np.int64)[part] if len(part) else np.zeros(0, np.int64)
+        h = found[:, 0].astype(np.uint64)
+        pairs = ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+        inside = part[:-1] == part[1:]
+        bins, owners = found[:, 1:].ravel(), np.repeat(owner, 1 + len(STEMS))
+        there = bins >= 0
+        return np.concatenate((bins[there], (pairs[inside] % np.uint64(PAIR_BINS)).astype(np.int64) + WORD_BINS)), np.concatenate((owners[there], owner[1:][inside]))
+
+
+def _slices(raw: bytes):
+    """A text in slices of bounded size, cut at blanks where there are any; word pairs across a cut are not counted."""
+    low = 0
+    while len(raw) - low > _SLICE:
+        cut = raw.rfind(b" ", low, low + _SLICE)
+        cut = cut + 1 if cut > low else low + _SLICE
+        yield raw[low:cut]
+        low = cut
+    yield raw[low:]
+
 
 def labelled_sample(labels: DataFrame, rows: int, *, doc_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic") -> dict[int, tuple[bool, bool]]:
     """doc_id -> (good, used to fit) of at most ``rows`` labelled documents, those of smallest hash.
@@ -87,16 +117,13 @@ def _counts(docs: DataFrame, fit: set[int], doc_id: str, text: str) -> np.ndarra
     held = docs.sparkSession.sparkContext.broadcast(fit)
 
     def run(batches):
-        features, raw, target = Features(), np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+        features, raw, target = worker_features(), np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for pdf in batches:
-            for d, t in zip(pdf["d"], pdf["t"], strict=True):
-                for bins in features.of(t):
-                    n = np.bincount(bins, minlength=BINS) if len(bins) > BINS // 8 else None
-                    for into in (raw, target) if d in held.value else (raw,):
-                        if n is None:
-                            np.add.at(into, bins, 1)
-                        else:
-                            into += n
+            fits = pdf["d"].isin(held.value).to_numpy()
+            for bins, whose in features.of(pdf["t"].tolist()):
+                raw += np.bincount(bins, minlength=BINS)
+                if fits[whose].any():
+                    target += np.bincount(bins[fits[whose]], minlength=BINS)
         at = np.flatnonzero(raw)
         for low in range(0, len(at), 50_000):
             a = at[low : low + 50_000]
@@ -127,15 +154,11 @@ def _scored(docs: DataFrame, ratios, text: str, reference: int, name: str) -> Da
 
     @F.pandas_udf("double")
     def weigh(batches: pd.Series) -> pd.Series:
-        features = weigh_features()
-        out = []
-        for t in batches:
-            total, n = 0.0, 0
-            for bins in features.of(t):
-                total += float(held.value[bins].sum())
-                n += len(bins)
-            out.append(reference * total / n if n else 0.0)
-        return pd.Series(out, dtype="float64")
+        total, n = np.zeros(len(batches)), np.zeros(len(batches))
+        for bins, whose in worker_features().of(batches.tolist()):
+            total += np.bincount(whose, weights=held.value[bins], minlength=len(total))
+            n += np.bincount(whose, minlength=len(total))
+        return pd.Series(reference * total / np.maximum(n, 1))
 
     return docs.withColumn(name, weigh(F.col(text)))
 
@@ -143,7 +166,7 @@ def _scored(docs: DataFrame, ratios, text: str, reference: int, name: str) -> Da
 _SEEN: list[Features] = []
 
 
-def weigh_features() -> Features:
+def worker_features() -> Features:
     """The worker's own memory of words."""
     if not _SEEN:
         _SEEN.append(Features())
