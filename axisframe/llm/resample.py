@@ -7,8 +7,7 @@ documents. A document's log weight is the mean log ratio of its features, times
 
 from __future__ import annotations
 
-import re
-import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,82 +21,91 @@ STEMS = (4, 5, 6)
 BINS = WORD_BINS + PAIR_BINS + STEM_BINS * len(STEMS)
 #: A bin counts if its ratio is this far from 1 (as a logarithm) and beyond this many standard deviations of chance.
 LEAST_RATIO, LEAST_SD, PRIOR = 0.5, 4.0, 1.0
-_TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
-_KEPT_WORDS = 400_000
-_SLICE, _CHUNK = 1 << 20, 2 << 20
-
-
-class Features:
-    """Feature bins of texts; remembers words it has seen."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self):
-        self.number: dict[bytes, int] = {}
-        self.rows: list[tuple] = []
-        self.table = np.zeros((1 << 12, 2 + len(STEMS)), dtype=np.int64)
-        self.filled = 0
-
-    def add(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace").lower()
-        h = zlib.crc32(word)
-        stems = (WORD_BINS + PAIR_BINS + i * STEM_BINS + zlib.crc32(text[:n].encode(), n) % STEM_BINS if len(text) >= n else -1 for i, n in enumerate(STEMS))
-        self.rows.append((h, h % WORD_BINS, *stems))
-        n = self.number[word] = len(self.number)
-        return n
-
-    def _grow(self):
-        n = self.filled + len(self.rows)
-        if n > len(self.table):
-            self.table = np.concatenate((self.table[: self.filled], np.zeros((n, self.table.shape[1]), np.int64)))
-        if self.rows:
-            self.table[self.filled : n] = self.rows
-        self.filled, self.rows = n, []
-
-    def of(self, texts: list[str | None]):
-        """(bins, whose): the feature bins of the texts and each one's text, some MB of text at a time."""
-        get, add = self.number.get, self.add
-        at: list[int] = []
-        whose: list[int] = []
-        sizes: list[int] = []
-        held = 0
-        for i, text in enumerate(texts):
-            for raw in _slices((text or "").encode("utf-8", "surrogatepass")):
-                words = _TOKEN.findall(raw)
-                at += [n if (n := get(w)) is not None else add(w) for w in words]
-                whose.append(i)
-                sizes.append(len(words))
-                held += len(raw)
-                if held > _CHUNK:
-                    yield self._bins(at, whose, sizes)
-                    at, whose, sizes, held = [], [], [], 0
-        yield self._bins(at, whose, sizes)
-        if len(self.number) > _KEPT_WORDS:
-            self.clear()
-
-    def _bins(self, at, whose, sizes):
-        self._grow()
-        found = self.table[np.array(at, dtype=np.int64)]
-        part = np.repeat(np.arange(len(sizes)), sizes)
-        owner = np.array(whose, dtype=np.int64)[part] if len(part) else np.zeros(0, np.int64)
-        h = found[:, 0].astype(np.uint64)
-        pairs = ((h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-        inside = part[:-1] == part[1:]
-        bins, owners = found[:, 1:].ravel(), np.repeat(owner, 1 + len(STEMS))
-        there = bins >= 0
-        return np.concatenate((bins[there], (pairs[inside] % np.uint64(PAIR_BINS)).astype(np.int64) + WORD_BINS)), np.concatenate((owners[there], owner[1:][inside]))
-
-
-def _slices(raw: bytes):
+_BASE = 0x9E3779B97F4A7C15
+_CHUNK = 1 << 20
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_CHUNK * 2 + 8, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+@cache
+def _tables():
+    """Kinds of characters (0 blank, 1 of words, 2 other), their lower case, and powers of a base and its inverse."""
+    kinds = np.full(65536, 1, np.uint8)
+    for i in range(128):
+        ch = chr(i)
+        kinds[i] = 0 if ch in " \t\n\r\x0b\x0c" else 1 if ch.isalnum() or ch == "_" else 2
+    lower = np.array([ord(low) if len(low := chr(i).lower()) == 1 else i for i in range(65536)], dtype=np.uint64)
+    return kinds, lower, _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _slices(text: str):
     """A text in slices of bounded size, cut at blanks where there are any; word pairs across a cut are not counted."""
     low = 0
-    while len(raw) - low > _SLICE:
-        cut = raw.rfind(b" ", low, low + _SLICE)
-        cut = cut + 1 if cut > low else low + _SLICE
-        yield raw[low:cut]
+    while len(text) - low > _CHUNK:
+        cut = text.rfind(" ", low, low + _CHUNK)
+        cut = cut + 1 if cut > low else low + _CHUNK
+        yield text[low:cut]
         low = cut
-    yield raw[low:]
+    yield text[low:]
+
+
+def features(texts: list[str | None]):
+    """(bins, whose): the feature bins of the texts and each one's text, a million characters at a time."""
+    parts: list[str] = []
+    whose: list[int] = []
+    held = 0
+    for i, text in enumerate(texts):
+        for part in _slices(text or ""):
+            if held + len(part) > _CHUNK and parts:
+                yield _bins(parts, whose)
+                parts, whose, held = [], [], 0
+            parts.append(part)
+            whose.append(i)
+            held += len(part) + 1
+    yield _bins(parts, whose)
+
+
+def _bins(parts: list[str], whose: list[int]):
+    kinds, lower, power, inverse = _tables()
+    points = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    small = np.minimum(points, 65535)
+    kind = kinds[small]
+    edge = np.diff(kind, prepend=0, append=0) != 0
+    starts = np.flatnonzero(edge[:-1] & (kind != 0))
+    ends = np.flatnonzero(edge[1:] & (kind != 0)) + 1
+    n = len(points)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    part = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts, side="right")
+    owner = np.array(whose, dtype=np.int64)[part]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n + 1, np.uint64)
+        np.cumsum((values + np.uint64(1)) * power[:n], out=out[1:])
+        return out
+
+    def hashed(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = (total[b] - total[a]) * inverse[a]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+    word = hashed(sums(points.astype(np.uint64)), starts, ends)
+    bins, owners = [word % np.uint64(WORD_BINS)], [owner]
+    folded = sums(np.where(points < 65536, lower[small], points))
+    for i, size in enumerate(STEMS):
+        at = np.flatnonzero(ends - starts >= size)
+        bins.append(hashed(folded, starts[at], starts[at] + size) % np.uint64(STEM_BINS) + np.uint64(WORD_BINS + PAIR_BINS + i * STEM_BINS))
+        owners.append(owner[at])
+    inside = np.flatnonzero(part[:-1] == part[1:])
+    pair = ((word[inside] * np.uint64(_BASE) ^ word[inside + 1]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+    bins.append(pair % np.uint64(PAIR_BINS) + np.uint64(WORD_BINS))
+    owners.append(owner[inside + 1])
+    return np.concatenate(bins).astype(np.int64), np.concatenate(owners)
 
 
 def labelled_sample(labels: DataFrame, rows: int, *, doc_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic") -> dict[int, tuple[bool, bool]]:
@@ -117,10 +125,10 @@ def _counts(docs: DataFrame, fit: set[int], doc_id: str, text: str) -> np.ndarra
     held = docs.sparkSession.sparkContext.broadcast(fit)
 
     def run(batches):
-        features, raw, target = worker_features(), np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+        raw, target = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for pdf in batches:
             fits = pdf["d"].isin(held.value).to_numpy()
-            for bins, whose in features.of(pdf["t"].tolist()):
+            for bins, whose in features(pdf["t"].tolist()):
                 raw += np.bincount(bins, minlength=BINS)
                 if fits[whose].any():
                     target += np.bincount(bins[fits[whose]], minlength=BINS)
@@ -155,7 +163,7 @@ def _scored(docs: DataFrame, ratios, text: str, reference: int, name: str) -> Da
     @F.pandas_udf("double")
     def weigh(batches: pd.Series) -> pd.Series:
         total, n = np.zeros(len(batches)), np.zeros(len(batches))
-        for bins, whose in worker_features().of(batches.tolist()):
+        for bins, whose in features(batches.tolist()):
             total += np.bincount(whose, weights=held.value[bins], minlength=len(total))
             n += np.bincount(whose, minlength=len(total))
         return pd.Series(reference * total / np.maximum(n, 1))
@@ -163,16 +171,6 @@ def _scored(docs: DataFrame, ratios, text: str, reference: int, name: str) -> Da
     return docs.withColumn(name, weigh(F.col(text)))
 
 
-_SEEN: list[Features] = []
-
-
-def worker_features() -> Features:
-    """The worker's own memory of words."""
-    if not _SEEN:
-        _SEEN.append(Features())
-    return _SEEN[0]
-
-
 def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, label_rows: int = 20_000, reference: int = 2000, seed: int = 97, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The k documents with the largest log weight plus Gumbel noise, with ``log_weight`` and ``gumbel_key``.
 
