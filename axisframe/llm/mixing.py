@@ -50,7 +50,7 @@ def frame_schedule(slots: list[int]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 1.0, block_rows: int = 64, frame: int = 1024, seed: int = 41, source: str = "source", doc_id: str = "doc_id", rows_per_bucket: int = 16384) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 1.0, block_rows: int = 64, frame: int = 1024, seed: int = 41, source: str = "source", doc_id: str = "doc_id", rows_per_bucket: int = 4096) -> DataFrame:
     """Append mix_block, mix_release, mix_deadline, mix_slot and mix_place (longs); order by slot, then place.
 
     Without ``weights``, a source's weight is its number of rows to the power ``temperature``. A source without a
