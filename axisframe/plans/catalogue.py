@@ -1 +1,3 @@
 """Imports the modules that register queries."""
+
+from axisframe.plans import relational  # noqa: F401
