@@ -723,8 +723,8 @@ def _(spark, d):
     return c.select("c_custkey", F.upper(F.trim("c_mktsegment")).alias("segment"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("suffix"), F.md5(F.col("c_name").cast("binary")).alias("digest"), V.permissive_bool((F.col("c_acctbal") > 0).cast("string")).alias("positive"))
 
 
-@query("json_navigation", "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), -1) k, strftime(ts, '%Y-%m-%d') as "day" from events")
+@query("json_navigation", "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), -1) k, strftime(ts, '%Y-%m-%d') day_text from events")
 def _(spark, d):
     e = table(spark, d, "events")
     k = F.coalesce(F.from_json("props", "k double")["k"], F.lit(-1.0))
-    return e.select("event_id", k.alias("k"), V.iso_date(F.col("ts").cast("string")).alias("day"))
+    return e.select("event_id", k.alias("k"), V.iso_date(F.col("ts").cast("string")).alias("day_text"))
