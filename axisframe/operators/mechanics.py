@@ -144,7 +144,7 @@ def partner_states(springs: DataFrame, nodes: DataFrame, conditions: DataFrame,
     ``nodes`` also has dx, dy, dz, the direction of the receptor's nodes. A condition that can't be solved has a
     status other than ok and null numbers; it never stops the others.
     """
-    placed = nodes.join(F.broadcast(conditions.select("condition", "system")), "system")
+    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -156,12 +156,12 @@ def partner_states(springs: DataFrame, nodes: DataFrame, conditions: DataFrame,
                 rows.append((key[0], state, None, None, None, str(error)))
         return pd.DataFrame(rows, columns=["condition", "state", "c_close", "mean_compliance", "s_close", "status"])
 
-    return springs.groupBy("condition").cogroup(placed.groupBy("condition")).applyInPandas(solve, "condition string, state string, c_close double, mean_compliance double, s_close double, status string")
+    return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, state string, c_close double, mean_compliance double, s_close double, status string")
 
 
 def group_effects(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *, factors=FACTORS, singular: str = "error") -> DataFrame:
     """(condition, group_id, state, factor, log_s): every receptor node's springs of a class scaled by each factor."""
-    placed = nodes.join(F.broadcast(conditions.select("condition", "system")), "system")
+    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -181,7 +181,7 @@ def group_effects(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *
             rows = []
         return pd.DataFrame(rows, columns=["condition", "group_id", "state", "factor", "log_s"])
 
-    return springs.groupBy("condition").cogroup(placed.groupBy("condition")).applyInPandas(solve, "condition string, group_id string, state string, factor double, log_s double")
+    return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, group_id string, state string, factor double, log_s double")
 
 
 def central_difference(effects: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:

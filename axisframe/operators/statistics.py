@@ -264,12 +264,12 @@ def cluster_bootstrap(frame: DataFrame, keys: list[str], cluster: str, value: st
     return per.select(*keys, F.posexplode(means("_c")).alias("draw", "mean"))
 
 
-def matched_set_null(frame: DataFrame, value: str, chosen: Column, n_draws: int, seed: int) -> DataFrame:
-    """(observed, n_draws, mean, sd, p_add_one): the chosen rows' mean against sets of their size, drawn by hash."""
+def matched_set_null(frame: DataFrame, id_column: str, value: str, chosen: Column, n_draws: int, seed: int) -> DataFrame:
+    """(observed, n_draws, mean, sd, p_add_one): the chosen rows' mean against sets of their size, drawn by a hash of the id."""
     n = frame.agg(F.count_if(chosen).alias("k"), F.avg(F.when(chosen, F.col(value))).alias("o")).first()
     draw = frame.sparkSession.range(n_draws).withColumnRenamed("id", "draw")
     # the profile has some hundred positions; each draw ranks them by a hash of its own
-    ranked = frame.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("p")).crossJoin(draw)
+    ranked = frame.select(F.col(value).alias("v"), F.col(id_column).alias("p")).crossJoin(draw)
     ranked = ranked.withColumn("h", F.xxhash64(F.lit(seed), "draw", "p")).withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy("h", "p")))
     means = ranked.where(F.col("k") <= n["k"]).groupBy("draw").agg(F.avg("v").alias("m"))
     return means.agg(F.lit(n["o"]).alias("observed"), F.count("m").alias("n_draws"), F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"), ((F.count_if(F.col("m") >= n["o"]) + 1) / (F.count("m") + 1)).alias("p_add_one"))

@@ -60,12 +60,14 @@ def _(spark, d):
 
 
 def _conformers(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double") * 20).alias("v"))
+    """All 64 components and two zeros as the coordinates of 22 points."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 20)
+    return table(spark, d, "embeddings").select("vec_id", F.concat(scaled, F.array(F.lit(0.0), F.lit(0.0))).alias("v"))
 
 
 def _atoms(spark, d):
-    long = _conformers(spark, d).where("vec_id % 10 = 0").select("vec_id", F.posexplode("v").alias("p", "c"))
-    return long.groupBy("vec_id", F.floor(F.col("p") / 3).cast("int").alias("res")).pivot(F.pmod("p", F.lit(3)), [0, 1, 2]).agg(F.first("c")).toDF("vec_id", "res", "x", "y", "z")
+    points = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda i: F.struct(i.alias("res"), *[F.get("v", i * 3 + k).alias(n) for k, n in enumerate("xyz")]))
+    return _conformers(spark, d).select("vec_id", F.inline(points))
 
 
 @query("superposition")
@@ -77,7 +79,7 @@ def _(spark, d):
 
 @query("iterative_superposition")
 def _(spark, d):
-    laid, _ = E.iterative_superposition(_conformers(spark, d).where("vec_id % 5 = 0"), "v", rounds=5)
+    laid, _ = E.iterative_superposition(_conformers(spark, d), "v", rounds=5)
     return laid.select("vec_id", r6("rmsd").alias("rmsd"))
 
 
@@ -100,8 +102,8 @@ def _(spark, d):
 @query("mode_overlaps")
 def _(spark, d):
     e, axis = _axis(spark, d)
-    short = axis.select(F.slice("axis", 1, 63).alias("axis"))
-    return E.mode_overlaps(E.network_modes(_atoms(spark, d), "vec_id", "res", 8.0, 5), "vec_id", short).withColumn("overlap", r6("overlap"))
+    padded = axis.select(F.concat("axis", F.array(F.lit(0.0), F.lit(0.0))).alias("axis"))
+    return E.mode_overlaps(E.network_modes(_atoms(spark, d), "vec_id", "res", 8.0, 5), "vec_id", padded).withColumn("overlap", r6("overlap"))
 
 
 @query("subspace_overlap")
@@ -117,8 +119,8 @@ def _(spark, d):
 
 
 def _network(spark, d):
-    """Two bodies of each tenth structure: its first twelve points and the others, under two cutoffs."""
-    atoms = _atoms(spark, d).where("vec_id % 50 = 0")
+    """Two bodies of each structure: its first twelve points and the others, under two cutoffs."""
+    atoms = _atoms(spark, d)
     long = atoms.select(F.col("vec_id").cast("string").alias("system"), F.col("res").alias("node"), F.when(F.col("res") < 12, "receptor").otherwise("partner").alias("body"), "x", "y", "z", F.lit(1.0).alias("dx"), (F.col("res") * 0.1).alias("dy"), F.sin(F.col("res").cast("double")).alias("dz"))
     grid = long.select("system").distinct().crossJoin(spark.createDataFrame([(9.0, "uniform"), (12.0, "inverse_square")], "cutoff double, weighting string"))
     return long, grid.withColumn("condition", F.concat_ws("/", "system", "cutoff", "weighting"))
@@ -146,14 +148,14 @@ def _(spark, d):
 
 @query(
     "shared_edges",
-    """with g as (select distinct l_suppkey grp, l_partkey % 300 edge from lineitem where l_suppkey <= 12 and l_partkey % 300 < 40),
+    """with g as (select distinct l_partkey grp, l_orderkey edge from lineitem),
     s as (select grp, list_sort(list(edge)) edges from g group by grp), m as (select distinct a.grp, b.grp other from g a join g b using (edge) where a.grp <> b.grp),
     n as (select m.grp, string_agg(cast(other as varchar), ';' order by other) shared_with, string_agg(case when s.edges = o.edges then cast(other as varchar) end, ';' order by other) identical_to
       from m join s on s.grp = m.grp join s o on o.grp = other group by m.grp)
     select s.grp, coalesce(shared_with, '') shared_with, coalesce(identical_to, '') identical_to from s left join n on n.grp = s.grp""",
 )
 def _(spark, d):
-    g = table(spark, d, "lineitem").where("l_suppkey <= 12 and l_partkey % 300 < 40").select(F.col("l_suppkey").alias("grp"), (F.col("l_partkey") % 300).alias("edge")).distinct()
+    g = table(spark, d, "lineitem").select(F.col("l_partkey").alias("grp"), F.col("l_orderkey").alias("edge")).distinct()
     named = M.shared_edges(g, "grp", "edge")
     number = lambda c: F.array_join(F.transform(F.array_sort(F.transform(F.filter(F.split(c, ";"), lambda x: x != ""), lambda x: x.cast("long"))), lambda x: x.cast("string")), ";")
     return named.select("grp", number("shared_with").alias("shared_with"), number("identical_to").alias("identical_to"))
@@ -161,12 +163,12 @@ def _(spark, d):
 
 @query(
     "edge_identity",
-    "select concat(least(s, p), '--', greatest(s, p)) edge, count(*) n from (select cast(l_suppkey as varchar) s, cast(l_partkey as varchar) p from lineitem where l_orderkey % 20 = 0) group by 1",
+    "select concat(least(s, p), '--', greatest(s, p)) edge, count(*) n from (select cast(l_suppkey as varchar) s, cast(l_partkey as varchar) p from lineitem) group by 1",
 )
 def _(spark, d):
     from axisframe.functions.vectors import edge_key
 
-    line = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    line = table(spark, d, "lineitem")
     return line.groupBy(edge_key(F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("edge")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -219,8 +221,8 @@ def _(spark, d):
 
 @query("rank_sum_exact")
 def _(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 5 = 0").withColumn("k", F.lit(1))
-    return N.rank_sum(s, ["k"], "s_acctbal", F.col("s_nationkey") < 8).select("n1", "n2", "u", r6("p_greater").alias("p_greater"), r6("p_two_sided").alias("p_two_sided"))
+    s = table(spark, d, "supplier")
+    return N.rank_sum(s, ["s_nationkey"], "s_acctbal", F.col("s_suppkey") % 2 == 0).select("s_nationkey", "n1", "n2", "u", r6("p_greater").alias("p_greater"), r6("p_two_sided").alias("p_two_sided"))
 
 
 @query("fisher_exact")
@@ -244,7 +246,7 @@ def _(spark, d):
 
 @query(
     "guinier_fit",
-    """with c as (select label k, 0.004 + 0.001 * (row_number() over (partition by label order by vec_id)) q from embeddings),
+    """with c as (select label k, 0.004::double + 0.001::double * (row_number() over (partition by label order by vec_id)) q from embeddings),
     x as (select k, q, 0.42 * exp(-(q * q) * 400 * (1 + k) / 3) i from c where q <= 0.05), w as (select k, q, (i / 0.001) ** 2 w, q * q x, ln(i) y from x),
     s as (select k, q, count(*) over o n, sum(w) over o sw, sum(w * x) over o sx, sum(w * y) over o sy, sum(w * x * x) over o sxx, sum(w * x * y) over o sxy from w window o as (partition by k order by q)),
     f as (select *, (sw * sxy - sx * sy) / nullif(sw * sxx - sx ** 2, 0) b from s), g as (select *, case when b < 0 then sqrt(-3 * b) end rg from f where n >= 5),
@@ -263,7 +265,7 @@ def _(spark, d):
 
 @query(
     "kratky_peak",
-    """with x as (select user_id k, 0.01 * (event_id % 90 + 1) q, value + 1 i from events), h as (select k, (q * 2.5) ** 2 * i / 50 h, q from x)
+    """with x as (select user_id k, 0.01::double * (event_id % 90 + 1) q, value + 1 i from events), h as (select k, (q * 2.5) ** 2 * i / 50 h, q from x)
     select k, round(arg_max(q, (h, -q)) * 2.5, 6) x, round(max(h), 6) height from h group by k""",
 )
 def _(spark, d):
@@ -283,7 +285,7 @@ def _(spark, d):
 
 @query("ridge_left_out")
 def _(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 4 = 0").select("p_brand", F.col("p_partkey").cast("double").alias("place"), F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("x1"), F.sin("p_partkey").alias("x2"), (F.col("p_size") > 25).cast("double").alias("dummy"))
+    p = table(spark, d, "part").select("p_brand", F.col("p_partkey").cast("double").alias("place"), F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("x1"), F.sin("p_partkey").alias("x2"), (F.col("p_size") > 25).cast("double").alias("dummy"))
     return N.ridge_left_out(p, ["p_brand"], "y", ["x1", "x2"], ["dummy"], "place", radius=10.0, alpha=0.1, least=5).withColumns({"predicted": F.round("predicted", 4), "residual": F.round("residual", 4)})
 
 
@@ -295,16 +297,15 @@ def _(spark, d):
 
 @query("matched_set_null")
 def _(spark, d):
-    s = table(spark, d, "supplier").coalesce(1).sortWithinPartitions("s_suppkey")
-    return N.matched_set_null(s, "s_acctbal", F.col("s_nationkey") < 5, 500, 7).select(*[r6(c).alias(c) for c in ("observed", "null_mean", "null_sd", "p_add_one")])
+    return N.matched_set_null(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", F.col("s_nationkey") < 5, 500, 7).select(*[r6(c).alias(c) for c in ("observed", "null_mean", "null_sd", "p_add_one")])
 
 
-@query("pairwise_deviation", "with v as (select vec_id, [x::double for x in embedding] v from embeddings where vec_id % 4 = 0) select round(median(r), 6) median, round(max(r), 6) max, round(avg(r), 6) mean, count(r) n from (select list_distance(a.v, b.v) r from v a, v b where a.vec_id < b.vec_id)")
+@query("pairwise_deviation", "with v as (select vec_id, [x::double for x in embedding] v from embeddings) select round(median(r), 6) median, round(max(r), 6) max, round(avg(r), 6) mean, count(r) n from (select list_distance(a.v, b.v) r from v a, v b where a.vec_id < b.vec_id)")
 def _(spark, d):
     from axisframe.operators.aggregates import pair_statistics
     from axisframe.operators.joins import vector_contacts
 
-    pairs = vector_contacts(table(spark, d, "embeddings").where("vec_id % 4 = 0"), "vec_id", "embedding", float("inf"), least=-1.0)
+    pairs = vector_contacts(table(spark, d, "embeddings"), "vec_id", "embedding", float("inf"), least=-1.0)
     p = pair_statistics(pairs, "r")
     return p.select(r6("median").alias("median"), r6("max").alias("max"), r6("mean").alias("mean"), "n")
 

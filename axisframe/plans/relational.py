@@ -82,11 +82,11 @@ def _(spark, d):
 
 @query(
     "table_differences",
-    """select p_partkey, 'p_size' as "column", cast(p_size as varchar) as "left", cast(p_size + 5 as varchar) as "right" from part where p_partkey % 97 = 0""",
+    """select p_partkey, 'p_size' as "column", cast(p_size as varchar) as "left", cast(p_size + 5 as varchar) as "right" from part where p_size = 7""",
 )
 def _(spark, d):
     a = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_name")
-    b = a.withColumn("p_size", F.when(F.col("p_partkey") % 97 == 0, F.col("p_size") + 5).otherwise(F.col("p_size"))).withColumn("p_retailprice", F.col("p_retailprice") + 1e-12)
+    b = a.withColumn("p_size", F.when(F.col("p_size") == 7, F.col("p_size") + 5).otherwise(F.col("p_size"))).withColumn("p_retailprice", F.col("p_retailprice") + 1e-12)
     return G.table_differences(a, b, ["p_partkey"])
 
 
@@ -103,11 +103,11 @@ def _(spark, d):
 @query(
     "override_join",
     """select c_custkey, coalesce(o.g, case when c_mktsegment like '%E%' then c_mktsegment end) study_group
-    from customer left join (select c_custkey k, 'override' g from customer where c_custkey % 11 = 0) o on c_custkey = k""",
+    from customer left join (select c_custkey k, 'override' g from customer where c_acctbal < 0) o on c_custkey = k""",
 )
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    given = rows.where("c_custkey % 11 = 0").select("c_custkey", F.lit("override").alias("c_mktsegment"))
+    given = table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey", F.lit("override").alias("c_mktsegment"))
     return J.override_join(rows, given, "c_custkey", "c_mktsegment", F.col("c_mktsegment").like("%E%"), "study_group").select("c_custkey", "study_group")
 
 
@@ -157,9 +157,9 @@ def _(spark, d):
 _POINTS = "pts as (select vec_id id, embedding[1]::double * 40 x, embedding[2]::double * 40 y, embedding[3]::double * 40 z from embeddings)"
 
 
-def _points(spark, d):
+def _points(spark, d, *more):
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), *[(F.col("embedding")[i].cast("double") * 40).alias(n) for i, n in enumerate("xyz")])
+    return e.select(F.col("vec_id").alias("id"), *more, *[(F.col("embedding")[i].cast("double") * 40).alias(n) for i, n in enumerate("xyz")])
 
 
 @query(
@@ -208,38 +208,38 @@ def _(spark, d):
 
 @query(
     "nearest_partner",
-    f"""with {_POINTS}, l as (select * from pts where id % 7 = 0), r as (select * from pts where id % 7 = 1),
+    f"""with {_POINTS}, s as (select pts.*, label from pts join embeddings on id = vec_id), l as (select * from s where label = 0), r as (select * from s where label = 1),
     m as (select l.id left_id, r.id right_id, sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2 + (l.z - r.z) ** 2) d from l, r)
     select left_id, arg_min(right_id, (d, right_id)) nearest_id, round(min(d), 6) min_distance, count(*) filter (d <= 5) n_within from m group by left_id""",
 )
 def _(spark, d):
-    p = _points(spark, d)
-    a = p.where("id % 7 = 0").select(F.col("id").alias("left_id"), *[F.col(c).alias(f"l{c}") for c in "xyz"])
-    b = p.where("id % 7 = 1").select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
+    p = _points(spark, d, "label")
+    a = p.where("label = 0").select(F.col("id").alias("left_id"), *[F.col(c).alias(f"l{c}") for c in "xyz"])
+    b = p.where("label = 1").select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r{c}") for c in "xyz"])
     distance = F.sqrt(sum(((F.col(f"l{c}") - F.col(f"r{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
     return J.nearest(a, b, "left_id", "right_id", distance, 5.0).withColumn("min_distance", r6("min_distance"))
 
 
 @query(
     "interval_join",
-    """with iv as (select p_partkey, p_size * 10 lo, p_size * 10 + 25 hi from part where p_partkey % 20 = 0)
+    """with iv as (select p_partkey, p_size * 10 lo, p_size * 10 + 25 hi from part)
     select vec_id, p_partkey from embeddings join iv on vec_id between lo and hi""",
 )
 def _(spark, d):
-    iv = table(spark, d, "part").where("p_partkey % 20 = 0").select("p_partkey", (F.col("p_size") * 10).alias("lo"), (F.col("p_size") * 10 + 25).alias("hi"))
+    iv = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 10).alias("lo"), (F.col("p_size") * 10 + 25).alias("hi"))
     return J.interval_join(table(spark, d, "embeddings").select("vec_id"), iv, "vec_id", "lo", "hi", 32).select("vec_id", "p_partkey")
 
 
 @query(
     "best_partner",
-    """with a as (select distinct l_suppkey s, l_partkey % 50 m from lineitem where l_suppkey % 4 = 0), b as (select distinct l_suppkey t, l_partkey % 50 m from lineitem where l_suppkey % 4 = 1),
+    """with a as (select distinct l_suppkey s, l_partkey m from lineitem where l_returnflag = 'A'), b as (select distinct l_suppkey t, l_partkey m from lineitem where l_returnflag = 'R'),
     c as (select s, t, count(*) n_shared from a join b using (m) group by all)
     select s, t, n_shared from (select *, row_number() over (partition by s order by n_shared desc, t) k from c) where k = 1 and n_shared >= 2""",
 )
 def _(spark, d):
-    line = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("m"))
-    a = line.where("l_suppkey % 4 = 0").select(F.col("l_suppkey").alias("s"), "m")
-    b = line.where("l_suppkey % 4 = 1").select(F.col("l_suppkey").alias("t"), "m")
+    line = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_partkey").alias("m"))
+    a = line.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("s"), "m")
+    b = line.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("t"), "m")
     return J.best_partner(a, b, "s", "t", "m", least=2)
 
 
@@ -284,12 +284,12 @@ def _(spark, d):
 @query(
     "band_adjudication",
     """with b as (select event_type, min(value) filter (user_id % 3 = 0) a1, max(value) filter (user_id % 3 = 0) b1, min(value) filter (user_id % 3 = 1) a2, max(value) filter (user_id % 3 = 1) b2
-      from events where event_id % 50 = 0 group by event_type),
-    j as (select event_id, coalesce(a1, a2) is not null and a1 is not null and a2 is not null and value is not null known, value between a1 - 1 and b1 + 1 i1, value between a2 - 1 and b2 + 1 i2 from events join b using (event_type) where event_id % 50 = 0)
+      from events group by event_type),
+    j as (select event_id, coalesce(a1, a2) is not null and a1 is not null and a2 is not null and value is not null known, value between a1 - 1 and b1 + 1 i1, value between a2 - 1 and b2 + 1 i2 from events join b using (event_type))
     select event_id, case when not known or (i1 and i2) then 'indeterminate' when i1 then 'closed' when i2 then 'open' else 'intermediate' end verdict from j""",
 )
 def _(spark, d):
-    e = table(spark, d, "events").where("event_id % 50 = 0").withColumn("state", F.when(F.col("user_id") % 3 == 0, "closed").when(F.col("user_id") % 3 == 1, "open"))
+    e = table(spark, d, "events").withColumn("state", F.when(F.col("user_id") % 3 == 0, "closed").when(F.col("user_id") % 3 == 1, "open"))
     return R.adjudicate(e, "value", "state", ["event_type"], 1.0).select("event_id", "verdict")
 
 
@@ -508,11 +508,11 @@ def _(spark, d):
 
 @query(
     "sign_changes",
-    """with s as (select vec_id, i, lead(i) over w nx, sign(embedding[i]) * lead(sign(embedding[i])) over w t from embeddings, range(1, 65) r(i) where i % 9 <> 0 window w as (partition by vec_id order by i))
+    """with s as (select vec_id, i, lead(i) over w nx, sign(embedding[i]) * lead(sign(embedding[i])) over w t from embeddings, range(1, 65) r(i) where abs(embedding[i]::double) > 0.02 window w as (partition by vec_id order by i))
     select vec_id, cast(i as integer) pos, cast(nx as integer) next_position, nx - i > 1 across_gap from s where t < 0""",
 )
 def _(spark, d):
-    long = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("pos"), "x").where("pos % 9 <> 0")
+    long = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("pos"), "x").where(F.abs(F.col("x").cast("double")) > 0.02)
     return W.sign_changes(long, ["vec_id"], "pos", "x")
 
 
@@ -600,12 +600,12 @@ def _(spark, d):
 
 @query(
     "empty_middle",
-    """with e as (select event_type, value, case when user_id % 5 = 0 then 'closed' when user_id % 5 = 1 then 'open' end s from events where event_id % 40 = 0),
+    """with e as (select event_type, value, case when user_id % 5 = 0 then 'closed' when user_id % 5 = 1 then 'open' end s from events),
     b as (select event_type, max(value) filter (s = 'closed') t, min(value) filter (s = 'open') b from e group by event_type)
     select event_type, round(t, 6) top, round(b, 6) bottom, count(*) filter (value between least(t + 0.15 * (b - t), t + 0.85 * (b - t)) and greatest(t + 0.15 * (b - t), t + 0.85 * (b - t))) n_middle from e join b using (event_type) group by all""",
 )
 def _(spark, d):
-    e = table(spark, d, "events").where("event_id % 40 = 0").withColumn("s", F.when(F.col("user_id") % 5 == 0, "closed").when(F.col("user_id") % 5 == 1, "open"))
+    e = table(spark, d, "events").withColumn("s", F.when(F.col("user_id") % 5 == 0, "closed").when(F.col("user_id") % 5 == 1, "open"))
     return W.empty_middle(e, ["event_type"], "value", "s").withColumns({"top": r6("top"), "bottom": r6("bottom")})
 
 
@@ -620,11 +620,11 @@ def _(spark, d):
 
 
 # selection -----------------------------------------------------------------------------------------------------------
-@query("multi_key_sort", "select o_orderkey, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey) place from orders where o_custkey % 10 = 0")
+@query("multi_key_sort", "select o_orderkey, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey) place from orders")
 def _(spark, d):
     from axisframe.operators.order import numbered
 
-    o = table(spark, d, "orders").where("o_custkey % 10 = 0")
+    o = table(spark, d, "orders")
     return numbered(o, [F.col("o_orderpriority"), F.col("o_totalprice").desc(), F.col("o_orderkey")], "place").select("o_orderkey", (F.col("place") + 1).alias("place"))
 
 
@@ -680,9 +680,9 @@ def _(spark, d):
     return S.pivoted(_effects(spark, d).withColumn("effect", r6("effect") + 0.0), ["l_partkey", "l_returnflag"], "l_linestatus", ["F", "O"], "effect")
 
 
-@query("packed_status", "select o_orderkey, 'a' condition, 'pass' status, 1 code from orders where o_custkey % 9 = 0 union all select o_orderkey, 'b', o_orderstatus, case when o_orderstatus = 'fail' then -1 else 0 end from orders where o_custkey % 9 = 0")
+@query("packed_status", "select o_orderkey, 'a' condition, 'pass' status, 1 code from orders union all select o_orderkey, 'b', o_orderstatus, case when o_orderstatus = 'fail' then -1 else 0 end from orders")
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 9 = 0").withColumn("packed", F.concat(F.lit("a=pass;b="), "o_orderstatus"))
+    o = table(spark, d, "orders").withColumn("packed", F.concat(F.lit("a=pass;b="), "o_orderstatus"))
     return S.status_matrix(o, ["o_orderkey"], "packed")
 
 
