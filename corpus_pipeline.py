@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm import decontaminate as _decontaminate
-from axisframe.llm import mixing, resample, simhash, tokens
+from axisframe.llm import mixing, nearcopies, resample, tokens
 from axisframe.llm.common import fresh_path, written
 from axisframe.llm.queries import MIX_TEMPERATURE, tokenizer_path
 from axisframe.tables import table
@@ -23,8 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies stays: that of least id."""
-    return simhash.deduplicate(docs).select(docs.columns)
+    """One document of each group of near copies stays: that of least id.
+
+    Near copies have a Jaccard similarity of 0.8 or more in five-word shingles. Such texts can differ in any number
+    of SimHash bits, so they are found by exact prefixes of their shingle sets.
+    """
+    return nearcopies.deduplicate(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
