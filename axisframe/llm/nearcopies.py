@@ -21,6 +21,8 @@ from axisframe.llm.graph import components
 WIDTH = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS, _BLOCKS = 18, 16
+#: Rounds of neighbours, at most, before all pairs that are still apart are compared. Results do not depend on it.
+_TURNS = 3
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -112,11 +114,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(one.join(sets.select(F.col("s").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb").mapInPandas(_similar, "a long, b long"), "links")
 
 
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(m, s, n, at, r) of the members whose texts the links leave in more than one component r."""
+    placed = met.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("m", "s", "n", "at", F.coalesce("root", "s").alias("r"))
+    mixed = placed.groupBy("m").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("m").alias("mm"))
+    return written(placed.join(mixed, F.col("m") == F.col("mm"), "left_semi"), "apart")
+
+
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, d, s, root): rows linked, transitively, by a Jaccard similarity of 4/5 or more have one root.
+    """(s, least, root): sets linked, transitively, by a Jaccard similarity of 4/5 or more have one root.
 
-    ``k`` is a hash of id and text, by which a row is known; ``s`` names its set of shingles. Wordless texts are
-    copies of each other.
+    ``s`` names a set of shingles; ``least`` is the least of its rows (those without an id last): their id ``d`` and
+    ``k``, a hash of id and text, by which a row is known. Wordless texts have one set.
     """
     keyed = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     counts = docs.sparkSession.sparkContext.broadcast(_slot_counts(docs, text))
@@ -126,21 +135,30 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     met = nodes.mapInPandas(_members, "m long, s long, n int, at int").withColumns({"before": F.lag("s").over(meet), "n_before": F.lag("n").over(meet), "after": F.lead("s").over(meet)})
     met = written(met.where("before is not null or after is not null").drop("after"), "met")
     wanted = met.select(F.col("s").alias("w")).distinct()
-    chosen = prints.join(wanted, F.col("s") == F.col("w"), "left_semi").groupBy("s").agg(F.min("k").alias("c"))
+    chosen = prints.groupBy("s").agg(F.min("k").alias("c")).join(wanted, F.col("s") == F.col("w"), "left_semi")
     sets = keyed.select("k", "t").join(chosen, F.col("k") == F.col("c")).select("s", "t").mapInPandas(_sets, "s long, h binary")
     sets = written(sets.dropDuplicates(["s"]), "sets")
     next_ = met.where("before is not null and 5 * n_before >= 4 * n").select(F.least("before", "s").alias("a"), F.greatest("before", "s").alias("b")).distinct()
-    links = _verified(next_, sets)
-    placed = met.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("m", "s", "n", "at", F.coalesce("root", "s").alias("r"))
-    mixed = placed.groupBy("m").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("m").alias("mm"))
-    placed = written(placed.join(mixed, F.col("m") == F.col("mm"), "left_semi"), "apart")
+    links, turn = _verified(next_, sets), 0
+    placed = _apart(met.select("m", "s", "n", "at"), links)
+    while turn < _TURNS:
+        # neighbours in another order, so that large groups grow together before pairs are looked at
+        turn += 1
+        deal = Window.partitionBy("m").orderBy(F.xxhash64(F.lit(turn), "s"))
+        dealt = placed.withColumns({f"{c}_y": F.lag(c).over(deal) for c in ("s", "n", "r")})
+        next_ = dealt.where("r <> r_y and 5 * least(n, n_y) >= 4 * greatest(n, n_y)").select(F.least("s", "s_y").alias("a"), F.greatest("s", "s_y").alias("b")).distinct()
+        new = _verified(next_, sets)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        placed = _apart(placed.select("m", "s", "n", "at"), links)
     x, y = (placed.select("m", *[F.col(c).alias(f"{c}_{side}") for c in ("s", "n", "at", "r")]) for side in "xy")
     # what is left of both sets from their first common member on must be enough
     enough = "r_x <> r_y and s_x < s_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * least(n_x - at_x, n_y - at_y) >= 4 * (n_x + n_y)"
     rest = x.join(y, "m").where(enough).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
     links = links.unionByName(_verified(rest, sets))
-    roots = written(components(links), "roots")
-    return prints.join(roots, F.col("s") == F.col("node"), "left").select("k", "d", "s", F.coalesce("root", "s").alias("root"))
+    least = prints.groupBy("s").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k")).alias("least"))
+    return least.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("s", "least", F.coalesce("root", "s").alias("root"))
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,7 +167,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     Rows are told apart by id and text, so a row goes only for a copy in its own group.
     """
     found = near_copies(docs, doc_id=doc_id, text=text)
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k")).alias("least")).select(F.col("least.k").alias("__keep"))
+    keep = found.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("__keep"))
     key, nth = free_name(docs, stem="row_key"), free_name(docs, stem="nth")
     rows = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
     stay = rows.join(keep, F.col(key) == F.col("__keep"), "left_semi")
