@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from axisframe.llm.common import uniform
 
 UNDETERMINED = "und"
-#: Codes: 0 a letter outside the alphabet (no phrase goes past it), 1 anything but letters, then letters.
+#: Codes: 0 a letter of no sample (no phrase goes past it), 1 anything but letters, then letters, the commonest first.
+#: Transitions by codes under _ALPHABET are looked up in a full table, those by rarer letters in a sorted list.
 _OUTSIDE, _GAP, _ALPHABET = 0, 1, 96
 _SEGMENT = 1024
 _CHUNK = 8 << 20
@@ -55,12 +56,38 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
     return np.concatenate((np.array([[len(next_), 0, 0]], dtype=np.int32), edges))
 
 
-def dense(edges: np.ndarray) -> np.ndarray:
-    """The edges as one flat table of states x alphabet; nothing leads past a letter outside the alphabet."""
-    table = np.full((int(edges[0, 0]), _ALPHABET), -1, dtype=np.int32)
-    table[edges[1:, 0], edges[1:, 1]] = edges[1:, 2]
+def dense(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges as a flat table of states x common codes, and sorted (state, code) keys and targets of rarer letters.
+
+    Nothing leads past a letter of no sample.
+    """
+    size, edges = int(edges[0, 0]), edges[1:]
+    common = edges[:, 1] < _ALPHABET
+    table = np.full((size, _ALPHABET), -1, dtype=np.int32)
+    table[edges[common, 0], edges[common, 1]] = edges[common, 2]
     table[:, _OUTSIDE] = -1
-    return table.ravel()
+    keys = _key(edges[~common, 0], edges[~common, 1])
+    order = np.argsort(keys)
+    return table.ravel(), keys[order], edges[~common, 2][order]
+
+
+def _key(state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return state.astype(np.int64) << 21 | code.astype(np.int64)
+
+
+def _followed(table: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The states that the codes lead to, -1 for none."""
+    flat, keys, targets = table
+    rare = np.flatnonzero(code >= _ALPHABET)
+    if not len(rare):
+        return flat[state * _ALPHABET + code]
+    after = flat[state * _ALPHABET + np.minimum(code, _ALPHABET - 1)]
+    after[rare] = -1
+    if len(keys):
+        wanted = _key(state[rare], code[rare])
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        after[rare] = np.where(keys[at] == wanted, targets[at], -1)
+    return after
 
 
 class Model:
@@ -72,8 +99,8 @@ class Model:
             for t in held:
                 for ch in t.lower():
                     letters[ch] += ch.isalpha()
-        kept = sorted((ch for ch, n in letters.items() if n and ord(ch) < 65536), key=lambda ch: (-letters[ch], ch))[: _ALPHABET - 2]
-        self.codes = np.array([_OUTSIDE if chr(i).isalpha() else _GAP for i in range(65536)], dtype=np.uint8)
+        kept = sorted((ch for ch, n in letters.items() if n), key=lambda ch: (-letters[ch], ch))
+        self.codes = np.array([_OUTSIDE if chr(i).isalpha() else _GAP for i in range(0x110000)], dtype=np.min_scalar_type(len(kept) + 1))
         for i, ch in enumerate(kept):
             self.codes[ord(ch)] = i + 2
         self.languages, self.edges, self.bits = [], [], []
@@ -88,33 +115,32 @@ class Model:
     def encoded(self, text: str) -> np.ndarray:
         """One code a character, runs of other than letters as one gap."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = np.where(points < 65536, self.codes[np.minimum(points, 65535)], _OUTSIDE).astype(np.uint8)
+        codes = self.codes[points]
         gap = codes == _GAP
         return codes[~(gap & np.concatenate(([True], gap[:-1])))] if len(codes) else codes
 
 
-def phrases(table: np.ndarray, columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def phrases(table: tuple[np.ndarray, np.ndarray, np.ndarray], columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of each segment; ``columns[t]`` has the t-th codes of the segments, longest segments first."""
     state, count = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-    first = table[:_ALPHABET]
     active = np.searchsorted(-lengths, -np.arange(columns.shape[0]), side="left")
     for t in range(columns.shape[0]):
         n = active[t]
         if not n:
             break
         c = columns[t, :n]
-        after = table[state[:n] * _ALPHABET + c]
+        after = _followed(table, state[:n], c)
         failed = np.flatnonzero(after < 0)
         if len(failed):
             # the phrase ends before this character, unless none had begun; a character of no phrase is one itself
-            again = first[c[failed]]
+            again = _followed(table, np.zeros(len(failed), dtype=np.int64), c[failed])
             count[failed] += (state[failed] > 0).astype(np.int64) + (again < 0)
             after[failed] = np.maximum(again, 0)
         state[:n] = after
     return count + (state > 0)
 
 
-def classify(model: Model, tables: list[np.ndarray], texts: list[str | None]) -> list[tuple[str, float]]:
+def classify(model: Model, tables: list[tuple], texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, score) of whole texts. Parsing starts anew every 1024 characters, for all languages alike."""
     out: list[tuple[str, float]] = []
     low = 0
@@ -122,7 +148,7 @@ def classify(model: Model, tables: list[np.ndarray], texts: list[str | None]) ->
         codes, size = [], 0
         while low + len(codes) < len(texts) and (not codes or size < _CHUNK):
             t = texts[low + len(codes)]
-            codes.append(model.encoded(t) if t else np.zeros(0, np.uint8))
+            codes.append(model.encoded(t) if t else np.zeros(0, model.codes.dtype))
             size += len(codes[-1])
         out += _classify(model, tables, codes, [bool(t) and any(map(str.isalpha, t)) for t in texts[low : low + len(codes)]])
         low += len(codes)
@@ -139,7 +165,7 @@ def _classify(model, tables, codes, lettered):
     if parts and tables:
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
-        columns = np.zeros((int(lengths.max()), len(parts)), dtype=np.uint8)
+        columns = np.zeros((int(lengths.max()), len(parts)), dtype=model.codes.dtype)
         for j, i in enumerate(order):
             columns[: lengths[i], j] = parts[i]
         who = np.array(owner)[order]
@@ -163,18 +189,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, sample_chars: int = 1 << 16, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about ``sample_chars`` characters of whole documents of each language, drawn by a hash of doc_id.
+    """Fit on about ``sample_chars`` characters of each language, or on all that it has, drawn by a hash of doc_id.
 
-    Documents longer than a quarter of that are passed over where a language has others.
+    Whole documents of at most a quarter of that come first, in order of the hash; where a language has too few of
+    them, longer ones follow, with their first ``sample_chars`` characters. Each language with a text is learned.
     """
-    usable = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
-    sizes = usable.groupBy("l").agg(F.sum(F.length("t")).alias("chars"), F.min(F.length("t")).alias("least"))
-    fair = usable.join(F.broadcast(sizes), "l").where((F.length("t") <= sample_chars // 4) | (F.col("least") > sample_chars // 4))
-    u = uniform(F.lit(5), F.col("d"), F.col("l"))
-    drawn = fair.withColumn("u", u).where(F.col("u") < F.lit(3.0 * sample_chars) / F.col("chars")).select("l", "u", "t")
+    usable = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t <> '' and l is not null")
+    usable = usable.withColumns({"u": uniform(F.lit(5), F.col("d"), F.col("l")), "long": F.length("t") > sample_chars // 4})
+    # small hashes in narrow ranges, whose characters tell how far the draw must go
+    usable = usable.withColumn("range", F.floor(-8 * F.log2("u")).cast("int"))
+    sizes = usable.groupBy("l", "long", "range").agg(F.sum(F.least(F.length("t"), F.lit(sample_chars))).alias("chars"))
+    ends: dict[str, tuple] = {}
+    held: dict[str, int] = defaultdict(int)
+    for row in sorted(sizes.collect(), key=lambda r: (r.l, r.long, -r.range)):
+        if held[row.l] < sample_chars:
+            ends[row.l] = (row.l, row.long, row.range)
+            held[row.l] += row.chars
+    last = docs.sparkSession.createDataFrame(list(ends.values()), "last string, last_long boolean, last_range int")
+    fair = usable.join(F.broadcast(last), F.col("l") == F.col("last")).where("long < last_long or (long = last_long and range >= last_range)")
+    drawn = fair.select("l", "long", "u", F.substring("t", 1, sample_chars).alias("t"))
     texts: dict[str, list[str]] = defaultdict(list)
     size: dict[str, int] = defaultdict(int)
-    for row in sorted(drawn.collect()):  # some three times sample_chars a language
+    for row in sorted(drawn.collect()):  # little more than sample_chars a language
         if size[row.l] < sample_chars:
             texts[row.l].append(row.t)
             size[row.l] += len(row.t)
@@ -201,9 +237,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 _TABLES: dict = {}
 
 
-def _tables(held) -> list[np.ndarray]:
-    key = id(held.value)
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = [dense(e) for e in held.value.edges]
-    return _TABLES[key]
+def _tables(held) -> list[tuple]:
+    model = held.value
+    if _TABLES.get("model") is not model:  # held by the model itself: another may come to lie at its address
+        _TABLES.update(model=model, tables=[dense(e) for e in model.edges])
+    return _TABLES["tables"]
