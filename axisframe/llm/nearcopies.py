@@ -1,9 +1,14 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, without a limit on fingerprint bits.
+"""The near-duplicate operator for a similarity of word shingles: fingerprints and pivot tables, then the sets themselves.
 
-Two sets with a similarity of 4/5 or more share a member among the first n // 5 + 1 of each, in any order common to
-all (the prefix filter), so texts meet by those members and no pair is missed. The order puts members of rarely hit
-hash slots first, so that common lines seldom bring texts together. Pairs are verified by their whole sets. Within
-the texts of a member, neighbours by size are verified first; then only pairs that these links leave apart.
+Two sets with a Jaccard similarity of 4/5 or more share a member among the first n // 5 + 1 of each, in any order
+common to all, so documents meet in blocks by those members. The order puts members of rarely hit hash slots first:
+common lines seldom bring documents together. In a block, each fingerprint has its Hamming distances to reference
+fingerprints (fixed pivots, and the member nearest to the block's majority); pairs with a larger difference in any
+coordinate than ``BITS`` are discarded, survivors are verified bit by bit and then by their whole shingle sets.
+
+Links are sought in three steps, so that a large group costs little more than its size: first each block's star and
+neighbours along the pivot coordinates; then, in blocks that these links leave in several components, each left-out
+document's nearest in the largest component; at last every pair that is still apart.
 """
 
 from __future__ import annotations
@@ -13,14 +18,19 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from axisframe.llm.common import free_name, written
+from axisframe.llm.common import written
 from axisframe.llm.graph import components
 
 WIDTH = 5
+#: Fingerprints of sets with a similarity of 4/5 differ in 10 of 64 bits on average, with a standard deviation of 3.
+BITS = 20
+#: Blocks beyond this are cut into tiles; in the last step tiles are compared two by two.
+TILE = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS, _BLOCKS = 18, 16
+#: Reference fingerprints besides those of a block: fixed, spread over all 64-bit numbers.
+PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), 7) for i in range(8)], dtype=np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -38,6 +48,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def set_fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of a set of hashes: a bit is 1 if set in over half of them (an empty set has 0)."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[low : low + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]
+
+
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
@@ -67,7 +85,7 @@ def _slot_counts(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _prints(keyed: DataFrame, counts) -> DataFrame:
-    """(k, d, s, n, prefix): s names the shingle set, n is its size, prefix its first n // 5 + 1 members in order."""
+    """(k, d, s, n, fp, prefix): s names the shingle set, n is its size, prefix its first n // 5 + 1 members in order."""
 
     def run(batches):
         for pdf in batches:
@@ -75,11 +93,11 @@ def _prints(keyed: DataFrame, counts) -> DataFrame:
             for t in pdf["t"]:
                 h = shingles(t)
                 first = h[np.lexsort((h, counts.value[_slots(h)]))[: len(h) // 5 + 1]]
-                out.append((np.array(xxhash.xxh64_intdigest(h.tobytes()), np.uint64).view(np.int64), len(h), first.tobytes()))
-            s, n, prefix = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"k": pdf["k"], "d": pdf["d"].astype("Int64"), "s": np.array(s, np.int64), "n": np.array(n, np.int32), "prefix": list(prefix)})
+                out.append((np.array(xxhash.xxh64_intdigest(h.tobytes()), np.uint64).view(np.int64), len(h), set_fingerprint(h), first.tobytes()))
+            s, n, fp, prefix = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pd.DataFrame({"k": pdf["k"], "d": pdf["d"].astype("Int64"), "s": np.array(s, np.int64), "n": np.array(n, np.int32), "fp": np.array(fp, np.int64), "prefix": list(prefix)})
 
-    return keyed.mapInPandas(run, "k long, d long, s long, n int, prefix binary")
+    return keyed.mapInPandas(run, "k long, d long, s long, n int, fp long, prefix binary")
 
 
 def _members(batches):
@@ -88,7 +106,8 @@ def _members(batches):
         sizes = [len(p) for p in parts]
         if not sum(sizes):
             continue
-        yield pd.DataFrame({"m": np.concatenate(parts), "s": np.repeat(pdf["s"].to_numpy(), sizes), "n": np.repeat(pdf["n"].to_numpy(), sizes), "at": np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])})
+        each = {c: np.repeat(pdf[c].to_numpy(), sizes) for c in ("s", "n", "fp")}
+        yield pd.DataFrame({"m": np.concatenate(parts), **each, "at": np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])})
 
 
 def _sets(batches):
@@ -106,6 +125,127 @@ def _similar(batches):
         yield pdf.loc[good, ["a", "b"]]
 
 
+class _Block:
+    """The documents of a block and their pivot table."""
+
+    def __init__(self, rows: np.ndarray):
+        self.s, self.n, self.at = rows[:, 0], rows[:, 1], rows[:, 2]
+        self.fp = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+        self.root = rows[:, 4]
+
+    def hub(self, rows: np.ndarray) -> int:
+        """The member nearest to the bitwise majority of these."""
+        ones = np.unpackbits(self.fp[rows].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        middle = np.packbits(ones * 2 > len(rows), bitorder="little").view("<u8")[0]
+        return int(rows[np.argmin(np.bitwise_count(self.fp[rows] ^ middle))])
+
+    def close(self, x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Which pairs may be similar: by sizes and first common member, the pivot table, then the bits."""
+        nx, ny = self.n[x], self.n[y]
+        left = np.minimum(nx - self.at[x], ny - self.at[y])
+        alive = np.flatnonzero((5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (9 * left >= 4 * (nx + ny)) & (self.s[x] != self.s[y]))
+        for p in range(table.shape[1]):
+            alive = alive[np.abs(table[x[alive], p] - table[y[alive], p]) <= BITS]
+        return alive[np.bitwise_count(self.fp[x[alive]] ^ self.fp[y[alive]]) <= BITS]
+
+    def table(self, references: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fp[:, None] ^ references[None, :]).astype(np.int8)
+
+    def pairs(self, x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
+        good = self.close(x, y, table)
+        return np.stack((self.s[x[good]], self.s[y[good]]), axis=1)
+
+    def star(self) -> np.ndarray:
+        """The hub with every other, and neighbours along the distance to the hub and along two pivots."""
+        everyone = np.arange(len(self.s))
+        hub = self.hub(everyone)
+        table = self.table(np.concatenate((self.fp[hub : hub + 1], PIVOTS)))
+        x, y = [np.full(len(everyone), hub)], [everyone]
+        for p in range(3):
+            order = np.lexsort((self.s, self.n, table[:, p]))
+            x.append(order[:-1])
+            y.append(order[1:])
+        return self.pairs(np.concatenate(x), np.concatenate(y), table)
+
+    def nearest(self) -> np.ndarray:
+        """Each document out of the largest component with the nearest inside and with the hub of that component."""
+        names, which = np.unique(self.root, return_inverse=True)
+        if len(names) < 2:
+            return np.zeros((0, 2), np.int64)
+        main = which == np.argmax(np.bincount(which))
+        inside, out = np.flatnonzero(main), np.flatnonzero(~main)
+        hub = self.hub(inside)
+        table = self.table(np.concatenate((self.fp[hub : hub + 1], PIVOTS)))
+        x, y = [out], [np.full(len(out), hub)]
+        for low in range(0, len(out), 256):
+            part = out[low : low + 256]
+            x.append(part)
+            y.append(inside[np.argmin(np.bitwise_count(self.fp[part][:, None] ^ self.fp[inside][None, :]), axis=1)])
+        # the left-out ones among themselves, along their distance to the hub
+        order = out[np.lexsort((self.s[out], table[out, 0]))]
+        x.append(order[:-1])
+        y.append(order[1:])
+        return self.pairs(np.concatenate(x), np.concatenate(y), table)
+
+    def apart(self) -> np.ndarray:
+        """Every pair of different components."""
+        hub = self.hub(np.arange(len(self.s)))
+        table = self.table(np.concatenate((self.fp[hub : hub + 1], PIVOTS)))
+        order = np.argsort(table[:, 0], kind="stable")
+        found = []
+        for low in range(0, len(order), 256):
+            rows = order[low : low + 256]
+            end = np.searchsorted(table[order, 0], table[rows, 0].max() + BITS, side="right")
+            i, j = np.nonzero(self.root[rows][:, None] != self.root[order[low:end]][None, :])
+            found.append(self.pairs(rows[i], order[low:end][j], table))
+        return np.concatenate(found)
+
+
+def _searched(dealt: DataFrame, how: str) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of the blocks (m, x, y); blocks lie whole and sorted in a partition."""
+    columns = ["m", "x", "y", "s", "n", "at", "fp", "r"]
+
+    def run(batches):
+        held = np.zeros((0, len(columns)), np.int64)
+
+        def found(rows):
+            edge = np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(axis=1)) + 1
+            starts = np.concatenate(([0], edge)).astype(np.int64)
+            sizes = np.diff(np.concatenate((starts, [len(rows)])))
+            out = [np.zeros((0, 2), np.int64)]
+            if (sizes == 2).any():  # blocks of two, the commonest, are looked at together
+                block, two = _Block(rows[:, 3:]), starts[sizes == 2]
+                out.append(block.pairs(two, two + 1, block.table(PIVOTS)))
+            out += [getattr(_Block(rows[a : a + n, 3:]), how)() for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
+            pairs = np.concatenate(out)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
+            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        for pdf in batches:
+            rows = np.concatenate((held, pdf[columns].to_numpy(dtype=np.int64)))
+            change = np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(axis=1))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            yield found(rows[:cut])
+            held = rows[cut:]
+        yield found(held)
+
+    return dealt.select(*columns).mapInPandas(run, "a long, b long").distinct()
+
+
+def _tiled(met: DataFrame, two_by_two: bool) -> DataFrame:
+    """Blocks dealt out whole, those beyond a tile in tiles (x), or once for each two tiles (x, y)."""
+    tiles = F.ceil(F.col("size") / (TILE // 2 if two_by_two else TILE)).cast("int")
+    many = F.col("size") > TILE
+    own = F.when(many, F.pmod(F.xxhash64("s"), tiles)).otherwise(0).cast("int")
+    if two_by_two:
+        other = F.explode(F.sequence(F.lit(0), F.when(many, tiles - 1).otherwise(0)))
+        each = met.withColumn("own", own).withColumn("other", other)
+        met = each.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other")
+    else:
+        met = met.withColumns({"x": own, "y": F.lit(0)})
+    return met.repartition("m", "x", "y").sortWithinPartitions("m", "x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of 4/5 or more."""
     one = pairs.join(sets.select(F.col("s").alias("a"), F.col("h").alias("ha")), "a")
@@ -113,8 +253,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
-    """(m, s, n, at, r) of the members whose texts the links leave in more than one component r."""
-    placed = met.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("m", "s", "n", "at", F.coalesce("root", "s").alias("r"))
+    """The blocks whose documents the links leave in more than one component ``r``.
+
+    Of blocks of two or three the star has compared every pair.
+    """
+    met = met.where("size > 3")
+    roots = written(components(links), "roots")
+    placed = met.drop("r").join(roots, F.col("s") == F.col("node"), "left").withColumn("r", F.coalesce("root", "s")).drop("node", "root")
     mixed = placed.groupBy("m").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("m").alias("mm"))
     return written(placed.join(mixed, F.col("m") == F.col("mm"), "left_semi"), "apart")
 
@@ -122,40 +267,28 @@ def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(s, least, root): sets linked, transitively, by a Jaccard similarity of 4/5 or more have one root.
 
-    ``s`` names a set of shingles; ``least`` is the least of its rows (those without an id last): their id ``d`` and
-    ``k``, a hash of id and text, by which a row is known. Wordless texts have one set.
+    ``s`` names a set of shingles, so exact copies are one node; ``least`` is the least of its rows (those without an
+    id last): their id ``d`` and ``k``, a hash of id and text, by which a row is known. Wordless texts have one set.
+    A pair of similar sets whose fingerprints differ in more than ``BITS`` of 64 bits is lost (about 1 in 1,000 of
+    pairs at the very limit of similarity); no other is. An empty table gives no rows.
     """
     keyed = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     counts = docs.sparkSession.sparkContext.broadcast(_slot_counts(docs, text))
     prints = written(_prints(keyed, counts), "prints")
-    nodes = prints.select("s", "n", "prefix").dropDuplicates(["s"])
-    meet = Window.partitionBy("m").orderBy("n", "s")
-    met = nodes.mapInPandas(_members, "m long, s long, n int, at int").withColumns({"before": F.lag("s").over(meet), "n_before": F.lag("n").over(meet), "after": F.lead("s").over(meet)})
-    met = written(met.where("before is not null or after is not null").drop("after"), "met")
+    nodes = prints.select("s", "n", "fp", "prefix").dropDuplicates(["s"])
+    members = nodes.mapInPandas(_members, "m long, s long, n int, fp long, at int")
+    sizes = members.groupBy("m").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("m", "mm")
+    met = written(members.join(sizes, F.col("m") == F.col("mm")).drop("mm").withColumn("r", F.col("s")), "met")
     wanted = met.select(F.col("s").alias("w")).distinct()
     chosen = prints.groupBy("s").agg(F.min("k").alias("c")).join(wanted, F.col("s") == F.col("w"), "left_semi")
     sets = keyed.select("k", "t").join(chosen, F.col("k") == F.col("c")).select("s", "t").mapInPandas(_sets, "s long, h binary")
     sets = written(sets.dropDuplicates(["s"]), "sets")
-    next_ = met.where("before is not null and 5 * n_before >= 4 * n").select(F.least("before", "s").alias("a"), F.greatest("before", "s").alias("b")).distinct()
-    links = _verified(next_, sets)
-    placed = _apart(met.select("m", "s", "n", "at"), links)
-    x, y = (placed.select("m", *[F.col(c).alias(f"{c}_{side}") for c in ("s", "n", "at", "r")]) for side in "xy")
-    # what is left of both sets from their first common member on must be enough
-    enough = "r_x <> r_y and s_x < s_y and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y) and 9 * least(n_x - at_x, n_y - at_y) >= 4 * (n_x + n_y)"
-    rest = x.join(y, "m").where(enough).select(F.col("s_x").alias("a"), F.col("s_y").alias("b")).distinct()
-    links = links.unionByName(_verified(rest, sets))
+    tried = written(_searched(_tiled(met, False), "star"), "pairs")
+    links = _verified(tried, sets)
+    for how in ("nearest", "apart"):
+        met = _apart(met, links)
+        new = written(_searched(_tiled(met, how == "apart"), how).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(new, sets))
+        tried = tried.unionByName(new)
     least = prints.groupBy("s").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k")).alias("least"))
     return least.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("s", "least", F.coalesce("root", "s").alias("root"))
-
-
-def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies: that of least id, rows without an id last, then of least hash.
-
-    Rows are told apart by id and text, so a row goes only for a copy in its own group.
-    """
-    found = near_copies(docs, doc_id=doc_id, text=text)
-    keep = found.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("__keep"))
-    key, nth = free_name(docs, stem="row_key"), free_name(docs, stem="nth")
-    rows = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    stay = rows.join(keep, F.col(key) == F.col("__keep"), "left_semi")
-    return stay.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).drop(nth, key)

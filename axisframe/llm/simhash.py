@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axisframe.llm import nearcopies
 from axisframe.llm.common import free_name, written
 from axisframe.llm.graph import components
 
@@ -57,6 +58,17 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, fp long")
 
 
+def _keyed_fingerprints(docs: DataFrame, row, doc_id: str, text: str) -> DataFrame:
+    """(k, doc_id, fp): fingerprints beside a row's key."""
+
+    def run(batches):
+        for pdf in batches:
+            fp = np.array([fingerprint(t) for t in pdf["t"]], dtype=np.uint64)
+            yield pd.DataFrame({"k": pdf["k"], "doc_id": pdf["d"].astype("Int64"), "fp": fp.view(np.int64)})
+
+    return docs.select(row.alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(run, "k long, doc_id long, fp long")
+
+
 def _masks() -> list[int]:
     ends = np.cumsum(_RANGES)
     ranges = [((1 << int(w)) - 1) << int(e - w) for w, e in zip(_RANGES, ends, strict=True)]
@@ -140,9 +152,18 @@ def near_duplicates(docs: DataFrame, *, bits: int = 3, doc_id: str = "doc_id", t
     empty and wordless texts have fingerprint 0 and link like any other. Rows without an id are answered too, but
     never name a component. Repeated rows are each answered. An empty table gives no rows.
     """
+    prints = written(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
+    nodes, roots = _roots(prints, bits)
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    classes = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    return prints.join(written(classes, "classes"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def _roots(prints: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, least) of the distinct fingerprints, and (node, root) of those that link."""
     if not 0 <= bits <= 3:
         raise ValueError("bits is 0 to 3")
-    prints = written(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     keys = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks()])).alias("t", "k"))
     hot = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
@@ -153,37 +174,33 @@ def near_duplicates(docs: DataFrame, *, bits: int = 3, doc_id: str = "doc_id", t
     columns = ["t", "k", "tile_a", "tile_b"]
     paired = tiled.select("t", "k", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), "fp")
     dealt = paired.repartition(*columns).sortWithinPartitions(*columns)
-    roots = components(_links(dealt, bits))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    classes = named.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(written(classes, "classes"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return nodes, written(components(_links(dealt, bits)), "roots")
 
 
-def deduplicate(docs: DataFrame, *, bits: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of least id of their groups. Of rows that repeat such an id one stays.
+def deduplicate(docs: DataFrame, *, bits: int = 3, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that of least id, rows without an id last, then of least text hash.
 
-    Rows without an id stay if no row of their group has one.
+    Groups are linked by fingerprints of three-word shingles at ``bits`` or fewer bits or, with ``similarity=0.8``, by
+    five-word shingle sets of at least that Jaccard similarity (``nearcopies``). Rows are told apart by id and text,
+    so a row goes only for another of its own group, and of rows that repeat one stays. Null, empty and wordless
+    texts are one group. An empty table gives no rows; columns of any name pass through.
     """
-    found = near_duplicates(docs, bits=bits, doc_id=doc_id, text=text)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    stay = docs.where(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id).cast("long") == F.col("__keep"), "left_semi")
-    nth, order = free_name(docs, stem="nth"), F.xxhash64(F.col(text))
-    stay = stay.withColumn(nth, F.row_number().over(Window.partitionBy(doc_id).orderBy(order))).where(F.col(nth) == 1).drop(nth)
-    nameless = docs.where(F.col(doc_id).isNull())
-    if nameless.isEmpty():
-        return stay
-    prints = nameless.mapInPandas(_with_print(text), nameless.schema.add("__fp", "long"))
-    answered = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__f")).distinct()
-    return stay.unionByName(prints.join(answered, F.col("__fp") == F.col("__f"), "left_semi").drop("__fp"))
-
-
-def _with_print(text: str):
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(__fp=np.array([fingerprint(t) for t in pdf[text]], dtype=np.uint64).view(np.int64))
-
-    return run
+    key, nth, stays = (free_name(docs, stem=s) for s in ("row_key", "nth", "stays"))
+    row = F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+    least = F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k"))
+    if similarity is None:
+        prints = written(_keyed_fingerprints(docs, row, doc_id, text), "fingerprints")
+        nodes, roots = _roots(prints, bits)
+        groups = prints.join(nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root")), F.col("fp") == F.col("f"))
+        keep = groups.withColumnRenamed("doc_id", "d").groupBy("root").agg(least.alias("least"))
+    elif similarity == 0.8:
+        keep = nearcopies.near_copies(docs, doc_id=doc_id, text=text).groupBy("root").agg(F.min("least").alias("least"))
+    else:
+        raise ValueError("similarity is 0.8")
+    keep = written(keep.select(F.col("least.k").alias(stays)), "kept")
+    rows = docs.withColumn(key, row)
+    stay = rows.join(keep, F.col(key) == F.col(stays), "left_semi")
+    return stay.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).drop(nth, key)
 
 
 def digest(found: DataFrame) -> DataFrame:
