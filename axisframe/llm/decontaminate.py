@@ -7,15 +7,17 @@ of a document whose 64-bit hash is in the set are compared word by word before t
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axisframe.llm.common import written
+
 # every byte that is neither an ASCII letter or digit nor part of a non-ASCII character becomes a space
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -100,76 +102,77 @@ def _parts(benchmark: DataFrame, item_id: str, text: str, set_bytes: int) -> Ite
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", set_bytes: int = 16 << 20) -> DataFrame:
     """Per document: doc_id, n_words, spans (array of first, end word; sorted, disjoint), items (sorted distinct ids).
 
-    The benchmark is shipped to the executors in parts of at most ``set_bytes``; each further part is another scan
-    of the documents, and the parts' spans are merged, so a benchmark of any size gives the same result.
+    The benchmark is shipped to the executors in parts of at most ``set_bytes``, and no task holds two parts at once.
+    One part is one scan of the documents. Beyond one, rows are written with a number of their own, each part is a
+    scan of them, and what the parts found is put together by row number, so a benchmark of any size gives the same
+    result, also for documents that share an id.
 
     Null text has no words. Test items with a null id or text, or without words, take no part; repeated items
     count once. Repeated documents are each reported. Columns of any other name pass by unread.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, n_words long, spans array<struct<first:long,end:long>>, items array<long>"
-
-    def scan(held):
-        def run(batches):
-            for pdf in batches:
-                out = []
-                for d, t in zip(pdf["d"], pdf["t"], strict=True):
-                    tokens = words(t)
-                    spans, items = [], set()
-                    for first, n, owners in sorted(held.value.hits(tokens), key=lambda x: x[:2]):
-                        items |= owners
-                        if spans and first <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], first + n)
-                        else:
-                            spans.append([first, first + n])
-                    out.append((d, len(tokens), [{"first": a, "end": b} for a, b in spans], sorted(items)))
-                yield pd.DataFrame(out, columns=["doc_id", "n_words", "spans", "items"]).astype({"doc_id": "Int64"})
-
-        return run
-
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    scans = [source.mapInPandas(scan(spark.sparkContext.broadcast(NgramSet(p, size))), schema) for p in _parts(benchmark, item_id, item_text, set_bytes)]
-    if len(scans) == 1:
-        return scans[0]
-    merged = scans[0].withColumn("part", F.lit(0))
-    for i, s in enumerate(scans[1:], 1):
-        merged = merged.unionByName(s.withColumn("part", F.lit(i)))
-    # repeated rows have equal results, so grouping by id and keeping each part's copies apart loses nothing
-    one = merged.groupBy("doc_id", "part", "n_words", "spans", "items").count()
-    per = one.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"), F.max("count").alias("count"))
-    joined = per.select(
-        "doc_id",
-        "n_words",
-        F.expr(
-            "aggregate(array_sort(s), cast(array() as array<struct<first:bigint,end:bigint>>), (a, x) -> "
-            "if(size(a) > 0 and x.first <= element_at(a, -1).end, "
-            "concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'end', greatest(element_at(a, -1).end, x.end)))), "
-            "concat(a, array(x))))"
-        ).alias("spans"),
-        F.array_sort(F.array_distinct("i")).alias("items"),
-        F.explode(F.expr("sequence(1L, count)")).alias("copy"),
+    parts = _parts(benchmark, item_id, item_text, set_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return source.withColumn("row", F.lit(0).cast("long")).mapInPandas(_scan(spark, first, size), _FOUND).drop("row")
+    rows = written(source.withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    scans = rows.mapInPandas(_scan(spark, first, size), _FOUND)
+    for part in chain([second], parts):
+        scans = scans.unionByName(rows.mapInPandas(_scan(spark, part, size), _FOUND))
+    scans = written(scans, "part-hits")
+    hit = scans.where(F.size("spans") > 0).groupBy(F.col("row").alias("r")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    joined = F.expr(
+        "aggregate(array_sort(s), cast(array() as array<struct<first:bigint,end:bigint>>), (a, x) -> "
+        "if(size(a) > 0 and x.first <= element_at(a, -1).end, "
+        "concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'end', greatest(element_at(a, -1).end, x.end)))), "
+        "concat(a, array(x))))"
     )
-    return joined.drop("copy")
+    each = scans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"))
+    none, nobody = F.array().cast("array<struct<first:bigint,end:bigint>>"), F.array().cast("array<bigint>")
+    return each.join(hit, F.col("row") == F.col("r"), "left").select("doc_id", "n_words", F.coalesce(joined, none).alias("spans"), F.coalesce(F.array_sort(F.array_distinct("i")), nobody).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", **names) -> DataFrame:
-    """The documents without benchmark text.
+_FOUND = "row long, doc_id long, n_words long, spans array<struct<first:long,end:long>>, items array<long>"
+
+
+def _scan(spark, part: list[tuple[int, str]], size: int):
+    held = spark.sparkContext.broadcast(NgramSet(part, size))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row, d, t in zip(pdf["row"], pdf["d"], pdf["t"], strict=True):
+                tokens = words(t)
+                spans, items = [], set()
+                for first, n, owners in sorted(held.value.hits(tokens), key=lambda x: x[:2]):
+                    items |= owners
+                    if spans and first <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], first + n)
+                    else:
+                        spans.append([first, first + n])
+                out.append((row, d, len(tokens), [{"first": a, "end": b} for a, b in spans], sorted(items)))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "n_words", "spans", "items"]).astype({"doc_id": "Int64"})
+
+    return run
 
-    ``remove="documents"`` drops each document with a hit. ``remove="spans"`` keeps every document and cuts the
-    characters from the first to the last word of each hit run. Documents without words are kept as they are.
-    """
-    if remove == "spans":
-        return _without_spans(docs, benchmark, **names)
-    if remove != "documents":
-        raise ValueError("remove is 'documents' or 'spans'")
-    doc_id = names.get("doc_id", "doc_id")
-    bad = find_hits(docs, benchmark, **names).where(F.size("spans") > 0).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", size: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", set_bytes: int = 16 << 20) -> DataFrame:
+    """The documents without benchmark text; rows are judged by their own text, and no row moves.
 
-def _without_spans(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", set_bytes: int = 16 << 20, doc_id: str = "doc_id") -> DataFrame:
+    ``remove="documents"`` drops each row with a hit; a clean row stays whatever its id. ``remove="spans"`` keeps every
+    row and cuts the characters from the first to the last word of each hit run, all runs judged on the text as
+    given. Null texts and texts without words are kept as they are, repeated rows are judged alike, and columns of any
+    other name pass through. The benchmark comes in parts as in ``find_hits``; each further part is another pass.
+    """
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove is 'documents' or 'spans'")
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(NgramSet(p, size)) for p in _parts(benchmark, item_id, item_text, set_bytes)]
+    if remove == "documents":
+        for at, part in enumerate(parts):
+            docs = (written(docs, "clean-rows") if at else docs).where(~_hit(part)(F.col(text)))
+        return docs
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
@@ -178,6 +181,14 @@ def _without_spans(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, tex
     return docs.withColumn(text, cut(F.col(text)))
 
 
+def _hit(part):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(part.value.hits(words(t))))
+
+    return hit
+
+
 def _cut(text: str, parts: list) -> str:
     raw = text.encode("utf-8", "surrogatepass")
     folded = np.frombuffer(raw.translate(_FOLD), dtype=np.uint8) != 32
@@ -196,20 +207,3 @@ def digest(hits: DataFrame) -> DataFrame:
     n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.first)")
     joined = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def brute(docs: list[tuple], items: list[tuple], size: int = 10) -> list[tuple]:
-    """Plain restatement for tests: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
-    out = []
-    for d, t in docs:
-        w, hit, who = words(t), set(), set()
-        for item, text in items:
-            v = words(text) if item is not None else []
-            n = min(size, len(v))
-            grams = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
-            for i in range(len(w) - n + 1) if n else ():
-                if tuple(w[i : i + n]) in grams:
-                    hit |= set(range(i, i + n))
-                    who.add(item)
-        out.append((d, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(map(str, who))).encode()).hexdigest(), bool(hit)))
-    return out
