@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm.common import uniform
+from axisframe.llm.common import free_name, uniform
 
 UNDETERMINED = "und"
 #: Codes: 0 a letter of no sample (no phrase goes past it), 1 anything but letters, then letters, the commonest first.
@@ -120,28 +120,68 @@ class Model:
         return codes[~(gap & np.concatenate(([True], gap[:-1])))] if len(codes) else codes
 
 
-def phrases(table: tuple[np.ndarray, np.ndarray, np.ndarray], columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of each segment; ``columns[t]`` has the t-th codes of the segments, longest segments first."""
+def _step(table: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after a character each, and the phrases that ended at it."""
+    after, ended = _followed(table, state, code), np.zeros(len(state), np.int64)
+    failed = np.flatnonzero(after < 0)
+    if len(failed):
+        # the phrase ends before this character, unless none had begun; a character of no phrase is one itself
+        again = _followed(table, np.zeros(len(failed), dtype=np.int64), code[failed])
+        ended[failed] = (state[failed] > 0).astype(np.int64) + (again < 0)
+        after[failed] = np.maximum(again, 0)
+    return after, ended
+
+
+def phrases(table: tuple[np.ndarray, np.ndarray, np.ndarray], columns: np.ndarray, lengths: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Phrases of each segment; ``columns[t]`` has the t-th codes of the segments, longest segments first.
+
+    ``before`` names the segment that comes before each in its text, -1 for a text's first. All are parsed side by
+    side as if each began a phrase; a segment whose text comes into it amid a phrase is then parsed again from there,
+    until both parses stand in one state, after which they agree. So the counts of a text's segments add up to the
+    phrases of the whole text, wherever it was cut.
+    """
+    before = np.full(len(lengths), -1) if before is None else before
     state, count = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     active = np.searchsorted(-lengths, -np.arange(columns.shape[0]), side="left")
     for t in range(columns.shape[0]):
         n = active[t]
         if not n:
             break
-        c = columns[t, :n]
-        after = _followed(table, state[:n], c)
-        failed = np.flatnonzero(after < 0)
-        if len(failed):
-            # the phrase ends before this character, unless none had begun; a character of no phrase is one itself
-            again = _followed(table, np.zeros(len(failed), dtype=np.int64), c[failed])
-            count[failed] += (state[failed] > 0).astype(np.int64) + (again < 0)
-            after[failed] = np.maximum(again, 0)
-        state[:n] = after
-    return count + (state > 0)
+        state[:n], ended = _step(table, state[:n], columns[t, :n])
+        count[:n] += ended
+    entry = np.zeros(len(lengths), dtype=np.int64)
+    while True:
+        comes = np.where(before >= 0, state[before], 0)
+        lanes = np.flatnonzero(comes != entry)
+        if not len(lanes):
+            break
+        new, old = comes[lanes], entry[lanes]
+        n_new, n_old = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
+        entry[lanes] = new
+        live, t = np.arange(len(lanes)), 0
+        while len(live):
+            over = lengths[lanes[live]] <= t
+            if over.any():  # to its end in another state: the text leaves the segment by the new parse
+                done = live[over]
+                count[lanes[done]], state[lanes[done]] = n_new[done], new[done]
+                live = live[~over]
+                if not len(live):
+                    break
+            c = columns[t, lanes[live]]
+            (new[live], ended), (old[live], was) = _step(table, new[live], c), _step(table, old[live], c)
+            n_new[live] += ended
+            n_old[live] += was
+            met = new[live] == old[live]
+            done = live[met]
+            count[lanes[done]] += n_new[done] - n_old[done]
+            live, t = live[~met], t + 1
+    last = np.ones(len(lengths), bool)
+    last[before[before >= 0]] = False
+    return count + (last & (state > 0))
 
 
 def classify(model: Model, tables: list[tuple], texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language, score) of whole texts. Parsing starts anew every 1024 characters, for all languages alike."""
+    """(language, score) of whole texts."""
     out: list[tuple[str, float]] = []
     low = 0
     while low < len(texts):
@@ -156,9 +196,10 @@ def classify(model: Model, tables: list[tuple], texts: list[str | None]) -> list
 
 
 def _classify(model, tables, codes, lettered):
-    owner, parts = [], []
+    owner, parts, follows = [], [], []
     for i, c in enumerate(codes):
         for at in range(0, len(c), _SEGMENT):
+            follows.append(len(parts) - 1 if at else -1)
             owner.append(i)
             parts.append(c[at : at + _SEGMENT])
     cost = np.zeros((len(model.languages), len(codes)))
@@ -169,8 +210,12 @@ def _classify(model, tables, codes, lettered):
         for j, i in enumerate(order):
             columns[: lengths[i], j] = parts[i]
         who = np.array(owner)[order]
+        place = np.empty(len(parts), dtype=np.int64)
+        place[order] = np.arange(len(parts))
+        before = np.array(follows)[order]
+        before = np.where(before >= 0, place[before], -1)
         for k, table in enumerate(tables):
-            cost[k] = np.bincount(who, phrases(table, columns, lengths[order]), minlength=len(codes)) * model.bits[k]
+            cost[k] = np.bincount(who, phrases(table, columns, lengths[order], before), minlength=len(codes)) * model.bits[k]
     result = []
     for i, has in enumerate(lettered):
         if not has or not tables:
@@ -230,7 +275,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         return pd.DataFrame(classify(held.value, _tables(held), batches.tolist()), columns=["lang_pred", "score"])
 
     docs = docs.drop("lang_pred", "score")
-    name = "__identified"
+    name = free_name(docs, stem="identified")
     return docs.withColumn(name, run(F.col(text))).select(*docs.columns, f"{name}.lang_pred", f"{name}.score")
 
 
