@@ -23,54 +23,79 @@ BINS = WORD_BINS + PAIR_BINS + STEM_BINS * len(STEMS)
 LEAST_RATIO, LEAST_SD, PRIOR = 0.5, 4.0, 1.0
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 20
+_BLANKS = " \t\n\r\x0b\x0c"
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(_CHUNK * 2 + 8, base, dtype=np.uint64)
+def _powers(base: int, chunks: int) -> np.ndarray:
+    out = np.full(_CHUNK * (chunks + 1) + 8, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
 @cache
-def _tables():
+def _tables(chunks: int = 1):
     """Kinds of characters (0 blank, 1 of words, 2 other), their lower case, and powers of a base and its inverse."""
     kinds = np.full(65536, 1, np.uint8)
     for i in range(128):
         ch = chr(i)
-        kinds[i] = 0 if ch in " \t\n\r\x0b\x0c" else 1 if ch.isalnum() or ch == "_" else 2
+        kinds[i] = _kind(ch)
     lower = np.array([ord(low) if len(low := chr(i).lower()) == 1 else i for i in range(65536)], dtype=np.uint64)
-    return kinds, lower, _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+    return kinds, lower, _powers(_BASE, chunks), _powers(pow(_BASE, -1, 1 << 64), chunks)
+
+
+def _kind(ch: str) -> int:
+    return 0 if ch in _BLANKS else 2 if ch.isascii() and not ch.isalnum() and ch != "_" else 1
+
+
+def _last_word(text: str, low: int, high: int) -> str:
+    """The last word of text[low:high] and a blank; nothing if there is none."""
+    end = high
+    while end > low and text[end - 1] in _BLANKS:
+        end -= 1
+    at = end
+    while at > low and _kind(text[at - 1]) == _kind(text[end - 1]):
+        at -= 1
+    return text[at:end] + " " if at < end else ""
 
 
 def _slices(text: str):
-    """A text in slices of bounded size, cut at blanks where there are any; word pairs across a cut are not counted."""
-    low = 0
+    """(slice, carried) of a text: cut at blanks, each slice after the first led by the last word of the one before.
+
+    A slice is some ``_CHUNK`` characters long or, where that many hold no blank, as long as the word. Only the pair
+    of a carried word counts again, not the word.
+    """
+    low, lead = 0, ""
     while len(text) - low > _CHUNK:
         cut = text.rfind(" ", low, low + _CHUNK)
-        cut = cut + 1 if cut > low else low + _CHUNK
-        yield text[low:cut]
-        low = cut
-    yield text[low:]
+        cut = cut if cut > low else text.find(" ", low + _CHUNK)
+        if cut < 0:
+            break
+        yield lead + text[low:cut], bool(lead)
+        lead = _last_word(text, low, cut) or lead
+        low = cut + 1
+    yield lead + text[low:], bool(lead)
 
 
 def features(texts: list[str | None]):
     """(bins, whose): the feature bins of the texts and each one's text, a million characters at a time."""
     parts: list[str] = []
     whose: list[int] = []
+    led: list[bool] = []
     held = 0
     for i, text in enumerate(texts):
-        for part in _slices(text or ""):
+        for part, carried in _slices(text or ""):
             if held + len(part) > _CHUNK and parts:
-                yield _bins(parts, whose)
-                parts, whose, held = [], [], 0
+                yield _bins(parts, whose, led)
+                parts, whose, led, held = [], [], [], 0
             parts.append(part)
             whose.append(i)
+            led.append(carried)
             held += len(part) + 1
-    yield _bins(parts, whose)
+    yield _bins(parts, whose, led)
 
 
-def _bins(parts: list[str], whose: list[int]):
-    kinds, lower, power, inverse = _tables()
+def _bins(parts: list[str], whose: list[int], led: list[bool]):
+    kinds, lower, power, inverse = _tables(max(1, sum(map(len, parts)) // _CHUNK + 1))
     points = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     small = np.minimum(points, 65535)
     kind = kinds[small]
@@ -95,10 +120,12 @@ def _bins(parts: list[str], whose: list[int]):
         return h ^ (h >> np.uint64(32))
 
     word = hashed(sums(points.astype(np.uint64)), starts, ends)
-    bins, owners = [word % np.uint64(WORD_BINS)], [owner]
+    # the carried word of a slice was counted in the slice before
+    own = ~(np.array(led)[part] & np.concatenate(([True], part[1:] != part[:-1])))
+    bins, owners = [word[own] % np.uint64(WORD_BINS)], [owner[own]]
     folded = sums(np.where(points < 65536, lower[small], points))
     for i, size in enumerate(STEMS):
-        at = np.flatnonzero(ends - starts >= size)
+        at = np.flatnonzero((ends - starts >= size) & own)
         bins.append(hashed(folded, starts[at], starts[at] + size) % np.uint64(STEM_BINS) + np.uint64(WORD_BINS + PAIR_BINS + i * STEM_BINS))
         owners.append(owner[at])
     inside = np.flatnonzero(part[:-1] == part[1:])
@@ -186,11 +213,11 @@ def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, label_
     scored = _scored(docs, ratios.astype(np.float32), text, reference, "log_weight")
     noise = _gumbel(seed, F.col(doc_id), F.xxhash64(F.col(text)))
     scored = scored.withColumn("gumbel_key", F.col("log_weight") + noise)
-    scores = written(scored.select(F.col(doc_id).cast("long").alias("doc_id"), "log_weight", "gumbel_key"), "weights")
+    scored = written(scored, "weights")  # texts are weighed once
     if k is None:
-        least = _calibrated(scores, sample)
-        k = scores.where(F.col("log_weight") >= least).count()
-    cut = _kth_largest(scores, "gumbel_key", k)
+        least = _calibrated(scored.select(F.col(doc_id).cast("long").alias("doc_id"), "log_weight"), sample)
+        k = scored.where(F.col("log_weight") >= least).count()
+    cut = _kth_largest(scored.select("gumbel_key"), "gumbel_key", k)
     return scored.where(F.col("gumbel_key") >= cut if cut is not None else F.lit(False))
 
 
