@@ -67,10 +67,11 @@ def ordinals(frame: DataFrame, groups: list[str], key: str, ties: list[Column],
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*groups, bucket, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(offset))
     keys = [*groups, bucket]
-    renamed = offsets.select(*[F.col(c).alias(f"__o_{i}") for i, c in enumerate(keys)], offset)
+    theirs = [free_name(frame, stem=f"offset_key_{i}") for i in range(len(keys))]
+    renamed = offsets.select(*[F.col(c).alias(t) for c, t in zip(keys, theirs, strict=True)], offset)
     inside = Window.partitionBy(*keys).orderBy(F.col(key), *ties)
     numbered = dealt.withColumn(name, F.row_number().over(inside).cast("long") - 1)
-    on = F.col(keys[0]) == F.col("__o_0")
-    for i, c in enumerate(keys[1:], 1):
-        on = on & (F.col(c) == F.col(f"__o_{i}"))
+    on = F.lit(True)
+    for c, t in zip(keys, theirs, strict=True):
+        on = on & (F.col(c) == F.col(t))
     return numbered.join(renamed, on).withColumn(name, F.col(name) + F.col(offset)).select(*frame.columns, name)

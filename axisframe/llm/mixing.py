@@ -18,6 +18,7 @@ from axisframe.llm.common import free_name, ordinals
 
 #: Sources and frame are small tables by these bounds.
 MOST_SOURCES = 10_000
+ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
 
 
 def apportioned(weights: list[float], frame: int) -> list[int]:
@@ -57,10 +58,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     given weight takes the least given one. Weights are rounded to multiples of 1 / frame, one at least. Every row
     is placed once: a source that has run out leaves its slots empty, and the others keep their order and their
     proportions to each other. Rows of a source go in an order drawn by hash. A null source is a source of its
-    own; null and repeated ids and rows are placed like any other. An empty table gives no rows.
+    own; null and repeated ids and rows are placed like any other. An empty table gives no rows. The schedule is worked
+    out for a frame of at least four slots a source, a small table: more than ``MOST_SOURCES`` sources are an error.
     """
-    added = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     spark = docs.sparkSession
     counts = {r[0]: r[1] for r in docs.groupBy(source).count().limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
@@ -73,28 +74,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature
     while frame < 4 * len(names):
         frame *= 2
     slots = apportioned(chosen, frame) if names else []
-    number, key, tie, at, own = (free_name(docs, stem=s) for s in ("ordinal", "key", "tie", "source_number", "own_slots"))
-    table = spark.createDataFrame([(s, i, slots[i]) for i, s in enumerate(names)], T.StructType([T.StructField("__s", docs.schema[source].dataType), T.StructField(at, T.IntegerType()), T.StructField(own, T.IntegerType())]))
-    plan = spark.createDataFrame(frame_schedule(slots), "__p int, __j int, __slot int, __release int, __deadline int") if names else spark.createDataFrame([], "__p int, __j int, __slot int, __release int, __deadline int")
+    number, key, tie, at, own, known_as, p_at, p_block, p_slot, p_release, p_deadline = (free_name(docs, stem=s) for s in ("ordinal", "key", "tie", "source_number", "own_slots", "known_source", "plan_source", "plan_block", "plan_slot", "plan_release", "plan_deadline"))
+    table = spark.createDataFrame([(s, i, slots[i]) for i, s in enumerate(names)], T.StructType([T.StructField(known_as, docs.schema[source].dataType), T.StructField(at, T.IntegerType()), T.StructField(own, T.IntegerType())]))
+    plan = spark.createDataFrame(frame_schedule(slots) if names else [], T.StructType([T.StructField(c, T.IntegerType()) for c in (p_at, p_block, p_slot, p_release, p_deadline)]))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keyed = docs.withColumns({key: F.xxhash64(F.lit(seed), doc_id), tie: F.xxhash64(F.lit(seed + 1), *hashed)})
     # both tables are bounded: MOST_SOURCES rows, and a frame of some slots for each of them
-    known = keyed.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("__s"))).drop("__s")
+    known = keyed.join(F.broadcast(table), F.col(source).eqNullSafe(F.col(known_as))).drop(known_as)
     placed = ordinals(known, [at], key, [F.col(tie)], rows_per_bucket, number, total=sum(counts.values()))
     placed = placed.withColumn("mix_block", F.floor(F.col(number) / block_rows))
-    placed = placed.join(F.broadcast(plan), (F.col(at) == F.col("__p")) & (F.col("mix_block") % F.col(own) == F.col("__j")))
+    placed = placed.join(F.broadcast(plan), (F.col(at) == F.col(p_at)) & (F.col("mix_block") % F.col(own) == F.col(p_block)))
     base = F.floor(F.col("mix_block") / F.col(own)) * frame
     return placed.select(
         *docs.columns,
         "mix_block",
-        (base + F.col("__release")).alias("mix_release"),
-        (base + F.col("__deadline")).alias("mix_deadline"),
-        (base + F.col("__slot")).alias("mix_slot"),
+        (base + F.col(p_release)).alias("mix_release"),
+        (base + F.col(p_deadline)).alias("mix_deadline"),
+        (base + F.col(p_slot)).alias("mix_slot"),
         (F.col(number) % block_rows).alias("mix_place"),
     )
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """The mixed rows laid out by slot and place, without the schedule's columns; files keep this order."""
-    names = [c for c in mixed.columns if not c.startswith("mix_")]
+    names = [c for c in mixed.columns if c not in ADDED]
     return mixed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*names)

@@ -114,7 +114,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, *, seed: int = 202406
     if shards < 1:
         raise ValueError("shards must be at least 1")
     docs = docs.drop("shard", "slot")
-    block, first, second, place, counts = (free_name(docs, stem=s) for s in ("block", "first_key", "second_key", "place", "counts"))
+    block, first, second, place, counts, sender = (free_name(docs, stem=s) for s in ("block", "first_key", "second_key", "place", "counts", "sender"))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     rows = docs.count()
     bits = (rows // rows_per_block).bit_length()
@@ -123,9 +123,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, *, seed: int = 202406
     sizes = dealt.groupBy(F.col(block).alias("block")).agg(F.count(F.lit(1)).alias("n_rows"))
     matrix = written(communication_matrix(sizes, bits, shards, rows, seed), "matrix")
     ends = F.aggregate("counts", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
-    matrix = matrix.select(F.col("block").alias("__m_block"), ends.alias(counts))
+    matrix = matrix.select(F.col("block").alias(sender), ends.alias(counts))
     local = Window.partitionBy(block).orderBy(first, second)
-    placed = dealt.withColumn(place, F.row_number().over(local) - 1).join(matrix, F.col(block) == F.col("__m_block"))
+    placed = dealt.withColumn(place, F.row_number().over(local) - 1).join(matrix, F.col(block) == F.col(sender))
     sent = placed.withColumn("shard", F.size(F.filter(counts, lambda end: end <= F.col(place))).cast("int"))
     sent = sent.select(*docs.columns, first, second, "shard")
     return ordinals(sent, ["shard"], second, [F.col(first)], rows_per_block, "slot", total=rows).select(*docs.columns, "shard", "slot")

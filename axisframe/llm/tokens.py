@@ -49,11 +49,27 @@ _LETTER = _byte_letters()
 _SIMPLE = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
 
 
+#: Texts that tell a tokenizer of words from others: blanks, case, accents, marks, digits, joined words, specials.
+_PROBES = [
+    " leading and  double \t blanks\n\nand lines ",
+    "Upper CASE McMixed ÀÉÎÕÜ straße ñandú İstanbul",
+    "commas, stops... don't 'S we'll (brackets) [x] {y} <z> a-b a_b a/b",
+    "12.5% 1,000,000 3rd x2 2x 007 v1.2.3 2024-01-01T00:00:00Z",
+    "漢字 かな 한국어 العربية हिन्दी \U0001f600\U0001f468\u200d\U0001f469 e\u0301 \u00a0nbsp \u2028 line",
+    "supercalifragilisticexpialidocious internationalisation antidisestablishmentarianism",
+    "def f(x): return x**2  # code\n\tif a!=b: c+=1;",
+    "<|endoftext|> <s> </s> [CLS] [SEP] <unk> <pad>",
+    "https://example.org/a?b=c&d=e user@example.org @name #tag $5 €7 ...",
+    "",
+]
+
+
 class Encoder:
     """Encodes whole texts word by word with memory of the words seen.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in turn. Words of
-    letters go straight to its merges, other words through the whole tokenizer.
+    A tokenizer that drops white space and never joins across it gives a text's ids as its words' ids in turn. Words of
+    letters then go straight to its merges, other words through the whole tokenizer. Whether a tokenizer is of this
+    kind is tried on texts of many kinds when it is loaded; any other encodes whole texts by the library.
     """
 
     def __init__(self, path: str):
@@ -64,6 +80,11 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.by_words = False
+        self.by_words = all(self._by_words([t])[0] == self.whole(t) for t in _PROBES)
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def piece(self, text: str) -> bytes:
         letters = text if text.isascii() else "".join([_LETTER[b] for b in text.encode()])
@@ -79,10 +100,13 @@ class Encoder:
                     self.pieces[tail] = self.piece(tail) if len(tail) < 9 else b""
                 out += self.pieces[tail] or self.piece(tail)
             return out
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.whole(text)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        return self._by_words(texts) if self.by_words else [self.whole(t) for t in texts]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         split = []
         for t in texts:
             raw = t.encode("utf-8", "surrogatepass")

@@ -16,6 +16,8 @@ from axisframe.llm.common import fresh_path
 from axisframe.llm.graph import components
 from axisframe.llm.queries import tokenizer_path
 
+from plain import windows
+
 SF = "/root/testdata/sf0.001"
 WORDS = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau".split()
 SENTENCE = " ".join(WORDS)
@@ -37,7 +39,7 @@ TEXTS = [
     (11, "two words"),
     (12, "<|endoftext|> a<|ENDOFTEXT|>b don't stop... 12.5% 'S <|startoftext|>"),
 ]
-EXTRA = "shard string, slot string, component_id string, fp string, key string, t string, d string, bucket string, mix_slot string, lang_pred string, score string, log_weight string, place string, doc string"
+EXTRA = "shard string, slot string, component_id string, fp string, key string, t string, d string, bucket string, mix_slot string, lang_pred string, score string, log_weight string, place string, doc string, __s string, __m_block string, __identified string, __o_0 string, __keep string, __fp string, __bad string, row_key string, nth string, stays string, sender string, source_number string, bucket_rows string, offset string, row string"
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +112,24 @@ def test_resample_edges(spark, docs, empty):
     assert resample.resample(empty, labels).count() == 0
 
 
+def test_features_do_not_depend_on_slices(monkeypatch):
+    random = np.random.default_rng(8)
+    texts = ["".join(random.choice(list("ab ,x\n"), 4000)), "q" * 900 + " a b", None, "   "]
+
+    def counted(size):
+        monkeypatch.setattr(resample, "_CHUNK", size)
+        resample._tables.cache_clear()
+        got = Counter()
+        for bins, whose in resample.features(texts):
+            got.update(zip(bins.tolist(), whose.tolist()))
+        return got
+
+    whole = counted(1 << 20)
+    assert all(counted(size) == whole for size in (7, 50, 300))
+    monkeypatch.undo()
+    resample._tables.cache_clear()
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 def _print(text):
     words = re.findall("[^\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -245,19 +265,32 @@ ITEMS = [(1, SENTENCE), (10, SENTENCE.upper() + " x"), (2, "two words"), (3, Non
 def test_decontamination_against_plain_windows(spark, docs, empty, set_bytes):
     bench = spark.createDataFrame([(i, t, "z") for i, t in ITEMS], "item_id long, text string, spans string")
     got = rows(decontaminate.digest(decontaminate.find_hits(docs, bench, set_bytes=set_bytes)))
-    assert got == sorted(decontaminate.brute(TEXTS, ITEMS), key=lambda r: tuple((x is not None, str(x)) for x in r))
+    assert got == sorted(windows(TEXTS, ITEMS), key=lambda r: tuple((x is not None, str(x)) for x in r))
     assert decontaminate.find_hits(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.digest(decontaminate.find_hits(docs, bench.limit(0))).collect())
 
 
 def test_decontamination_removes_documents_or_spans(spark, docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    clean = decontaminate.decontaminate(docs, bench)
-    bad = {i for i, *_, hit in decontaminate.brute(TEXTS, ITEMS) if hit}
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in TEXTS if i not in bad)
-    cut = decontaminate.decontaminate(docs, bench, remove="spans")
-    assert cut.count() == len(TEXTS)
-    assert {r.text for r in cut.where("doc_id in (1, 8, 11)").collect()} == {" tau", ""} or {r.text for r in cut.where("doc_id = 1").collect()} == {""}
+    stay = [t for t, (*_, hit) in zip(TEXTS, windows(TEXTS, ITEMS), strict=True) if not hit]
+    assert (None, None) in stay  # a clean row without an id beside a contaminated one
+    for set_bytes in (16 << 20, 100):
+        clean = decontaminate.decontaminate(docs, bench, set_bytes=set_bytes)
+        assert clean.columns == docs.columns and rows(clean.select("doc_id", "text")) == sorted(stay, key=lambda r: tuple((x is not None, str(x)) for x in r))
+        cut = decontaminate.decontaminate(docs, bench, remove="spans", set_bytes=set_bytes)
+        assert cut.count() == len(TEXTS)
+        assert [r.text for r in cut.where("doc_id in (1, 8, 11)").orderBy("doc_id").collect()] == ["", "", ""]
+        assert cut.where("doc_id = 10").first().text.startswith("y ")
+
+
+@pytest.mark.parametrize("set_bytes", [16 << 20, 100])
+def test_rows_that_share_an_id_are_judged_apart(spark, set_bytes):
+    words = WORDS[:12]
+    texts = [(2, " ".join(words)), (2, " ".join(reversed(words))), (None, " ".join(words)), (None, " ".join(w + "x" for w in words))]
+    items = [(1, " ".join(words)), (2, "other words of the second part " * 3), (3, "third " * 12)]
+    frame, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(decontaminate.digest(decontaminate.find_hits(frame, bench, set_bytes=set_bytes))) == sorted(windows(texts, items), key=lambda r: tuple((x is not None, str(x)) for x in r))
+    assert rows(decontaminate.decontaminate(frame, bench, set_bytes=set_bytes)) == rows(frame.where("text not like 'Alpha beta%'"))
 
 
 # 6 -------------------------------------------------------------------------------------------------------------------
@@ -290,6 +323,18 @@ def test_language_accuracy_and_edges(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_whole_texts_are_parsed_across_segments(monkeypatch):
+    random = np.random.default_rng(1)
+    model = langid.Model({"x": ["".join(random.choice(list("ab c"), 400))], "y": ["".join(random.choice(list("abd "), 300))]})
+    texts = ["".join(random.choice(list("abcd "), int(n))) for n in random.integers(1, 400, 30)] + [("ab ac" * 3 + "b") * 100, "b" * 300]
+    tables = [langid.dense(e) for e in model.edges]
+    monkeypatch.setattr(langid, "_SEGMENT", 1 << 30)
+    whole = langid.classify(model, tables, texts)
+    for size in (1, 3, 50):
+        monkeypatch.setattr(langid, "_SEGMENT", size)
+        assert langid.classify(model, tables, texts) == whole
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark):
     big, other = "<p>same page</p>" * 90, "é" * 600
@@ -355,6 +400,16 @@ def test_token_file_against_the_tokenizer(spark, docs, empty):
     assert tokens.digest(tokens.read_tokens(spark, none)).count() == 0
 
 
+def test_other_tokenizers_are_left_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    texts = ["Some  text with\n\nlines, don't ", "", "漢字 \U0001f600 x"]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Encoder(path).ids(texts) == want
+    assert tokens.Encoder(tokenizer_path()).by_words
+
+
 def test_tokens_of_whole_tables(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         docs = spark.read.parquet(f"{sf}/documents.parquet")
