@@ -11,47 +11,68 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm import decontaminate as _decontaminate
-from axisframe.llm import mixing, nearcopies, resample, tokens
+from axisframe.llm import mixing, resample, simhash, tokens
 from axisframe.llm.common import fresh_path, written
 from axisframe.llm.queries import MIX_TEMPERATURE, tokenizer_path
 from axisframe.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose resampling key is among the largest stay: junk and toxic texts go."""
+    """Documents whose resampling key is among the largest stay: junk and toxic texts go.
+
+    Null and empty texts weigh nothing and go or stay with the cut; rows that repeat fare alike, ties stay together.
+    An empty table gives no rows; without labels of both kinds every document stays. Extra columns pass through.
+    """
     return resample.resample(docs, table(spark, folder, "labels")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies stays: that of least id.
 
-    Near copies have a Jaccard similarity of 0.8 or more in five-word shingles. Such texts can differ in any number
-    of SimHash bits, so they are found by exact prefixes of their shingle sets.
+    Near copies have a Jaccard similarity of 0.8 or more in five-word shingles, transitively. Null, empty and wordless
+    texts are one group; of rows repeated in id and text one stays; rows without an id stay only where their group
+    has no other. Extra columns pass through, and an empty table gives no rows.
     """
-    return nearcopies.deduplicate(docs).select(docs.columns)
+    return simhash.deduplicate(docs, similarity=0.8).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with a window of the benchmark go."""
+    """Documents with a window of the benchmark go.
+
+    A row is judged by its own text, whatever its id, so repeated rows fare alike; null and wordless texts stay. An
+    empty table or benchmark removes nothing. Extra columns pass through.
+    """
     return _decontaminate.decontaminate(docs, table(spark, folder, "benchmark")).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, laid out so that every stretch has the sources by their target weights."""
+    """All documents, laid out so that every stretch has the sources by their target weights.
+
+    Every row comes back once: null ids, texts and sources (one source of their own), repeated rows and long texts are
+    placed like any other. An empty table gives no rows. Extra columns pass through.
+    """
     return mixing.in_order(mixing.mix(docs, temperature=MIX_TEMPERATURE)).select(docs.columns)
 
 
 def file_order(docs: DataFrame) -> list[Column]:
-    """The order of rows in the files that ``docs`` was read from; its doc_id where it was not read from files."""
+    """The order of rows in the files that ``docs`` was read from: by part number, then by row.
+
+    A frame that was not read from files has no order of its own; its doc_id stands in.
+    """
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
         return [F.col("doc_id")]
-    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The token file of the mixed documents, read back: doc_id, part, start, n_tokens, ids, in the mixed order."""
+    """The token file of the mixed documents, read back: doc_id, part, start, n_tokens, ids, in the mixed order.
+
+    A null or empty text is the end id alone; null and repeated ids are rows like any other. An empty table gives no
+    rows. Extra columns are left behind.
+    """
     path = fresh_path(spark, "pipeline-tokens")
     tokens.write_tokens(docs, path, tokenizer_path(), order=file_order(docs))
     return tokens.read_tokens(spark, path)
