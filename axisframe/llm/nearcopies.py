@@ -106,8 +106,7 @@ def _members(batches):
         sizes = [len(p) for p in parts]
         if not sum(sizes):
             continue
-        each = {c: np.repeat(pdf[c].to_numpy(), sizes) for c in ("s", "n", "fp")}
-        yield pd.DataFrame({"m": np.concatenate(parts), **each, "at": np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])})
+        yield pd.DataFrame({"m": np.concatenate(parts), "s": np.repeat(pdf["s"].to_numpy(), sizes), "at": np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])})
 
 
 def _sets(batches):
@@ -246,8 +245,15 @@ def _tiled(met: DataFrame, two_by_two: bool) -> DataFrame:
     return met.repartition("m", "x", "y").sortWithinPartitions("m", "x", "y")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of 4/5 or more."""
+def _verified(pairs: DataFrame, prints: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of 4/5 or more.
+
+    Only documents of these pairs are read for their sets, one for each set.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    chosen = written(prints.join(wanted, F.col("s") == F.col("w"), "left_semi").groupBy("s").agg(F.min("k").alias("c")), "chosen")
+    sets = keyed.select("k", "t").join(chosen, F.col("k") == F.col("c")).select("s", "t").mapInPandas(_sets, "s long, h binary")
+    sets = written(sets.dropDuplicates(["s"]), "sets")
     one = pairs.join(sets.select(F.col("s").alias("a"), F.col("h").alias("ha")), "a")
     return written(one.join(sets.select(F.col("s").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb").mapInPandas(_similar, "a long, b long"), "links")
 
@@ -275,20 +281,17 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     keyed = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     counts = docs.sparkSession.sparkContext.broadcast(_slot_counts(docs, text))
     prints = written(_prints(keyed, counts), "prints")
-    nodes = prints.select("s", "n", "fp", "prefix").dropDuplicates(["s"])
-    members = nodes.mapInPandas(_members, "m long, s long, n int, fp long, at int")
+    nodes = written(prints.select("s", "n", "fp", "prefix").dropDuplicates(["s"]), "nodes")
+    members = nodes.select("s", "prefix").mapInPandas(_members, "m long, s long, at int")
     sizes = members.groupBy("m").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("m", "mm")
-    met = written(members.join(sizes, F.col("m") == F.col("mm")).drop("mm").withColumn("r", F.col("s")), "met")
-    wanted = met.select(F.col("s").alias("w")).distinct()
-    chosen = prints.groupBy("s").agg(F.min("k").alias("c")).join(wanted, F.col("s") == F.col("w"), "left_semi")
-    sets = keyed.select("k", "t").join(chosen, F.col("k") == F.col("c")).select("s", "t").mapInPandas(_sets, "s long, h binary")
-    sets = written(sets.dropDuplicates(["s"]), "sets")
+    shared = written(members.join(sizes, F.col("m") == F.col("mm")).drop("mm"), "shared")
+    met = written(shared.join(nodes.drop("prefix"), "s").withColumn("r", F.col("s")), "met")
     tried = written(_searched(_tiled(met, False), "star"), "pairs")
-    links = _verified(tried, sets)
+    links = _verified(tried, prints, keyed)
     for how in ("nearest", "apart"):
         met = _apart(met, links)
         new = written(_searched(_tiled(met, how == "apart"), how).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(new, sets))
+        links = links.unionByName(_verified(new, prints, keyed))
         tried = tried.unionByName(new)
     least = prints.groupBy("s").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k")).alias("least"))
     return least.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("s", "least", F.coalesce("root", "s").alias("root"))

@@ -23,8 +23,7 @@ from axisframe.tables import table
 
 
 def op1_quality_resample(spark: SparkSession, folder: str) -> DataFrame:
-    kept = _resample.resample(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
-    return kept.select("doc_id", "log_weight", "gumbel_key")
+    return _resample.resample(table(spark, folder, "documents"), table(spark, folder, "labels"), keys_only=True)
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:

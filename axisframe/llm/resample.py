@@ -198,13 +198,14 @@ def _scored(docs: DataFrame, ratios, text: str, reference: int, name: str) -> Da
     return docs.withColumn(name, weigh(F.col(text)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, label_rows: int = 20_000, reference: int = 2000, seed: int = 97, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, label_rows: int = 20_000, reference: int = 2000, seed: int = 97, keys_only: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The k documents with the largest log weight plus Gumbel noise, with ``log_weight`` and ``gumbel_key``.
 
     The target model is fitted on half of at most ``label_rows`` labelled documents; without ``k``, the other half
     sets the weight that best parts good from bad, and k is the number of documents that reach it. Equal keys stay
     together. A null or empty text has weight 0. Without labels of both kinds every document stays. Repeated rows
     are weighed alike and draw the same noise. Columns of the result's own names are replaced; others pass through.
+    ``keys_only`` gives doc_id (long), log_weight and gumbel_key of the chosen alone.
     """
     sample = labelled_sample(labels, label_rows, doc_id=doc_id)
     fit = {i for i, (good, fits) in sample.items() if good and fits}
@@ -213,12 +214,14 @@ def resample(docs: DataFrame, labels: DataFrame, *, k: int | None = None, label_
     scored = _scored(docs, ratios.astype(np.float32), text, reference, "log_weight")
     noise = _gumbel(seed, F.col(doc_id), F.xxhash64(F.col(text)))
     scored = scored.withColumn("gumbel_key", F.col("log_weight") + noise)
-    scored = written(scored, "weights")  # texts are weighed once
+    scores = scored.select(F.col(doc_id).cast("long").alias("doc_id"), "log_weight", "gumbel_key")
+    scores = written(scores, "weights")
     if k is None:
-        least = _calibrated(scored.select(F.col(doc_id).cast("long").alias("doc_id"), "log_weight"), sample)
-        k = scored.where(F.col("log_weight") >= least).count()
-    cut = _kth_largest(scored.select("gumbel_key"), "gumbel_key", k)
-    return scored.where(F.col("gumbel_key") >= cut if cut is not None else F.lit(False))
+        least = _calibrated(scores, sample)
+        k = scores.where(F.col("log_weight") >= least).count()
+    cut = _kth_largest(scores, "gumbel_key", k)
+    # keys alone are read back; whole documents are weighed again, which costs less than to move or to store them
+    return (scores if keys_only else scored).where(F.col("gumbel_key") >= cut if cut is not None else F.lit(False))
 
 
 def _calibrated(scores: DataFrame, sample: dict[int, tuple[bool, bool]]) -> float:
