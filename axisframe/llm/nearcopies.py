@@ -6,8 +6,8 @@ common lines seldom bring documents together. In a block, each fingerprint has i
 fingerprints (fixed pivots, and the member nearest to the block's majority); pairs with a larger difference in any
 coordinate than ``BITS`` are discarded, survivors are verified bit by bit and then by their whole shingle sets.
 
-Links are sought in three steps, so that a large group costs little more than its size: first each block's star and
-neighbours along the pivot coordinates; then, in blocks that these links leave in several components, each left-out
+Links are sought in three steps, so that a large group costs little more than its size: first each block's stars of
+some hubs and neighbours along the pivot coordinates; then, in blocks that these links leave in several components, each left-out
 document's nearest in the largest component; at last every pair that is still apart.
 """
 
@@ -25,6 +25,8 @@ from axisframe.llm.graph import components
 WIDTH = 5
 #: Fingerprints of sets with a similarity of 4/5 differ in 10 of 64 bits on average, with a standard deviation of 3.
 BITS = 20
+#: Members of a block that every other is compared with first.
+HUBS = 4
 #: Blocks beyond this are cut into tiles; in the last step tiles are compared two by two.
 TILE = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -132,11 +134,11 @@ class _Block:
         self.fp = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
         self.root = rows[:, 4]
 
-    def hub(self, rows: np.ndarray) -> int:
-        """The member nearest to the bitwise majority of these."""
+    def hubs(self, rows: np.ndarray) -> np.ndarray:
+        """The members nearest to the bitwise majority of these, ties by name, so that blocks of one group agree."""
         ones = np.unpackbits(self.fp[rows].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         middle = np.packbits(ones * 2 > len(rows), bitorder="little").view("<u8")[0]
-        return int(rows[np.argmin(np.bitwise_count(self.fp[rows] ^ middle))])
+        return rows[np.lexsort((self.s[rows], np.bitwise_count(self.fp[rows] ^ middle)))[:HUBS]]
 
     def close(self, x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Which pairs may be similar: by sizes and first common member, the pivot table, then the bits."""
@@ -155,11 +157,11 @@ class _Block:
         return np.stack((self.s[x[good]], self.s[y[good]]), axis=1)
 
     def star(self) -> np.ndarray:
-        """The hub with every other, and neighbours along the distance to the hub and along two pivots."""
+        """The hubs with every other, and neighbours along the distance to the first hub and along two pivots."""
         everyone = np.arange(len(self.s))
-        hub = self.hub(everyone)
-        table = self.table(np.concatenate((self.fp[hub : hub + 1], PIVOTS)))
-        x, y = [np.full(len(everyone), hub)], [everyone]
+        hubs = self.hubs(everyone)
+        table = self.table(np.concatenate((self.fp[hubs[:1]], PIVOTS)))
+        x, y = [np.repeat(hubs, len(everyone))], [np.tile(everyone, len(hubs))]
         for p in range(3):
             order = np.lexsort((self.s, self.n, table[:, p]))
             x.append(order[:-1])
@@ -167,19 +169,21 @@ class _Block:
         return self.pairs(np.concatenate(x), np.concatenate(y), table)
 
     def nearest(self) -> np.ndarray:
-        """Each document out of the largest component with the nearest inside and with the hub of that component."""
+        """Each document out of the largest component with the nearest inside and with the hubs of that component."""
         names, which = np.unique(self.root, return_inverse=True)
         if len(names) < 2:
             return np.zeros((0, 2), np.int64)
         main = which == np.argmax(np.bincount(which))
         inside, out = np.flatnonzero(main), np.flatnonzero(~main)
-        hub = self.hub(inside)
-        table = self.table(np.concatenate((self.fp[hub : hub + 1], PIVOTS)))
-        x, y = [out], [np.full(len(out), hub)]
+        hubs = self.hubs(inside)
+        table = self.table(np.concatenate((self.fp[hubs[:1]], PIVOTS)))
+        x, y = [np.tile(out, len(hubs))], [np.repeat(hubs, len(out))]
         for low in range(0, len(out), 256):
             part = out[low : low + 256]
-            x.append(part)
-            y.append(inside[np.argmin(np.bitwise_count(self.fp[part][:, None] ^ self.fp[inside][None, :]), axis=1)])
+            n = min(HUBS, len(inside))
+            bits = np.bitwise_count(self.fp[part][:, None] ^ self.fp[inside][None, :])
+            x.append(np.repeat(part, n))
+            y.append(inside[np.argpartition(bits, n - 1, axis=1)[:, :n]].ravel())
         # the left-out ones among themselves, along their distance to the hub
         order = out[np.lexsort((self.s[out], table[out, 0]))]
         x.append(order[:-1])
@@ -188,8 +192,7 @@ class _Block:
 
     def apart(self) -> np.ndarray:
         """Every pair of different components."""
-        hub = self.hub(np.arange(len(self.s)))
-        table = self.table(np.concatenate((self.fp[hub : hub + 1], PIVOTS)))
+        table = self.table(np.concatenate((self.fp[self.hubs(np.arange(len(self.s)))[:1]], PIVOTS)))
         order = np.argsort(table[:, 0], kind="stable")
         found = []
         for low in range(0, len(order), 256):
@@ -242,7 +245,7 @@ def _tiled(met: DataFrame, two_by_two: bool) -> DataFrame:
         met = each.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other")
     else:
         met = met.withColumns({"x": own, "y": F.lit(0)})
-    return met.repartition("m", "x", "y").sortWithinPartitions("m", "x", "y")
+    return met.repartition("m", "x", "y").sortWithinPartitions("m", "x", "y", "s")
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, keyed: DataFrame) -> DataFrame:
