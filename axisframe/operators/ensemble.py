@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from axisframe.functions.vectors import dot, unit
+from axisframe.operators.geometry import lay_all, points_of
 
 #: Eigenvalues up to this are rigid-body modes.
 ZERO_MODE = 1e-9
@@ -81,28 +82,16 @@ def component_scores(frame: DataFrame, id_column: str, vector: str, components:
     return centred.crossJoin(F.broadcast(components)).select(id_column, "component", dot(F.col("v"), F.col("loading")).alias("score"))
 
 
-def kabsch(moving: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Rotation, translation and RMSD that lay the moving points best on the fixed ones, without reflection."""
-    a, b = moving.mean(axis=0), fixed.mean(axis=0)
-    u, _, vt = np.linalg.svd((moving - a).T @ (fixed - b))
-    turn = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0])
-    rotation = u @ turn @ vt
-    laid = (moving - a) @ rotation + b
-    return rotation, b - a @ rotation, float(np.sqrt(((laid - fixed) ** 2).sum() / len(fixed)))
-
-
 def superposed(frame: DataFrame, coordinates: str, reference: list[float]) -> DataFrame:
     """Append ``aligned`` (flat coordinates laid on the reference) and ``rmsd``; arrays hold x, y, z in turn."""
     target = np.asarray(reference, dtype=float).reshape(-1, 3)
 
     @F.pandas_udf("aligned array<double>, rmsd double")
     def lay(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for flat in batch:
-            points = np.asarray(flat, dtype=float).reshape(-1, 3)
-            rotation, shift, rmsd = kabsch(points, target)
-            out.append(((points @ rotation + shift).ravel().tolist(), rmsd))
-        return pd.DataFrame(out, columns=["aligned", "rmsd"])
+        points = points_of(batch)
+        rotation, shift, rmsd = lay_all(points, target)
+        laid = np.einsum("nij,nkj->nki", rotation, points) + shift[:, None, :]
+        return pd.DataFrame({"aligned": list(laid.reshape(len(points), -1)), "rmsd": rmsd})
 
     return frame.withColumn("_laid", lay(F.col(coordinates))).select(*frame.columns, "_laid.aligned", "_laid.rmsd")
 
@@ -164,6 +153,25 @@ def network_modes(atoms: DataFrame, key: str, order: str, cutoff: float, k: int,
     return atoms.groupBy(key).applyInPandas(solve, schema)
 
 
+def vector_modes(frame: DataFrame, key: str, coordinates: str, cutoff: float, k: int, *, kind: str = "anm", power: float = 0.0) -> DataFrame:
+    """``network_modes`` of structures given as flat coordinate arrays of one length: no shuffle, stacked eigenproblems."""
+    schema = T.StructType([T.StructField(key, frame.schema[key].dataType), *T.StructType.fromDDL("mode int, eigenvalue double, vector array<double>").fields])
+
+    def run(batches):
+        for pdf in batches:
+            for low in range(0, len(pdf), 128):
+                part = pdf.iloc[low : low + 128]
+                make = (lambda p: hessian(p, cutoff, power)) if kind == "anm" else (lambda p: kirchhoff(p, cutoff))
+                values, vectors = np.linalg.eigh(np.stack([make(p) for p in points_of(part[coordinates])]))
+                for name, w, v in zip(part[key], values, vectors, strict=True):
+                    at = np.flatnonzero(w > ZERO_MODE)[:k]
+                    own = v[:, at]
+                    own = own * np.sign(own[np.abs(own).argmax(axis=0), np.arange(len(at))])
+                    yield pd.DataFrame({key: [name] * len(at), "mode": np.arange(1, len(at) + 1), "eigenvalue": w[at], "vector": list(own.T)})
+
+    return frame.select(key, coordinates).mapInPandas(run, schema)
+
+
 def square_fluctuations(modes: DataFrame, key: str, width: int = 3) -> DataFrame:
     """(key, residue, fluctuation): sum over modes of squared components over the eigenvalue."""
     long = modes.select(key, "eigenvalue", F.posexplode("vector").alias("p", "v"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axisframe.operators.geometry import rigid_directions
+
 STATES = ("isolated", "fixed", "rigid", "flexible")
 FACTORS = (0.5, 0.9, 1.1, 2.0)
 _REFERENCE = 15.0
@@ -33,22 +35,13 @@ def spring_table(nodes: DataFrame, conditions: DataFrame) -> DataFrame:
     return near.select("condition", F.col("a_node").alias("i"), F.col("b_node").alias("j"), "r", weight.alias("weight"), kind.alias("edge_type"))
 
 
-def internal_basis(points: np.ndarray) -> np.ndarray:
-    """Orthonormal directions of the points other than their six rigid ones."""
-    n = len(points)
-    centred = points - points.mean(axis=0)
-    rigid = [np.tile(e, n) for e in np.eye(3)] + [np.cross(e, centred).ravel() for e in np.eye(3)]
-    q, _ = np.linalg.qr(np.array(rigid).T, mode="complete")
-    return q[:, 6:]
-
-
-def rigid_basis(points: np.ndarray) -> np.ndarray:
-    """Orthonormal rigid directions."""
-    n = len(points)
-    centred = points - points.mean(axis=0)
-    rigid = [np.tile(e, n) for e in np.eye(3)] + [np.cross(e, centred).ravel() for e in np.eye(3)]
-    q, _ = np.linalg.qr(np.array(rigid).T)
-    return q
+def rigid_split(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rigid, internal): orthonormal bases of the rigid motions of the points and of all other motions."""
+    rigid = rigid_directions(points)
+    if rigid.shape[1] < 6:
+        raise ValueError("degenerate: points in one line")
+    q, _ = np.linalg.qr(rigid, mode="complete")
+    return q[:, :6], q[:, 6:]
 
 
 def _columns(points: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -68,9 +61,11 @@ class Condition:
         self.core, self.weight, self.singular = 3 * n_core, weight, singular
         self.columns = _columns(points, i, j)
         self.inside = (i < n_core) & (j < n_core)
-        self.basis = internal_basis(points[:n_core])
-        self.partner_rigid = rigid_basis(points[n_core:])
+        _, self.basis = rigid_split(points[:n_core])
+        self.partner_rigid = rigid_directions(points[n_core:])
         q = self.basis.T @ direction
+        if np.linalg.norm(q) <= 1e-9 * max(1e-300, np.linalg.norm(direction)):
+            raise ValueError("degenerate: a direction without an internal part")
         self.direction = q / np.linalg.norm(q)
 
     def stiffness(self, state: str, weight: np.ndarray | None = None) -> np.ndarray:
@@ -103,29 +98,47 @@ class Condition:
         mean = float(np.trace(g) / len(g))
         return c, mean, c / mean
 
-    def perturbed(self, state: str, springs: np.ndarray, factors) -> dict[float, float]:
-        """ln S with some springs scaled by each factor: a low-rank update of the unperturbed inverse (Woodbury)."""
-        base = self.stiffness(state)
-        g = np.linalg.inv(base)
-        left = self._reduced(state)[:, springs]
-        out = {}
-        for f in factors:
-            change = (f - 1) * self.weight[springs]
-            if state == "flexible" or state == "rigid":
-                weight = self.weight.copy()
-                weight[springs] *= f
-                new = np.linalg.inv(self.stiffness(state, weight))
-            else:
-                used = change * (self.inside[springs] if state == "isolated" else 1.0)
-                live = used != 0
-                u = left[:, live]
-                new = g - g @ u @ np.linalg.solve(np.diag(1 / used[live]) + u.T @ g @ u, u.T @ g) if live.any() else g
-            c, mean = float(self.direction @ new @ self.direction), float(np.trace(new) / len(new))
-            out[f] = float(np.log(c / mean))
-        return out
-
-    def _reduced(self, state: str) -> np.ndarray:
-        return self.basis.T @ self.columns[: self.core]
+    def prepared(self, state: str) -> dict:
+        """What the updates of a state need: its compliance, and how every spring answers in it.
+
+        The compliance of the receptor is a block of the inverse over the receptor's internal directions and the
+        partner's free ones, so a change of springs is a low-rank change of that inverse, in every state alike.
+        """
+        x = self.basis.T @ self.columns[: self.core]
+        if state == "isolated":
+            x = np.where(self.inside, x, 0.0)
+        if state in ("rigid", "flexible"):
+            partner = self.columns[self.core :]
+            x = np.vstack((x, self.partner_rigid.T @ partner if state == "rigid" else partner))
+        n = self.basis.shape[1]
+        joint = (x * self.weight) @ x.T
+        if len(joint) > n and np.linalg.eigvalsh(joint[n:, n:])[0] <= 1e-10:
+            raise ValueError("singular partner block")
+        if np.linalg.eigvalsh(joint)[0] <= 1e-10:
+            raise ValueError("singular receptor block")
+        inverse = np.linalg.inv(joint)
+        answer = inverse @ x
+        c = float(self.direction @ inverse[:n, :n] @ self.direction)
+        return {"c": c, "trace": float(np.trace(inverse[:n, :n])), "n": n, "closure": self.direction @ answer[:n], "core": answer[:n].T @ answer[:n], "gram": x.T @ answer}
+
+    def updated(self, ready: dict, springs: np.ndarray, factor: float) -> float:
+        """ln S with some springs scaled by a factor (Woodbury)."""
+        change = (factor - 1) * self.weight[springs]
+        live = springs[change != 0]
+        c, trace = ready["c"], ready["trace"]
+        if len(live):
+            inner = np.linalg.inv(np.diag(1 / change[change != 0]) + ready["gram"][np.ix_(live, live)])
+            q = ready["closure"][live]
+            c = c - float(q @ inner @ q)
+            trace = trace - float((inner * ready["core"][np.ix_(live, live)]).sum())
+        return float(np.log(c / (trace / ready["n"])))
+
+    def derivative(self, ready: dict, springs: np.ndarray) -> tuple[float, float, float]:
+        """d ln C, d ln mean and d ln S by the springs' common factor, at one."""
+        w = self.weight[springs]
+        by_c = -float((w * ready["closure"][springs] ** 2).sum()) / ready["c"]
+        by_mean = -float((w * np.diag(ready["core"])[springs]).sum()) / ready["trace"]
+        return by_c, by_mean, by_c - by_mean
 
 
 def _read(pdf: pd.DataFrame, nodes: pd.DataFrame, singular: str) -> Condition:
@@ -147,41 +160,130 @@ def partner_states(springs: DataFrame, nodes: DataFrame, conditions: DataFrame,
     placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows, c = [], None
         for state in STATES:
             try:
-                c = _read(edges, points, singular)
+                c = c or _read(edges, points, singular)
                 rows.append((key[0], state, *c.compliance(c.stiffness(state)), "ok"))
             except (ValueError, np.linalg.LinAlgError) as error:
-                rows.append((key[0], state, None, None, None, str(error)))
+                rows.append((key[0], state, None, None, None, _status(error)))
         return pd.DataFrame(rows, columns=["condition", "state", "c_close", "mean_compliance", "s_close", "status"])
 
     return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, state string, c_close double, mean_compliance double, s_close double, status string")
 
 
-def group_effects(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *, factors=FACTORS, singular: str = "error") -> DataFrame:
-    """(condition, group_id, state, factor, log_s): every receptor node's springs of a class scaled by each factor."""
+def _groups(edges: pd.DataFrame, points: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Each receptor node's springs of a class, by ``node:class``; edges are in order."""
+    body = dict(zip(points["node"], points["body"], strict=True))
+    groups: dict[str, list[int]] = {}
+    for at, (i, j, kind) in enumerate(zip(edges["i"], edges["j"], edges["edge_type"], strict=True)):
+        for n in (i, j):
+            if body[n] == "receptor":
+                groups.setdefault(f"{n}:{kind}", []).append(at)
+    return {k: np.array(v) for k, v in sorted(groups.items())}
+
+
+def _solved_groups(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, singular: str, schema: str, each) -> DataFrame:
+    """each(condition, ready, springs) rows of every (condition, group, state); a state that can't be solved says why."""
     placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         rows = []
         edges = edges.sort_values(["i", "j"]).reset_index(drop=True)
-        body = dict(zip(points["node"], points["body"], strict=True))
-        groups: dict[str, list[int]] = {}
-        for at, (i, j, kind) in enumerate(zip(edges["i"], edges["j"], edges["edge_type"], strict=True)):
-            for n in (i, j):
-                if body[n] == "receptor":
-                    groups.setdefault(f"{n}:{kind}", []).append(at)
+        groups = _groups(edges, points)
         try:
-            c = _read(edges, points, singular)
-            for name, at in sorted(groups.items()):
-                for state in STATES:
-                    rows += [(key[0], name, state, f, s) for f, s in c.perturbed(state, np.array(at), factors).items()]
-        except (ValueError, np.linalg.LinAlgError):
-            rows = []
-        return pd.DataFrame(rows, columns=["condition", "group_id", "state", "factor", "log_s"])
+            c, fault = _read(edges, points, singular), None
+        except (ValueError, np.linalg.LinAlgError) as error:
+            c, fault = None, _status(error)
+        for state in STATES:
+            ready, why = None, fault
+            if c is not None:
+                try:
+                    ready = c.prepared(state)
+                except (ValueError, np.linalg.LinAlgError) as error:
+                    why = _status(error)
+            for name, at in groups.items():
+                for values in each(c, ready, at):
+                    rows.append((key[0], name, state, *values, why or "ok"))
+        return pd.DataFrame(rows, columns=names)
+
+    return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, schema)
+
+
+def _status(error: Exception) -> str:
+    text = str(error)
+    return text if text.startswith(("singular", "degenerate")) else "unsolvable"
+
+
+def group_effects(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *, factors=FACTORS, singular: str = "error") -> DataFrame:
+    """(condition, group_id, state, factor, log_s, status): every receptor node's springs of a class scaled by each factor.
+
+    A state that can't be solved keeps its rows, with null log_s and a status that says why; the others are not touched.
+    """
+    schema = "condition string, group_id string, state string, factor double, log_s double, status string"
+    return _solved_groups(springs, nodes, conditions, singular, schema, lambda c, ready, at: [(f, c.updated(ready, at, f) if ready else None) for f in factors])
+
+
+def group_derivatives(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *, singular: str = "error") -> DataFrame:
+    """(condition, group_id, state, n_springs, d_log_c, d_log_mean, d_log_s, status): exact, by the springs' common factor."""
+    schema = "condition string, group_id string, state string, n_springs int, d_log_c double, d_log_mean double, d_log_s double, status string"
+    return _solved_groups(springs, nodes, conditions, singular, schema, lambda c, ready, at: [(len(at), *(c.derivative(ready, at) if ready else (None, None, None)))])
+
+
+def role_deltas(effects: DataFrame, value: str = "d_g") -> DataFrame:
+    """(condition, group_id, delta_body, delta_internal, delta_total) of a value between partner treatments."""
+    wide = effects.groupBy("condition", "group_id").pivot("state", list(STATES)).agg(F.first(value))
+    return wide.select("condition", "group_id", (F.col("rigid") - F.col("fixed")).alias("delta_body"), (F.col("flexible") - F.col("rigid")).alias("delta_internal"), (F.col("flexible") - F.col("isolated")).alias("delta_total"))
+
+
+def order_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *, tolerance: float = 1e-8) -> DataFrame:
+    """(condition, softer, stiffer, min_eigenvalue, threshold, passed): a freer partner never stiffens the receptor.
+
+    The smallest eigenvalue of the difference of two states' stiffness; unsolvable conditions have nulls.
+    """
+    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
+
+    def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for softer, stiffer in (("isolated", "flexible"), ("flexible", "rigid"), ("rigid", "fixed")):
+            try:
+                c = _read(edges, points, "error")
+                low, high = c.stiffness(softer), c.stiffness(stiffer)
+                least = float(np.linalg.eigvalsh((high - low + (high - low).T) / 2)[0])
+                limit = -tolerance * max(1.0, float(np.abs(np.diag(low)).max()), float(np.abs(np.diag(high)).max()))
+                rows.append((key[0], softer, stiffer, least, limit, least >= limit))
+            except (ValueError, np.linalg.LinAlgError):
+                rows.append((key[0], softer, stiffer, None, None, None))
+        return pd.DataFrame(rows, columns=["condition", "softer", "stiffer", "min_eigenvalue", "threshold", "passed"])
+
+    return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, softer string, stiffer string, min_eigenvalue double, threshold double, passed boolean")
+
+
+def response_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(condition, state, gap): the receptor's answer to a push along its direction, condensed against solved in full.
+
+    ``gap`` is the largest difference relative to the largest answer; null where the condition can't be solved.
+    """
+    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
+
+    def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for state in ("rigid", "flexible"):
+            try:
+                c = _read(edges, points, "error")
+                condensed = np.linalg.solve(c.stiffness(state), c.direction)
+                free = c.partner_rigid if state == "rigid" else np.eye(len(c.columns) - c.core)
+                whole = np.zeros((len(c.columns), c.basis.shape[1] + free.shape[1]))
+                whole[: c.core, : c.basis.shape[1]], whole[c.core :, c.basis.shape[1] :] = c.basis, free
+                full = whole.T @ ((c.columns * c.weight) @ c.columns.T) @ whole
+                answer = np.linalg.solve(full, np.append(c.direction, np.zeros(free.shape[1])))[: len(condensed)]
+                rows.append((key[0], state, float(np.abs(answer - condensed).max() / np.abs(condensed).max())))
+            except (ValueError, np.linalg.LinAlgError):
+                rows.append((key[0], state, None))
+        return pd.DataFrame(rows, columns=["condition", "state", "gap"])
 
-    return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, group_id string, state string, factor double, log_s double")
+    return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, state string, gap double")
 
 
 def central_difference(effects: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:
@@ -201,9 +303,12 @@ def shared_edges(groups: DataFrame, group: str, edge: str) -> DataFrame:
 
     ``groups`` has a row for each group and edge. An edge lies in a few groups, so groups meet by edge.
     """
-    sets = groups.groupBy(group).agg(F.array_sort(F.collect_set(edge)).alias("edges"))
-    a, b = groups.select(group, edge), groups.select(F.col(group).alias("other"), edge)
-    met = a.join(b, edge).where(F.col(group) != F.col("other")).select(group, "other").distinct()
-    same = met.join(sets, group).join(sets.select(F.col(group).alias("other"), F.col("edges").alias("theirs")), "other")
-    names = same.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set("other")), ";").alias("shared_with"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("edges") == F.col("theirs"), F.col("other")))), ";").alias("identical_to"))
-    return sets.select(group).join(names, group, "left").na.fill("", ["shared_with", "identical_to"])
+    once = groups.select(F.col(group), F.col(edge)).distinct()
+    sizes = once.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    other = once.select(F.col(group).alias("other"), F.col(edge))
+    # two groups are identical if they share as many edges as each has
+    met = once.join(other, edge).where(F.col(group) != F.col("other")).groupBy(group, "other").agg(F.count(F.lit(1)).alias("shared"))
+    same = met.join(sizes, group).join(sizes.select(F.col(group).alias("other"), F.col("size").alias("theirs")), "other")
+    whole = (F.col("shared") == F.col("size")) & (F.col("shared") == F.col("theirs"))
+    names = same.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set("other")), ";").alias("shared_with"), F.array_join(F.array_sort(F.collect_set(F.when(whole, F.col("other")))), ";").alias("identical_to"))
+    return sizes.select(group).join(names, group, "left").na.fill("", ["shared_with", "identical_to"])

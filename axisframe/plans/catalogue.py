@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from axisframe.plans import numeric, relational  # noqa: F401
+from axisframe.plans import numeric, relational, studies  # noqa: F401

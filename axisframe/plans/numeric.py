@@ -85,17 +85,17 @@ def _(spark, d):
 
 @query("network_modes")
 def _(spark, d):
-    return E.network_modes(_atoms(spark, d), "vec_id", "res", 8.0, 6).select("vec_id", "mode", r6("eigenvalue").alias("eigenvalue"))
+    return E.vector_modes(_conformers(spark, d), "vec_id", "v", 8.0, 6).select("vec_id", "mode", r6("eigenvalue").alias("eigenvalue"))
 
 
 @query("gaussian_network_modes")
 def _(spark, d):
-    return E.network_modes(_atoms(spark, d), "vec_id", "res", 6.0, 4, kind="gnm").select("vec_id", "mode", r6("eigenvalue").alias("eigenvalue"))
+    return E.vector_modes(_conformers(spark, d), "vec_id", "v", 6.0, 4, kind="gnm").select("vec_id", "mode", r6("eigenvalue").alias("eigenvalue"))
 
 
 @query("square_fluctuations")
 def _(spark, d):
-    f = E.square_fluctuations(E.network_modes(_atoms(spark, d), "vec_id", "res", 8.0, 10), "vec_id")
+    f = E.square_fluctuations(E.vector_modes(_conformers(spark, d), "vec_id", "v", 8.0, 10), "vec_id")
     return f.withColumn("fluctuation", r6("fluctuation"))
 
 
@@ -103,13 +103,13 @@ def _(spark, d):
 def _(spark, d):
     e, axis = _axis(spark, d)
     padded = axis.select(F.concat("axis", F.array(F.lit(0.0), F.lit(0.0))).alias("axis"))
-    return E.mode_overlaps(E.network_modes(_atoms(spark, d), "vec_id", "res", 8.0, 5), "vec_id", padded).withColumn("overlap", r6("overlap"))
+    return E.mode_overlaps(E.vector_modes(_conformers(spark, d), "vec_id", "v", 8.0, 5), "vec_id", padded).withColumn("overlap", r6("overlap"))
 
 
 @query("subspace_overlap")
 def _(spark, d):
-    atoms = _atoms(spark, d)
-    a, b = E.network_modes(atoms, "vec_id", "res", 8.0, 5), E.network_modes(atoms, "vec_id", "res", 9.0, 5)
+    c = _conformers(spark, d)
+    a, b = E.vector_modes(c, "vec_id", "v", 8.0, 5), E.vector_modes(c, "vec_id", "v", 9.0, 5)
     return E.subspace_overlap(a, b, "vec_id").withColumn("rmsip", r6("rmsip"))
 
 

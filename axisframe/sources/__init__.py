@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers of the formats that studies come in, and sinks."""
