@@ -261,9 +261,11 @@ def order_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *,
 
 
 def response_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(condition, state, gap): the receptor's answer to a push along its direction, condensed against solved in full.
+    """(condition, state, gap): the receptor's answer to a push along its direction, solved in full, against the condensed
+    stiffness.
 
-    ``gap`` is the largest difference relative to the largest answer; null where the condition can't be solved.
+    ``gap`` is the residual over the sizes of stiffness, answer and push (a backward error, so that soft conditions
+    are judged like stiff ones); null where the condition can't be solved.
     """
     placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
 
@@ -272,13 +274,14 @@ def response_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame)
         for state in ("rigid", "flexible"):
             try:
                 c = _read(edges, points, "error")
-                condensed = np.linalg.solve(c.stiffness(state), c.direction)
+                stiff = c.stiffness(state)
                 free = c.partner_rigid if state == "rigid" else np.eye(len(c.columns) - c.core)
                 whole = np.zeros((len(c.columns), c.basis.shape[1] + free.shape[1]))
                 whole[: c.core, : c.basis.shape[1]], whole[c.core :, c.basis.shape[1] :] = c.basis, free
                 full = whole.T @ ((c.columns * c.weight) @ c.columns.T) @ whole
-                answer = np.linalg.solve(full, np.append(c.direction, np.zeros(free.shape[1])))[: len(condensed)]
-                rows.append((key[0], state, float(np.abs(answer - condensed).max() / np.abs(condensed).max())))
+                answer = np.linalg.solve(full, np.append(c.direction, np.zeros(free.shape[1])))[: len(stiff)]
+                size = np.linalg.norm(stiff, 2) * np.linalg.norm(answer) + 1.0  # the push is a unit vector
+                rows.append((key[0], state, float(np.linalg.norm(stiff @ answer - c.direction) / size)))
             except (ValueError, np.linalg.LinAlgError):
                 rows.append((key[0], state, None))
         return pd.DataFrame(rows, columns=["condition", "state", "gap"])
