@@ -7,8 +7,8 @@ fingerprints (fixed pivots, and the member nearest to the block's majority); pai
 coordinate than ``BITS`` are discarded, survivors are verified bit by bit and then by their whole shingle sets.
 
 Links are sought in three steps, so that a large group costs little more than its size: first each block's stars of
-some hubs and neighbours along the pivot coordinates; then, in blocks that these links leave in several components, each left-out
-document's nearest in the largest component; at last every pair that is still apart.
+some hubs and neighbours along the pivot coordinates; then, in blocks that these links leave in several components,
+each left-out document's nearest in the largest component; at last every pair that is still apart.
 """
 
 from __future__ import annotations
@@ -248,13 +248,13 @@ def _tiled(met: DataFrame, two_by_two: bool) -> DataFrame:
     return met.repartition("m", "x", "y").sortWithinPartitions("m", "x", "y", "s")
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, keyed: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, firsts: DataFrame, keyed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of 4/5 or more.
 
     Only documents of these pairs are read for their sets, one for each set.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    chosen = written(prints.join(wanted, F.col("s") == F.col("w"), "left_semi").groupBy("s").agg(F.min("k").alias("c")), "chosen")
+    chosen = written(firsts.join(wanted, F.col("s") == F.col("w"), "left_semi"), "chosen")
     sets = keyed.select("k", "t").join(chosen, F.col("k") == F.col("c")).select("s", "t").mapInPandas(_sets, "s long, h binary")
     sets = written(sets.dropDuplicates(["s"]), "sets")
     one = pairs.join(sets.select(F.col("s").alias("a"), F.col("h").alias("ha")), "a")
@@ -289,12 +289,13 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     sizes = members.groupBy("m").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("m", "mm")
     shared = written(members.join(sizes, F.col("m") == F.col("mm")).drop("mm"), "shared")
     met = written(shared.join(nodes.drop("prefix"), "s").withColumn("r", F.col("s")), "met")
+    firsts = written(prints.groupBy("s").agg(F.min("k").alias("c")), "firsts")  # copies fold before any join
     tried = written(_searched(_tiled(met, False), "star"), "pairs")
-    links = _verified(tried, prints, keyed)
+    links = _verified(tried, firsts, keyed)
     for how in ("nearest", "apart"):
         met = _apart(met, links)
         new = written(_searched(_tiled(met, how == "apart"), how).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(new, prints, keyed))
+        links = links.unionByName(_verified(new, firsts, keyed))
         tried = tried.unionByName(new)
     least = prints.groupBy("s").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k")).alias("least"))
     return least.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("s", "least", F.coalesce("root", "s").alias("root"))
