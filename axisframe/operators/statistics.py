@@ -91,6 +91,22 @@ def spearman(frame: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
+def correlation_p(rho: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs by Student's t; 0 for a perfect one, null below three pairs."""
+
+    @F.pandas_udf("double")
+    def tail(r: pd.Series, k: pd.Series) -> pd.Series:
+        out = []
+        for x, m in zip(r, k, strict=True):
+            if x is None or x != x or m < 3:
+                out.append(None)
+            else:
+                out.append(0.0 if abs(x) >= 1 else student_tail(x * math.sqrt((m - 2) / (1 - x * x)), m - 2))
+        return pd.Series(out, dtype="float64")
+
+    return tail(rho, n)
+
+
 def residuals(frame: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """``residual`` of y after the group's least-squares line in x."""
     line = frame.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))

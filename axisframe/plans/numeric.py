@@ -210,6 +210,12 @@ def _(spark, d):
     return N.spearman(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").withColumn("rho", r6("rho"))
 
 
+@query("rank_correlation_p")
+def _(spark, d):
+    s = N.spearman(table(spark, d, "part"), ["p_brand"], "p_size", "p_retailprice")
+    return s.select("p_brand", "n", r6("rho").alias("rho"), r6(N.correlation_p(F.col("rho"), F.col("n"))).alias("p_value"))
+
+
 @query(
     "ols_residual",
     """with b as (select o_orderstatus, regr_slope(o_totalprice, o_custkey) b, regr_intercept(o_totalprice, o_custkey) a from orders group by o_orderstatus)

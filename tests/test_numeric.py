@@ -235,6 +235,22 @@ def test_cosine_tail_by_integration(spark):
     assert abs(mean - x.mean()) < 1e-3 and abs(sd - x.std()) < 1e-3
 
 
+def test_correlation_p_by_integration(spark):
+    for rho, n in ((0.0, 10), (0.3, 12), (-0.7, 8), (0.05, 200)):
+        t = abs(rho) * math.sqrt((n - 2) / (1 - rho**2))
+        x = np.linspace(0, 1, 400_001)[:-1]  # t = x / (1 - x) covers the half line
+        density = (1 + (x / (1 - x)) ** 2 / (n - 2)) ** (-(n - 1) / 2) / (1 - x) ** 2
+        want = density[x / (1 - x) >= t].sum() / density.sum()
+        assert abs(spark.range(1).select(N.correlation_p(F.lit(rho), F.lit(n)).alias("p")).first().p - want) < 1e-4
+    assert spark.range(1).select(N.correlation_p(F.lit(1.0), F.lit(5)).alias("p")).first().p == 0
+    part = spark.read.parquet(f"{SF}/part.parquet").collect()
+    for r in answer(spark, "rank_correlation_p"):
+        own = [(p.p_size, p.p_retailprice) for p in part if p.p_brand == r.p_brand]
+        rank = lambda v: [sum(w < x for w in v) + (sum(w == x for w in v) + 1) / 2 for x in v]
+        if len(own) > 2:
+            assert r.n == len(own) and abs(r.rho - np.corrcoef(rank([a for a, _ in own]), rank([b for _, b in own]))[0, 1]) < 1e-5
+
+
 def test_sampled_null_against_its_distribution(spark):
     r = answer(spark, "sampled_direction_null")[0]
     mean, sd = N.cosine_moments(64)
