@@ -13,10 +13,12 @@ each left-out document's nearest in the largest component; at last every pair th
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm.common import written
@@ -29,12 +31,26 @@ BITS = 20
 HUBS = 4
 #: Blocks beyond this are cut into tiles; in the last step tiles are compared two by two.
 TILE = 4096
+#: Rows of an Arrow batch where each carries a whole text or one or two whole shingle sets.
+BATCH_ROWS = 500
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS, _BLOCKS = 18, 16
 #: Reference fingerprints besides those of a block: fixed, spread over all 64-bit numbers.
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), 7) for i in range(8)], dtype=np.uint64)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Jobs run inside pass at most ``BATCH_ROWS`` rows at once between the JVM and Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS if int(before) <= 0 else min(int(before), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of each five words; a text of fewer words is one shingle, a wordless one has none."""
     words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
@@ -256,9 +272,12 @@ def _verified(pairs: DataFrame, firsts: DataFrame, keyed: DataFrame) -> DataFram
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     chosen = written(firsts.join(wanted, F.col("s") == F.col("w"), "left_semi"), "chosen")
     sets = keyed.select("k", "t").join(chosen, F.col("k") == F.col("c")).select("s", "t").mapInPandas(_sets, "s long, h binary")
-    sets = written(sets.dropDuplicates(["s"]), "sets")
+    with _small_batches(keyed.sparkSession):
+        sets = written(sets.dropDuplicates(["s"]), "sets")
     one = pairs.join(sets.select(F.col("s").alias("a"), F.col("h").alias("ha")), "a")
-    return written(one.join(sets.select(F.col("s").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb").mapInPandas(_similar, "a long, b long"), "links")
+    both = one.join(sets.select(F.col("s").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
+    with _small_batches(keyed.sparkSession):
+        return written(both.mapInPandas(_similar, "a long, b long"), "links")
 
 
 def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,8 +301,9 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     pairs at the very limit of similarity); no other is. An empty table gives no rows.
     """
     keyed = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    counts = docs.sparkSession.sparkContext.broadcast(_slot_counts(docs, text))
-    prints = written(_prints(keyed, counts), "prints")
+    with _small_batches(docs.sparkSession):
+        counts = docs.sparkSession.sparkContext.broadcast(_slot_counts(docs, text))
+        prints = written(_prints(keyed, counts), "prints")
     nodes = written(prints.select("s", "n", "fp", "prefix").dropDuplicates(["s"]), "nodes")
     members = nodes.select("s", "prefix").mapInPandas(_members, "m long, s long, at int")
     sizes = members.groupBy("m").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("m", "mm")
