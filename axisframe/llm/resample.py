@@ -22,7 +22,7 @@ BINS = WORD_BINS + PAIR_BINS + STEM_BINS * len(STEMS)
 #: A bin counts if its ratio is this far from 1 (as a logarithm) and beyond this many standard deviations of chance.
 LEAST_RATIO, LEAST_SD, PRIOR = 0.5, 4.0, 1.0
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BLANKS = " \t\n\r\x0b\x0c"
 
 
@@ -77,7 +77,7 @@ def _slices(text: str):
 
 
 def features(texts: list[str | None]):
-    """(bins, whose): the feature bins of the texts and each one's text, a million characters at a time."""
+    """(bins, whose): the feature bins of the texts and each one's text, some ``_CHUNK`` characters at a time."""
     parts: list[str] = []
     whose: list[int] = []
     led: list[bool] = []
