@@ -196,8 +196,8 @@ def matched_controls(frame: DataFrame, id_column: str, label: str, count: str, v
 def guinier(frame: DataFrame, keys: list[str], q: str, intensity: str, sigma: str, *, most_qrg: float, least_points: int) -> DataFrame:
     """(keys, n_points, rg, i0, q_max): weighted ln I = ln I0 - (q Rg)^2 / 3 over the longest valid leading stretch.
 
-    Every leading stretch's fit comes from running sums; it is valid if the slope falls and q Rg stays in range.
-    The stretch ends at the first invalid fit.
+    Every leading stretch's fit comes from running sums; it is valid if the slope falls and q Rg, to nine digits, is
+    ``most_qrg`` or less. The stretch ends at the first invalid fit; intensities of zero or less are passed over.
     """
     w = (F.col(intensity) / F.col(sigma)) ** 2
     x, y = F.col(q) ** 2, F.ln(intensity)
@@ -206,7 +206,7 @@ def guinier(frame: DataFrame, keys: list[str], q: str, intensity: str, sigma: st
     run = frame.where(F.col(intensity) > 0).withColumns(sums).withColumn("n", F.count(F.lit(1)).over(lead))
     slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.col("sw") * F.col("sxx") - F.col("sx") ** 2, F.lit(0.0))
     run = run.withColumn("slope", slope).withColumn("rg", F.when(F.col("slope") < 0, F.sqrt(-3 * F.col("slope"))))
-    valid = F.coalesce(F.col("rg") * F.col(q) <= most_qrg, F.lit(False))
+    valid = F.coalesce(F.round(F.col("rg") * F.col(q), 9) <= most_qrg, F.lit(False))
     run = run.where(F.col("n") >= least_points).withColumn("_bad", F.sum((~valid).cast("int")).over(lead)).where("_bad = 0")
     best = F.max_by(F.struct(F.col("n").alias("n_points"), "rg", F.exp((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).alias("i0"), F.col(q).alias("q_max")), "n")
     return run.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")

@@ -253,17 +253,17 @@ def _(spark, d):
 @query(
     "guinier_fit",
     """with c as (select label k, 0.004::double + 0.001::double * (row_number() over (partition by label order by vec_id)) q from embeddings),
-    x as (select k, q, 0.42 * exp(-(q * q) * 400 * (1 + k) / 3) i from c where q <= 0.05), w as (select k, q, (i / 0.001) ** 2 w, q * q x, ln(i) y from x),
+    x as (select k, q, 0.42 * exp(-(q * q) * 400 * (1 + k) / 3) i from c), w as (select k, q, (i / 0.001) ** 2 w, q * q x, ln(i) y from x where i > 0),
     s as (select k, q, count(*) over o n, sum(w) over o sw, sum(w * x) over o sx, sum(w * y) over o sy, sum(w * x * x) over o sxx, sum(w * x * y) over o sxy from w window o as (partition by k order by q)),
     f as (select *, (sw * sxy - sx * sy) / nullif(sw * sxx - sx ** 2, 0) b from s), g as (select *, case when b < 0 then sqrt(-3 * b) end rg from f where n >= 5),
-    h as (select *, sum(case when coalesce(rg * q <= 1.3, false) then 0 else 1 end) over (partition by k order by q) bad from g)
+    h as (select *, sum(case when coalesce(round(rg * q, 9) <= 1.3, false) then 0 else 1 end) over (partition by k order by q) bad from g)
     select k, max(n) n_points, round(arg_max(rg, n), 4) rg, round(arg_max(exp((sy - b * sx) / sw), n), 4) i0, round(max(q), 6) q_max from h where bad = 0 group by k""",
 )
 def _(spark, d):
     from pyspark.sql.window import Window
 
     n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    c = table(spark, d, "embeddings").select(F.col("label").alias("k"), (0.004 + 0.001 * n).alias("q")).where("q <= 0.05")
+    c = table(spark, d, "embeddings").select(F.col("label").alias("k"), (0.004 + 0.001 * n).alias("q"))
     c = c.withColumn("i", 0.42 * F.exp(-(F.col("q") * F.col("q")) * 400 * (1 + F.col("k")) / 3)).withColumn("s", F.lit(0.001))
     g = N.guinier(c, ["k"], "q", "i", "s", most_qrg=1.3, least_points=5)
     return g.select("k", "n_points", F.round("rg", 4).alias("rg"), F.round("i0", 4).alias("i0"), r6("q_max").alias("q_max"))

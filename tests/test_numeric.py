@@ -436,3 +436,12 @@ def test_resamples_know_clusters_by_order(spark):
     assert {r.status for r in R.axis_resamples(alone, "id", "v", "open", 20, 5, balanced=5).collect()} == {"one state"}
     got = {r.subset: r for r in answer(spark, "subset_overlap")}
     assert abs(got["all"].rmsip - 1) < 1e-6 and 0 < got["even"].rmsip < 1
+
+
+def test_guinier_stretch_ends_at_the_limit_itself(spark):
+    q = [0.004 + 0.001 * i for i in range(1, 97)]
+    rows = [(0, x, 0.42 * math.exp(-((x * 20) ** 2) / 3), 0.001) for x in q] + [(0, 0.2, 0.0, 0.001), (0, 0.3, None, 0.001)]
+    frame = spark.createDataFrame(rows, "k int, q double, i double, s double")
+    (got,) = N.guinier(frame, ["k"], "q", "i", "s", most_qrg=1.3, least_points=5).collect()
+    assert got.n_points == 61 and abs(got.q_max - 0.065) < 1e-12 and abs(got.rg - 20) < 1e-6 and abs(got.i0 - 0.42) < 1e-9
+    assert N.guinier(frame.limit(0), ["k"], "q", "i", "s", most_qrg=1.3, least_points=5).count() == 0
