@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axisframe.llm import alignment as _alignment
 from axisframe.llm import decontaminate as _decontaminate
 from axisframe.llm import langid as _langid
 from axisframe.llm import mixing as _mixing
@@ -81,6 +82,18 @@ def op10_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", *[c for c in mixed.columns if c.startswith("mix_")])
 
 
+def aligned_tokenizers() -> tuple[str, str]:
+    """The tokenizer files that are aligned."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_align_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
+    both = aligned_tokenizers()
+    return _alignment.digest(_alignment.align(table(spark, folder, "documents"), both), both)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_ids": op8_token_ids,
         "op9_top_k": op9_top_k,
         "op10_pfair_mix": op10_pfair_mix,
+        "op11_align_tokenizers": op11_align_tokenizers,
         "pipeline": pipeline,
     }
 
