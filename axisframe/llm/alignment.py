@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,12 @@ from axisframe.llm.common import fresh_path, written
 RUN_IDS = 1 << 16
 PACK_IDS = 1 << 19
 #: Words whose ids a worker remembers; beyond it, a new memory starts and the last is kept beside it.
-_KEPT_WORDS = 150_000
+_KEPT_WORDS = 250_000
 _KEPT_CHARACTERS = 48
+#: The fixed pattern of byte-level pieces.
+_BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters, marks and signs whose classes no edition of Unicode has changed for long: engines agree on them.
+_SETTLED = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u203a\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*")
 #: A blank behind white space: no word ends there for certain.
 _BLANKS = re.compile(r"[\s\u180e\u200b] ")
 #: Texts that tell tokenizers that can be taken word by word from others.
@@ -54,11 +59,64 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteLevel:
-    """A byte-level tokenizer file; a blank is put before the text."""
+class _Coder:
+    """What the coders share: whole texts, taken word by word with memory of the words seen.
+
+    ``encode`` gives texts' ids, ``bytes`` each id's bytes. ``by_words``: a text's ids are its words' ids in turn, where
+    a word starts at each blank that stands behind no white space. It is tried on the probes.
+    """
+
+    def __init__(self, by_words: bool):
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.by_words = by_words and all(self._by_words([t], "I")[0] == self.whole(t, "I") is not None for t in _PROBES)
+        self.known, self.before = {}, {}
+
+    def packed(self, ids: list[int], raw: bytes, code: str) -> bytes | None:
+        """The ids, if their bytes make up ``raw``."""
+        spelt = self.bytes
+        return array(code, ids).tobytes() if b"".join([spelt[i] for i in ids]) == raw else None
+
+    def whole(self, text: str, code: str) -> bytes | None:
+        return self.packed(self.encode([text])[0], b" " + text.encode(), code)
+
+    def ids(self, texts: list[str], code: str) -> list[bytes | None]:
+        """Each text's ids, as integers of the type ``code``; None where their bytes are not the blank and the text."""
+        if not self.by_words:
+            return [self.whole(t, code) for t in texts]
+        plain = [t for t in texts if not _BLANKS.search(" " + t)]
+        found = dict(zip(plain, self._by_words(plain, code), strict=True))
+        return [x if (x := found.get(t)) is not None else self.whole(t, code) for t in texts]
+
+    def _by_words(self, texts: list[str], code: str) -> list[bytes | None]:
+        split, odd = [t.split(" ") for t in texts], set()
+        new = list(set().union(*split).difference(self.known))
+        known, before = self.known, self.before
+        fresh = [w for w in new if w not in before]
+        known.update((w, before[w]) for w in new if w in before)
+        for w, ids in zip(fresh, self.encode(fresh), strict=True):
+            if (packed := self.packed(ids, b" " + w.encode(), code)) is None:
+                odd.add(w)
+            known[w] = packed or b""
+        out = [None if odd and not odd.isdisjoint(words) else b"".join(map(known.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > _KEPT_CHARACTERS or w in odd:
+                del known[w]
+        if len(known) > _KEPT_WORDS:
+            self.before, self.known = known, {}
+        return out
+
+
+class ByteLevel(_Coder):
+    """A byte-level tokenizer file; a blank is put before the text.
+
+    Texts of long-settled letters go through a faster engine that is given the file's own vocabulary, if its merges
+    are its ids in turn and the two agree on the probes; all others go through the file's library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,13 +127,27 @@ class ByteLevel:
         for name, at in names.items():
             self.bytes[at] = name.encode() if name in special else bytes([letters[c] for c in name])
         kinds = json.loads(self.tokenizer.to_str())
-        self.by_words = kinds["normalizer"] is None and (kinds["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        merges = [m if isinstance(m, str) else " ".join(m) for m in kinds["model"]["merges"]]
+        plain = kinds["normalizer"] is None and (kinds["pre_tokenizer"] or {}) | {"trim_offsets": 0} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True, "trim_offsets": 0}
+        self.fast = None
+        if plain and [names[m.replace(" ", "")] for m in merges] == list(range(256, 256 + len(merges))):
+            ranks = {self.bytes[at]: at for name, at in names.items() if name not in special}
+            self.fast = Encoding("file", pat_str=_BYTE_LEVEL_PIECES, mergeable_ranks=ranks, special_tokens={})
+            if self.encode(_PROBES) != [self.slow(t) for t in _PROBES]:
+                self.fast = None
+        super().__init__(plain)
+
+    def slow(self, text: str) -> list[int]:
+        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        if self.fast is None:
+            return [self.slow(t) for t in texts]
+        fast, settled = self.fast.encode_ordinary, _SETTLED.fullmatch
+        return [fast(" " + t) if t.isascii() or settled(t) else self.slow(t) for t in texts]
 
 
-class Pieces:
+class Pieces(_Coder):
     """A sentence-piece model, which puts a blank before the text itself."""
 
     def __init__(self, path: str):
@@ -83,65 +155,37 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("\u2581", " ").encode() for i, n in enumerate(names)]
         # no piece reaches over a blank, so none joins two words
-        self.by_words = not any("▁" in n.lstrip("▁") for n in names)
+        super().__init__(not any("\u2581" in n.lstrip("\u2581") for n in names))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
 def load(path: str) -> ByteLevel | Pieces:
-    """The side of a tokenizer file: ``.json`` is byte-level, ``.model`` is sentence pieces."""
+    """The coder of a tokenizer file: ``.json`` is byte-level, ``.model`` is sentence pieces."""
     return ByteLevel(path) if path.endswith(".json") else Pieces(path)
 
 
 class Side:
-    """One tokenizer with its ids' lengths, and its encoding of whole texts with memory of the words seen."""
+    """One tokenizer with its ids' lengths and their decimal text."""
 
     def __init__(self, path: str):
         self.coder = load(path)
-        self.dtype = np.dtype("<u2" if len(self.coder.bytes) <= 1 << 16 else "<u4")
+        count = len(self.coder.bytes)
+        self.code = "H" if count <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.lengths = np.array([len(b) for b in self.coder.bytes], dtype=np.int64)
-        self.known: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
-        self.by_words = self.coder.by_words and all(self._by_words([t])[0] == self.whole(t) is not None for t in _PROBES)
-
-    def packed(self, ids: list[int], raw: bytes) -> bytes | None:
-        """The ids, if their bytes make up ``raw``."""
-        spelt = self.coder.bytes
-        return np.array(ids, dtype=self.dtype).tobytes() if b"".join([spelt[i] for i in ids]) == raw else None
-
-    def whole(self, text: str) -> bytes | None:
-        return self.packed(self.coder.encode([text])[0], b" " + text.encode())
+        if count > 10**7:
+            raise ValueError("ids of more than seven digits")
+        self.digits = np.array([len(str(i)) for i in range(count)])
+        #: an id and a comma in eight bytes
+        self.decimal = np.array([f"{i},".encode() for i in range(count)], dtype="S8").view("<u8")
 
     def ids(self, texts: list[str]) -> list[bytes | None]:
         """Each text's ids; None where their bytes are not the blank and the text."""
-        if not self.by_words:
-            return [self.whole(t) for t in texts]
-        plain = [t for t in texts if not _BLANKS.search(" " + t)]
-        found = dict(zip(plain, self._by_words(plain), strict=True))
-        return [x if (x := found.get(t)) is not None else self.whole(t) for t in texts]
-
-    def _by_words(self, texts: list[str]) -> list[bytes | None]:
-        """Texts without a blank behind white space: each blank then starts a word of its own on either side."""
-        known, before = self.known, self.before
-        split = [t.split(" ") for t in texts]
-        new = [w for w in {w for words in split for w in words} if w not in known]
-        fresh = [w for w in new if w not in before]
-        known.update((w, before[w]) for w in new if w in before)
-        for w, ids in zip(fresh, self.coder.encode(fresh), strict=True):
-            known[w] = self.packed(ids, b" " + w.encode())
-        out = []
-        for words in split:
-            parts = [known[w] for w in words]
-            out.append(None if None in parts else b"".join(parts))
-        for w in new:
-            if len(w) > _KEPT_CHARACTERS:
-                del known[w]
-        if len(known) > _KEPT_WORDS:
-            self.before, self.known = known, {}
-        return out
+        return self.coder.ids(texts, self.code)
 
 
 _SIDES: dict[str, Side] = {}
@@ -199,6 +243,34 @@ def _ends(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths[ids])
 
 
+class _Ends:
+    """The ends of both sides of whole groups, byte by byte: ends are marks, and links the stretches between marks."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, sides: list[Side]):
+        self.a, self.b = a, b
+        a_ends, b_ends = (_ends(x, s.lengths) for x, s in zip((a, b), sides, strict=True))
+        self.a_ends = a_ends
+        mark = np.zeros(int(a_ends[-1]) if len(a) else 0, dtype=np.uint8)
+        mark[a_ends - 1] = 1
+        mark[b_ends - 1] += 2
+        at = np.flatnonzero(mark)
+        marks = mark[at]
+        self.ends, ends_a, ends_b = at + 1, (marks & 1).astype(bool), marks >= 2
+        self.a_last, self.b_last = ends_b[ends_a], ends_a[ends_b]
+        # the tokens of either side over each stretch
+        self.a_at, self.b_at = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+
+    @property
+    def pairs(self) -> np.ndarray:
+        return (self.a[self.a_at].astype(np.int64) << 32) | self.b[self.b_at]
+
+
+def _opened(batch: pa.RecordBatch, row: int, sides: list[Side]) -> _Ends:
+    """A pack's ids; a link is a stretch between neighbouring ends: one pair of tokens that overlap."""
+    unpack = zstandard.ZstdDecompressor()
+    return _Ends(*(np.frombuffer(unpack.decompress(batch.column(c)[row].as_py()), s.dtype) for c, s in zip("ab", sides, strict=True)), sides)
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Where each of the ascending offsets ``a`` is also one of ``b``."""
     if not len(b):
@@ -207,40 +279,29 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(at, len(b) - 1)] == a
 
 
-class _Digits:
-    """Ids as decimal text."""
-
-    def __init__(self, count: int):
-        self.width = len(str(count))
-        rows = np.array([str(i).ljust(self.width).encode() for i in range(count)], dtype=f"S{self.width}")
-        self.letters = rows.view(np.uint8).reshape(count, self.width)
-        self.lengths = np.array([len(str(i)) for i in range(count)])
-
-
-def group_text(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, digits: tuple[_Digits, _Digits]) -> tuple[bytes, np.ndarray]:
+def group_text(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, sides: list[Side]) -> tuple[bytes, np.ndarray]:
     """``a1,a2|b1;a3|b2,b3;`` of whole groups, each closed by a semicolon, and where each group's text ends.
 
     ``a_last`` and ``b_last`` mark the last token of each group on its side.
     """
-    wide = max(d.width for d in digits) + 1
-    out = np.zeros((len(a) + len(b), wide), dtype=np.uint8)
+    out, sizes = np.zeros(len(a) + len(b), dtype="<u8"), np.zeros(len(a) + len(b), dtype=np.int64)
     a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
     a_ends, b_ends = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
     a_at = np.arange(len(a)) + np.concatenate(([0], b_ends))[a_group]
     b_at = np.arange(len(b)) + a_ends[b_group]
-    for ids, at, last, mark, known in ((a, a_at, a_last, ord("|"), digits[0]), (b, b_at, b_last, ord(";"), digits[1])):
-        out[at, : known.width] = known.letters[ids]
-        out[at, known.lengths[ids]] = np.where(last, mark, ord(","))
-    keep = (out != 0) & (out != ord(" "))
-    sizes = keep.sum(axis=1)
-    return out[keep].tobytes(), np.cumsum(sizes)[b_at[b_last]]
+    letters = out.view(np.uint8).reshape(-1, 8)
+    for ids, at, last, mark, side in ((a, a_at, a_last, ord("|"), sides[0]), (b, b_at, b_last, ord(";"), sides[1])):
+        out[at], sizes[at] = side.decimal[ids], side.digits[ids] + 1
+        letters[at[last], side.digits[ids[last]]] = mark
+    flat = letters.reshape(-1)
+    return flat[flat != 0].tobytes(), np.cumsum(sizes)[b_at[b_last]]
 
 
 class _Packs:
     """Closed groups of documents in turn, given out in packs."""
 
     def __init__(self, sides: list[Side]):
-        self.sides, self.digits = sides, tuple(_Digits(len(s.lengths)) for s in sides)
+        self.sides = sides
         self.pack = zstandard.ZstdCompressor(level=6)
         self.clear()
         self.hash = None
@@ -260,12 +321,11 @@ class _Packs:
         if not self.rows:
             return None
         a, b = (np.concatenate(x) if x else np.zeros(0, np.uint16) for x in (self.a, self.b))
-        a_ends, b_ends = _ends(a, self.sides[0].lengths), _ends(b, self.sides[1].lengths)
-        a_last, b_last = _shared(a_ends, b_ends), _shared(b_ends, a_ends)
-        text, group_ends = group_text(a, b, a_last, b_last, self.digits)
+        ends = _Ends(a, b, self.sides)
+        text, group_ends = group_text(a, b, ends.a_last, ends.b_last, self.sides)
         columns = list(zip(*self.rows, strict=True))
         n_a, n_b = (np.array(c, dtype=np.int64) for c in columns[-2:])
-        groups = np.concatenate(([0], np.cumsum(a_last)))[np.concatenate(([0], np.cumsum(n_a)))]
+        groups = np.concatenate(([0], np.cumsum(ends.a_last)))[np.concatenate(([0], np.cumsum(n_a)))]
         cuts, shas, low = np.concatenate(([0], group_ends))[groups], [], 0
         for i, row in enumerate(self.rows):
             block, last, high = row[4], row[5], int(cuts[i + 1])
@@ -366,23 +426,6 @@ def sweep(runs: DataFrame, tokenizers: tuple[str, str], *, pack_ids: int = PACK_
     return spark.read.schema(_PACK_SCHEMA).parquet(path)
 
 
-class _Opened:
-    """A pack's ids, and its links: each stretch between neighbouring ends is one pair of tokens that overlap."""
-
-    def __init__(self, batch: pa.RecordBatch, row: int, sides: list[Side]):
-        unpack = zstandard.ZstdDecompressor()
-        self.a, self.b = (np.frombuffer(unpack.decompress(batch.column(c)[row].as_py()), s.dtype) for c, s in zip("ab", sides, strict=True))
-        self.a_ends, self.b_ends = _ends(self.a, sides[0].lengths), _ends(self.b, sides[1].lengths)
-        extra = ~_shared(self.b_ends, self.a_ends)
-        self.ends = np.concatenate((self.a_ends, self.b_ends[extra]))
-        self.ends.sort(kind="stable")
-        self.a_at, self.b_at = np.searchsorted(self.a_ends, self.ends), np.searchsorted(self.b_ends, self.ends)
-
-    @property
-    def pairs(self) -> np.ndarray:
-        return (self.a[self.a_at].astype(np.int64) << 32) | self.b[self.b_at]
-
-
 def _array(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
     return batch.column(column)[row].values.to_numpy(zero_copy_only=False)
 
@@ -406,7 +449,7 @@ def pair_counts(packs: DataFrame, tokenizers: tuple[str, str], *, held: int = 1
 
         for batch in batches:
             for row in range(batch.num_rows):
-                opened, copies = _Opened(batch, row, sides), _array(batch, "copies", row)
+                opened, copies = _opened(batch, row, sides), _array(batch, "copies", row)
                 pairs = opened.pairs
                 more = [np.unique(pairs, return_counts=True)]
                 if (copies > 1).any():  # rows that repeat count as often
@@ -431,6 +474,32 @@ def _arrow_scored(kinds: list, rare_kind: pa.DataType) -> pa.Schema:
     return pa.schema([*zip(names, kinds, strict=True), ("rare", rare_kind)])
 
 
+class _Table:
+    """Numbers by pair: one slot a hash, commonest pairs first, and a search for pairs whose slot another has."""
+
+    _BITS, _FACTOR = 20, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        self.keys, self.numbers = keys, numbers
+        self.slots = np.full(1 << self._BITS, -1, np.int64)
+        rising = np.argsort(numbers, kind="stable")
+        self.slots[self._slot(keys[rising])] = rising
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self._FACTOR) >> np.uint64(64 - self._BITS)).view(np.int64)
+
+    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair's number (1 where it has none), and whether it has one."""
+        if not len(self.keys):
+            return np.ones(len(pairs), np.int64), np.zeros(len(pairs), bool)
+        at = self.slots[self._slot(pairs)]
+        known = (self.keys[at] == pairs) & (at >= 0)
+        if len(late := np.flatnonzero(~known)):
+            at[late] = np.minimum(np.searchsorted(self.keys, pairs[late]), len(self.keys) - 1)
+            known[late] = self.keys[at[late]] == pairs[late]
+        return np.where(known, self.numbers[at], 1), known
+
+
 def scores(packs: DataFrame, counts: DataFrame, tokenizers: tuple[str, str], *, table_pairs: int = 4_000_000) -> DataFrame:
     """Each document's groups and links, scored by how many links of the corpus hold the same id pair.
 
@@ -459,22 +528,18 @@ def scores(packs: DataFrame, counts: DataFrame, tokenizers: tuple[str, str], *,
     def run(batches):
         sides = [_side(p) for p in tokenizers]
         keys, numbers, best_of = shipped.value
+        table = _Table(keys, numbers)
         best = np.zeros(len(sides[1].lengths), np.int64)
         best[list(best_of)] = list(best_of.values())
         kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 7, pa.string()]
         rare_kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("links", pa.int64())]))
         for batch in batches:
             for row in range(batch.num_rows):
-                opened = _Opened(batch, row, sides)
+                opened = _opened(batch, row, sides)
                 pairs, b_ids = opened.pairs, opened.b[opened.b_at]
                 n_a, n_b, n_groups = (_array(batch, c, row) for c in ("n_a", "n_b", "n_groups"))
                 links = n_a + n_b - n_groups
-                count = np.ones(len(pairs), np.int64)
-                known = np.zeros(len(pairs), bool)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-                    known = keys[at] == pairs
-                    count[known] = numbers[at[known]]
+                count, known = table.find(pairs)
                 if rare_left:
                     count[~known] = 0
                 starts = np.concatenate(([0], np.cumsum(links)))
@@ -511,7 +576,7 @@ def links(packs: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
         sides = [_side(p) for p in tokenizers]
         for batch in batches:
             for row in range(batch.num_rows):
-                o = _Opened(batch, row, sides)
+                o = _opened(batch, row, sides)
                 n_a, n_b, n_groups, byte, a0, b0, copies = (_array(batch, c, row) for c in ("n_a", "n_b", "n_groups", "byte_start", "a_start", "b_start", "copies"))
                 per = n_a + n_b - n_groups
                 block = np.repeat(np.arange(len(per)), per)
@@ -533,10 +598,10 @@ def groups(packs: DataFrame, tokenizers: tuple[str, str]) -> DataFrame:
         sides = [_side(p) for p in tokenizers]
         for batch in batches:
             for row in range(batch.num_rows):
-                o = _Opened(batch, row, sides)
+                o = _opened(batch, row, sides)
                 n_a, n_b, n_groups, a0, b0, copies = (_array(batch, c, row) for c in ("n_a", "n_b", "n_groups", "a_start", "b_start", "copies"))
                 block = np.repeat(np.arange(len(n_groups)), n_groups)
-                cuts = [np.concatenate(([0], np.flatnonzero(_shared(x, y)) + 1)) for x, y in ((o.a_ends, o.b_ends), (o.b_ends, o.a_ends))]
+                cuts = [np.concatenate(([0], np.flatnonzero(x) + 1)) for x in (o.a_last, o.b_last)]
                 lists = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(ids.astype(np.int32))) for c, ids in zip(cuts, (o.a, o.b), strict=True)]
                 at = [c[:-1] - (np.cumsum(n) - n)[block] + z[block] for c, n, z in zip(cuts, (n_a, n_b), (a0, b0), strict=True)]
                 docs = batch.column("doc_id")[row].values.take(pa.array(block))

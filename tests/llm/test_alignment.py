@@ -123,7 +123,7 @@ def test_the_machine_takes_any_runs(size):
 
     sides = [alignment._side(p) for p in BOTH]
     text = "internationalisation of words, " * 5 + "漢字 \U0001f600" * 8
-    ids = [np.frombuffer(s.whole(text), s.dtype) for s in sides]
+    ids = [np.frombuffer(s.ids([text])[0], s.dtype) for s in sides]
     runs = []
     for at, (side, x) in enumerate(zip(sides, ids)):
         ends = np.concatenate(([0], np.cumsum(side.lengths[x])))
@@ -162,10 +162,18 @@ def test_empty_table(spark):
     assert alignment.digest(alignment.align(_frame(spark, DOCS).where("false"), BOTH), BOTH).count() == 0
 
 
-def test_words_and_whole_texts_agree(spark):
-    """Every small-table text by words and by the library at once."""
+def test_fast_ways_equal_the_libraries(spark):
+    """Small-table texts, and every settled letter beside letters, digits, blanks and signs."""
+    import tokenizers
+
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
-    for path in BOTH:
-        side = alignment.Side(path)
-        assert side.by_words
-        assert side.ids(texts) == [side.whole(t) for t in texts]
+    a, b = (alignment.Side(p) for p in BOTH)
+    assert a.coder.fast is not None and b.coder.by_words
+    for side in (a, b):
+        assert side.coder.by_words and side.ids(texts) == [side.coder.whole(t, side.code) for t in texts]
+    plain = tokenizers.Tokenizer.from_file(BOTH[0])
+    plain.encode_special_tokens = True
+    letters = [c for c in map(chr, range(0x9FFF)) if alignment._SETTLED.fullmatch(c)]
+    assert len(letters) > 20_000
+    texts += ["".join(f"{c}a {c}{c} 1{c} .{c}\n{c} " for c in letters[i : i + 100]) for i in range(0, len(letters), 100)]
+    assert all(a.coder.encode([t])[0] == plain.encode(" " + t, add_special_tokens=False).ids for t in texts)
