@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm import alignment as _alignment
+from axisframe.llm import collocations as _collocations
 from axisframe.llm import decontaminate as _decontaminate
 from axisframe.llm import langid as _langid
 from axisframe.llm import mixing as _mixing
@@ -18,6 +19,7 @@ from axisframe.llm import sql
 from axisframe.llm import suffixes as _suffixes
 from axisframe.llm import tokens as _tokens
 from axisframe.llm import topk as _topk
+from axisframe.llm import urlfilter as _urlfilter
 from axisframe.llm import warc as _warc
 from axisframe.llm.common import fresh_path
 from axisframe.tables import table
@@ -94,6 +96,30 @@ def op11_align_tokenizers(spark: SparkSession, folder: str) -> DataFrame:
     return _alignment.digest(_alignment.align(table(spark, folder, "documents"), both), both)
 
 
+#: The rules (host, path, verdict), and the names of listed sites.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list of hosts: every site of the table that has a listed name, whatever the rest of its host."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    host, _ = _urlfilter.split_url(F.col("url"))
+    site = F.regexp_extract(host, rf"(?:^|\.)((?:{'|'.join(LISTED_SITES)})\..*)$", 1)
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return _urlfilter.judge(pages, rules, pages.select(site.alias("host")))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return _collocations.ranked(_collocations.collocations(table(spark, folder, "documents")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_top_k": op9_top_k,
         "op10_pfair_mix": op10_pfair_mix,
         "op11_align_tokenizers": op11_align_tokenizers,
+        "op12_url_filter": op12_url_filter,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 

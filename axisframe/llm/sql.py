@@ -50,7 +50,40 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+OP12 = r"""
+with rules(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+s as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') raw from u),
+t as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') path from s),
+fit as (select page_id, host, path, max(struct_pack(n := length(h || p), r := h || p, v := v)) best
+  from t left join rules on (host = h or suffix(host, '.' || h)) and starts_with(path, p) group by all)
+select page_id, host, path, best.r as rule,
+  coalesce(best.v, case when regexp_matches('.' || host, '\.(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.') then 'block' else 'allow' end) verdict
+from fit
+"""
+
+OP13 = r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p),
+n as (select lang, cast(sum(len(w)) as bigint) n from w group by lang),
+o as (select lang, k, w, unnest(range(1, len(w) - k + 2)) i from w, (values (1), (2), (3)) t(k) where len(w) >= k),
+f as (select lang, k, w[i : i + k - 1] g, count(*) f from o group by all),
+c as (select lang, k, g, f a from f where k > 1 and f >= 10),
+cut as (select c.lang, c.k, g, a, unnest(range(1, c.k)) j from c),
+scored as (select cut.lang, cut.k, cut.g, a, j, x.f l, y.f r, cast(1000000::hugeint * a * a // (x.f::hugeint * y.f) as bigint) score
+  from cut join f x on x.lang = cut.lang and x.g = cut.g[1 : j] join f y on y.lang = cut.lang and y.g = cut.g[j + 1 : cut.k]),
+least as (select lang, k, g, a, min(struct_pack(score := score, j := j, l := l, r := r)) m from scored group by all),
+above as (select lang, part, max(a) most from (select lang, a, unnest([g[1 : 2], g[2 : 3]]) part from c where k = 3) group by all),
+kept as (select least.lang, array_to_string(g, ' ') phrase, a, m.l l, m.r r, m.score score
+  from least left join above on k = 2 and above.lang = least.lang and above.part = g where most is null or 100 * most < 50 * a),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+select r.lang, rank, phrase, a, l, r.r as r, n, score from r join n on n.lang = r.lang where rank <= 2000
+"""
+
 ORACLES = {
+    "op13_collocations": OP13,
+    "op12_url_filter": OP12,
     "op4_repeated_spans": OP4,
     "op7_warc": OP7,
     "op9_top_k": OP9,
