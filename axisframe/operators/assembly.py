@@ -10,8 +10,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from axisframe.functions.vectors import dot
 from axisframe.operators.ensemble import ZERO_MODE, hessian
 from axisframe.operators.geometry import rigid_directions
 
@@ -229,3 +232,59 @@ def directional_statistics(frame: DataFrame, key: str, coordinates: str, n_first
         return [(seen, float(low), float(mid), float(high), float(100 * ((null < seen).mean() + (null == seen).mean() / 2)))]
 
     return _each(frame, key, coordinates, "specificity double, p05 double, p50 double, p95 double, percentile double", solve)
+
+
+def near_best(modes: DataFrame, structures: DataFrame, key: str, coordinates: str, n_first: int, axis: list[float], *, ratio: float = 1.2, primary: int = 20) -> DataFrame:
+    """Each structure's best mode and the subspace of the modes near it, all on its first ``n_first`` atoms.
+
+    (key, best_mode, best_overlap, best_amplitude, internal_best_mode, internal_best_overlap, near_modes, near_rank,
+    near_overlap). The best mode has the largest overlap with the axis among the first ``primary``; modes whose
+    eigenvalue is within ``ratio`` of its own are near it. Their parts on the first atoms, less those atoms' rigid
+    motions, span a subspace, and ``near_overlap`` is the length of the axis' part in it: how modes that nearly share
+    an eigenvalue are mixed among themselves changes nothing. Modes without any part there have overlap 0.
+    """
+    along = np.asarray(axis, dtype=float)
+    size = 3 * n_first
+
+    def solve(_, own: pd.DataFrame, where: pd.DataFrame) -> pd.DataFrame:
+        names = [key, "best_mode", "best_overlap", "best_amplitude", "internal_best_mode", "internal_best_overlap", "near_modes", "near_rank", "near_overlap"]
+        if not len(own) or not len(where):
+            return pd.DataFrame(columns=names)
+        own = own.sort_values("mode")
+        values, parts = own["eigenvalue"].to_numpy(float), np.stack(own["vector"].to_list())[:, :size].T.astype(float)
+        whole = rigid_directions(np.asarray(where[coordinates].iloc[0], dtype=float)[:size].reshape(-1, 3))
+        inside, target = parts - whole @ (whole.T @ parts), along - whole @ (whole.T @ along)
+
+        def overlaps(vectors, with_):
+            lengths = np.linalg.norm(vectors, axis=0) * np.linalg.norm(with_)
+            return np.abs(with_ @ vectors) / np.where(lengths > 1e-12, lengths, np.inf)
+
+        raw, internal = overlaps(parts, along), overlaps(inside, target)
+        best, internal_best = int(raw[:primary].argmax()), int(internal[:primary].argmax())
+        near = np.flatnonzero(np.maximum(values, values[best]) / np.maximum(np.minimum(values, values[best]), 1e-9) <= ratio)
+        span, strength, _ = np.linalg.svd(inside[:, near], full_matrices=False)
+        span = span[:, strength > 1e-9]
+        length = np.linalg.norm(target)
+        found = float(np.linalg.norm(span.T @ target) / length) if length > 1e-12 else 0.0
+        order = own["mode"].to_numpy(int)
+        row = (own[key].iloc[0], order[best], raw[best], float(np.linalg.norm(parts[:, best])), order[internal_best], internal[internal_best], order[near].tolist(), span.shape[1], min(1.0, found))
+        return pd.DataFrame([row], columns=names)
+
+    schema = T.StructType([T.StructField(key, modes.schema[key].dataType), *T.StructType.fromDDL("best_mode int, best_overlap double, best_amplitude double, internal_best_mode int, internal_best_overlap double, near_modes array<int>, near_rank int, near_overlap double").fields])
+    return modes.groupBy(key).cogroup(structures.select(key, coordinates).groupBy(key)).applyInPandas(solve, schema)
+
+
+def eigenvalue_clusters(modes: DataFrame, key: str, ratio: float = 1.2) -> DataFrame:
+    """Append ``cluster`` (from 1): neighbouring modes whose eigenvalues are within ``ratio`` of the one before."""
+    w = Window.partitionBy(key).orderBy("mode")
+    fresh = F.coalesce((F.col("eigenvalue") > ratio * F.lag("eigenvalue").over(w)).cast("int"), F.lit(1))
+    return modes.withColumn("cluster", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+
+
+def cluster_overlaps(clustered: DataFrame, key: str, axis: DataFrame) -> DataFrame:
+    """(key, cluster, first_mode, n_modes, overlap): the part of a one-row unit axis in each cluster's span.
+
+    Modes are orthonormal, so the squared products add up, whatever basis of the cluster they are.
+    """
+    d = dot(F.col("vector"), F.col("axis"))
+    return clustered.crossJoin(F.broadcast(axis)).groupBy(key, "cluster").agg(F.min("mode").alias("first_mode"), F.count(F.lit(1)).cast("int").alias("n_modes"), F.sqrt(F.sum(d * d)).alias("overlap"))

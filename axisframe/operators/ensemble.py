@@ -202,3 +202,91 @@ def first_as_reference(frame: DataFrame, keys: list[str], order: list[str], valu
     """``change``: each value less the first of its group."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return frame.withColumn("change", F.col(value) - F.first(value).over(w))
+
+
+def _cluster_sums(frame: DataFrame, cluster: str, vector: str, first: Column, second: Column) -> DataFrame:
+    """(c, a, b, na, nb): each cluster's summed vectors and counts of either state."""
+    x = F.col("x").cast("double")
+    long = frame.select(F.col(cluster).alias("c"), first.alias("a"), second.alias("b"), F.posexplode(vector).alias("pos", "x")).where("a or b")
+    sums = long.groupBy("c", "pos").agg(F.sum(F.when(F.col("a"), x).otherwise(0.0)).alias("sa"), F.sum(F.when(F.col("b"), x).otherwise(0.0)).alias("sb"), F.count_if("a").alias("na"), F.count_if("b").alias("nb"))
+    per = sums.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "sa", "sb"))).alias("v"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return per.select("c", F.transform("v", lambda s: s["sa"]).alias("a"), F.transform("v", lambda s: s["sb"]).alias("b"), "na", "nb")
+
+
+def leave_one_out_axes(frame: DataFrame, cluster: str, vector: str, first: Column, second: Column, along: DataFrame | None = None) -> DataFrame:
+    """The state axis without each cluster in turn: cluster, status, n_first, n_second, axis, to_whole, to_along.
+
+    ``cluster`` is an id (one row left out at a time) or a study (all its rows). Sums of vectors are taken once, so a
+    cluster costs one subtraction. ``to_whole`` is the cosine with the axis of all rows, ``to_along`` the magnitude of
+    the product with a one-row unit ``axis``. Without rows of both states left, status is ``one state`` and the rest
+    null; counts are of the rows left. A null cluster is one of its own; vectors are of one length.
+    """
+    per = _cluster_sums(frame, cluster, vector, first, second)
+    long = per.select("na", "nb", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "s"))
+    summed = long.groupBy("pos").agg(F.sum("s.a").alias("ta"), F.sum("s.b").alias("tb"), F.sum("na").alias("ka"), F.sum("nb").alias("kb"))
+    total = summed.agg(F.array_sort(F.collect_list(F.struct("pos", "ta", "tb"))).alias("t"), F.max("ka").alias("ka"), F.max("kb").alias("kb"))
+    total = total.select(F.transform("t", lambda s: s["ta"]).alias("ta"), F.transform("t", lambda s: s["tb"]).alias("tb"), "ka", "kb")  # one row
+    met = per.crossJoin(F.broadcast(total))
+    left_a, left_b = F.col("ka") - F.col("na"), F.col("kb") - F.col("nb")
+    zipped = F.arrays_zip("ta", "a", "tb", "b")
+    gap = F.transform(zipped, lambda s: (s["ta"] - s["a"]) / left_a - (s["tb"] - s["b"]) / left_b)
+    whole = F.zip_with("ta", "tb", lambda x, y: x / F.col("ka") - y / F.col("kb"))
+    both = (left_a > 0) & (left_b > 0)
+    out = met.withColumns({"n_first": left_a, "n_second": left_b, "left": F.when(both, unit(gap)), "all": F.when((F.col("ka") > 0) & (F.col("kb") > 0), unit(whole))})
+    out = out.select(F.col("c").alias(cluster), F.when(both, "ok").otherwise("one state").alias("status"), "n_first", "n_second", F.col("left").alias("axis"), dot(F.col("left"), F.col("all")).alias("to_whole"))
+    if along is None:
+        return out.withColumn("to_along", F.lit(None).cast("double"))
+    fixed = along.select(F.col("axis").alias("fixed"))
+    return out.crossJoin(F.broadcast(fixed)).withColumn("to_along", F.abs(dot(F.col("axis"), F.col("fixed")))).drop("fixed")
+
+
+def row_products(frame: DataFrame, id_column: str, vector: str, *, block: int = 1024) -> DataFrame:
+    """(i, j, g) with i <= j: products of centred vectors of rows i and j by order of their ids, for few long vectors.
+
+    Vectors are cut into blocks of components; a task holds a block of all rows, centres it, and sends one matrix of
+    the rows' size, so the length of the vectors sets the number of tasks and not their memory.
+    """
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / block).cast("int")), lambda i: F.slice(vector, i * block + 1, F.lit(block)))
+    parts = frame.select(F.col(id_column).alias("id"), F.posexplode(cuts).alias("block", "v"))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("id")["v"].to_list()).astype(float)
+        x = x - x.mean(axis=0)
+        g = x @ x.T
+        i, j = np.triu_indices(len(g))
+        return pd.DataFrame({"i": i, "j": j, "g": g[i, j]})
+
+    return parts.groupBy("block").applyInPandas(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
+def subensemble_scores(frame: DataFrame, id_column: str, vector: str, k: int, *, block: int = 1024) -> DataFrame:
+    """(id, component, score, variance_ratio): components of these rows alone, each positive for the row of least id.
+
+    Rows no more than components take the way of ``row_products`` (an eigenproblem of the rows' size), more rows that
+    of ``covariance``; the scores are the same. A score of exactly 0 at the first row leaves a component as it is; ids
+    are distinct. Components beyond the rank are left out.
+    """
+    size = frame.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    if not size["n"]:
+        return frame.select(id_column, F.lit(0).alias("component"), F.lit(0.0).alias("score"), F.lit(0.0).alias("variance_ratio"))
+    if size["n"] > size["d"]:
+        parts = principal_components(frame, vector, k).where("variance_ratio > 1e-12")
+        scores = component_scores(frame, id_column, vector, parts).join(F.broadcast(parts.select("component", "variance_ratio")), "component")
+        lead = scores.groupBy("component").agg(F.min_by("score", id_column).alias("lead"))
+        turned = F.when(F.col("lead") < 0, -F.col("score")).otherwise(F.col("score"))
+        return scores.join(F.broadcast(lead), "component").select(id_column, "component", turned.alias("score"), "variance_ratio")
+    cells = row_products(frame, id_column, vector, block=block).collect()  # of the smaller side's size
+    matrix = np.zeros((size["n"], size["n"]))
+    for r in cells:
+        matrix[r.i, r.j] = matrix[r.j, r.i] = r["g"]
+    values, vectors = np.linalg.eigh(matrix)
+    ids = [r[0] for r in frame.select(id_column).orderBy(id_column).collect()]
+    rows, total = [], float(values.clip(0).sum())
+    for c in range(min(k, len(values))):
+        value, own = float(values[-1 - c]), vectors[:, -1 - c]
+        if value <= 1e-12 * total:
+            break
+        own = own * np.sqrt(value) * (-1.0 if own[0] < 0 else 1.0)
+        rows += [(i, c + 1, float(s), value / total) for i, s in zip(ids, own, strict=True)]
+    schema = T.StructType([T.StructField(id_column, frame.schema[id_column].dataType), *T.StructType.fromDDL("component int, score double, variance_ratio double").fields])
+    return frame.sparkSession.createDataFrame(rows, schema)

@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axisframe.functions.vectors import dot
+from axisframe.operators.geometry import rigid_directions
 
 
 def subspace_draws(spark: SparkSession, basis: np.ndarray, n: int, seed: int, parts: int = 8) -> DataFrame:
@@ -119,3 +121,116 @@ def set_percentiles(frame: DataFrame, position: str, value: str, members: DataFr
         one = universe.join(ranked, "v").join(named, "p").groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.avg("pct").alias("percentile")).withColumn("universe", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.select("set", "universe", "n", "percentile")
+
+
+def rotation_basis(points: np.ndarray, moving: np.ndarray, axis: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Three orthonormal columns that span the small rotations of the moving points about a pivot, less whole-body motion.
+
+    The pivot is the moving points' centroid dropped on the frozen axis. The rotations are about the axis, about the
+    direction from it to the first moving point off it, and about the third direction; they are whitened symmetrically,
+    so the columns turn with the structure.
+    """
+    along = axis / np.linalg.norm(axis)
+    pivot = point + along * ((points[moving].mean(axis=0) - point) @ along)
+    radial = points[moving] - pivot
+    radial = radial - np.outer(radial @ along, along)
+    off = np.flatnonzero(np.linalg.norm(radial, axis=1) > 1e-9)
+    if len(moving) < 3 or not len(off):
+        raise ValueError("three moving points are needed, not all on the axis")
+    across = radial[off[0]] / np.linalg.norm(radial[off[0]])
+    fields = np.zeros((3, *points.shape))
+    for field, about in zip(fields, (along, across, np.cross(along, across)), strict=True):
+        field[moving] = np.cross(about, points[moving] - pivot)
+    inside = fields.reshape(3, -1).T
+    whole = rigid_directions(points)
+    inside = inside - whole @ (whole.T @ inside)
+    size, turn = np.linalg.eigh(inside.T @ inside)
+    if size[0] <= 1e-12 * size[-1]:
+        raise ValueError("the rotations are not independent of whole-body motion")
+    return inside @ (turn / np.sqrt(size)) @ turn.T
+
+
+def rotation_null(frame: DataFrame, key: str, coordinates: str, moving: list[int], axis: str, point: str, direction: str, n: int, seed: int) -> DataFrame:
+    """(key, draw, status, coefficients, overlap): directions drawn uniformly in each structure's ``rotation_basis``.
+
+    ``overlap`` is the magnitude of a draw's product with the structure's direction (a flat array), whole-body motion
+    taken out of it and unit length given to it. Draw -1 is the rotation about the frozen axis itself. Draws are the
+    coefficients' alone: a structure that is turned with its axis and direction has the same rows. Structures without
+    such a basis, or without a direction inside, have one row with a status and nulls.
+    """
+    at = np.asarray(moving, dtype=int)
+    names = ["draw", "status", "coefficients", "overlap"]
+
+    def run(batches):
+        drawn = np.stack([np.random.default_rng([seed, i]).standard_normal(3) for i in range(n)]) if n else np.zeros((0, 3))
+        drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
+        for pdf in batches:
+            for name, *given in zip(pdf[key], *(pdf[c] for c in (coordinates, axis, point, direction)), strict=True):
+                points, about, through, along = (np.asarray(v, dtype=float) for v in given)
+                points = points.reshape(-1, 3)
+                try:
+                    basis = rotation_basis(points, at, about, through)
+                except ValueError as error:
+                    yield pd.DataFrame({key: [name], "draw": [-1], "status": [str(error)], "coefficients": [None], "overlap": [None]})
+                    continue
+                whole = rigid_directions(points)
+                inside = along - whole @ (whole.T @ along)
+                size = np.linalg.norm(inside)
+                if size <= 1e-9:
+                    yield pd.DataFrame({key: [name], "draw": [-1], "status": ["no direction inside"], "coefficients": [None], "overlap": [None]})
+                    continue
+                centre = points[at].mean(axis=0)
+                tangent = np.zeros_like(points)
+                tangent[at] = np.cross(about, points[at] - (through + about * ((centre - through) @ about) / (about @ about)))
+                own = basis.T @ tangent.ravel()
+                rows = np.vstack((own / np.linalg.norm(own), drawn))
+                yield pd.DataFrame({key: [name] * len(rows), "draw": np.arange(-1, n), "status": "ok", "coefficients": list(rows), "overlap": np.abs(rows @ (basis.T @ inside)) / size})
+
+    schema = T.StructType([T.StructField(key, frame.schema[key].dataType), *T.StructType.fromDDL("draw int, status string, coefficients array<double>, overlap double").fields])
+    return frame.select(key, coordinates, axis, point, direction).mapInPandas(run, schema).select(key, *names)
+
+
+def permuted_null(frame: DataFrame, key: str, direction: str, along: list[float], n: int, seed: int) -> DataFrame:
+    """(key, draw, overlap): each direction with its own components dealt anew, against a fixed one; draw -1 is as it is.
+
+    A draw keeps every component's value, so its marginals are the direction's own. The permutation is a function of
+    the seed, the draw and the number of components alone.
+    """
+    fixed = np.asarray(along, dtype=float)
+    fixed = fixed / np.linalg.norm(fixed)
+    block = 256
+
+    def run(batches):
+        deals: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            for name, vector in zip(pdf[key], pdf[direction], strict=True):
+                own = np.asarray(vector, dtype=float)
+                size = np.linalg.norm(own)
+                found = [np.array([own @ fixed])]
+                for low in range(0, n, block):
+                    if (low, len(own)) not in deals:
+                        deals[low, len(own)] = np.random.default_rng([seed, low, len(own)]).random((block, len(own))).argsort(axis=1, kind="stable")
+                    found.append(own[deals[low, len(own)][: min(block, n - low)]] @ fixed)
+                overlaps = np.abs(np.concatenate(found)) / size if size else np.full(n + 1, np.nan)
+                yield pd.DataFrame({key: [name] * (n + 1), "draw": np.arange(-1, n), "overlap": overlaps})
+
+    schema = T.StructType([T.StructField(key, frame.schema[key].dataType), *T.StructType.fromDDL("draw int, overlap double").fields])
+    return frame.select(key, direction).mapInPandas(run, schema)
+
+
+def marginal_null(frame: DataFrame, key: str, dimension: str, n: int, seed: int) -> DataFrame:
+    """(key, draw, overlap): overlaps of uniform directions of ``dimension`` components with any fixed one.
+
+    Drawn from their exact law, a normal component over its length with the others' chi-square, and so at the same
+    cost in any dimension. One component alone always overlaps fully. Draws depend on the seed and the dimension.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for name, d in zip(pdf[key], pdf[dimension].astype(int), strict=True):
+                random = np.random.default_rng([seed, d])
+                a, rest = random.standard_normal(n), random.chisquare(d - 1, n) if d > 1 else np.zeros(n)
+                yield pd.DataFrame({key: [name] * n, "draw": np.arange(n), "overlap": np.abs(a) / np.sqrt(a**2 + rest)})
+
+    schema = T.StructType([T.StructField(key, frame.schema[key].dataType), *T.StructType.fromDDL("draw int, overlap double").fields])
+    return frame.select(key, dimension).mapInPandas(run, schema)

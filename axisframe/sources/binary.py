@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import struct
 import zipfile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed values of the formats.
 VOXELS = {0: "<i1", 1: "<i2", 2: "<f4", 6: "<u2"}
@@ -37,6 +39,53 @@ def npz_arrays(archives: DataFrame, members: list[str]) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, "path string, name string, shape array<int>, values array<double>")
 
 
+def _zip_members(path: str, content: bytes, members: list[str], folder: str) -> list[bytes]:
+    """These members of a ZIP, read where its directory says they lie."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        found = [i for i in z.infolist() if not i.is_dir()]
+        out = []
+        for member in members:
+            own = [i for i in found if i.filename == folder + member]
+            if len(own) != 1:
+                raise ValueError(f"{path} holds {folder}{member} {len(own)} times")
+            if own[0].flag_bits & 1:
+                raise ValueError(f"{path}: {folder}{member} is encrypted")
+            out.append(z.read(own[0]))
+    return out
+
+
+def bundle_arrays(files: DataFrame, members: list[str], *, folder: str = "data/") -> DataFrame:
+    """(bundle, member, name, shape, values in row order) of the arrays of bundles, whichever way each is laid out.
+
+    ``files`` has (path, content). A bundle is a directory ``<bundle>/data/...`` or a ZIP ``<bundle>.zip`` of the same
+    files. Of each,
+    exactly the named ``members`` are read, from the archive in place; a member that is missing or there twice, an
+    encrypted one, or one bundle in both layouts is an error, other files are passed over. A member is one array
+    (``.npy``, whose name is the member's) or several (``.npz``).
+    """
+    inside = "|".join(re.escape(m) for m in members)
+    zipped = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+    plain = F.regexp_extract("path", rf"([^/]+)/{re.escape(folder)}(?:{inside})$", 1)
+    member = F.regexp_extract("path", rf"[^/]+/{re.escape(folder)}({inside})$", 1)
+    files = files.select("path", zipped.alias("zip"), plain.alias("plain"), member.alias("member"), "content").where("zip <> '' or plain <> ''")
+    named = files.select(F.when(F.col("zip") != "", F.col("zip")).otherwise(F.col("plain")).alias("bundle"), (F.col("zip") != "").alias("is_zip"), "path", "member", "content")
+    whole = F.count_if(F.col("is_zip")) * len(members) + F.count_if(~F.col("is_zip"))
+    said = F.concat(F.lit("bundle "), F.col("bundle"), F.lit(" has "), whole.cast("string"), F.lit(f" of {len(members)} members"))
+    checked = named.groupBy("bundle").agg(F.when((whole == len(members)) & (F.count_distinct("member", "is_zip") <= len(members)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")).alias("whole"))
+
+    def run(batches):
+        for pdf in batches:
+            for bundle, is_zip, where, member, content in zip(*(pdf[c] for c in ("bundle", "is_zip", "path", "member", "content")), strict=True):
+                parts = zip(members, _zip_members(where, content, members, folder), strict=True) if is_zip else [(member, content)]
+                for name, raw in parts:
+                    loaded = np.load(io.BytesIO(raw), allow_pickle=False)
+                    arrays = {name.removesuffix(".npy"): loaded} if isinstance(loaded, np.ndarray) else {n: loaded[n] for n in loaded.files}
+                    yield pd.DataFrame({"bundle": bundle, "member": name, "name": list(arrays), "shape": [list(a.shape) for a in arrays.values()], "values": [a.astype(float).ravel() for a in arrays.values()]})
+
+    rows = named.join(checked, "bundle").where("whole").select("bundle", "is_zip", "path", "member", "content")
+    return rows.mapInPandas(run, "bundle string, member string, name string, shape array<int>, values array<double>")
+
+
 def map_header(raw: bytes) -> dict:
     """The header of a density map."""
     if len(raw) < 1024:
