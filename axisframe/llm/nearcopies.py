@@ -3,8 +3,9 @@
 Two sets with a Jaccard similarity of 4/5 or more share a member among the first n // 5 + 1 of each, in any order
 common to all, so documents meet in blocks by those members. The order puts members of rarely hit hash slots first:
 common lines seldom bring documents together. In a block, each fingerprint has its Hamming distances to reference
-fingerprints (fixed pivots, and the member nearest to the block's majority); pairs with a larger difference in any
-coordinate than ``BITS`` are discarded, survivors are verified bit by bit and then by their whole shingle sets.
+fingerprints (fixed pivots, and the member nearest to the block's majority); pairs of larger sets with a larger
+difference in any coordinate than ``BITS`` are discarded, survivors are verified bit by bit, and these and all pairs
+of small sets by their whole shingle sets.
 
 Links are sought in three steps, so that a large group costs little more than its size: first each block's stars of
 some hubs and neighbours along the pivot coordinates; then, in blocks that these links leave in several components,
@@ -25,8 +26,11 @@ from axisframe.llm.common import written
 from axisframe.llm.graph import components
 
 WIDTH = 5
-#: Fingerprints of sets with a similarity of 4/5 differ in 10 of 64 bits on average, with a standard deviation of 3.
-BITS = 20
+#: Fingerprints of large sets with a similarity of 4/5 differ in 10 of 64 bits on average, with a standard deviation of
+#: 2.9; more than 32 bits are 7.8 of them, about one pair in 10^11 at the very limit.
+BITS = 32
+#: Sets of up to so many shingles are not judged by their fingerprints, which few shingles decide.
+SMALL = 64
 #: Members of a block that every other is compared with first.
 HUBS = 4
 #: Blocks beyond this are cut into tiles; in the last step tiles are compared two by two.
@@ -161,9 +165,10 @@ class _Block:
         nx, ny = self.n[x], self.n[y]
         left = np.minimum(nx - self.at[x], ny - self.at[y])
         alive = np.flatnonzero((5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (9 * left >= 4 * (nx + ny)) & (self.s[x] != self.s[y]))
+        most = np.where(np.minimum(nx, ny) <= SMALL, 64, BITS)
         for p in range(table.shape[1]):
-            alive = alive[np.abs(table[x[alive], p] - table[y[alive], p]) <= BITS]
-        return alive[np.bitwise_count(self.fp[x[alive]] ^ self.fp[y[alive]]) <= BITS]
+            alive = alive[np.abs(table[x[alive], p] - table[y[alive], p]) <= most[alive]]
+        return alive[np.bitwise_count(self.fp[x[alive]] ^ self.fp[y[alive]]) <= most[alive]]
 
     def table(self, references: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.fp[:, None] ^ references[None, :]).astype(np.int8)
@@ -210,10 +215,10 @@ class _Block:
         """Every pair of different components."""
         table = self.table(np.concatenate((self.fp[self.hubs(np.arange(len(self.s)))[:1]], PIVOTS)))
         order = np.argsort(table[:, 0], kind="stable")
-        found = []
+        reach, found = 64 if (self.n <= SMALL).any() else BITS, []
         for low in range(0, len(order), 256):
             rows = order[low : low + 256]
-            end = np.searchsorted(table[order, 0], table[rows, 0].max() + BITS, side="right")
+            end = np.searchsorted(table[order, 0], int(table[rows, 0].max()) + reach, side="right")
             i, j = np.nonzero(self.root[rows][:, None] != self.root[order[low:end]][None, :])
             found.append(self.pairs(rows[i], order[low:end][j], table))
         return np.concatenate(found)
@@ -297,8 +302,9 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
     ``s`` names a set of shingles, so exact copies are one node; ``least`` is the least of its rows (those without an
     id last): their id ``d`` and ``k``, a hash of id and text, by which a row is known. Wordless texts have one set.
-    A pair of similar sets whose fingerprints differ in more than ``BITS`` of 64 bits is lost (about 1 in 1,000 of
-    pairs at the very limit of similarity); no other is. An empty table gives no rows.
+    Sets of up to ``SMALL`` shingles lose no link. Of larger ones a pair is lost whose fingerprints differ in more than
+    ``BITS`` of 64 bits (at the very limit of similarity about one in 10^11); no other is. Sets and rows go
+    by 64-bit hashes. An empty table gives no rows.
     """
     keyed = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     with _small_batches(docs.sparkSession):
