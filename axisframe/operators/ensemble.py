@@ -204,7 +204,7 @@ def first_as_reference(frame: DataFrame, keys: list[str], order: list[str], valu
     return frame.withColumn("change", F.col(value) - F.first(value).over(w))
 
 
-def _cluster_sums(frame: DataFrame, cluster: str, vector: str, first: Column, second: Column) -> DataFrame:
+def cluster_sums(frame: DataFrame, cluster: str, vector: str, first: Column, second: Column) -> DataFrame:
     """(c, a, b, na, nb): each cluster's summed vectors and counts of either state."""
     x = F.col("x").cast("double")
     long = frame.select(F.col(cluster).alias("c"), first.alias("a"), second.alias("b"), F.posexplode(vector).alias("pos", "x")).where("a or b")
@@ -221,7 +221,7 @@ def leave_one_out_axes(frame: DataFrame, cluster: str, vector: str, first: Colum
     the product with a one-row unit ``axis``. Without rows of both states left, status is ``one state`` and the rest
     null; counts are of the rows left. A null cluster is one of its own; vectors are of one length.
     """
-    per = _cluster_sums(frame, cluster, vector, first, second)
+    per = cluster_sums(frame, cluster, vector, first, second)
     long = per.select("na", "nb", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "s"))
     summed = long.groupBy("pos").agg(F.sum("s.a").alias("ta"), F.sum("s.b").alias("tb"), F.sum("na").alias("ka"), F.sum("nb").alias("kb"))
     total = summed.agg(F.array_sort(F.collect_list(F.struct("pos", "ta", "tb"))).alias("t"), F.max("ka").alias("ka"), F.max("kb").alias("kb"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axisframe.store import written
+
 from axisframe.operators.gates import require_same_keys, require_unique
 
 
@@ -93,11 +95,38 @@ def typed_contacts(pairs: DataFrame, labels: DataFrame, id_column: str, label: s
     return joined.withColumn("contact_class", F.concat_ws("-", F.least("_li", "_lj"), F.greatest("_li", "_lj"))).drop("_li", "_lj")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, distance: Column, cutoff: float) -> DataFrame:
-    """Per left row: its nearest right row (ties to the smaller id), the distance, and how many lie within cutoff."""
-    met = left.crossJoin(right).withColumn("_d", distance)
-    best = F.min(F.struct(F.col("_d"), F.col(right_id)))
-    return met.groupBy(left_id).agg(best[right_id].alias("nearest_id"), best["_d"].alias("min_distance"), F.count_if(F.col("_d") <= cutoff).alias("n_within"))
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coordinates: list[tuple[str, str]], cutoff: float) -> DataFrame:
+    """Per left row: its nearest right row (ties to the smaller id), the distance, and how many lie within cutoff.
+
+    Points meet in cells of side ``cutoff`` and their neighbours; rows whose nearest is not surely among those go on to
+    cells four times as large, and so on, so only far-off rows meet many others. Rows without a coordinate are left
+    out; ids are distinct. An empty right side gives no rows.
+    """
+    n = len(coordinates)
+    a = left.select(F.col(left_id).alias("id"), *[F.col(c[0]).cast("double").alias(f"a_x{i}") for i, c in enumerate(coordinates)]).dropna()
+    b = right.select(F.col(right_id).alias("to"), *[F.col(c[1]).cast("double").alias(f"b_x{i}") for i, c in enumerate(coordinates)]).dropna()
+    spans = [x.agg(*[f(c) for c in x.columns[1:] for f in (F.min, F.max)]).first() for x in (a, b)]
+    empty = a.select(F.col("id").alias(left_id)).limit(0).crossJoin(b.select(F.col("to").alias("nearest_id")).limit(0)).select(left_id, "nearest_id", F.lit(0.0).alias("min_distance"), F.lit(0).cast("long").alias("n_within"))
+    if any(v is None for s in spans for v in s):
+        return empty
+    extent = max(max(s[2 * i + 1] for s in spans) - min(s[2 * i] for s in spans) for i in range(n))
+    side, found, left_over = float(cutoff), empty, a.withColumn("near", F.lit(None).cast("long"))
+    while True:
+        here = left_over
+        for i in range(n):
+            here = here.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"a_x{i}") / side).cast("long") + d for d in (-1, 0, 1)])))
+        there = b.withColumns({f"c{i}": F.floor(F.col(f"b_x{i}") / side).cast("long") for i in range(n)})
+        met = here.join(there, [f"c{i}" for i in range(n)]).withColumn("d", _apart(n))
+        best = met.groupBy("id").agg(F.min(F.struct("d", "to")).alias("best"), F.count_if(F.col("d") <= cutoff).alias("k"))
+        # the first cells hold all that lies within the cutoff
+        tried = written(left_over.join(best, "id", "left").withColumn("near", F.coalesce("near", "k", F.lit(0))).drop("k"), "nearest")
+        last = side >= extent
+        sure = F.lit(last) | F.coalesce(F.col("best.d") <= side, F.lit(False))
+        found = found.union(tried.where(sure).select(F.col("id").alias(left_id), "best.to", "best.d", "near"))
+        left_over = tried.where(~sure).drop("best")
+        if last or left_over.isEmpty():
+            return found
+        side *= 4
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: int, keys: list[str] = ()) -> DataFrame:

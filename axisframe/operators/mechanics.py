@@ -30,7 +30,7 @@ def spring_table(nodes: DataFrame, conditions: DataFrame) -> DataFrame:
     r = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
     pairs = a.join(b, "system").where("a_node < b_node").withColumn("r", r)
     kind = F.when(F.col("a_body") != F.col("b_body"), "interface").otherwise(F.concat_ws("_", "a_body", "b_body"))
-    near = pairs.join(F.broadcast(conditions), "system").where((F.col("r") > 1e-6) & (F.col("r") <= F.col("cutoff")))
+    near = pairs.join(conditions, "system").where((F.col("r") > 1e-6) & (F.col("r") <= F.col("cutoff")))
     weight = F.when(F.col("weighting") == "inverse_square", (_REFERENCE / F.col("r")) ** 2).otherwise(F.lit(1.0))
     return near.select("condition", F.col("a_node").alias("i"), F.col("b_node").alias("j"), "r", weight.alias("weight"), kind.alias("edge_type"))
 
@@ -157,7 +157,7 @@ def partner_states(springs: DataFrame, nodes: DataFrame, conditions: DataFrame,
     ``nodes`` also has dx, dy, dz, the direction of the receptor's nodes. A condition that can't be solved has a
     status other than ok and null numbers; it never stops the others.
     """
-    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
+    placed = nodes.join(conditions.select(F.col("condition").alias("placed_in"), "system"), "system")
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         rows, c = [], None
@@ -185,7 +185,7 @@ def _groups(edges: pd.DataFrame, points: pd.DataFrame) -> dict[str, np.ndarray]:
 
 def _solved_groups(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, singular: str, schema: str, each) -> DataFrame:
     """each(condition, ready, springs) rows of every (condition, group, state); a state that can't be solved says why."""
-    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
+    placed = nodes.join(conditions.select(F.col("condition").alias("placed_in"), "system"), "system")
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
@@ -238,26 +238,38 @@ def role_deltas(effects: DataFrame, value: str = "d_g") -> DataFrame:
 
 
 def order_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame, *, tolerance: float = 1e-8) -> DataFrame:
-    """(condition, softer, stiffer, min_eigenvalue, threshold, passed): a freer partner never stiffens the receptor.
+    """(condition, softer, stiffer, status, passed): a freer partner never makes the receptor stiffer, in any direction.
 
-    The smallest eigenvalue of the difference of two states' stiffness; unsolvable conditions have nulls.
+    ``ok`` where what the stiffer state has more, lifted by the tolerance times the larger of one and the stiffest
+    diagonal, has a Cholesky factor; ``violated`` where it has none; ``unsolvable``, with a null ``passed``, where one
+    of the states can't be worked out.
     """
-    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
+    placed = nodes.join(conditions.select(F.col("condition").alias("placed_in"), "system"), "system")
+    ladder = ("isolated", "flexible", "rigid", "fixed")
+
+    def judged(states: dict, softer: str, stiffer: str) -> str:
+        if states[softer] is None or states[stiffer] is None:
+            return "unsolvable"
+        lift = tolerance * max(1.0, *(states[s].diagonal().max() for s in (softer, stiffer)))
+        more = states[stiffer] - states[softer]
+        try:
+            np.linalg.cholesky(more + lift * np.eye(len(more)))
+        except np.linalg.LinAlgError:
+            return "violated"
+        return "ok"
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for softer, stiffer in (("isolated", "flexible"), ("flexible", "rigid"), ("rigid", "fixed")):
+        states: dict = dict.fromkeys(ladder)
+        for state in ladder:
             try:
-                c = _read(edges, points, "error")
-                low, high = c.stiffness(softer), c.stiffness(stiffer)
-                least = float(np.linalg.eigvalsh((high - low + (high - low).T) / 2)[0])
-                limit = -tolerance * max(1.0, float(np.abs(np.diag(low)).max()), float(np.abs(np.diag(high)).max()))
-                rows.append((key[0], softer, stiffer, least, limit, least >= limit))
+                states[state] = _read(edges, points, "error").stiffness(state)
             except (ValueError, np.linalg.LinAlgError):
-                rows.append((key[0], softer, stiffer, None, None, None))
-        return pd.DataFrame(rows, columns=["condition", "softer", "stiffer", "min_eigenvalue", "threshold", "passed"])
+                continue
+        rows = [(key[0], low, high, judged(states, low, high)) for low, high in zip(ladder, ladder[1:], strict=False)]
+        return pd.DataFrame(rows, columns=["condition", "softer", "stiffer", "status"])
 
-    return springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, softer string, stiffer string, min_eigenvalue double, threshold double, passed boolean")
+    checked = springs.groupBy("condition").cogroup(placed.groupBy("placed_in")).applyInPandas(solve, "condition string, softer string, stiffer string, status string")
+    return checked.withColumn("passed", F.when(F.col("status") != "unsolvable", F.col("status") == "ok"))
 
 
 def response_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -267,7 +279,7 @@ def response_checks(springs: DataFrame, nodes: DataFrame, conditions: DataFrame)
     ``gap`` is the residual over the sizes of stiffness, answer and push (a backward error, so that soft conditions
     are judged like stiff ones); null where the condition can't be solved.
     """
-    placed = nodes.join(F.broadcast(conditions.select(F.col("condition").alias("placed_in"), "system")), "system")
+    placed = nodes.join(conditions.select(F.col("condition").alias("placed_in"), "system"), "system")
 
     def solve(key, edges: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         rows = []

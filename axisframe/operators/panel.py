@@ -4,19 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-
-def mean_ranks(frame: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The frame with the value's mean rank in its group, from counts of equal values; null values have none.
-
-    Only distinct values are put in order, so a group of many rows and few values is small.
-    """
-    tallies = frame.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    below = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = tallies.select(*[F.col(k).alias(f"_by_{k}") for k in keys], "_v", (below + (F.col("_k") + 1) / 2).alias(name))
-    on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]
-    return frame.join(ranks, [*on, F.col(value) == F.col("_v")], "left").drop("_v", *[f"_by_{k}" for k in keys])
+from axisframe.operators.statistics import average_ranks
 
 
 def separation(frame: DataFrame, keys: list[str], positive: Column, metric: str, rank: str, target: str) -> DataFrame:
@@ -60,7 +49,7 @@ def confounds(frame: DataFrame, keys: list[str], metric: str, others: list[str])
     long = frame.select(*keys, F.col(metric).cast("double").alias("_m"), F.explode(F.map_from_arrays(F.array(*[F.lit(o) for o in others]), F.array(*[F.col(o).cast("double") for o in others]))).alias("confound", "_o"))
     long = long.where("_m is not null and _o is not null")
     groups = [*keys, "confound"]
-    ranked = mean_ranks(mean_ranks(long, groups, "_m", "_rm"), groups, "_o", "_ro")
+    ranked = average_ranks(average_ranks(long, groups, "_m", "_rm"), groups, "_o", "_ro")
     x, y = F.col("_rm"), F.col("_ro")
     n = F.count(F.lit(1))
     sxy = F.sum(x * y) - F.sum(x) * F.sum(y) / n

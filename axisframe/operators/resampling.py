@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisframe.functions.vectors import dot
+from axisframe.operators.ensemble import cluster_sums
 from axisframe.operators.geometry import rigid_directions
+from axisframe.operators.order import numbered
+from axisframe.store import written
 
 
 def subspace_draws(spark: SparkSession, basis: np.ndarray, n: int, seed: int, parts: int = 8) -> DataFrame:
@@ -31,61 +34,73 @@ def subspace_draws(spark: SparkSession, basis: np.ndarray, n: int, seed: int, pa
     return spark.range(0, n, 1, parts).withColumnRenamed("id", "draw").mapInPandas(run, "draw long, direction array<double>")
 
 
-def random_subspace_overlaps(spark: SparkSession, dimension: int, k: int, n: int, seed: int, parts: int = 8) -> DataFrame:
-    """(draw, rmsip): root mean square inner product of two random k-dimensional subspaces."""
+def random_subspace_overlaps(frame: DataFrame, key: str, dimension: str, k: str, n: int, seed: int) -> DataFrame:
+    """(key, draw, rmsip): root mean square inner product of two random subspaces, of each row's dimension and number of modes.
+
+    A uniform subspace against a fixed one has the law of two uniform ones, so only one is drawn: the first k rows of
+    k orthonormal columns. Draws depend on the seed, the dimension and k alone; k is at most the dimension.
+    """
 
     def run(batches):
+        known: dict[tuple[int, int], list[float]] = {}
         for pdf in batches:
-            out = []
-            for i in pdf["draw"]:
-                random = np.random.default_rng([seed, int(i)])
-                a, b = (np.linalg.qr(random.standard_normal((dimension, k)))[0] for _ in range(2))
-                out.append(float(np.sqrt(((a.T @ b) ** 2).sum() / k)))
-            yield pd.DataFrame({"draw": pdf["draw"], "rmsip": out})
+            for name, d, m in zip(pdf[key], pdf[dimension].astype(int), pdf[k].astype(int), strict=True):
+                if (d, m) not in known:
+                    drawn = (np.random.default_rng([seed, d, m, i]).standard_normal((d, m)) for i in range(n))
+                    known[d, m] = [float(np.sqrt((np.linalg.qr(x)[0][:m] ** 2).sum() / m)) for x in drawn]
+                yield pd.DataFrame({key: [name] * n, "draw": np.arange(n), "rmsip": known[d, m]})
 
-    return spark.range(0, n, 1, parts).withColumnRenamed("id", "draw").mapInPandas(run, "draw long, rmsip double")
+    schema = T.StructType([T.StructField(key, frame.schema[key].dataType), *T.StructType.fromDDL("draw long, rmsip double").fields])
+    return frame.select(key, dimension, k).mapInPandas(run, schema)
 
 
-def axis_resamples(frame: DataFrame, cluster: str, vector: str, is_first: str, n: int, seed: int, *, balanced: int | None = None) -> DataFrame:
+def axis_resamples(frame: DataFrame, cluster: str, vector: str, is_first: str, n: int, seed: int, *, balanced: int | None = None, block_rows: int = 256) -> DataFrame:
     """(draw, status, overlap): the state axis of resampled clusters against the axis of all rows.
 
     Clusters (ids for an entry bootstrap, studies for a cluster bootstrap) are drawn with replacement and come whole;
     with ``balanced``, that many clusters of each state alone are drawn without replacement. Clusters are known by
-    their order. A draw without both states has status ``one state`` and no overlap. Sums of each cluster's vectors
-    are what draws meet: one row a cluster, in blocks of draws.
+    their order. A draw without both states has status ``one state`` and no overlap.
+
+    Clusters are summed and numbered, and each ``block_rows`` of them are a task: how many of a draw fall to each
+    block comes from the same seeds everywhere, how often each cluster is taken from the block's own, and a draw is
+    the sum of the blocks' weighted sums.
     """
-    long = frame.select(F.col(cluster).alias("c"), F.col(is_first).alias("f"), F.posexplode(vector).alias("pos", "x"))
-    x = F.col("x").cast("double")
-    sums = long.groupBy("c", "pos").agg(F.sum(F.when(F.col("f"), x).otherwise(0.0)).alias("a"), F.sum(F.when(~F.col("f"), x).otherwise(0.0)).alias("b"), F.count_if(F.col("f")).alias("na"), F.count_if(~F.col("f")).alias("nb"))
-    per = sums.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b"))).alias("v"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    per = per.select("c", F.transform("v", lambda s: s["a"]).alias("a"), F.transform("v", lambda s: s["b"]).alias("b"), "na", "nb")
-    # every block of draws needs all clusters' sums: one task's work, of a row a cluster
-    blocks = frame.sparkSession.range(0, n, 64).withColumnRenamed("id", "block")
+    per = cluster_sums(frame, cluster, vector, F.col(is_first), ~F.col(is_first)).where("c is not null")
+    pure = [(F.col("na") > 0) & (F.col("nb") == 0), (F.col("nb") > 0) & (F.col("na") == 0)]
+    placed = numbered(per, [F.col("c")], "at").withColumn("block", F.floor(F.col("at") / block_rows).cast("int"))
+    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if(pure[0]).alias("a"), F.count_if(pure[1]).alias("b")).orderBy("block").collect()  # three numbers a block
+    blocks = [np.array([r[c] for r in sizes], dtype=np.int64) for c in ("n", "a", "b")]
+
+    def weights(draw: int, block: int, own: int, pools: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(own)
+        if balanced is None:
+            share = np.random.default_rng([seed, draw]).multinomial(blocks[0].sum(), blocks[0] / blocks[0].sum())[block]
+            return np.random.default_rng([seed, draw, block]).multinomial(share, np.full(own, 1 / own)).astype(float)
+        for state, pool in enumerate(pools):
+            if blocks[1 + state].sum() >= balanced:
+                share = np.random.default_rng([seed, draw, state]).multivariate_hypergeometric(blocks[1 + state], balanced, method="marginals")[block]
+                out[np.random.default_rng([seed, draw, state, block]).permutation(pool)[:share]] = 1.0
+        return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
         block = int(pdf["block"].iloc[0])
-        pdf = pdf.sort_values("c")
-        a, b = np.stack(pdf["a"].to_list()).astype(float), np.stack(pdf["b"].to_list()).astype(float)
-        na, nb = pdf["na"].to_numpy(float), pdf["nb"].to_numpy(float)
-        whole = a.sum(axis=0) / na.sum() - b.sum(axis=0) / nb.sum() if na.sum() and nb.sum() else np.zeros(a.shape[1])
-        rows = []
-        for draw in range(block, min(n, block + 64)):
-            random = np.random.default_rng([seed, draw])
-            if balanced is None:
-                pick = random.integers(0, len(a), len(a))
-            else:
-                sides = [np.flatnonzero((na > 0) & (nb == 0)), np.flatnonzero((nb > 0) & (na == 0))]
-                pick = np.concatenate([random.choice(s, balanced, replace=False) if len(s) >= balanced else s[:0] for s in sides])
-            n_a, n_b = na[pick].sum(), nb[pick].sum()
-            if not n_a or not n_b:
-                rows.append((draw, "one state", None))
-                continue
-            axis = a[pick].sum(axis=0) / n_a - b[pick].sum(axis=0) / n_b
-            size = np.linalg.norm(axis) * np.linalg.norm(whole)
-            rows.append((draw, "ok", float(axis @ whole / size) if size else None))
-        return pd.DataFrame(rows, columns=["draw", "status", "overlap"])
-
-    return per.crossJoin(F.broadcast(blocks)).groupBy("block").applyInPandas(run, "draw long, status string, overlap double")
+        a, b = (np.stack(pdf[c].to_list()).astype(float) for c in ("a", "b"))
+        counts = pdf[["na", "nb"]].to_numpy(float)
+        pools = [np.flatnonzero((counts[:, i] > 0) & (counts[:, 1 - i] == 0)) for i in (0, 1)]
+        w = np.stack([np.ones(len(pdf)), *[weights(draw, block, len(pdf), pools) for draw in range(n)]])  # draw -1 is all rows
+        return pd.DataFrame({"draw": np.arange(-1, n), "a": list(w @ a), "b": list(w @ b), "na": w @ counts[:, 0], "nb": w @ counts[:, 1]})
+
+    parts = placed.select("block", "at", "a", "b", "na", "nb").groupBy("block").applyInPandas(run, "draw int, a array<double>, b array<double>, na double, nb double")
+    counts = parts.groupBy("draw").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    cells = parts.select("draw", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "s")).groupBy("draw", "pos").agg(F.sum("s.a").alias("a"), F.sum("s.b").alias("b"))
+    gaps = written(cells.join(counts, "draw").where("na > 0 and nb > 0").select("draw", "pos", (F.col("a") / F.col("na") - F.col("b") / F.col("nb")).alias("g")), "resampled-axes")
+    whole = gaps.where("draw = -1").select("pos", F.col("g").alias("w"))
+    size = F.sqrt(F.sum(F.col("g") * F.col("g")) * F.sum(F.col("w") * F.col("w")))
+    met = gaps.where("draw >= 0").join(whole, "pos").groupBy("draw").agg((F.sum(F.col("g") * F.col("w")) / F.nullif(size, F.lit(0.0))).alias("overlap"))
+    drawn = frame.sparkSession.range(n).select(F.col("id").cast("int").alias("draw"))
+    both = counts.where("na > 0 and nb > 0").select("draw", F.lit("ok").alias("status"))
+    return drawn.join(both, "draw", "left").join(met, "draw", "left").select("draw", F.coalesce("status", F.lit("one state")).alias("status"), "overlap")
 
 
 def subset_overlap(frame: DataFrame, vector: str, subsets: dict, k: int) -> DataFrame:

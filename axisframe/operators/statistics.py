@@ -79,9 +79,15 @@ def null_summary(frame: DataFrame, keys: list[str], value: str, observed: str) -
 
 
 def average_ranks(frame: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    below = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-    return frame.withColumn(name, below + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2)
+    """The frame with the value's rank in its group from 1, ties sharing their mean; null values have none.
+
+    Counts of equal values are put in order, not rows, so a large group of few values is small.
+    """
+    tallies = frame.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    below = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = tallies.select(*[F.col(k).alias(f"_by_{k}") for k in keys], "_v", (below + (F.col("_k") + 1) / 2).alias(name))
+    on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]
+    return frame.join(ranks, [*on, F.col(value) == F.col("_v")], "left").drop("_v", *[f"_by_{k}" for k in keys])
 
 
 def spearman(frame: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -280,12 +286,29 @@ def cluster_bootstrap(frame: DataFrame, keys: list[str], cluster: str, value: st
     return per.select(*keys, F.posexplode(means("_c")).alias("draw", "mean"))
 
 
-def matched_set_null(frame: DataFrame, id_column: str, value: str, chosen: Column, n_draws: int, seed: int) -> DataFrame:
-    """(observed, n_draws, mean, sd, p_add_one): the chosen rows' mean against sets of their size, drawn by a hash of the id."""
-    n = frame.agg(F.count_if(chosen).alias("k"), F.avg(F.when(chosen, F.col(value))).alias("o")).first()
-    draw = frame.sparkSession.range(n_draws).withColumnRenamed("id", "draw")
-    # the profile has some hundred positions; each draw ranks them by a hash of its own
-    ranked = frame.select(F.col(value).alias("v"), F.col(id_column).alias("p")).crossJoin(draw)
-    ranked = ranked.withColumn("h", F.xxhash64(F.lit(seed), "draw", "p")).withColumn("k", F.row_number().over(Window.partitionBy("draw").orderBy("h", "p")))
-    means = ranked.where(F.col("k") <= n["k"]).groupBy("draw").agg(F.avg("v").alias("m"))
-    return means.agg(F.lit(n["o"]).alias("observed"), F.count("m").alias("n_draws"), F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"), ((F.count_if(F.col("m") >= n["o"]) + 1) / (F.count("m") + 1)).alias("p_add_one"))
+def matched_set_null(frame: DataFrame, id_column: str, value: str, chosen: Column, n_draws: int, seed: int, *, block_rows: int = 4096) -> DataFrame:
+    """(observed, n_draws, null_mean, null_sd, p_add_one): the chosen rows' mean against sets of their size, drawn without return.
+
+    Rows are dealt into blocks by a hash of their ids. How many of a draw's rows come from each block is drawn for all
+    blocks at once, by the same seeds in every task; each block then draws its own. A draw is a sum over blocks, so no
+    task sees more than a block. Rows without a value take no part; ids are distinct.
+    """
+    rows = frame.where(F.col(value).isNotNull())
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(chosen).alias("k"), F.avg(F.when(chosen, F.col(value))).alias("o")).first()
+    blocks = max(1, -(-size["n"] // block_rows))
+    dealt = rows.select(F.pmod(F.xxhash64(F.lit(seed), id_column), F.lit(blocks)).cast("int").alias("block"), F.col(id_column).alias("p"), F.col(value).cast("double").alias("v"))
+    per_block = {r["block"]: r["count"] for r in dealt.groupBy("block").count().collect()}  # a number a block
+    sizes, k = np.array([per_block.get(b, 0) for b in range(blocks)], dtype=np.int64), int(size["k"] or 0)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        v = pdf.sort_values("p")["v"].to_numpy()
+        sums = np.zeros(n_draws)
+        for i in range(n_draws):
+            own = int(np.random.default_rng([seed, i]).multivariate_hypergeometric(sizes, k, method="marginals")[block])
+            sums[i] = v[np.random.default_rng([seed, i, block]).permutation(len(v))[:own]].sum()
+        return pd.DataFrame({"draw": np.arange(n_draws), "s": sums})
+
+    means = dealt.groupBy("block").applyInPandas(draw, "draw int, s double").groupBy("draw").agg((F.sum("s") / F.nullif(F.lit(k), F.lit(0))).alias("m"))
+    observed = F.lit(size["o"]).cast("double")
+    return means.agg(observed.alias("observed"), F.count("m").alias("n_draws"), F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"), ((F.count_if(F.col("m") >= observed) + 1) / (F.count("m") + 1)).alias("p_add_one"))

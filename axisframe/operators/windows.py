@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -106,22 +109,37 @@ def leave_one_out_mean(frame: DataFrame, keys: list[str], value: str) -> DataFra
     return frame.withColumn("mean_without", F.when(n > 1, (F.sum(value).over(w) - F.col(value)) / (n - 1)))
 
 
-def circular_shift(frame: DataFrame, position: str, value: str, member: Column) -> DataFrame:
-    """Mean inside minus mean outside for every rotation of the members, and the two-sided share as extreme.
+def circular_shift(frame: DataFrame, keys: list[str], position: str, value: str, member: Column) -> DataFrame:
+    """(keys, observed, n_shifts, p_two_sided): each chain's mean inside less that outside, against all its rotations.
 
-    The profile is one chain, some thousand positions long; its rotations are n x n rows that meet in sums.
+    A chain is one array of a task, all of its rotations one correlation with the members; chains spread over tasks.
+    Rotations without values on either side have no difference and don't count; a chain without members has no row.
     """
-    w = Window.orderBy(position)
-    chain = frame.select((F.row_number().over(w) - 1).alias("p"), F.col(value).alias("v"), member.alias("m"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    chain = chain.withColumn("n", n)
-    inside = chain.where("m").select(F.col("p").alias("q"))
-    turned = chain.select(F.col("p").alias("shift"), "n").join(inside).select("shift", F.pmod(F.col("q") + F.col("shift"), F.col("n")).alias("p"))
-    sums = turned.join(chain.select("p", "v"), "p").groupBy("shift").agg(F.sum("v").alias("s"), F.count("v").alias("k"))
-    total = chain.agg(F.sum("v").alias("t"), F.count("v").alias("c"))
-    gap = sums.crossJoin(F.broadcast(total)).select("shift", (F.col("s") / F.col("k") - (F.col("t") - F.col("s")) / (F.col("c") - F.col("k"))).alias("d"))
-    seen = gap.where("shift = 0").select(F.col("d").alias("observed"))
-    return gap.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.count(F.lit(1)).alias("n_shifts"), F.avg((F.abs("d") >= F.abs("observed") - 1e-12).cast("double")).alias("p_two_sided"))
+    names = ["observed", "n_shifts", "p_two_sided"]
+
+    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_p")
+        v, inside = pdf["_v"].to_numpy(float), pdf["_m"].to_numpy(bool)
+        if not inside.any():
+            return pd.DataFrame(columns=[*keys, *names])
+        known = ~np.isnan(v)
+        v = np.where(known, v, 0.0)
+        turned = np.conj(np.fft.rfft(inside.astype(float)))
+        sums = np.fft.irfft(np.fft.rfft(v) * turned, len(v))
+        counts = np.rint(np.fft.irfft(np.fft.rfft(known.astype(float)) * turned, len(v)))
+        rest = known.sum() - counts
+        good = (counts > 0) & (rest > 0)
+        safe = lambda x: np.where(good, x, 1.0)
+        gap = np.where(good, sums / safe(counts) - (v.sum() - sums) / safe(rest), np.nan)
+        observed = v[inside].sum() / counts[0] - v[~inside].sum() / rest[0] if good[0] else np.nan
+        least = abs(observed) - 1e-9 * max(1.0, np.abs(v).max())
+        share = float((np.abs(gap[good]) >= least).mean()) if good[0] else np.nan
+        return pd.DataFrame([(*key, observed, len(v), share)], columns=[*keys, *names])
+
+    rows = frame.select(*keys, F.col(position).alias("_p"), F.col(value).cast("double").alias("_v"), F.coalesce(member, F.lit(False)).alias("_m"))
+    schema = T.StructType([*[frame.schema[k] for k in keys], *T.StructType.fromDDL("observed double, n_shifts long, p_two_sided double").fields])
+    found = rows.groupBy(*keys).applyInPandas(test, schema)
+    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("observed", "p_two_sided")})
 
 
 def empty_middle(frame: DataFrame, keys: list[str], value: str, state: str, closed="closed", opened="open", low: float = 0.15, high: float = 0.85) -> DataFrame:

@@ -341,16 +341,25 @@ def _(spark, d):
     return g.withColumns({c: F.round(c, 6) for c in ("d_log_c", "d_log_mean", "d_log_s")})
 
 
-@query("stiffness_order", "select vec_id || '/' || c condition, softer, stiffer, false violated from embeddings, (values ('9.0/uniform'), ('12.0/inverse_square')) g(c), (values ('isolated', 'flexible'), ('flexible', 'rigid'), ('rigid', 'fixed')) s(softer, stiffer)")
+#: Partners with a loose atom: one of fewer than three springs leaves their flexible block singular.
+_LOOSE_SQL = """p as (select vec_id, i, [coalesce(embedding[3 * i + k]::double * 20, 0) for k in [1, 2, 3]] x from embeddings, range(0, 22) r(i)),
+    g(c, cut) as (values ('9.0/uniform', 9.0), ('12.0/inverse_square', 12.0)),
+    n as (select a.vec_id, c, a.i, count(*) filter (list_distance(a.x, b.x) > 1e-6 and list_distance(a.x, b.x) <= cut) k from p a join p b on a.vec_id = b.vec_id, g where a.i >= 12 group by all),
+    l as (select vec_id, c, min(k) < 3 loose from n group by all)"""
+
+
+@query("stiffness_order", f"with {_LOOSE_SQL} select vec_id || '/' || c condition, softer, stiffer, case when loose and 'flexible' in (softer, stiffer) then 'unsolvable' else 'ok' end status from l, (values ('isolated', 'flexible'), ('flexible', 'rigid'), ('rigid', 'fixed')) s(softer, stiffer)")
 def _(spark, d):
     nodes, grid = _network(spark, d)
-    return M.order_checks(M.spring_table(nodes, grid), nodes, grid).select("condition", "softer", "stiffer", F.coalesce(~F.col("passed"), F.lit(False)).alias("violated"))
+    return M.order_checks(M.spring_table(nodes, grid), nodes, grid).select("condition", "softer", "stiffer", "status")
 
 
-@query("static_response", "select vec_id || '/' || c condition, state, false apart from embeddings, (values ('9.0/uniform'), ('12.0/inverse_square')) g(c), (values ('rigid'), ('flexible')) s(state)")
+@query("static_response", f"with {_LOOSE_SQL} select vec_id || '/' || c condition, state, case when loose and state = 'flexible' then 'unsolvable' else 'ok' end status from l, (values ('rigid'), ('flexible')) s(state)")
 def _(spark, d):
     nodes, grid = _network(spark, d)
-    return M.response_checks(M.spring_table(nodes, grid), nodes, grid).select("condition", "state", F.coalesce(F.col("gap") > 1e-6, F.lit(False)).alias("apart"))
+    gap = F.col("gap")
+    status = F.when(gap.isNull(), "unsolvable").when(gap > 1e-6, "apart").otherwise("ok")
+    return M.response_checks(M.spring_table(nodes, grid), nodes, grid).select("condition", "state", status.alias("status"))
 
 
 @query("role_deltas")
@@ -364,15 +373,22 @@ def _(spark, d):
 # resampling and checks -----------------------------------------------------------------------------------------------
 @query("subspace_draws", "select i::bigint draw, 1.0::double norm, 0.0::double outside from range(0, 300) r(i)")
 def _(spark, d):
-    basis = np.eye(12)[:, :4]
+    """Draws in the span of the table's own first components: of unit length, and nothing of them outside."""
+    parts = E.principal_components(table(spark, d, "embeddings"), "embedding", 4)
+    basis = np.array([r.loading for r in parts.orderBy("component").collect()]).T
+    rest = np.eye(len(basis)) - basis @ basis.T
     out = R.subspace_draws(spark, basis, 300, 11)
     square = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return out.select("draw", r6(square(F.col("direction"))).alias("norm"), r6(square(F.slice("direction", 5, 8))).alias("outside"))
+    beyond = F.array(*[F.aggregate(F.zip_with("direction", F.array(*[F.lit(float(x)) for x in row]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for row in rest])
+    return out.select("draw", r6(square(F.col("direction"))).alias("norm"), r6(square(beyond)).alias("outside"))
 
 
 @query("random_subspace_null")
 def _(spark, d):
-    return R.random_subspace_overlaps(spark, 64, 5, 400, 5).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("rmsip")).alias("mean"), r6(F.stddev_samp("rmsip")).alias("sd"))
+    """Each label's vectors give the number of modes that its null has."""
+    e = table(spark, d, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).alias("dimension"), F.least(F.lit(8), F.count(F.lit(1))).cast("int").alias("k"))
+    null = R.random_subspace_overlaps(e, "label", "dimension", "k", 400, 5)
+    return null.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("rmsip")).alias("mean"), r6(F.stddev_samp("rmsip")).alias("sd"))
 
 
 @query("axis_bootstrap")

@@ -188,7 +188,7 @@ def test_states_effects_and_derivatives_against_reassembly(spark):
             assert abs(slopes[r.group_id, r.state].d_log_s - slope) < 1e-6 and slopes[r.group_id, r.state].n_springs == len(own)
             seen += 1
     assert seen == len(slopes) > 0
-    assert all(r.passed for r in M.order_checks(table, nodes, grid).collect())
+    assert all(r.passed and r.status == "ok" for r in M.order_checks(table, nodes, grid).collect())
     assert all(r.gap < 1e-8 for r in M.response_checks(table, nodes, grid).collect())
     d_g = M.central_difference(M.group_effects(table, nodes, grid, factors=(0.9, 1.1))).collect()
     by = {(r.group_id, r.state, r.factor): r.log_s for r in effects} | {(r.group_id, r.state, 0.9): r.log_s for r in effects if r.factor == 0.9}
@@ -304,13 +304,17 @@ def test_bootstrap_and_set_null(spark):
     for r in answer(spark, "cluster_bootstrap"):
         mean = np.mean([c.c_acctbal for c in customers if c.c_mktsegment == r.c_mktsegment])
         assert r.low < mean < r.high
-    r = answer(spark, "matched_set_null")[0]
-    s = spark.read.parquet(f"{SF}/supplier.parquet").collect()
-    k = sum(x.s_nationkey < 5 for x in s)
-    if k:
-        values = np.array([x.s_acctbal for x in s])
-        assert abs(r.observed - np.mean([x.s_acctbal for x in s if x.s_nationkey < 5])) < 1e-5
-        assert abs(r.null_mean - values.mean()) < 5 * values.std() / math.sqrt(k * 500) + 1e-6
+    values = np.random.default_rng(4).normal(size=60)
+    frame = spark.createDataFrame([*enumerate(map(float, values)), (60, None)], "i int, v double").repartition(3)
+    for block_rows in (7, 4096):
+        r = N.matched_set_null(frame, "i", "v", F.col("i") < 12, 2000, 7, block_rows=block_rows).first()
+        assert r.n_draws == 2000 and abs(r.observed - values[:12].mean()) < 1e-9
+        sd = values.std(ddof=1) * math.sqrt((1 - 12 / 60) / 12)  # without return
+        assert abs(r.null_mean - values.mean()) < 5 * sd / math.sqrt(2000) and abs(r.null_sd / sd - 1) < 0.08
+        assert np.allclose(r, N.matched_set_null(frame.repartition(5), "i", "v", F.col("i") < 12, 2000, 7, block_rows=block_rows).first())
+    assert N.matched_set_null(frame, "i", "v", F.col("i") < 60, 50, 7, block_rows=7).first().null_sd < 1e-9
+    none = N.matched_set_null(frame, "i", "v", F.lit(False), 50, 7).first()
+    assert none.observed is None and none.n_draws == 0
 
 
 # geometry ------------------------------------------------------------------------------------------------------------
@@ -420,8 +424,13 @@ def test_draws_do_not_depend_on_the_basis(spark):
     assert np.allclose(a, b)
     with pytest.raises(ValueError):
         R.subspace_draws(spark, 2 * basis, 3, 1)
-    r = answer(spark, "random_subspace_null")[0]
-    assert abs(r.mean - math.sqrt(5 / 64)) < 0.01
+    for r in answer(spark, "random_subspace_null"):
+        assert r.n == 400 and abs(r.mean - math.sqrt(8 / 64)) < 0.01
+    sizes = spark.createDataFrame([("all", 4, 4), ("line", 3, 1)], "name string, d int, k int")
+    got = {}
+    for r in R.random_subspace_overlaps(sizes, "name", "d", "k", 4000, 2).collect():
+        got.setdefault(r.name, []).append(r.rmsip)
+    assert np.allclose(got["all"], 1) and abs(np.mean(got["line"]) - 0.5) < 0.02  # of a direction in space: uniform
 
 
 def test_resamples_know_clusters_by_order(spark):
@@ -431,6 +440,18 @@ def test_resamples_know_clusters_by_order(spark):
     renamed = frame.withColumn("c", F.concat(F.lit("z"), "c")).repartition(5)
     one, two = (sorted(map(tuple, R.axis_resamples(f, "c", "v", "open", 100, 5).collect())) for f in (frame, renamed))
     assert [r[:2] for r in one] == [r[:2] for r in two] and np.allclose([r[2] for r in one], [r[2] for r in two])
+    cut = sorted(map(tuple, R.axis_resamples(frame, "id", "v", "open", 4000, 5, block_rows=4).collect()))
+    v, first = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+    gap = lambda w: (v * (w * first)[:, None]).sum(0) / (w * first).sum() - (v * (w * ~first)[:, None]).sum(0) / (w * ~first).sum()
+    whole, plain = gap(np.ones(18)), []
+    for i in range(4000):  # plain draws of ids with return: the same law
+        w = np.bincount(np.random.default_rng([1, i]).integers(0, 18, 18), minlength=18).astype(float)
+        if (w * first).sum() and (w * ~first).sum():
+            plain.append(gap(w) @ whole / np.linalg.norm(gap(w)) / np.linalg.norm(whole))
+    drawn = [r[2] for r in cut if r[1] == "ok"]
+    assert abs(np.mean(drawn) - np.mean(plain)) < 0.02 and abs(np.quantile(drawn, 0.1) - np.quantile(plain, 0.1)) < 0.06
+    every = R.axis_resamples(frame.where("id not like '%2'"), "id", "v", "open", 20, 5, balanced=6, block_rows=4).collect()
+    assert all(r.status == "ok" and abs(r.overlap - 1) < 1e-12 for r in every)  # six of six of each state
     alone = frame.where("not open or c = 'a'")
     assert {r.status for r in R.axis_resamples(alone, "id", "v", "open", 200, 5).collect()} == {"ok", "one state"}
     assert {r.status for r in R.axis_resamples(alone, "id", "v", "open", 20, 5, balanced=5).collect()} == {"one state"}
