@@ -114,12 +114,18 @@ def iterative_superposition(frame: DataFrame, coordinates: str, *, rounds: int =
     return laid, mean
 
 
-def hessian(points: np.ndarray, cutoff: float, power: float = 0.0, reference: float | None = None) -> np.ndarray:
-    """Anisotropic network: springs between points at most ``cutoff`` apart, of strength (reference / r) ** power."""
+def hessian(points: np.ndarray, cutoff: float, power: float = 0.0, reference: float | None = None, extra: list[tuple[int, int]] = ()) -> np.ndarray:
+    """Anisotropic network: springs between points at most ``cutoff`` apart, of strength (reference / r) ** power.
+
+    ``extra`` pairs (a backbone, say) are joined at any distance, once, by springs of the same law.
+    """
     n = len(points)
     gap = points[:, None, :] - points[None, :, :]
     r2 = (gap**2).sum(axis=2)
-    near = (r2 <= cutoff**2) & (r2 > 1e-12)
+    near = r2 <= cutoff**2
+    for i, j in extra:
+        near[i, j] = near[j, i] = True
+    near &= r2 > 1e-12
     safe = np.where(near, r2, 1.0)
     k = np.where(near, ((reference or cutoff) / np.sqrt(safe)) ** power, 0.0)
     blocks = -(k / safe)[:, :, None, None] * gap[:, :, :, None] * gap[:, :, None, :]
@@ -153,15 +159,18 @@ def network_modes(atoms: DataFrame, key: str, order: str, cutoff: float, k: int,
     return atoms.groupBy(key).applyInPandas(solve, schema)
 
 
-def vector_modes(frame: DataFrame, key: str, coordinates: str, cutoff: float, k: int, *, kind: str = "anm", power: float = 0.0) -> DataFrame:
-    """``network_modes`` of structures given as flat coordinate arrays of one length: no shuffle, stacked eigenproblems."""
+def vector_modes(frame: DataFrame, key: str, coordinates: str, cutoff: float, k: int, *, kind: str = "anm", power: float = 0.0, extra: list[tuple[int, int]] = ()) -> DataFrame:
+    """``network_modes`` of structures given as flat coordinate arrays of one length: no shuffle, stacked eigenproblems.
+
+    ``extra`` pairs of points have a spring at any distance, in anisotropic networks.
+    """
     schema = T.StructType([T.StructField(key, frame.schema[key].dataType), *T.StructType.fromDDL("mode int, eigenvalue double, vector array<double>").fields])
 
     def run(batches):
         for pdf in batches:
             for low in range(0, len(pdf), 128):
                 part = pdf.iloc[low : low + 128]
-                make = (lambda p: hessian(p, cutoff, power)) if kind == "anm" else (lambda p: kirchhoff(p, cutoff))
+                make = (lambda p: hessian(p, cutoff, power, extra=extra)) if kind == "anm" else (lambda p: kirchhoff(p, cutoff))
                 values, vectors = np.linalg.eigh(np.stack([make(p) for p in points_of(part[coordinates])]))
                 for name, w, v in zip(part[key], values, vectors, strict=True):
                     at = np.flatnonzero(w > ZERO_MODE)[:k]

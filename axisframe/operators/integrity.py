@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 
 import numpy as np
@@ -96,22 +95,53 @@ def placement_audit(frame: DataFrame, state: str, rotation: str, coordinate: str
     return frame.groupBy(state).applyInPandas(run, f"`{state}` {frame.schema[state].dataType.simpleString()}, n int, worst_angle double, spread double, verdict string")
 
 
+def matching_stretches(pairs: DataFrame, key: str, first: str, second: str, *, least: int = 4) -> DataFrame:
+    """(key, start, other_start, length): every stretch of at least ``least`` letters that two sequences share and that is not part of a longer one.
+
+    Sequences meet in a join on their words of ``least`` letters; words that follow one another on one diagonal are one
+    stretch. Starts count from 1. Null and shorter sequences have none; keys are distinct.
+    """
+    word = lambda c, name, at: pairs.select(F.col(key).alias("k"), F.posexplode(F.transform(F.when(F.length(c) >= least, F.sequence(F.lit(1), F.length(c) - (least - 1))), lambda i: F.substr(F.col(c), i, F.lit(least)))).alias(at, name))
+    met = word(first, "w", "i").join(word(second, "w", "j"), ["k", "w"]).select("k", "i", (F.col("j") - F.col("i")).alias("diagonal"))
+    along = Window.partitionBy("k", "diagonal").orderBy("i")
+    run = met.withColumn("run", F.col("i") - F.row_number().over(along))
+    found = run.groupBy("k", "diagonal", "run").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"))
+    return found.select(F.col("k").alias(key), (F.col("i") + 1).cast("int").alias("start"), (F.col("i") + F.col("diagonal") + 1).cast("int").alias("other_start"), (F.col("n") + (least - 1)).cast("int").alias("length"))
+
+
+def _in_order(stretches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """The longest stretch (ties to the first), then the longest before it in both sequences and after it, and so on."""
+    found, todo = [], [(stretches, 0, 1 << 31, 0, 1 << 31)]
+    while todo:
+        some, low, high, other_low, other_high = todo.pop()
+        inside = []
+        for i, j, n in some:
+            cut = max(0, low - i, other_low - j)
+            size = min(i + n, high) - i - cut
+            size = min(size, min(j + n, other_high) - j - cut)
+            if size >= least:
+                inside.append((i + cut, j + cut, size))
+        if inside:
+            i, j, n = min(inside, key=lambda s: (-s[2], s[0], s[1]))
+            found.append((i, j, n))
+            todo += [(inside, low, i, other_low, j), (inside, i + n, high, j + n, other_high)]
+    return sorted(found)
+
+
 def sequence_blocks(pairs: DataFrame, key: str, first: str, second: str, *, least: int = 4, anchor: int = 50) -> DataFrame:
-    """(key, start, other_start, length): exact matching stretches of two sequences, if one is ``anchor`` long.
+    """(key, start, other_start, length): the matching stretches that follow one another in both sequences, if one is ``anchor`` long.
 
-    Starts count from 1; short chance matches alone map nothing.
+    Of all ``matching_stretches`` the longest stands, then the longest of what lies before it on both sides and of what
+    lies after it, and so on. Starts count from 1; short chance matches alone map nothing.
     """
+    stretches = matching_stretches(pairs, key, first, second, least=least)
+    anchored = stretches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "other_start", "length"))).alias("all"), F.max("length").alias("longest")).where(F.col("longest") >= anchor)
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, a, b in zip(pdf[key], pdf[first], pdf[second], strict=True):
-                blocks = [m for m in difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_matching_blocks() if m.size >= least]
-                if blocks and max(m.size for m in blocks) >= anchor:
-                    rows += [(k, m.a + 1, m.b + 1, m.size) for m in blocks]
-            yield pd.DataFrame(rows, columns=[key, "start", "other_start", "length"])
-
-    return pairs.select(key, first, second).mapInPandas(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, start int, other_start int, length int")
+    @F.pandas_udf("array<struct<start:int,other_start:int,length:int>>")
+    def chosen(batch: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("start", "other_start", "length"), s, strict=True)) for s in _in_order([(int(x["start"]), int(x["other_start"]), int(x["length"])) for x in rows], least)] for rows in batch])
+
+    return anchored.select(key, F.inline(chosen("all")))
 
 
 def two_grain(coarse: DataFrame, fine: DataFrame, pair: list[str], distance: str, limit: float) -> DataFrame:

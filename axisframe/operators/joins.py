@@ -87,6 +87,31 @@ def vector_contacts(vectors: DataFrame, id_column: str, vector: str, cutoff: flo
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", r.alias("r")).where((F.col("r") > least) & (F.col("r") <= cutoff))
 
 
+def partner_census(receptor: DataFrame, partners: DataFrame, groups: list[str], role: str, point_id: str, coordinates: list[str], cutoff: float) -> DataFrame:
+    """(groups, role, n, min_distance, n_pairs_within, reaches): how near each partner comes to its receptor.
+
+    Points of a structure (``groups``) meet in cells; ids are distinct in each table. ``reaches`` says whether any pair
+    is within the cutoff. A partner without a receptor has a null distance and doesn't reach.
+    """
+    met = nearest(partners, receptor, point_id, point_id, [(c, c) for c in coordinates], cutoff, groups=groups)
+    each = partners.dropna(subset=coordinates).select(*groups, role, point_id).join(met, point_id, "left")
+    least = F.min("min_distance")
+    return each.groupBy(*groups, role).agg(F.count(F.lit(1)).alias("n"), least.alias("min_distance"), F.coalesce(F.sum("n_within"), F.lit(0)).alias("n_pairs_within"), F.coalesce(least <= cutoff, F.lit(False)).alias("reaches"))
+
+
+def contact_groups(pairs: DataFrame, labels: DataFrame, id_column: str, label: str, *, position: str, apart: int = 2) -> DataFrame:
+    """(group, residue, contact_class, n_edges): contacts between points more than ``apart`` positions from one another.
+
+    Each contact counts at both of its ends; a group is an end's position and the contact's class.
+    """
+    typed = typed_contacts(pairs, labels, id_column, label)
+    places = [labels.select(F.col(id_column).alias(end), F.col(position).alias(f"_p{end}")) for end in ("i", "j")]
+    far = typed.join(places[0], "i").join(places[1], "j").where(F.abs(F.col("_pi") - F.col("_pj")) > apart)
+    ends = far.select("contact_class", F.explode(F.array("_pi", "_pj")).alias("residue"))
+    counted = ends.groupBy("residue", "contact_class").agg(F.count(F.lit(1)).alias("n_edges"))
+    return counted.select(F.concat_ws(":", "residue", "contact_class").alias("group"), "residue", "contact_class", "n_edges")
+
+
 def typed_contacts(pairs: DataFrame, labels: DataFrame, id_column: str, label: str) -> DataFrame:
     """Each pair with its ``contact_class``: the two ends' labels, smaller first."""
     one = labels.select(F.col(id_column).alias("i"), F.col(label).alias("_li"))
@@ -95,35 +120,38 @@ def typed_contacts(pairs: DataFrame, labels: DataFrame, id_column: str, label: s
     return joined.withColumn("contact_class", F.concat_ws("-", F.least("_li", "_lj"), F.greatest("_li", "_lj"))).drop("_li", "_lj")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coordinates: list[tuple[str, str]], cutoff: float) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coordinates: list[tuple[str, str]], cutoff: float, *, groups: list[str] = ()) -> DataFrame:
     """Per left row: its nearest right row (ties to the smaller id), the distance, and how many lie within cutoff.
 
+    With ``groups`` (columns of both sides), only rows of one group meet, and a row whose group has none on the right
+    has nulls and 0.
+
     Points meet in cells of side ``cutoff`` and their neighbours; rows whose nearest is not surely among those go on to
     cells four times as large, and so on, so only far-off rows meet many others. Rows without a coordinate are left
     out; ids are distinct. An empty right side gives no rows.
     """
     n = len(coordinates)
-    a = left.select(F.col(left_id).alias("id"), *[F.col(c[0]).cast("double").alias(f"a_x{i}") for i, c in enumerate(coordinates)]).dropna()
-    b = right.select(F.col(right_id).alias("to"), *[F.col(c[1]).cast("double").alias(f"b_x{i}") for i, c in enumerate(coordinates)]).dropna()
-    spans = [x.agg(*[f(c) for c in x.columns[1:] for f in (F.min, F.max)]).first() for x in (a, b)]
-    empty = a.select(F.col("id").alias(left_id)).limit(0).crossJoin(b.select(F.col("to").alias("nearest_id")).limit(0)).select(left_id, "nearest_id", F.lit(0.0).alias("min_distance"), F.lit(0).cast("long").alias("n_within"))
+    a = left.select(*groups, F.col(left_id).alias("_id"), *[F.col(c[0]).cast("double").alias(f"a_x{i}") for i, c in enumerate(coordinates)]).dropna()
+    b = right.select(*groups, F.col(right_id).alias("_to"), *[F.col(c[1]).cast("double").alias(f"b_x{i}") for i, c in enumerate(coordinates)]).dropna()
+    spans = [x.agg(*[f(c) for c in x.columns[1 + len(groups) :] for f in (F.min, F.max)]).first() for x in (a, b)]
+    empty = a.select(F.col("_id").alias(left_id)).limit(0).crossJoin(b.select(F.col("_to").alias("nearest_id")).limit(0)).select(left_id, "nearest_id", F.lit(0.0).alias("min_distance"), F.lit(0).cast("long").alias("n_within"))
     if any(v is None for s in spans for v in s):
         return empty
     extent = max(max(s[2 * i + 1] for s in spans) - min(s[2 * i] for s in spans) for i in range(n))
-    side, found, left_over = float(cutoff), empty, a.withColumn("near", F.lit(None).cast("long"))
+    side, found, left_over = float(cutoff), empty, a.withColumn("_near", F.lit(None).cast("long"))
     while True:
         here = left_over
         for i in range(n):
             here = here.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"a_x{i}") / side).cast("long") + d for d in (-1, 0, 1)])))
         there = b.withColumns({f"c{i}": F.floor(F.col(f"b_x{i}") / side).cast("long") for i in range(n)})
-        met = here.join(there, [f"c{i}" for i in range(n)]).withColumn("d", _apart(n))
-        best = met.groupBy("id").agg(F.min(F.struct("d", "to")).alias("best"), F.count_if(F.col("d") <= cutoff).alias("k"))
+        met = here.join(there, [*groups, *[f"c{i}" for i in range(n)]]).withColumn("_d", _apart(n))
+        best = met.groupBy("_id").agg(F.min(F.struct("_d", "_to")).alias("_best"), F.count_if(F.col("_d") <= cutoff).alias("_k"))
         # the first cells hold all that lies within the cutoff
-        tried = written(left_over.join(best, "id", "left").withColumn("near", F.coalesce("near", "k", F.lit(0))).drop("k"), "nearest")
+        tried = written(left_over.join(best, "_id", "left").withColumn("_near", F.coalesce("_near", "_k", F.lit(0))).drop("_k"), "nearest")
         last = side >= extent
-        sure = F.lit(last) | F.coalesce(F.col("best.d") <= side, F.lit(False))
-        found = found.union(tried.where(sure).select(F.col("id").alias(left_id), "best.to", "best.d", "near"))
-        left_over = tried.where(~sure).drop("best")
+        sure = F.lit(last) | F.coalesce(F.col("_best._d") <= side, F.lit(False))
+        found = found.union(tried.where(sure).select(F.col("_id").alias(left_id), "_best._to", "_best._d", "_near"))
+        left_over = tried.where(~sure).drop("_best")
         if last or left_over.isEmpty():
             return found
         side *= 4

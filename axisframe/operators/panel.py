@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.operators.statistics import average_ranks
+from axisframe.operators.statistics import average_ranks, rank_correlation
 
 
 def separation(frame: DataFrame, keys: list[str], positive: Column, metric: str, rank: str, target: str) -> DataFrame:
@@ -50,8 +50,4 @@ def confounds(frame: DataFrame, keys: list[str], metric: str, others: list[str])
     long = long.where("_m is not null and _o is not null")
     groups = [*keys, "confound"]
     ranked = average_ranks(average_ranks(long, groups, "_m", "_rm"), groups, "_o", "_ro")
-    x, y = F.col("_rm"), F.col("_ro")
-    n = F.count(F.lit(1))
-    sxy = F.sum(x * y) - F.sum(x) * F.sum(y) / n
-    sxx, syy = F.sum(x * x) - F.sum(x) * F.sum(x) / n, F.sum(y * y) - F.sum(y) * F.sum(y) / n
-    return ranked.groupBy(*groups).agg(n.alias("n"), sxy.alias("_xy"), sxx.alias("_xx"), syy.alias("_yy")).select(*groups, "n", F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"))
+    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), rank_correlation("_rm", "_ro").alias("rho"))

@@ -70,9 +70,13 @@ def levels(n: int, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
 class Stiffness:
     """A network's stiffness: its product with vectors, and solutions of (stiffness + shift) x = b."""
 
-    def __init__(self, points: np.ndarray, cutoff: float, power: float = 0.0):
+    def __init__(self, points: np.ndarray, cutoff: float, power: float = 0.0, extra: list[tuple[int, int]] = ()):
         self.n = len(points)
         self.i, self.j = near_pairs(points, cutoff)
+        far = [(min(p), max(p)) for p in extra if cutoff < np.linalg.norm(points[p[0]] - points[p[1]])]
+        if far:  # springs at any distance, once each
+            more = np.unique(np.array(far, dtype=np.int64), axis=0)
+            self.i, self.j = np.concatenate((self.i, more[:, 0])), np.concatenate((self.j, more[:, 1]))
         gap = points[self.j] - points[self.i]
         r = np.sqrt((gap**2).sum(axis=1))
         self.pull = gap / r[:, None] * np.sqrt((cutoff / r) ** power)[:, None]  # the spring's matrix is its own square

@@ -90,11 +90,20 @@ def average_ranks(frame: DataFrame, keys: list[str], value: str, name: str) -> D
     return frame.join(ranks, [*on, F.col(value) == F.col("_v")], "left").drop("_v", *[f"_by_{k}" for k in keys])
 
 
+def rank_correlation(x: str, y: str) -> Column:
+    """The aggregate correlation of two rank columns; null where either has one value alone."""
+    a, b = F.col(x), F.col(y)
+    n = F.count(F.lit(1))
+    centred = lambda u, v: F.sum(u * v) - F.sum(u) * F.sum(v) / n
+    varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
+    return F.when(varies, centred(a, b) / F.nullif(F.sqrt(centred(a, a) * centred(b, b)), F.lit(0.0)))
+
+
 def spearman(frame: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, n, rho) over rows with both values."""
+    """(keys, n, rho) over rows with both values; a constant side has no rho."""
     both = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_ranks(average_ranks(both, keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rank_correlation("_rx", "_ry").alias("rho"))
 
 
 def correlation_p(rho: Column, n: Column) -> Column:
@@ -113,6 +122,36 @@ def correlation_p(rho: Column, n: Column) -> Column:
     return tail(rho, n)
 
 
+def series_correlation(frame: DataFrame, keys: list[str], order: list[str], x: str, y: str) -> DataFrame:
+    """(keys, n, rho, lag_x, lag_y, n_effective, t, p): rank correlation of two series whose values follow their neighbours.
+
+    With lag-1 autocorrelations a and b, n pairs count as n (1 - a b) / (1 + a b); t and its two-sided p are Student's
+    at two fewer. Rows without one of the values are left out before neighbours are told; rows of one place in the order
+    follow by their values. A constant series, or two
+    effective pairs or fewer, have null t and p; a perfect correlation has a null t and p 0.
+    """
+    both = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rho = spearman(both, keys, "_x", "_y").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "rho")
+    means = both.groupBy(*keys).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my")).select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_mx", "_my")
+    w = Window.partitionBy(*keys).orderBy(*order, "_x", "_y")
+    centred = both.join(means, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]).withColumns({"_x": F.col("_x") - F.col("_mx"), "_y": F.col("_y") - F.col("_my")})
+    lagged = centred.withColumns({"_bx": F.lag("_x").over(w), "_by": F.lag("_y").over(w)})
+    lag = lambda v: F.sum(F.col(f"_{v}") * F.col(f"_b{v}")) / F.nullif(F.sum(F.col(f"_{v}") * F.col(f"_{v}")), F.lit(0.0))
+    out = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), lag("x").alias("lag_x"), lag("y").alias("lag_y"))
+    out = out.join(rho, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    both_lags = F.col("lag_x") * F.col("lag_y")
+    out = out.withColumn("n_effective", F.col("n") * (1 - both_lags) / F.nullif(1 + both_lags, F.lit(0.0)))
+    usable = (F.col("n_effective") > 2) & F.col("rho").isNotNull()
+    out = out.withColumn("t", F.when(usable & (F.abs("rho") < 1), F.col("rho") * F.sqrt((F.col("n_effective") - 2) / (1 - F.col("rho") * F.col("rho")))))
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([student_tail(a, b) if a == a and a is not None else None for a, b in zip(t, df, strict=True)], dtype="float64")
+
+    p = F.when(usable & (F.abs("rho") >= 1), F.lit(0.0)).when(F.col("t").isNotNull(), tail("t", F.col("n_effective") - 2))
+    return out.select(*keys, "n", "rho", "lag_x", "lag_y", "n_effective", "t", p.alias("p"))
+
+
 def residuals(frame: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """``residual`` of y after the group's least-squares line in x."""
     line = frame.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))

@@ -84,6 +84,18 @@ def lag_one(frame: DataFrame, keys: list[str], order: list[str], value: str) ->
     return per.withColumn("n_effective", F.col("n") * (1 - bounded) / (1 + bounded))
 
 
+def adjacent_distances(points: DataFrame, frames: list[str], chain: str, order: str, coordinates: list[str], *, low: float = 2.5, high: float = 4.5) -> DataFrame:
+    """(frames, chain, n_pairs, min_distance, max_distance, n_below, n_above): neighbouring points of each chain.
+
+    Neighbours are points whose ``order`` differs by one; a gap in the numbers is no pair. Pairs under ``low`` and over
+    ``high`` are counted. A chain without a pair has nulls and zeros.
+    """
+    w = Window.partitionBy(*frames, chain).orderBy(order)
+    step = F.when(F.col(order) - F.lag(order).over(w) == 1, F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in coordinates), F.lit(0.0))))
+    d = F.col("_d")
+    return points.withColumn("_d", step).groupBy(*frames, chain).agg(F.count(d).alias("n_pairs"), F.min(d).alias("min_distance"), F.max(d).alias("max_distance"), F.count_if(d < low).alias("n_below"), F.count_if(d > high).alias("n_above"))
+
+
 def cumulative_overlap(frame: DataFrame, keys: list[str], order: str, overlap: str) -> DataFrame:
     """``cumulative``: the root of the running sum of squared overlaps."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from axisframe.operators import assembly as A
 from axisframe.operators import ensemble as E
+from axisframe.operators import integrity as I
+from axisframe.operators import joins as J
 from axisframe.operators import panel as P
 from axisframe.operators import periodic as B
 from axisframe.operators import resampling as R
 from axisframe.operators import ridge as G
 from axisframe.operators import sparse as S
+from axisframe.operators import statistics as N
+from axisframe.operators import windows as W
 from axisframe.plans.numeric import _conformers, r6
 from axisframe.plans.registry import query
 from axisframe.sources import binary, replay
@@ -301,3 +305,86 @@ def _(spark, d):
     replay.replayed(spark, folder, orders.where("o_orderpriority <> '1-URGENT' or o_orderstatus <> 'P'"), "o_orderpriority", sums, "sums 1")
     results, computed = replay.replayed(spark, folder, orders, "o_orderpriority", sums, "sums 1")
     return results.join(computed.withColumn("computed_now", F.lit(True)), "o_orderpriority", "left").select("o_orderpriority", "n", "total", F.coalesce("computed_now", F.lit(False)).alias("computed_now"))
+
+
+# chains, contacts and series -----------------------------------------------------------------------------------------
+@query("backbone_network_modes")
+def _(spark, d):
+    chain = [(i, i + 1) for i in range(21)]
+    return E.vector_modes(_conformers(spark, d), "vec_id", "v", 8.0, 6, extra=chain).select("vec_id", "mode", r6("eigenvalue").alias("eigenvalue"))
+
+
+@query(
+    "adjacent_distances",
+    """with p as (select vec_id, p, case when p < 10 then 'a' else 'b' end as chain, [embedding[3 * p + k]::double * 40 for k in [1, 2, 3]] x from embeddings, range(0, 20) t(p)),
+    s as (select vec_id, chain, list_distance(x, lag(x) over (partition by vec_id, chain order by p)) d from p)
+    select vec_id, chain, count(d) n_pairs, round(min(d), 6) min_distance, round(max(d), 6) max_distance, count(*) filter (d < 2.5) n_below, count(*) filter (d > 4.5) n_above from s group by all""",
+)
+def _(spark, d):
+    found = W.adjacent_distances(_boxed(spark, d), ["vec_id"], "chain", "p", ["x", "y", "z"])
+    return found.withColumns({c: r6(c) for c in ("min_distance", "max_distance")})
+
+
+@query(
+    "partner_census",
+    """with p as (select vec_id, p, [embedding[3 * p + k]::double * 40 for k in [1, 2, 3]] x from embeddings, range(0, 20) t(p)),
+    m as (select a.vec_id, case when b.p < 12 then 'near' else 'far' end as role, b.p, list_distance(a.x, b.x) d from p a join p b on a.vec_id = b.vec_id where a.p < 8 and b.p >= 8)
+    select vec_id, role, count(distinct p) n, round(min(d), 6) min_distance, (count(*) filter (d <= 5))::bigint n_pairs_within, min(d) <= 5 reaches from m group by all""",
+)
+def _(spark, d):
+    points = _boxed(spark, d).withColumn("id", F.col("vec_id") * 20 + F.col("p"))
+    roles = points.where("p >= 8").withColumn("role", F.when(F.col("p") < 12, "near").otherwise("far"))
+    found = J.partner_census(points.where("p < 8"), roles, ["vec_id"], "role", "id", ["x", "y", "z"], 5.0)
+    return found.withColumn("min_distance", r6("min_distance"))
+
+
+@query(
+    "contact_groups",
+    """with p as (select vec_id * 20 + p id, vec_id, p, case when p < 10 then 'a' else 'b' end as chain, [embedding[3 * p + k]::double * 40 for k in [1, 2, 3]] x from embeddings, range(0, 20) t(p)),
+    c as (select a.p i, b.p j, least(a.chain, b.chain) || '-' || greatest(a.chain, b.chain) k from p a join p b on a.vec_id = b.vec_id and a.p < b.p where list_distance(a.x, b.x) <= 6 and list_distance(a.x, b.x) > 1e-6 and b.p - a.p > 2),
+    e as (select k, unnest([i, j]) residue from c)
+    select residue || ':' || k "group", residue::integer residue, k contact_class, count(*) n_edges from e group by all""",
+)
+def _(spark, d):
+    points = _boxed(spark, d).withColumn("id", F.col("vec_id") * 20 + F.col("p"))
+    pairs = J.contacts(points, "id", ["x", "y", "z"], 6.0, groups=["vec_id"])
+    return J.contact_groups(pairs.select("i", "j"), points.select("id", "p", "chain"), "id", "chain", position="p")
+
+
+@query(
+    "series_correlation",
+    """with b as (select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity x, l_extendedprice y from lineitem),
+    k as (select *, rank() over (partition by l_suppkey order by x) + (count(*) over (partition by l_suppkey, x) - 1) / 2.0 rx, rank() over (partition by l_suppkey order by y) + (count(*) over (partition by l_suppkey, y) - 1) / 2.0 ry, x - avg(x) over (partition by l_suppkey) cx, y - avg(y) over (partition by l_suppkey) cy from b),
+    g as (select *, lag(cx) over w bx, lag(cy) over w by_ from k window w as (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, x, y)),
+    a as (select l_suppkey, count(*) n, corr(rx, ry) rho, sum(cx * bx) / nullif(sum(cx * cx), 0) lx, sum(cy * by_) / nullif(sum(cy * cy), 0) ly from g group by 1),
+    e as (select *, n * (1 - lx * ly) / (1 + lx * ly) ne from a)
+    select l_suppkey, n, round(rho, 6) rho, round(lx, 6) lag_x, round(ly, 6) lag_y, round(ne, 6) n_effective, round(rho * sqrt((ne - 2) / (1 - rho * rho)), 6) t from e""",
+)
+def _(spark, d):
+    own = N.series_correlation(table(spark, d, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "l_quantity", "l_extendedprice")
+    return own.select("l_suppkey", "n", *[r6(c).alias(c) for c in ("rho", "lag_x", "lag_y", "n_effective", "t")])
+
+
+def _letters(spark, d):
+    """Each vector as 64 letters, and the same with every ninth letter turned and six more in front."""
+    letter = lambda x: F.chr(F.lit(65) + F.pmod(F.floor(x.cast("double") * 8).cast("int"), F.lit(4)))
+    one = F.transform("embedding", letter)
+    two = F.transform("embedding", lambda x, i: F.when((i + F.col("vec_id")) % 29 == 8, "X").otherwise(letter(x)))
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(one, "").alias("a"), F.concat(F.lit("QQQQQQ"), F.array_join(two, "")).alias("b"))
+
+
+@query(
+    "matching_stretches",
+    """with s as (select vec_id, [chr((65 + (floor(x::double * 8)::int % 4 + 4) % 4)::int) for x in embedding] c from embeddings),
+    t as (select vec_id, array_to_string(c, '') a, 'QQQQQQ' || array_to_string([case when (i - 1 + vec_id) % 29 = 8 then 'X' else c[i] end for i in range(1, 65)], '') b from s),
+    m as (select vec_id, i, j - i d from t, range(1, 62) p(i), range(1, 68) q(j) where substr(a, i, 4) = substr(b, j, 4)),
+    r as (select *, i - row_number() over (partition by vec_id, d order by i) g from m)
+    select vec_id, min(i)::integer start, (min(i) + d)::integer other_start, (count(*) + 3)::integer length from r group by vec_id, d, g""",
+)
+def _(spark, d):
+    return I.matching_stretches(_letters(spark, d), "vec_id", "a", "b")
+
+
+@query("letter_blocks")
+def _(spark, d):
+    return I.sequence_blocks(_letters(spark, d), "vec_id", "a", "b", anchor=12)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from axisframe.operators import assembly, ensemble, geometry, panel, periodic, resampling, ridge, sparse
+from axisframe.operators import assembly, ensemble, geometry, integrity, joins, panel, periodic, resampling, ridge, sparse, statistics, windows
 from axisframe.plans import registry, structures
 from axisframe.sources import binary, replay
 
@@ -386,3 +386,102 @@ def test_queries_without_sql_have_rows_by_structure(spark):
         frame = registry.queries()[name](spark, SF)
         assert frame.count() > 0
     assert registry.queries()["sparse_network_modes"](spark, SF).where("not settled").count() == 0
+
+
+# chains, contacts and series -----------------------------------------------------------------------------------------
+def test_extra_springs_are_added_once():
+    points = _globule(30, 2)
+    points[:10] += 40
+    chain = [(i, i + 1) for i in range(29)] + [(5, 4), (20, 20)]
+    near = {(i, j) for i in range(30) for j in range(i + 1, 30) if np.linalg.norm(points[i] - points[j]) <= 6.0}
+    plain = np.zeros((90, 90))
+    for i, j in near | {(i, i + 1) for i in range(29)}:
+        gap = points[j] - points[i]
+        block = np.outer(gap, gap) / (gap @ gap) * (6.0 / np.linalg.norm(gap)) ** 2
+        for a, b, sign in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
+            plain[3 * a : 3 * a + 3, 3 * b : 3 * b + 3] += sign * block
+    assert np.allclose(ensemble.hessian(points, 6.0, 2.0, extra=chain), plain)
+    assert np.allclose(sparse.Stiffness(points, 6.0, 2.0, extra=chain[:-1]).times(np.eye(90)), plain)
+
+
+def test_blocks_equal_the_longest_match_rule(spark):
+    import difflib
+
+    random = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        a = "".join(random.choice(list("ABC"), random.integers(0, 60)))
+        b = "".join(a[i : i + n] for i, n in zip(random.integers(0, max(1, len(a)), 6), random.integers(1, 14, 6))) + "".join(random.choice(list("ABC"), 8))
+        rows.append((k, a, b))
+    rows += [(100, None, "AAAA"), (101, "AAA", "AAA"), (102, "ABCDE" * 12, "ABCDE" * 9)]
+    frame = spark.createDataFrame(rows, "k int, a string, b string").repartition(4)
+    got = sorted(tuple(r) for r in integrity.sequence_blocks(frame, "k", "a", "b", least=4, anchor=9).collect())
+    want = []
+    for k, a, b in rows:
+        blocks = [m for m in difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_matching_blocks() if m.size >= 4]
+        if blocks and max(m.size for m in blocks) >= 9:
+            want += [(k, m.a + 1, m.b + 1, m.size) for m in blocks]
+    assert got == sorted(want) and len({r[0] for r in got}) > 20
+
+
+def test_nearest_of_far_off_rows_and_groups(spark):
+    random = np.random.default_rng(13)
+    left = [(i, "g" if i % 2 else "h", *map(float, random.normal(0, 30 if i % 5 else 3000, 3))) for i in range(80)] + [(90, "alone", 1.0, 1.0, 1.0), (91, "g", None, 0.0, 0.0)]
+    right = [(i, "g" if i % 3 else "h", *map(float, random.normal(0, 20, 3))) for i in range(70)] + [(70, "g", 1.0, 2.0, 3.0), (71, "g", 1.0, 2.0, 3.0)]
+    a = spark.createDataFrame(left, "id int, k string, x double, y double, z double").repartition(3)
+    b = spark.createDataFrame(right, "to int, k string, x double, y double, z double")
+    for groups in ([], ["k"]):
+        got = {r.id: (r.nearest_id, r.min_distance, r.n_within) for r in joins.nearest(a, b, "id", "to", [(c, c) for c in "xyz"], 8.0, groups=groups).collect()}
+        assert set(got) == {r[0] for r in left} - {91}
+        for i, k, *p in left[:-1]:
+            met = [(float(np.linalg.norm(np.subtract(p, q))), to) for to, g, *q in right if not groups or g == k]
+            if not met:
+                assert got[i] == (None, None, 0)
+                continue
+            assert got[i][0] == min(met)[1] and np.isclose(got[i][1], min(met)[0]) and got[i][2] == sum(d <= 8.0 for d, _ in met)
+    assert joins.nearest(a, b.where("false"), "id", "to", [("x", "x")], 8.0).count() == 0
+
+
+def test_series_correlation_by_plain_sums(spark):
+    random = np.random.default_rng(14)
+    x = np.cumsum(random.normal(size=50))
+    y = x * 0.5 + np.cumsum(random.normal(size=50))
+    rows = [("walk", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [("walk", 99, None, 1.0)]
+    rows += [("flat", i, 1.0, float(i)) for i in range(5)] + [("same", i, float(i * i % 7), float(i * i % 7)) for i in range(9)] + [("one", 0, 1.0, 2.0)]
+    got = {r.k: r for r in statistics.series_correlation(spark.createDataFrame(rows, "k string, i int, x double, y double").repartition(3), ["k"], ["i"], "x", "y").collect()}
+    ranks = lambda v: np.argsort(np.argsort(v)).astype(float)
+    lag = lambda v: float(((v - v.mean())[:-1] * (v - v.mean())[1:]).sum() / ((v - v.mean()) ** 2).sum())
+    rho, a, b = np.corrcoef(ranks(x), ranks(y))[0, 1], lag(x), lag(y)
+    n = 50 * (1 - a * b) / (1 + a * b)
+    t = rho * np.sqrt((n - 2) / (1 - rho**2))
+    r = got["walk"]
+    assert r.n == 50 and np.allclose([r.rho, r.lag_x, r.lag_y, r.n_effective, r.t], [rho, a, b, n, t])
+    grid = np.linspace(abs(t), abs(t) + 4000, 4_000_001)  # the tail by plain integration
+    density = (1 + grid**2 / (n - 2)) ** (-(n - 1) / 2)
+    whole = np.linspace(0, abs(t) + 4000, 4_000_001)
+    assert abs(r.p - np.trapezoid(density, grid) / np.trapezoid((1 + whole**2 / (n - 2)) ** (-(n - 1) / 2), whole)) < 1e-4
+    assert got["flat"].t is None and got["flat"].p is None and got["one"].p is None
+    assert got["same"].t is None and got["same"].p == 0.0
+
+
+def test_census_of_absent_and_far_partners(spark):
+    receptor = spark.createDataFrame([("s", 0, 0.0, 0.0), ("s", 1, 1.0, 0.0)], "s string, id int, x double, y double")
+    partners = spark.createDataFrame([("s", "near", 10, 0.0, 2.0), ("s", "near", 11, 0.0, 90.0), ("s", "far", 12, 500.0, 0.0), ("t", "alone", 13, 0.0, 0.0)], "s string, role string, id int, x double, y double")
+    got = {r.role: tuple(r)[2:] for r in joins.partner_census(receptor, partners, ["s"], "role", "id", ["x", "y"], 2.5).collect()}
+    assert got["near"] == (2, 2.0, 2, True) and got["far"] == (1, 499.0, 0, False) and got["alone"] == (1, None, 0, False)
+
+
+def test_gaps_in_a_chain_are_no_pairs(spark):
+    rows = [("f", "a", i, float(x)) for i, x in ((1, 0.0), (2, 3.8), (4, 4.0), (5, 6.0), (6, 20.0))] + [("f", "b", 1, 0.0)]
+    got = {r.chain: tuple(r)[2:] for r in windows.adjacent_distances(spark.createDataFrame(rows, "f string, chain string, i int, x double"), ["f"], "chain", "i", ["x"]).collect()}
+    assert got["a"] == (3, 2.0, 14.0, 1, 1) and got["b"] == (0, None, None, 0, 0)
+
+
+def test_all_rotations_of_a_chain(spark):
+    random = np.random.default_rng(15)
+    rows = [("a", i, float(random.normal()) if i != 4 else None, bool(i in (2, 3, 4, 9))) for i in range(17)] + [("none", i, 1.0, False) for i in range(3)] + [("all", i, 1.0, True) for i in range(3)]
+    got = {r.k: tuple(r)[1:] for r in windows.circular_shift(spark.createDataFrame(rows, "k string, i int, v double, m boolean").repartition(2), ["k"], "i", "v", F.col("m")).collect()}
+    v = np.array([np.nan if r[2] is None else r[2] for r in rows[:17]])
+    m = np.array([r[3] for r in rows[:17]])
+    gaps = [np.nanmean(v[np.roll(m, s)]) - np.nanmean(v[~np.roll(m, s)]) for s in range(17)]
+    assert np.allclose(got["a"], (gaps[0], 17, np.mean(np.abs(gaps) >= abs(gaps[0]) - 1e-12))) and "none" not in got and got["all"] == (None, 3, None)
