@@ -234,16 +234,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, sample_chars: int = 1 << 16, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about ``sample_chars`` characters of each language, or on all that it has, drawn by a hash of doc_id.
+    """Fit on about ``sample_chars`` characters of each language, or on all that it has, drawn by a hash of doc_id and text.
 
     Whole documents of at most a quarter of that come first, in order of the hash; where a language has too few of
-    them, longer ones follow, with their first ``sample_chars`` characters. Each language with a text is learned.
+    them, longer ones follow, with their first ``sample_chars`` characters. Each language with a text is learned. Rows
+    that repeat in id, text and language count once, and null or repeated ids are told apart by their texts, so what
+    comes to the driver is little more than ``sample_chars`` a language whatever the table holds.
     """
     usable = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t <> '' and l is not null")
-    usable = usable.withColumns({"u": uniform(F.lit(5), F.col("d"), F.col("l")), "long": F.length("t") > sample_chars // 4})
+    usable = usable.withColumns({"u": uniform(F.lit(5), F.col("d"), F.col("l"), F.col("t")), "long": F.length("t") > sample_chars // 4})
     # small hashes in narrow ranges, whose characters tell how far the draw must go
     usable = usable.withColumn("range", F.floor(-8 * F.log2("u")).cast("int"))
-    sizes = usable.groupBy("l", "long", "range").agg(F.sum(F.least(F.length("t"), F.lit(sample_chars))).alias("chars"))
+    once = usable.groupBy("l", "long", "range", "u").agg(F.max(F.least(F.length("t"), F.lit(sample_chars))).alias("chars"))
+    sizes = once.groupBy("l", "long", "range").agg(F.sum("chars").alias("chars"))
     ends: dict[str, tuple] = {}
     held: dict[str, int] = defaultdict(int)
     for row in sorted(sizes.collect(), key=lambda r: (r.l, r.long, -r.range)):
@@ -255,7 +258,7 @@ def fit(docs: DataFrame, *, sample_chars: int = 1 << 16, doc_id: str = "doc_id",
     drawn = fair.select("l", "long", "u", F.substring("t", 1, sample_chars).alias("t"))
     texts: dict[str, list[str]] = defaultdict(list)
     size: dict[str, int] = defaultdict(int)
-    for row in sorted(drawn.collect()):  # little more than sample_chars a language
+    for row in sorted(drawn.distinct().collect()):  # little more than sample_chars a language
         if size[row.l] < sample_chars:
             texts[row.l].append(row.t)
             size[row.l] += len(row.t)

@@ -29,3 +29,17 @@ def test_every_sampled_letter_counts(spark):
     model = langid.fit(frame.where("doc_id % 5 <> 0"))
     out = langid.identify(frame.where("doc_id % 5 = 0"), model).collect()
     assert {r.lang for r in out} == set(letters) and all(r.lang == r.lang_pred for r in out)
+
+
+def test_null_and_repeated_ids_bring_no_more_to_the_driver(spark, monkeypatch):
+    texts = _texts("abcdefgh", 20_000, 60, 3)
+    many = spark.createDataFrame([(None, t, "x") for t in texts] + [(7, texts[0], "y")] * 5000 + [(7, t, "z") for t in texts[:50]], "doc_id long, text string, lang string").repartition(4)
+    kept = {}
+
+    def model(texts):
+        kept.update(texts)
+
+    monkeypatch.setattr(langid, "Model", model)
+    langid.fit(many, sample_chars=2048)
+    assert {k: 2048 <= sum(map(len, v)) <= 3200 for k, v in kept.items()} == {"x": True, "y": False, "z": True}
+    assert kept["y"] == [texts[0]] and len(set(kept["x"])) == len(kept["x"])
