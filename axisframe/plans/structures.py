@@ -388,3 +388,20 @@ def _(spark, d):
 @query("letter_blocks")
 def _(spark, d):
     return I.sequence_blocks(_letters(spark, d), "vec_id", "a", "b", anchor=12)
+
+
+@query(
+    "recomputed_contacts",
+    """with p as (select vec_id, p, [embedding[3 * p + k]::double * 40 for k in [1, 2, 3]] x from embeddings, range(0, 20) t(p)),
+    c as (select a.vec_id, a.p::integer i, b.p::integer j, list_distance(a.x, b.x) d, list_distance([round(v, 1) for v in a.x], [round(v, 1) for v in b.x]) e from p a join p b on a.vec_id = b.vec_id and a.p < b.p)
+    select vec_id, i, j, case when d <= 6 then 'first' else 'second' end only_in from c where (d <= 6 and d > 1e-6) <> (e <= 6 and e > 1e-6)""",
+)
+def _(spark, d):
+    """Contacts by cells, against all pairs of each structure from coordinates as they are printed, to one decimal."""
+    points = _boxed(spark, d).select("vec_id", "p", "x", "y", "z")
+    found = J.contacts(points, "p", ["x", "y", "z"], 6.0, groups=["vec_id"]).select("vec_id", "i", "j")
+    printed = points.select("vec_id", "p", F.array(*[F.round(c, 1) for c in "xyz"]).alias("x"))
+    pairs = printed.alias("a").join(printed.alias("b"), F.expr("a.vec_id = b.vec_id and a.p < b.p"))
+    apart = F.sqrt(F.aggregate(F.zip_with("a.x", "b.x", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, u: s + u))
+    again = pairs.where((apart <= 6.0) & (apart > 1e-6)).select("a.vec_id", F.col("a.p").alias("i"), F.col("b.p").alias("j"))
+    return I.recomputed_differences(found, again)

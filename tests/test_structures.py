@@ -485,3 +485,83 @@ def test_all_rotations_of_a_chain(spark):
     m = np.array([r[3] for r in rows[:17]])
     gaps = [np.nanmean(v[np.roll(m, s)]) - np.nanmean(v[~np.roll(m, s)]) for s in range(17)]
     assert np.allclose(got["a"], (gaps[0], 17, np.mean(np.abs(gaps) >= abs(gaps[0]) - 1e-12))) and "none" not in got and got["all"] == (None, 3, None)
+
+
+# assemblies, restated from springs -----------------------------------------------------------------------------------
+def _matrix(points, cutoff, kept):
+    """Springs between points within reach, one by one, where ``kept(i, j)``."""
+    out = np.zeros((3 * len(points), 3 * len(points)))
+    for i in range(len(points)):
+        for j in range(i + 1, len(points)):
+            gap = points[j] - points[i]
+            if gap @ gap <= cutoff**2 and kept(i, j):
+                u = gap / np.linalg.norm(gap)
+                column = np.zeros(3 * len(points))
+                column[3 * i : 3 * i + 3], column[3 * j : 3 * j + 3] = u, -u
+                out += np.outer(column, column)
+    return out
+
+
+def _modes(matrix, k):
+    values, vectors = np.linalg.eigh(matrix)
+    at = np.flatnonzero(values > 1e-9)[:k]
+    return values[at], vectors[:, at]
+
+
+def _rigid(points, bodies):
+    """Translations and rotations of each body, orthonormal."""
+    columns = []
+    for body in bodies:
+        for e in np.eye(3):
+            for field in (np.tile(e, (len(body), 1)), np.cross(points[body] - points[body].mean(axis=0), e)):
+                whole = np.zeros_like(points)
+                whole[body] = field
+                columns.append(whole.ravel())
+    return np.linalg.qr(np.array(columns).T)[0]
+
+
+def test_assembly_measures_restated(spark):
+    points, n, cutoff, k = _globule(26, 21), 15, 8.0, 12
+    axis = np.sin(np.arange(3 * n) + 1.0)
+    axis /= np.linalg.norm(axis)
+    frame = spark.createDataFrame([(1, points.ravel().tolist())], "k int, v array<double>")
+    joint = _matrix(points, cutoff, lambda i, j: True)
+    values, vectors = _modes(joint, k)
+    # what each joint mode is made of
+    bodies, own = _rigid(points, [np.arange(n), np.arange(n, 26)]), _rigid(points[:n], [np.arange(n)])
+    got = assembly.mode_character(frame, "k", "v", n, axis.tolist(), cutoff, k).orderBy("mode").collect()
+    for r, value, v in zip(got, values, vectors.T, strict=True):
+        part = v[: 3 * n]
+        inner = part - own @ (own.T @ part)
+        rigid = np.linalg.norm(bodies.T @ v)
+        want = [value, rigid, np.sqrt(1 - rigid**2), np.linalg.norm(part), abs(part @ axis) / np.linalg.norm(part), abs(inner @ axis) / np.linalg.norm(inner)]
+        assert np.allclose([r.eigenvalue, r.rigid_content, r.internal, r.amplitude, r.raw_overlap, r.internal_overlap], want, atol=1e-8)
+    # ranks of the mode that follows the axis: alone, with the partner out of contact, and in contact
+    _, free = _modes(_matrix(points[:n], cutoff, lambda i, j: True), k)
+    _, decoy = _modes(_matrix(points, cutoff, lambda i, j: (i < n) == (j < n)), k)
+    rank = lambda v: int(np.argmax(np.round(np.abs(v[: 3 * n].T @ axis), 12))) + 1
+    ranks = [rank(x) for x in (free, decoy, vectors)]
+    shift = assembly.rank_shifts(frame, "k", "v", n, axis.tolist(), cutoff, k).first()
+    assert [shift.free_rank, shift.decoy_rank, shift.joint_rank, shift.size_effect, shift.contact_effect] == [*ranks, ranks[1] - ranks[0], ranks[2] - ranks[1]]
+    assert shift.displacing == sum(np.abs(decoy.T @ vectors[:, m]).max() < 0.5 for m in range(ranks[2] - 1))
+    # compliance along the axis, the partner condensed by hand, against directions drawn without a basis
+    cut = 3 * n
+    small = joint[:cut, :cut] - joint[:cut, cut:] @ np.linalg.inv(joint[cut:, cut:]) @ joint[cut:, :cut]
+    inside = np.eye(cut) - own @ own.T
+    give = np.linalg.pinv(inside @ small @ inside, rcond=1e-9)
+    mean = np.trace(give) / (cut - 6)
+    along = lambda d: (d @ give @ d) / (d @ inside @ d) / mean
+    drawn = np.array([along(x) for x in np.random.default_rng(3).standard_normal((800, cut))])
+    stats = assembly.directional_statistics(frame, "k", "v", n, axis.tolist(), cutoff, 800, 3).first()
+    assert np.isclose(stats.specificity, along(axis))
+    assert np.allclose([stats.p05, stats.p50, stats.p95], np.quantile(drawn, [0.05, 0.5, 0.95]))
+    assert np.isclose(stats.percentile, 100 * (drawn < along(axis)).mean())
+
+
+def test_contacts_of_two_plans_differ_where_they_should(spark):
+    """A plan that loses a contact shows."""
+    rows = [(1, i, float(x), 0.0, 0.0) for i, x in enumerate((0.0, 1.0, 2.04, 3.04))]
+    frame = spark.createDataFrame(rows, "f int, p int, x double, y double, z double")
+    found = joins.contacts(frame, "p", ["x", "y", "z"], 1.02, groups=["f"]).select("f", "i", "j")
+    again = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3)], "f int, i int, j int")
+    assert [tuple(r) for r in integrity.recomputed_differences(found, again).collect()] == [(1, 1, 2, "second")]
