@@ -60,3 +60,11 @@ def iso_date(text: Column) -> Column:
 def edge_key(a: Column, b: Column) -> Column:
     """The two names in order, joined by '--'."""
     return F.concat_ws("--", F.least(a, b), F.greatest(a, b))
+
+
+def signed_angle_about(rotation: Column, axis: Column) -> Column:
+    """Degrees by which a rotation (nine numbers row by row) turns about a unit axis, by the right hand; in (-180, 180]."""
+    r, a = [F.get(rotation, i) for i in range(9)], [F.get(axis, i) for i in range(3)]
+    skew = a[0] * (r[7] - r[5]) + a[1] * (r[2] - r[6]) + a[2] * (r[3] - r[1])
+    along = sum((a[i] * a[j] * r[3 * i + j] for i in range(3) for j in range(3)), F.lit(0.0))
+    return F.degrees(F.atan2(skew, r[0] + r[4] + r[8] - along))

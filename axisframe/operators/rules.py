@@ -84,3 +84,49 @@ def role(path: Column, patterns: list[tuple[str, str]], other: str) -> Column:
     for pattern, name in patterns:
         out = F.when(path.rlike(pattern), name) if out is None else out.when(path.rlike(pattern), name)
     return out.otherwise(other)
+
+
+def curated(residues: DataFrame, structures: DataFrame, window: list[int], rules: list[dict], *, slack: int = 5) -> DataFrame:
+    """(variant, structure, chain): the structures that each curation rule keeps, with the chain it takes them by.
+
+    ``residues`` has (structure, chain, position), ``structures`` (structure, resolution, primary). A rule is a dict with
+    ``name`` and, where it differs from the default, ``coverage`` (1.0: the share of the window that must be resolved),
+    ``terminal`` (False: instead of a share, any gaps within ``slack`` positions of the window's ends), ``ceiling``
+    (None: the largest resolution; null resolutions pass only without one), ``chain`` (``primary``, or ``best``: the
+    one that resolves most of the window, ties to the first) and ``drop`` (positions that the rule's window leaves out).
+    """
+    inside = residues.where(F.col("position").isin([int(p) for p in window])).groupBy("structure", "chain").agg(F.collect_set("position").alias("seen"))
+    met = structures.join(inside, "structure")
+    out = None
+    for rule in rules:
+        own = [p for p in window if p not in set(rule.get("drop", ()))]
+        places = F.array(*[F.lit(int(p)) for p in own])
+        seen = F.array_intersect(places, "seen")
+        gaps = F.array_except(places, F.col("seen"))
+        if rule.get("terminal"):
+            ends = F.array(*[F.lit(int(p)) for p in [*own[:slack], *own[-slack:]]])
+            whole = F.size(F.array_except(gaps, ends)) == 0
+        else:
+            whole = F.size(seen) >= rule.get("coverage", 1.0) * len(own) - 1e-9
+        good = whole if rule.get("ceiling") is None else whole & F.coalesce(F.col("resolution") <= rule["ceiling"], F.lit(False))
+        if rule.get("chain") == "best":
+            most = F.size(F.array_intersect(F.array(*[F.lit(int(p)) for p in window]), "seen"))
+            rows = met.withColumn("_n", F.row_number().over(Window.partitionBy("structure").orderBy(most.desc(), "chain"))).where("_n = 1")
+        else:
+            rows = met.where("chain = primary")
+        one = rows.where(good).select(F.lit(rule["name"]).alias("variant"), "structure", "chain")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def common_positions(kept: DataFrame, residues: DataFrame, rules: list[dict]) -> DataFrame:
+    """(variant, n_structures, n_positions): how many positions every structure that a rule keeps resolves.
+
+    Positions that the rule drops don't count. A rule that keeps nothing has no row.
+    """
+    dropped = [(r["name"], int(p)) for r in rules for p in r.get("drop", ())]
+    gone = kept.sparkSession.createDataFrame(dropped, "variant string, position int")
+    sizes = kept.groupBy("variant").agg(F.count(F.lit(1)).alias("n_structures"))
+    seen = kept.join(residues.select("structure", "chain", "position").distinct(), ["structure", "chain"]).join(gone, ["variant", "position"], "left_anti")
+    full = seen.groupBy("variant", "position").agg(F.count(F.lit(1)).alias("k")).join(sizes, "variant").where("k = n_structures").groupBy("variant").agg(F.count(F.lit(1)).alias("n_positions"))
+    return sizes.join(full, "variant", "left").select("variant", "n_structures", F.coalesce("n_positions", F.lit(0)).alias("n_positions"))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from axisframe.functions import vectors as V
 from axisframe.operators import assembly as A
 from axisframe.operators import ensemble as E
 from axisframe.operators import integrity as I
@@ -17,6 +18,7 @@ from axisframe.operators import panel as P
 from axisframe.operators import periodic as B
 from axisframe.operators import resampling as R
 from axisframe.operators import ridge as G
+from axisframe.operators import rules as C
 from axisframe.operators import sparse as S
 from axisframe.operators import statistics as N
 from axisframe.operators import windows as W
@@ -405,3 +407,50 @@ def _(spark, d):
     apart = F.sqrt(F.aggregate(F.zip_with("a.x", "b.x", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, u: s + u))
     again = pairs.where((apart <= 6.0) & (apart > 1e-6)).select("a.vec_id", F.col("a.p").alias("i"), F.col("b.p").alias("j"))
     return I.recomputed_differences(found, again)
+
+
+# curation and angles -------------------------------------------------------------------------------------------------
+_WINDOW = list(range(40))
+_CURATION = [
+    {"name": "a_whole", "ceiling": 2.5},
+    {"name": "b_share_95", "coverage": 0.95, "ceiling": 2.5},
+    {"name": "b_share_90", "coverage": 0.90, "ceiling": 2.5},
+    {"name": "c_one_dropped", "drop": (24,)},
+    {"name": "d_gaps_at_ends", "terminal": True, "ceiling": 2.5},
+    {"name": "e_best_chain", "chain": "best", "ceiling": 2.5},
+    {"name": "f_any_resolution"},
+    {"name": "g_share_95_any_resolution", "coverage": 0.95},
+]
+
+
+@query(
+    "curation_rules",
+    """with x as (select distinct l_suppkey structure, l_returnflag as chain, (l_partkey % 50)::integer p from lineitem),
+    s as (select s_suppkey structure, s_acctbal / 3000 resolution, 'N' first from supplier),
+    g as (select structure, chain, list(p) filter (p < 40) seen, count(*) filter (p < 40) n from x group by all having n > 0),
+    m as (select *, row_number() over (partition by structure order by n desc, chain) k from g join s using (structure)),
+    v(variant, share, ceiling, best, gone, ends) as (values ('a_whole', 1.0, 2.5, false, -1, false), ('b_share_95', 0.95, 2.5, false, -1, false), ('b_share_90', 0.9, 2.5, false, -1, false), ('c_one_dropped', 1.0, null, false, 24, false),
+      ('d_gaps_at_ends', 0.0, 2.5, false, -1, true), ('e_best_chain', 1.0, 2.5, true, -1, false), ('f_any_resolution', 1.0, null, false, -1, false), ('g_share_95_any_resolution', 0.95, null, false, -1, false)),
+    k as (select variant, structure, chain, seen, gone from m, v where case when best then k = 1 else chain = first end and (ceiling is null or coalesce(resolution <= ceiling, false))
+      and case when ends then len([q for q in range(5, 35) if not list_contains(seen, q::integer)]) = 0 else len([q for q in seen if q <> gone]) >= share * (case when gone < 0 then 40 else 39 end) - 1e-9 end),
+    z as (select variant, count(*) n_structures from k group by 1),
+    f as (select variant, q, count(*) c from (select variant, gone, unnest(seen) q from k) where q <> gone group by all)
+    select variant, n_structures, (select count(*) from f where f.variant = z.variant and c = n_structures) n_positions from z""",
+)
+def _(spark, d):
+    """Positions 0 to 39 of each supplier's lines, by return flag as chains."""
+    line = table(spark, d, "lineitem")
+    residues = line.select(F.col("l_suppkey").alias("structure"), F.col("l_returnflag").alias("chain"), (F.col("l_partkey") % 50).cast("int").alias("position")).where("position < 40").distinct()
+    structures = table(spark, d, "supplier").select(F.col("s_suppkey").alias("structure"), (F.col("s_acctbal") / 3000).alias("resolution"), F.lit("N").alias("primary"))
+    return C.common_positions(C.curated(residues, structures, _WINDOW, _CURATION), residues, _CURATION)
+
+
+@query(
+    "signed_angles",
+    """with v as (select vec_id, [x::double for x in embedding] e from embeddings), u as (select vec_id, e, sqrt(e[10] ** 2 + e[11] ** 2 + e[12] ** 2) n from v), a as (select vec_id, e, e[10] / n a, e[11] / n b, e[12] / n c from u)
+    select vec_id, round(degrees(atan2(a * (e[8] - e[6]) + b * (e[3] - e[7]) + c * (e[4] - e[2]), e[1] + e[5] + e[9] - (a * a * e[1] + b * b * e[5] + c * c * e[9] + a * b * (e[2] + e[4]) + a * c * (e[3] + e[7]) + b * c * (e[6] + e[8])))), 6) degrees from a""",
+)
+def _(spark, d):
+    v = V.doubles(F.col("embedding"))
+    angle = V.signed_angle_about(F.slice(v, 1, 9), V.unit(F.slice(v, 10, 3)))
+    return table(spark, d, "embeddings").select("vec_id", r6(angle).alias("degrees"))

@@ -565,3 +565,39 @@ def test_contacts_of_two_plans_differ_where_they_should(spark):
     found = joins.contacts(frame, "p", ["x", "y", "z"], 1.02, groups=["f"]).select("f", "i", "j")
     again = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3)], "f int, i int, j int")
     assert [tuple(r) for r in integrity.recomputed_differences(found, again).collect()] == [(1, 1, 2, "second")]
+
+
+def test_signed_angles_of_known_turns(spark):
+    from axisframe.functions import vectors
+
+    axis = np.array([1.0, -2.0, 0.5])
+    axis /= np.linalg.norm(axis)
+    k = np.array([[0, -axis[2], axis[1]], [axis[2], 0, -axis[0]], [-axis[1], axis[0], 0]])
+    turns = [0.0, 30.0, -75.0, 179.0, -179.0]
+    rows = [(t, (np.eye(3) + np.sin(np.radians(t)) * k + (1 - np.cos(np.radians(t))) * k @ k).ravel().tolist(), axis.tolist()) for t in turns]
+    frame = spark.createDataFrame(rows, "t double, r array<double>, a array<double>")
+    assert all(abs(r.t - r.angle) < 1e-9 for r in frame.withColumn("angle", vectors.signed_angle_about(F.col("r"), F.col("a"))).collect())
+
+
+def test_curation_rules_by_sets(spark):
+    from axisframe.operators import rules
+
+    window = list(range(20))
+    seen = {("whole", "A"): window, ("whole", "B"): window[:3], ("ends", "A"): window[2:18], ("hole", "A"): [p for p in window if p != 9], ("other", "A"): window[:15], ("other", "B"): window, ("poor", "A"): window, ("none", "A"): [99]}
+    residues = spark.createDataFrame([(s, c, p) for (s, c), own in seen.items() for p in own] + [("whole", "A", 0)], "structure string, chain string, position int")
+    structures = spark.createDataFrame([("whole", 1.0, "A"), ("ends", 1.0, "A"), ("hole", 1.0, "A"), ("other", 1.0, "A"), ("poor", None, "A"), ("none", 1.0, "A")], "structure string, resolution double, primary string")
+    asked = [{"name": "plain", "ceiling": 2.0}, {"name": "share", "coverage": 0.95, "ceiling": 2.0}, {"name": "drop", "drop": (9,)}, {"name": "ends", "terminal": True, "ceiling": 2.0}, {"name": "best", "chain": "best", "ceiling": 2.0}, {"name": "any"}, {"name": "nothing", "ceiling": 0.5}]
+    kept = rules.curated(residues, structures, window, asked, slack=2)
+    got = {}
+    for r in kept.collect():
+        got.setdefault(r.variant, set()).add((r.structure, r.chain))
+    assert got == {
+        "plain": {("whole", "A")},
+        "share": {("whole", "A"), ("hole", "A")},
+        "drop": {("whole", "A"), ("hole", "A"), ("poor", "A")},
+        "ends": {("whole", "A"), ("ends", "A")},
+        "best": {("whole", "A"), ("other", "B")},
+        "any": {("whole", "A"), ("poor", "A")},
+    }
+    common = {r.variant: (r.n_structures, r.n_positions) for r in rules.common_positions(kept, residues, asked).collect()}
+    assert common == {"plain": (1, 20), "share": (2, 19), "drop": (3, 19), "ends": (2, 16), "best": (2, 20), "any": (2, 20)}
