@@ -213,11 +213,16 @@ def first_as_reference(frame: DataFrame, keys: list[str], order: list[str], valu
     return frame.withColumn("change", F.col(value) - F.first(value).over(w))
 
 
-def cluster_sums(frame: DataFrame, cluster: str, vector: str, first: Column, second: Column) -> DataFrame:
-    """(c, a, b, na, nb): each cluster's summed vectors and counts of either state."""
+def _cluster_cells(frame: DataFrame, cluster: str, vector: str, first: Column, second: Column) -> DataFrame:
+    """(c, pos, sa, sb, na, nb): each cluster's sums of each component, and its counts, of either state."""
     x = F.col("x").cast("double")
     long = frame.select(F.col(cluster).alias("c"), first.alias("a"), second.alias("b"), F.posexplode(vector).alias("pos", "x")).where("a or b")
-    sums = long.groupBy("c", "pos").agg(F.sum(F.when(F.col("a"), x).otherwise(0.0)).alias("sa"), F.sum(F.when(F.col("b"), x).otherwise(0.0)).alias("sb"), F.count_if("a").alias("na"), F.count_if("b").alias("nb"))
+    return long.groupBy("c", "pos").agg(F.sum(F.when(F.col("a"), x).otherwise(0.0)).alias("sa"), F.sum(F.when(F.col("b"), x).otherwise(0.0)).alias("sb"), F.count_if("a").alias("na"), F.count_if("b").alias("nb"))
+
+
+def cluster_sums(frame: DataFrame, cluster: str, vector: str, first: Column, second: Column) -> DataFrame:
+    """(c, a, b, na, nb): each cluster's summed vectors and counts of either state."""
+    sums = _cluster_cells(frame, cluster, vector, first, second)
     per = sums.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("pos", "sa", "sb"))).alias("v"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return per.select("c", F.transform("v", lambda s: s["sa"]).alias("a"), F.transform("v", lambda s: s["sb"]).alias("b"), "na", "nb")
 
@@ -230,23 +235,22 @@ def leave_one_out_axes(frame: DataFrame, cluster: str, vector: str, first: Colum
     the product with a one-row unit ``axis``. Without rows of both states left, status is ``one state`` and the rest
     null; counts are of the rows left. A null cluster is one of its own; vectors are of one length.
     """
-    per = cluster_sums(frame, cluster, vector, first, second)
-    long = per.select("na", "nb", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "s"))
-    summed = long.groupBy("pos").agg(F.sum("s.a").alias("ta"), F.sum("s.b").alias("tb"), F.sum("na").alias("ka"), F.sum("nb").alias("kb"))
-    total = summed.agg(F.array_sort(F.collect_list(F.struct("pos", "ta", "tb"))).alias("t"), F.max("ka").alias("ka"), F.max("kb").alias("kb"))
-    total = total.select(F.transform("t", lambda s: s["ta"]).alias("ta"), F.transform("t", lambda s: s["tb"]).alias("tb"), "ka", "kb")  # one row
-    met = per.crossJoin(F.broadcast(total))
+    cells = _cluster_cells(frame, cluster, vector, first, second)
+    whole = cells.groupBy("pos").agg(F.sum("sa").alias("ta"), F.sum("sb").alias("tb"), F.sum("na").alias("ka"), F.sum("nb").alias("kb"))
+    if along is not None:
+        whole = whole.join(along.select(F.posexplode("axis").alias("pos", "f")), "pos")
+    else:
+        whole = whole.withColumn("f", F.lit(None).cast("double"))
     left_a, left_b = F.col("ka") - F.col("na"), F.col("kb") - F.col("nb")
-    zipped = F.arrays_zip("ta", "a", "tb", "b")
-    gap = F.transform(zipped, lambda s: (s["ta"] - s["a"]) / left_a - (s["tb"] - s["b"]) / left_b)
-    whole = F.zip_with("ta", "tb", lambda x, y: x / F.col("ka") - y / F.col("kb"))
-    both = (left_a > 0) & (left_b > 0)
-    out = met.withColumns({"n_first": left_a, "n_second": left_b, "left": F.when(both, unit(gap)), "all": F.when((F.col("ka") > 0) & (F.col("kb") > 0), unit(whole))})
-    out = out.select(F.col("c").alias(cluster), F.when(both, "ok").otherwise("one state").alias("status"), "n_first", "n_second", F.col("left").alias("axis"), dot(F.col("left"), F.col("all")).alias("to_whole"))
-    if along is None:
-        return out.withColumn("to_along", F.lit(None).cast("double"))
-    fixed = along.select(F.col("axis").alias("fixed"))
-    return out.crossJoin(F.broadcast(fixed)).withColumn("to_along", F.abs(dot(F.col("axis"), F.col("fixed")))).drop("fixed")
+    gap = F.when((left_a > 0) & (left_b > 0), (F.col("ta") - F.col("sa")) / left_a - (F.col("tb") - F.col("sb")) / left_b)
+    all_rows = F.when((F.col("ka") > 0) & (F.col("kb") > 0), F.col("ta") / F.col("ka") - F.col("tb") / F.col("kb"))
+    met = cells.join(whole, "pos").select("c", "pos", "f", left_a.alias("n_first"), left_b.alias("n_second"), gap.alias("g"), all_rows.alias("w"))
+    g, w, f = F.col("g"), F.col("w"), F.col("f")
+    sums = met.groupBy("c").agg(F.max("n_first").alias("n_first"), F.max("n_second").alias("n_second"), F.sqrt(F.sum(g * g)).alias("size"), F.sqrt(F.sum(w * w)).alias("whole"), F.sum(g * w).alias("gw"), F.sum(g * f).alias("gf"), F.array_sort(F.collect_list(F.struct("pos", "g"))).alias("v"))
+    size = F.nullif(F.col("size"), F.lit(0.0))
+    both = (F.col("n_first") > 0) & (F.col("n_second") > 0)
+    axis = F.when(size.isNotNull(), F.transform("v", lambda s: s["g"] / F.col("size")))
+    return sums.select(F.col("c").alias(cluster), F.when(both, "ok").otherwise("one state").alias("status"), "n_first", "n_second", axis.alias("axis"), (F.col("gw") / size / F.nullif(F.col("whole"), F.lit(0.0))).alias("to_whole"), F.abs(F.col("gf") / size).alias("to_along"))
 
 
 def row_products(frame: DataFrame, id_column: str, vector: str, *, block: int = 1024) -> DataFrame:
