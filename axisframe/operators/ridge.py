@@ -41,7 +41,8 @@ def training_sums(rows: DataFrame, edges: DataFrame, *, key: str, kind: str, dom
     base = base.join(centre, "kind").join(sets, "id", "left")
     # rows of one set of edges, in the order of their ids; the first that is not left out stands for all
     own = F.sha2(F.array_join(F.coalesce(F.col("set").cast("array<string>"), F.array().cast("array<string>")), "\x1f"), 256)
-    base = base.withColumn("set", own).withColumn("rank", F.row_number().over(Window.partitionBy("kind", "set").orderBy("id")))
+    alike = Window.partitionBy("kind", "set").orderBy("id")
+    base = base.withColumn("set", own).withColumn("rank", F.row_number().over(alike)).withColumn("set", F.first("id").over(alike))  # a set goes by its first row
     z = [F.lit(1.0), *[F.col(n) - F.col(f"m_{n}") for n in names], *[(F.col("domain") == d).cast("double") for d in domains], F.col("y") - F.col("m_y")]
     pairs = _products(len(z))
     base = written(base.select("id", "kind", "domain", "set", "rank", *[f"x{i}" for i in range(len(coordinates))], F.array(*[F.col(n) for n in names]).alias("features"), "y", F.array(*[F.col(f"m_{n}") for n in (*names, "y")]).alias("about"), F.array(*z).alias("z")), "ridge-rows")
