@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(v: Column) -> Column:
@@ -68,3 +69,28 @@ def signed_angle_about(rotation: Column, axis: Column) -> Column:
     skew = a[0] * (r[7] - r[5]) + a[1] * (r[2] - r[6]) + a[2] * (r[3] - r[1])
     along = sum((a[i] * a[j] * r[3 * i + j] for i in range(3) for j in range(3)), F.lit(0.0))
     return F.degrees(F.atan2(skew, r[0] + r[4] + r[8] - along))
+
+
+def _in_order(value: Column, kind: T.DataType) -> Column:
+    """The value with its names sorted at every level and its numbers checked."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_in_order(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(value))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], _in_order(e["value"], kind.valueType))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _in_order(x, kind.elementType))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit("JSON has no such number"))).otherwise(value)
+    return value
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """A struct, map or array as JSON with sorted names, no blanks and its nulls; NaN and infinities fail the query."""
+    return F.to_json(_in_order(value, kind), {"ignoreNullFields": "false"})
+
+
+def json_hash(value: Column, kind: T.DataType) -> Column:
+    """SHA-256 of the canonical JSON, in hex."""
+    return F.sha2(canonical_json(value, kind).cast("binary"), 256)

@@ -82,6 +82,20 @@ def component_scores(frame: DataFrame, id_column: str, vector: str, components:
     return centred.crossJoin(F.broadcast(components)).select(id_column, "component", dot(F.col("v"), F.col("loading")).alias("score"))
 
 
+def scaled_scores(frame: DataFrame, id_column: str, vector: str, components: DataFrame, points: int) -> tuple[DataFrame, DataFrame]:
+    """(scores over the root of the number of points, components): each turned so that its farthest score is positive.
+
+    A component is turned where its least score lies farther from 0 than its greatest.
+    """
+    scores = component_scores(frame, id_column, vector, components)
+    ends = scores.groupBy("component").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    sign = F.when(F.abs("_low") > F.abs("_high"), -1.0).otherwise(1.0)
+    signs = ends.select(F.col("component").alias("_c"), sign.alias("_sign"))
+    met = scores.join(F.broadcast(signs), F.col("component") == F.col("_c"))  # a row a component
+    turned = components.join(signs, F.col("component") == F.col("_c")).withColumn("loading", F.transform("loading", lambda x: x * F.col("_sign")))
+    return met.select(id_column, "component", (F.col("score") * F.col("_sign") / F.sqrt(F.lit(points))).alias("score")), turned.select(*components.columns)
+
+
 def superposed(frame: DataFrame, coordinates: str, reference: list[float]) -> DataFrame:
     """Append ``aligned`` (flat coordinates laid on the reference) and ``rmsd``; arrays hold x, y, z in turn."""
     target = np.asarray(reference, dtype=float).reshape(-1, 3)

@@ -55,3 +55,40 @@ def require_connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     if roots != 1:
         raise GateError(f"{roots} components")
     return edges
+
+
+def connectivity(nodes: DataFrame, edges: DataFrame, system: str) -> DataFrame:
+    """(system, n_edges, n_interface_edges, positive, joint_components, receptor_components, connected) of many networks.
+
+    ``nodes`` has (system, node, receptor), ``edges`` (system, a, b, weight); an edge counts once whichever end is first,
+    and loops don't. ``receptor_components`` are those of receptor nodes without the others, ``positive`` says that no
+    weight is 0, negative or null, and ``connected`` that both counts are 1. Nodes without edges are components too.
+    """
+    once = edges.where("a <> b").groupBy(system, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.coalesce(F.col("weight"), F.lit(0.0))).alias("weight"))
+    side = lambda end: nodes.select(F.col(system).alias(f"_{end}_of"), F.col("node").alias(f"_{end}"), F.col("receptor").alias(f"{end}_receptor"))
+    flagged = once
+    for end in "ab":
+        flagged = flagged.join(side(end), (F.col(system) == F.col(f"_{end}_of")) & (F.col(end) == F.col(f"_{end}"))).drop(f"_{end}_of", f"_{end}")
+    flagged = written(flagged, "network-edges")
+
+    def joined(frame: DataFrame, name: str) -> DataFrame:
+        """How many nodes of each system hang on another one: each takes a component away."""
+        ends = [F.struct(F.col(system).alias("s"), F.col(e).alias("n")).alias(e) for e in "ab"]
+        return components(frame.select(*ends)).where("node <> root").groupBy(F.col("node.s").alias(f"_{name}_of")).agg(F.count(F.lit(1)).alias(f"_{name}"))
+
+    counts = nodes.groupBy(system).agg(F.count(F.lit(1)).alias("_n"), F.count_if("receptor").alias("_r"))
+    sums = flagged.groupBy(F.col(system).alias("_of")).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("a_receptor") != F.col("b_receptor")).alias("n_interface_edges"), F.bool_and(F.col("weight") > 0).alias("positive"))
+    out = counts.join(sums, F.col(system) == F.col("_of"), "left")
+    for name, frame in (("joint", flagged), ("receptor", flagged.where("a_receptor and b_receptor"))):
+        out = out.join(joined(frame, name), F.col(system) == F.col(f"_{name}_of"), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = out.select(system, zero("n_edges").alias("n_edges"), zero("n_interface_edges").alias("n_interface_edges"), F.coalesce("positive", F.lit(True)).alias("positive"), (F.col("_n") - zero("_joint")).alias("joint_components"), (F.col("_r") - zero("_receptor")).alias("receptor_components"))
+    return out.withColumn("connected", (F.col("joint_components") == 1) & (F.col("receptor_components") == 1))
+
+
+def require_networks(found: DataFrame, system: str) -> DataFrame:
+    """The rows of ``connectivity``, if every network is connected; the error names the first that is not."""
+    bad = found.where(~F.col("connected")).orderBy(system).first()
+    if bad is not None:
+        raise GateError(f"{system} {bad[system]}: {bad['joint_components']} components, {bad['receptor_components']} of the receptor")
+    return found

@@ -103,11 +103,20 @@ def axis_resamples(frame: DataFrame, cluster: str, vector: str, is_first: str, n
     return drawn.join(both, "draw", "left").join(met, "draw", "left").select("draw", F.coalesce("status", F.lit("one state")).alias("status"), "overlap")
 
 
-def subset_overlap(frame: DataFrame, vector: str, subsets: dict, k: int) -> DataFrame:
-    """(subset, n, rmsip): leading components of each subset of rows against those of all rows."""
+def median_subsets(frame: DataFrame, column: str) -> tuple[dict, float | None]:
+    """({"better": rows under the median, "worse": the others}, the median); null values are in neither."""
+    middle = frame.agg(F.median(column)).first()[0]
+    return {"better": F.col(column) < F.lit(middle), "worse": F.col(column) >= F.lit(middle)}, middle
+
+
+def subset_overlap(frame: DataFrame, vector: str, subsets: dict, k: int, modes: DataFrame | None = None) -> DataFrame:
+    """(subset, n, rmsip): leading components of each subset of rows against those of all rows, or against given ``modes``.
+
+    ``modes`` has (component, loading), of which the first k count.
+    """
     from axisframe.operators.ensemble import principal_components
 
-    whole = principal_components(frame, vector, k).select(F.col("component").alias("i"), F.col("loading").alias("u"))
+    whole = (principal_components(frame, vector, k) if modes is None else modes.where(F.col("component") <= k)).select(F.col("component").alias("i"), F.col("loading").alias("u"))
     out = None
     for name, condition in subsets.items():
         part = frame.where(condition)

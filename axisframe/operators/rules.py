@@ -130,3 +130,63 @@ def common_positions(kept: DataFrame, residues: DataFrame, rules: list[dict]) ->
     seen = kept.join(residues.select("structure", "chain", "position").distinct(), ["structure", "chain"]).join(gone, ["variant", "position"], "left_anti")
     full = seen.groupBy("variant", "position").agg(F.count(F.lit(1)).alias("k")).join(sizes, "variant").where("k = n_structures").groupBy("variant").agg(F.count(F.lit(1)).alias("n_positions"))
     return sizes.join(full, "variant", "left").select("variant", "n_structures", F.coalesce("n_positions", F.lit(0)).alias("n_positions"))
+
+
+def fragment_filter(frame: DataFrame, structure: str, entity: str, length: str, least: int) -> DataFrame:
+    """(structure, n_entities, n_fragments, shortest, kept): entities shorter than ``least`` are fragments.
+
+    A structure is kept if an entity is left. Entities count once, by their greatest length; a null length is 0.
+    """
+    each = frame.groupBy(structure, entity).agg(F.max(F.coalesce(F.col(length), F.lit(0))).alias("_length"))
+    short = F.col("_length") < least
+    sums = each.groupBy(structure).agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(short).alias("n_fragments"), F.min("_length").alias("shortest"))
+    return sums.withColumn("kept", F.col("n_fragments") < F.col("n_entities"))
+
+
+def gap_bands(reference: DataFrame, keys: list[str], value: str, first_gaps: int = 15) -> DataFrame:
+    """(keys, n_closed, closed_min, closed_max, closed_mean, closed_sd, n_open, open_min, open_max): each group's two bands.
+
+    From the largest value down, the widest of the first gaps parts open from closed; of equal gaps the first does.
+    ``closed_sd`` is by n. Null values don't count, and groups with fewer than two values have no row.
+    """
+    rows = reference.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    down = Window.partitionBy(*keys).orderBy(F.col("_v").desc())
+    top = rows.withColumn("_n", F.row_number().over(down)).where(F.col("_n") <= first_gaps + 1)
+    top = top.withColumn("_next", F.lead("_v").over(Window.partitionBy(*keys).orderBy("_n"))).where("_next is not null")
+    cut = top.groupBy(*keys).agg(F.max_by((F.col("_v") + F.col("_next")) / 2, F.struct(F.col("_v") - F.col("_next"), -F.col("_n"))).alias("_cut"))
+    cut = cut.select(*[F.col(k).alias(f"_by_{k}") for k in keys], "_cut")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    low, high = F.when(F.col("_v") < F.col("_cut"), F.col("_v")), F.when(F.col("_v") >= F.col("_cut"), F.col("_v"))
+    found = [F.count(low).alias("n_closed"), F.min(low).alias("closed_min"), F.max(low).alias("closed_max"), F.avg(low).alias("closed_mean"), F.stddev_pop(low).alias("closed_sd")]
+    return rows.join(cut, same).groupBy(*keys).agg(*found, F.count(high).alias("n_open"), F.min(high).alias("open_min"), F.max(high).alias("open_max"))
+
+
+def band_calls(frame: DataFrame, bands: DataFrame, keys: list[str], value: str, *, present: Column, margin: float = 1.0, nearest: str | None = None, unit: str = "A") -> DataFrame:
+    """Append ``z``, ``verdict`` and ``reason``: each value against its group's bands as ``gap_bands`` gives them.
+
+    Up to ``margin`` beyond the closed band is closed, from as much below the open one on is open, and between them
+    intermediate; closed goes first. Without a coordinate (``present`` false or null), a value or a band it is
+    indeterminate. The reason has the numbers; ``nearest`` is a column that it quotes.
+    """
+    theirs = bands.select(*[F.col(k).alias(f"_by_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in ("closed_min", "closed_max", "closed_mean", "closed_sd", "open_min", "open_max")])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    v, there = F.col(value).cast("double"), F.coalesce(present, F.lit(False))
+    known = there & v.isNotNull() & F.col("_open_min").isNotNull()
+    z = F.when(known & (F.col("_closed_sd") > 0), (v - F.col("_closed_mean")) / F.col("_closed_sd"))
+    verdict = F.when(~known, "indeterminate").when(v <= F.col("_closed_max") + margin, "closed").when(v >= F.col("_open_min") - margin, "open").otherwise("intermediate")
+    number = lambda c: F.format_string("%.2f", c)
+    in_band = lambda name, a, b: F.concat(number(v), F.lit(f" {unit} is in the {name} band "), number(F.col(a)), F.lit(" to "), number(F.col(b)), F.lit(", z "), F.when(F.col("z").isNull(), "n/a").otherwise(F.format_string("%+.1f", F.col("z"))))
+    quoted = F.lit("") if nearest is None else F.concat(F.lit("; nearest approach "), F.when(F.col(nearest).isNull(), "n/a").otherwise(number(F.col(nearest).cast("double"))))
+    reason = (
+        F.when(~there, "the coordinate does not exist for this entry")
+        .when(F.col("verdict") == "indeterminate", "too few positions or reference values")
+        .when(F.col("verdict") == "closed", F.concat(in_band("closed", "_closed_min", "_closed_max"), quoted))
+        .when(F.col("verdict") == "open", F.concat(in_band("open", "_open_min", "_open_max"), quoted))
+        .otherwise(F.concat(number(v), F.lit(f" {unit} is between the closed band's end "), number(F.col("_closed_max")), F.lit(" and the open band's start "), number(F.col("_open_min"))))
+    )
+    met = frame.join(theirs, same, "left")
+    return met.withColumn("z", z).withColumn("verdict", verdict).withColumn("reason", reason).select(*frame.columns, "z", "verdict", "reason")

@@ -69,3 +69,24 @@ def status_matrix(frame: DataFrame, keys: list[str], column: str) -> DataFrame:
 def long_panel(frame: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """One row per key and named value: record, value."""
     return frame.unpivot(keys, values, "record", "value")
+
+
+#: Columns of a panel's records.
+PANEL = {"panel": "string", "record_type": "string", "series": "string", "identifier": "string", "index": "long", "x": "double", "y": "double", "z": "double", "dx": "double", "dy": "double", "dz": "double", "value": "double", "unit": "string", "notes": "string"}
+
+
+def panel_records(frame: DataFrame, panel: str, record_type: str, *, each: str | None = None, **given: Column | str) -> DataFrame:
+    """One record of the fourteen ``PANEL`` columns per row, or per element of the array column ``each``.
+
+    ``given`` names columns' values, as columns or constant texts; those left out are null. An array's elements are
+    the values, and their places from 0 the index; empty and null arrays give no records.
+    """
+    if unknown := set(given) - set(PANEL):
+        raise ValueError(f"no panel columns: {sorted(unknown)}")
+    fixed = {"panel": F.lit(panel), "record_type": F.lit(record_type)}
+    cells = {n: F.lit(c) if isinstance(c, str) else c for n, c in given.items()}
+    if each is not None:
+        frame = frame.select(*frame.columns, F.posexplode(each).alias("_index", "_value"))
+        cells = {"index": F.col("_index"), "value": F.col("_value"), **cells}
+    cells = {**cells, **fixed}
+    return frame.select(*[cells.get(n, F.lit(None)).cast(t).alias(n) for n, t in PANEL.items()])

@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from axisframe.plans import numeric, relational, structures, studies  # noqa: F401
+from axisframe.plans import curation, numeric, relational, structures, studies  # noqa: F401

@@ -164,3 +164,30 @@ def mutations(texts: DataFrame) -> DataFrame:
     """(path, mutations): sorted distinct symbols such as W386A in a text."""
     letters = "ACDEFGHIKLMNPQRSTVWY"
     return texts.select("path", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\b([{letters}][1-9]\d{{0,3}}[{letters}])\b"), 1))).alias("mutations"))
+
+
+#: What a table's title says of its assay: the first line with a word that the lower-cased title has. Fixed values.
+ASSAYS = (
+    ("binding_spr", ("spr",)),
+    ("binding_itc", ("itc",)),
+    ("folding_dsf", ("dsf", "thermal")),
+    ("saxs", ("saxs", "scattering")),
+    ("mutation_construct_qc", ("lc-ms", "mutant", "mutagenesis")),
+    ("structure_statistics", ("cryo-em", "crystallographic")),
+)
+
+
+def table_titles(texts: DataFrame, assays: tuple[tuple[str, tuple[str, ...]], ...] = ASSAYS) -> DataFrame:
+    """(path, table_id, title, assay_type, line_no): lines that open with "Table S" and a number, the first of each id.
+
+    ``line_no`` is from 0; a title that no word fits has an empty assay type.
+    """
+    titles = lines_of(texts).select("path", "line_no", F.regexp_extract(F.trim("line"), r"^Table S\d+\.?\s+.*", 0).alias("title")).where("title <> ''")
+    first = titles.withColumn("table_id", F.regexp_extract("title", r"^Table (S\d+)", 1)).groupBy("path", "table_id").agg(F.min_by("title", "line_no").alias("title"), F.min("line_no").alias("line_no"))
+    low, kind = F.lower("title"), None
+    for name, words in assays:
+        has = F.lit(False)
+        for word in words:
+            has = has | low.contains(word)
+        kind = F.when(has, name) if kind is None else kind.when(has, name)
+    return first.select("path", "table_id", "title", kind.otherwise("").alias("assay_type"), "line_no")
