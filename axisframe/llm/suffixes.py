@@ -30,6 +30,8 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _CHUNK = 4 << 20
 _RESOLVED = np.uint32(0xFFFFFFFF)
 _BUCKET_BYTES = 12 << 20
+#: Strings whose bytes are compared at once.
+_VERIFIED = 1 << 14
 
 
 @cache
@@ -268,28 +270,34 @@ def _covered(length: int):
             if k == 1:
                 yield frame(blob)
         found = np.frombuffer(b"".join(blob for k, blob in blobs if k == 0), kind)
+        blobs.clear()
         if not len(found):
             return
         text = found["bytes"]
-        prefix = np.zeros((text.shape[1] + 1, len(found)), np.uint64)
-        for j in range(text.shape[1]):
-            prefix[j + 1] = prefix[j] * np.uint64(_MULTIPLIER) + text[:, j] + np.uint64(1)
+        at = lambda j: text[:, j].astype(np.uint64) + np.uint64(1)
+        # one hash a context, rolled on by a byte for each start: a bucket's memory is its contexts and little more
+        rolled = np.zeros(len(found), np.uint64)
+        for j in range(length):
+            rolled = rolled * np.uint64(_MULTIPLIER) + at(j)
         low, high = np.full(len(found), 255, np.int64), np.full(len(found), -1, np.int64)
-        for back in range(side + 1):
+        for a in range(side + 1):
+            if a:
+                rolled = (rolled - at(a - 1) * _power(length - 1)) * np.uint64(_MULTIPLIER) + at(a - 1 + length)
+            back = side - a
             rows = np.flatnonzero((found["low"] <= back) & (found["high"] >= back))
             if len(rows) < 2:
                 continue
-            a = side - back
-            h = _mixed(prefix[a + length, rows] - prefix[a, rows] * _power(length))
+            h = _mixed(rolled[rows])
             rows = rows[order := np.lexsort((found["doc"][rows], h))]
             h = h[order]
             first = np.flatnonzero(np.concatenate(([True], np.diff(h) != 0)))
             head = rows[np.repeat(first, np.diff(np.concatenate((first, [len(rows)]))))]
             later = found["doc"][rows] > found["doc"][head]
             rows, head = rows[later], head[later]
-            sure = (text[rows, a : a + length] == text[head, a : a + length]).all(axis=1)
-            rows = rows[sure]
-            low[rows], high[rows] = np.minimum(low[rows], back), back
+            sure = [(text[rows[i : i + _VERIFIED], a : a + length] == text[head[i : i + _VERIFIED], a : a + length]).all(axis=1) for i in range(0, len(rows), _VERIFIED)]
+            if sure:
+                rows = rows[np.concatenate(sure)]
+            low[rows], high[rows] = back, np.maximum(high[rows], back)
         # strings through one sample start less than a string's length apart, so together they cover one run
         take = high >= 0
         if take.any():
