@@ -135,7 +135,9 @@ def _neighbours(level: int):
         chunk, context = (left.column(c)[0].as_py() for c in ("chunk", "context"))
         codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(left.column("codes")[0].as_py()), np.int32)
         levels, inside, ids = (right.column(c).to_numpy() for c in ("level", "inside", "id"))
-        here = {at: np.flatnonzero(levels == at) for at in range(1, level)}
+        # phrases are numbered in order of their places, not of the rows, which come as the shuffle brings them
+        order = np.argsort(inside, kind="stable")
+        here = {at: order[levels[order] == at] for at in range(1, level)}
         # the phrase that starts at each place, as a number among the chunk's own; -1 where it is rare
         names, uniques = codes, None
         for at in range(1, level):

@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from axisframe.llm import collocations
 
@@ -86,3 +89,17 @@ def test_large_numbers_are_exact(spark):
 
 def test_empty_table(spark):
     assert collocations.ranked(collocations.collocations(_frame(spark, _docs(1)).where("false"))).count() == 0
+
+
+def test_order_of_shuffled_names_does_not_matter():
+    """A chunk's names come in any order; phrases of three words are counted by the numbers of the round before."""
+    words = [1, 2, 3, 1, 2, 3, 0, 4, 2, 3, 1, 2]
+    codes = zstandard.ZstdCompressor().compress(np.array(words, np.int32).tobytes())
+    text = pa.table({"chunk": [5], "context": pa.array([0], pa.int32()), "codes": [codes]})
+    names = [(1, i, 100 + i) for i in (1, 2, 3, 4)] + [(2, i, 200 + i) for i in range(4)]  # pairs (1,2) (2,3) (3,1) (4,2)
+    wanted = {(200, 201): 2, (201, 202): 2, (202, 200): 2, (203, 201): 1}
+    for seed in range(6):
+        mixed = random.Random(seed).sample(names, len(names))
+        right = pa.table({"level": pa.array([r[0] for r in mixed], pa.int32()), "inside": pa.array([r[1] for r in mixed], pa.int32()), "id": [r[2] for r in mixed]})
+        got = collocations._neighbours(3)(text, right).to_pylist()
+        assert {(r["left"], r["right"]): r["n"] for r in got} == wanted
