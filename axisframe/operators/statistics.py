@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from axisframe.operators.ridge import ridge_fits
+
+#: Radii in a block of places.
+_BLOCK_RADII = 1024
+
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
@@ -277,31 +283,67 @@ def ridge_left_out(frame: DataFrame, keys: list[str], target: str, features: lis
     """Each row predicted from its group's rows more than ``radius`` away by ``neighbour``: (keys, neighbour, status, n, predicted, residual).
 
     Features are standardised on the training rows, raw ones are not; the loss is the mean square error plus
-    alpha times the squared coefficients, the intercept free. A group is a bounded class of some hundred rows.
-    """
+    alpha times the squared coefficients, the intercept free. Values are not null; a row without a place trains none.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        place = pdf[neighbour].to_numpy(float)
-        y = pdf[target].to_numpy(float)
-        x, z = pdf[features].to_numpy(float), pdf[raw].to_numpy(float)
-        for i in range(len(pdf)):
-            take = np.abs(place - place[i]) > radius
-            if take.sum() < least:
-                out.append((*pdf[keys].iloc[i], place[i], "insufficient", int(take.sum()), None, None))
+    A group's sums of products are added up once; what a row leaves out is taken from running sums along the places of a
+    block, which also holds the rows within ``radius`` of it. So no task holds a group, and no row meets its group.
+    """
+    z = [*features, *raw, target]
+    count, p = len(z), len(features)
+    names = [f"_z{i}" for i in range(count)]
+    upper = np.triu_indices(count + 1)
+    rows = frame.select(*keys, F.col(neighbour).cast("double").alias("_place"), *[F.col(c).cast("double").alias(n) for c, n in zip(z, names, strict=True)])
+    there = F.col("_place").isNotNull() & ~F.isnan("_place")
+    own = lambda name: [F.col(k).eqNullSafe(F.col(f"_{name}_{k}")) for k in keys]
+    by = lambda name: [F.col(k).alias(f"_{name}_{k}") for k in keys]
+    centre = rows.where(there).groupBy(*by("c")).agg(F.array(*[F.avg(n) for n in names]).alias("_about"))
+    centred = F.array(F.lit(1.0), *[F.col(n) - F.col("_about")[i] for i, n in enumerate(names)])
+    placed = rows.where(there).join(centre, own("c")).select(*keys, "_place", "_about", centred.alias("_z"))
+    whole = placed.groupBy(*by("w")).agg(F.array(*[F.sum(F.col("_z")[int(i)] * F.col("_z")[int(j)]) for i, j in zip(*upper, strict=True)]).alias("_all"))
+    width = _BLOCK_RADII * radius or 1.0
+    block = lambda c: F.floor(c / width)
+    reach = radius * (1 + 1e-9)
+    dealt = placed.withColumn("_home", block(F.col("_place"))).withColumn("_block", F.explode(F.array_distinct(F.array("_home", block(F.col("_place") - reach), block(F.col("_place") + reach)))))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place", kind="stable")
+        places, first = np.unique(pdf["_place"].to_numpy(float), return_index=True)
+        first = np.append(first, len(pdf))
+        rows = np.stack(pdf["_z"].to_list())
+        running = np.vstack((np.zeros(len(upper[0])), np.cumsum(rows[:, upper[0]] * rows[:, upper[1]], axis=0)))
+        mine = pdf[pdf["_home"] == pdf["_block"]]
+        at = mine["_place"].to_numpy(float)
+        low, high = np.searchsorted(places, at - radius), np.searchsorted(places, at + radius, "right")
+        # the difference of two places decides, however the sums above were rounded
+        low -= (low > 0) & (np.abs(places[np.maximum(low - 1, 0)] - at) <= radius)
+        low += np.abs(places[np.minimum(low, len(places) - 1)] - at) > radius
+        high += (high < len(places)) & (np.abs(places[np.minimum(high, len(places) - 1)] - at) <= radius)
+        high -= np.abs(places[high - 1] - at) > radius
+        left_out = list(running[first[high]] - running[first[low]])
+        return mine[[*keys, "_place", "_about", "_z"]].assign(_out=pd.Series(left_out, mine.index, dtype=object))
+
+    kinds = [*[frame.schema[k] for k in keys], *T.StructType.fromDDL("_place double, _about array<double>, _z array<double>, _out array<double>").fields]
+    met = dealt.groupBy(*keys, "_block").applyInPandas(near, T.StructType(kinds)).join(whole, own("w"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
                 continue
-            mean, sd = x[take].mean(axis=0), x[take].std(axis=0)
-            sd[sd == 0] = 1
-            m = np.column_stack(((x - mean) / sd, z))
-            shift, level = m[take].mean(axis=0), y[take].mean()
-            a = m[take] - shift
-            coefficients = np.linalg.solve(a.T @ a / len(a) + alpha * np.eye(a.shape[1]), a.T @ (y[take] - level) / len(a))
-            guess = float(level + (m[i] - shift) @ coefficients)
-            out.append((*pdf[keys].iloc[i], place[i], "ok", int(take.sum()), guess, float(y[i] - guess)))
-        return pd.DataFrame(out, columns=[*keys, neighbour, "status", "n", "predicted", "residual"])
+            m = np.zeros((len(pdf), count + 1, count + 1))
+            m[:, upper[0], upper[1]] = np.stack(pdf["_all"].to_list()) - np.stack(pdf["_out"].to_list())
+            m[:, upper[1], upper[0]] = m[:, upper[0], upper[1]]
+            n = np.rint(m[:, 0, 0])
+            ok = (n >= max(1, least)) & (n > 0)
+            here, about = np.stack(pdf["_z"].to_list())[:, 1:], np.stack(pdf["_about"].to_list())
+            guess, _ = ridge_fits(m, np.where(ok, n, 1.0), ok, here[:, :-1], p, alpha)
+            guess = np.where(ok, about[:, -1] + guess, np.nan)
+            y = about[:, -1] + here[:, -1]
+            yield pdf[[*keys, "_place"]].rename(columns={"_place": neighbour}).assign(status=np.where(ok, "ok", "insufficient"), n=n.astype(int), predicted=guess, residual=y - guess)
 
     schema = T.StructType([*[frame.schema[k] for k in keys], T.StructField(neighbour, T.DoubleType()), *T.StructType.fromDDL("status string, n int, predicted double, residual double").fields])
-    return frame.groupBy(*keys).applyInPandas(fit, schema)
+    fits = met.select(*keys, "_place", "_about", "_z", "_out", "_all").mapInPandas(solve, schema)
+    fits = fits.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in ("predicted", "residual")})
+    return fits.union(rows.where(~there).select(*keys, F.col("_place").alias(neighbour), F.lit("insufficient"), F.lit(0), F.lit(None).cast("double"), F.lit(None).cast("double")))
 
 
 def cluster_bootstrap(frame: DataFrame, keys: list[str], cluster: str, value: str, n_draws: int, seed: int) -> DataFrame:

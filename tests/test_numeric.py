@@ -486,3 +486,27 @@ def test_groups_of_springs_solved_side_by_side():
                 scaled[at] *= factor
                 assert found == pytest.approx(np.log(c.compliance(c.stiffness(state, scaled))[2]), abs=1e-9)
     assert c.updated(c.prepared("rigid"), [], (0.5, 2.0)).shape == (0, 2)
+
+
+def test_ridge_left_out_goes_by_blocks(spark):
+    """No task gets a group: rows of several blocks, at their edges and at one place, equal a fit of each row's training rows."""
+    from axisframe.operators import statistics as N
+
+    r = np.random.default_rng(3)
+    places = [*r.integers(0, 9000, 60).tolist(), 2047, 2048, 2050, 2050, 4096, 4098]
+    rows = [("g", float(p), float(r.normal() + 50), float(r.normal()), 1.0) for p in places] + [("g", None, 1.0, 2.0, 1.0), ("h", 1.0, 2.0, 3.0, 1.0)]
+    frame = spark.createDataFrame(rows, "g string, place double, y double, x double, d double")
+    found = N.ridge_left_out(frame, ["g"], "y", ["x"], ["d"], "place", radius=2.0, alpha=0.1, least=5)
+    assert "_block" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(((o["g"], o["place"], o["status"], o["n"], o["predicted"]) for o in found.collect() if o["status"] == "ok"))
+    assert sorted((o["g"], o["place"], o["n"]) for o in found.where("status <> 'ok'").collect() if o["place"] is not None) == [("h", 1.0, 0)]
+    want = []
+    for g, p, y, x, d in rows[:-2]:
+        t = np.array([q[2:] for q in rows[:-2] if abs(q[1] - p) > 2.0])
+        mean, sd = t[:, 1].mean(), t[:, 1].std()
+        a = (t[:, 1] - mean) / sd
+        c = (a * (t[:, 0] - t[:, 0].mean())).mean() / ((a * a).mean() + 0.1)
+        want.append((g, p, "ok", len(t), pytest.approx(t[:, 0].mean() + c * (x - mean) / sd)))
+    assert len(got) == len(want)
+    for one, other in zip(got, sorted(want, key=lambda w: (w[1], w[4].expected)), strict=True):
+        assert one == other
