@@ -227,14 +227,21 @@ def matched_controls(frame: DataFrame, id_column: str, label: str, count: str, v
     (id, tier, n_controls, percentile): the percentile is mid-rank; fewer than ``least`` controls are insufficient.
     """
     me = frame.select(F.col(id_column).alias("id"), F.col(label).alias("label"), F.col(count).alias("n"), F.col(value).alias("v"))
+    # controls enter as tallies of equal (label, count, value), and counts meet counts before values do, so that a row's
+    # place among its controls comes from running sums and no row meets its controls
     tallies = me.groupBy("label", "n", "v").agg(F.count(F.lit(1)).alias("k"))
-    # controls enter as tallies of equal (label, count, value), so a common value costs one row
-    other = tallies.select("label", F.col("n").alias("m"), F.col("v").alias("w"), "k")
-    met = me.join(other, "label").where(F.abs(F.col("n") - F.col("m")) <= caliper * F.col("n"))
-    weight = F.col("k") - F.when((F.col("m") == F.col("n")) & (F.col("w") == F.col("v")), 1).otherwise(0)
-    under = F.when(F.col("w") < F.col("v"), weight).when(F.col("w") == F.col("v"), weight / 2).otherwise(0.0)
-    exact = F.col("m") == F.col("n")
-    per = met.groupBy("id").agg(F.sum(F.when(exact, weight).otherwise(0)).alias("ne"), F.sum(F.when(exact, under).otherwise(0.0)).alias("ue"), F.sum(weight).alias("nc"), F.sum(under).alias("uc"))
+    counts = tallies.select("label", "n").distinct()
+    reach = counts.join(counts.withColumnRenamed("n", "m"), "label").where(F.abs(F.col("n") - F.col("m")) <= caliper * F.col("n"))
+    dealt = reach.join(tallies.withColumnRenamed("n", "m"), ["label", "m"])
+    own = F.when(F.col("m") == F.col("n"), F.col("k")).otherwise(0)
+    sums = dealt.groupBy("label", "n", "v").agg(F.sum("k").alias("kc"), F.sum(own).alias("ke"))
+    every = Window.partitionBy("label", "n")
+    before = every.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    # a null value is a control that stands above none; nothing stands under a row whose value is null
+    below = lambda c: F.when(F.col("v").isNotNull(), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col(c))).over(before), F.lit(0)) + (F.col(c) - 1) / 2).otherwise(0.0)
+    stands = sums.select("label", "n", "v", (F.sum("ke").over(every) - 1).alias("ne"), below("ke").alias("ue"), (F.sum("kc").over(every) - 1).alias("nc"), below("kc").alias("uc")).where("ne >= 0")
+    named = stands.select(F.col("label").alias("_label"), F.col("n").alias("_n"), F.col("v").alias("_v"), "ne", "ue", "nc", "uc")
+    per = me.join(named, (F.col("label") == F.col("_label")) & (F.col("n") == F.col("_n")) & F.col("v").eqNullSafe(F.col("_v")), "left").na.fill(0, ["ne", "ue", "nc", "uc"])
     tier = F.when(F.col("ne") >= least, "exact").when(F.col("nc") >= least, "caliper").otherwise("insufficient")
     return per.withColumn("tier", tier).select(
         "id",

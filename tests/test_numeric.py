@@ -488,6 +488,22 @@ def test_groups_of_springs_solved_side_by_side():
     assert c.updated(c.prepared("rigid"), [], (0.5, 2.0)).shape == (0, 2)
 
 
+def test_matched_controls_of_null_values_and_many_values(spark):
+    """Against every pair of rows; a null value is a control under nobody and stands over none, and isn't its own control."""
+    from axisframe.operators import statistics as N
+
+    rows = [(i, "ab"[i % 2], (i * 7) % 12, None if i % 13 == 0 else float((i * 5) % 9)) for i in range(80)] + [(80, "c", 3, 1.0), (81, None, 3, 1.0)]
+    got = {r["id"]: r for r in N.matched_controls(spark.createDataFrame(rows, "id long, label string, n int, v double"), "id", "label", "n", "v", caliper=0.2, least=4).collect()}
+    assert len(got) == len(rows)
+    for i, label, n, v in rows:
+        near = [r for r in rows if label is not None and r[1] == label and r[0] != i and abs(r[2] - n) <= 0.2 * n]
+        exact = [r for r in near if r[2] == n]
+        tier, use = ("exact", exact) if len(exact) >= 4 else ("caliper", near) if len(near) >= 4 else ("insufficient", near)
+        under = sum(0.0 if v is None or r[3] is None or r[3] > v else 0.5 if r[3] == v else 1.0 for r in use)
+        assert (got[i]["tier"], got[i]["n_controls"]) == (tier, len(use))
+        assert got[i]["percentile"] == (None if tier == "insufficient" else pytest.approx(100 * under / len(use)))
+
+
 def test_ridge_left_out_goes_by_blocks(spark):
     """No task gets a group: rows of several blocks, at their edges and at one place, equal a fit of each row's training rows."""
     from axisframe.operators import statistics as N
