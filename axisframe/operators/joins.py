@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from axisframe.store import written
 
 from axisframe.operators.gates import require_same_keys, require_unique
 
+#: Vectors of a block whose pairs a task takes, rows of it taken at once, and pairs worked out from differences at once.
+_BLOCK, _SLICE, _PAIRS = 4096, 512, 1 << 16
+#: Trailing bits of a distance that its count leaves out.
+_BITS = 39
+
 
 def join_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of two sides with the same keys, each once."""
@@ -79,12 +89,101 @@ def contacts(points: DataFrame, id_column: str, coordinates: list[str], cutoff:
     return met.where((F.col("r") > least) & (F.col("r") <= cutoff)).select(*groups, "i", "j", "r")
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a from all of b; near and unbounded ones, which products would blur, from differences."""
+    lengths = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    square = lengths - 2 * (a @ b.T)
+    one, two = np.nonzero(~(square > 1e-6 * lengths) | ~np.isfinite(square))
+    for at in range(0, len(one), _PAIRS):
+        i, j = one[at : at + _PAIRS], two[at : at + _PAIRS]
+        square[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return np.sqrt(square)
+
+
+def _vector_pairs(vectors: DataFrame, id_column: str, vector: str, schema: T.StructType, found: Callable[[Iterator[tuple]], pd.DataFrame]) -> DataFrame:
+    """found(slices) rows of each two blocks of vectors; a slice is (ids of a, ids of b, distances), where a's ids are smaller
+    or pairs don't count (their distance is NaN).
+
+    Blocks are dealt by a hash of ids, and each two meet in a task: memory is bounded, the work is that of all pairs.
+    Vectors that are null or hold a null have no pairs, nor have those of different lengths.
+    """
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    blocks = max(1, -(-rows.count() // _BLOCK))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["own"] == k] for k in key[1:]]
+        ids = [x["id"].to_numpy() for x in sides]
+        if not len(sides[0]) or not len(sides[1]):
+            return found(iter(()))
+        a, b = (np.stack(x["v"].to_list()).astype(float) for x in sides)
+
+        def slices() -> Iterator[tuple]:
+            for at in range(0, len(a), _SLICE):
+                one = ids[0][at : at + _SLICE]
+                r = _distances(a[at : at + _SLICE], b)
+                r[one[:, None] >= ids[1][None, :] if key[1] == key[2] else one[:, None] == ids[1][None, :]] = np.nan
+                yield one, ids[1], r
+
+        return found(slices())
+
+    return dealt.groupBy(F.size("v").alias("size"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).applyInPandas(meet, schema)
+
+
 def vector_contacts(vectors: DataFrame, id_column: str, vector: str, cutoff: float, *, least: float = 1e-6) -> DataFrame:
-    """Pairs i < j of vectors with least < r <= cutoff: i, j, r. For some thousand vectors of many dimensions."""
-    v = vectors.select(F.col(id_column).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    a, b = v.select(F.col("id").alias("i"), F.col("v").alias("a")), v.select(F.col("id").alias("j"), F.col("v").alias("b"))
-    r = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", r.alias("r")).where((F.col("r") > least) & (F.col("r") <= cutoff))
+    """Pairs i < j of vectors with least < r <= cutoff: i, j, r. For vectors of many dimensions, all of which meet."""
+    kind = vectors.schema[id_column].dataType
+
+    def found(slices: Iterator[tuple]) -> pd.DataFrame:
+        out = [pd.DataFrame({"i": [], "j": [], "r": []})]
+        for one, two, r in slices:
+            at, to = np.nonzero((r > least) & (r <= cutoff))
+            i, j, far = one[at], two[to], r[at, to]
+            out.append(pd.DataFrame({"i": np.where(i < j, i, j), "j": np.where(i < j, j, i), "r": far}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    return _vector_pairs(vectors, id_column, vector, T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("r", T.DoubleType())]), found)
+
+
+def vector_pair_statistics(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """(median, max, mean, n) of the distances of all pairs of vectors, exact; no pair leaves its task.
+
+    Distances are counted by their leading bits first. The second round gives the values of the bits that hold the
+    middle ones, with their counts.
+    """
+    bits = lambda r: r.view(np.int64) >> _BITS
+
+    def counted(slices: Iterator[tuple]) -> pd.DataFrame:
+        parts = [pd.DataFrame({"bucket": np.array([], np.int64), "n": np.array([], np.int64), "total": [], "top": []})]
+        for _, _, r in slices:
+            r = r[~np.isnan(r)]
+            own = pd.DataFrame({"bucket": bits(r), "r": r}).groupby("bucket")["r"].agg(["size", "sum", "max"]).reset_index()
+            parts.append(own.set_axis(["bucket", "n", "total", "top"], axis=1))
+        return pd.concat(parts[1:] or parts).groupby("bucket", as_index=False).agg({"n": "sum", "total": "sum", "top": "max"})
+
+    per = _vector_pairs(vectors, id_column, vector, T.StructType.fromDDL("bucket long, n long, total double, top double"), counted)
+    per = written(per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top")), "distances")
+    whole = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    middle = [(whole - 1) // 2, whole // 2]
+    reached = lambda frame, key: frame.withColumn("upto", F.sum("n").over(Window.orderBy(key)))
+    holds = F.lit(False)
+    for m in middle:
+        holds = holds | ((F.col("upto") > m) & (F.col("upto") - F.col("n") <= m))
+    found = reached(per, "bucket").where(holds).select("bucket", (F.col("upto") - F.col("n")).alias("below")).orderBy("bucket").collect()  # two at most
+    wanted, below = [r["bucket"] for r in found], (found[0]["below"] if found else 0)
+
+    def valued(slices: Iterator[tuple]) -> pd.DataFrame:
+        parts = [np.empty(0)]
+        for _, _, r in slices:
+            r = r[~np.isnan(r)]
+            parts.append(r[np.isin(bits(r), wanted)])
+        value, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pd.DataFrame({"r": value, "n": n})
+
+    values = _vector_pairs(vectors, id_column, vector, T.StructType.fromDDL("r double, n long"), valued).groupBy("r").agg(F.sum("n").alias("n"))
+    at = lambda m: F.min(F.when(F.col("upto") + below > m, F.col("r")))
+    median = reached(values, "r").agg(((at(middle[0]) + at(middle[1])) / 2).alias("median"))
+    return per.agg(F.max("top").alias("max"), (F.sum("total") / F.sum("n")).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).crossJoin(median).select("median", "max", "mean", "n")
 
 
 def partner_census(receptor: DataFrame, partners: DataFrame, groups: list[str], role: str, point_id: str, coordinates: list[str], cutoff: float) -> DataFrame:

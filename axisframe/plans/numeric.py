@@ -308,11 +308,9 @@ def _(spark, d):
 
 @query("pairwise_deviation", "with v as (select vec_id, [x::double for x in embedding] v from embeddings) select round(median(r), 6) median, round(max(r), 6) max, round(avg(r), 6) mean, count(r) n from (select list_distance(a.v, b.v) r from v a, v b where a.vec_id < b.vec_id)")
 def _(spark, d):
-    from axisframe.operators.aggregates import pair_statistics
-    from axisframe.operators.joins import vector_contacts
+    from axisframe.operators.joins import vector_pair_statistics
 
-    pairs = vector_contacts(table(spark, d, "embeddings"), "vec_id", "embedding", float("inf"), least=-1.0)
-    p = pair_statistics(pairs, "r")
+    p = vector_pair_statistics(table(spark, d, "embeddings"), "vec_id", "embedding")
     return p.select(r6("median").alias("median"), r6("max").alias("max"), r6("mean").alias("mean"), "n")
 
 
@@ -320,4 +318,4 @@ def _(spark, d):
 def _(spark, d):
     from axisframe.operators.joins import vector_contacts
 
-    return vector_contacts(table(spark, d, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("v")), "vec_id", "v", 1.19).withColumn("r", r6("r"))
+    return vector_contacts(table(spark, d, "embeddings"), "vec_id", "embedding", 1.19).withColumn("r", r6("r"))

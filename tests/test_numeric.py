@@ -526,3 +526,21 @@ def test_ridge_left_out_goes_by_blocks(spark):
     assert len(got) == len(want)
     for one, other in zip(got, sorted(want, key=lambda w: (w[1], w[4].expected)), strict=True):
         assert one == other
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pairs_of_vectors_by_blocks(spark, monkeypatch, block):
+    """One block and several: copies, near copies, a null, a hole and a shorter vector; only bits and values leave a task."""
+    from axisframe.operators import joins as J
+
+    monkeypatch.setattr(J, "_BLOCK", block)
+    r = np.random.default_rng(8)
+    vectors = [(i, r.normal(size=5).tolist()) for i in range(40)]
+    vectors += [(40, vectors[3][1]), (41, [x + 1e-9 for x in vectors[4][1]]), (42, [x * 1.5 for x in vectors[3][1]])]
+    frame = spark.createDataFrame([*vectors, (50, None), (51, [1.0, None, 0.0, 0.0, 0.0]), (52, [1.0, 2.0])], "id long, v array<double>")
+    apart = {(i, j): math.dist(v, w) for i, v in vectors for j, w in vectors if i < j}
+    got = {(p.i, p.j): p.r for p in J.vector_contacts(frame, "id", "v", 2.0, least=-1.0).collect()}
+    assert got == {k: pytest.approx(d, rel=1e-7, abs=1e-13) for k, d in apart.items() if d <= 2.0}
+    s = J.vector_pair_statistics(frame, "id", "v").first()
+    assert (s["n"], s["median"], s["max"], s["mean"]) == (len(apart), pytest.approx(np.median(list(apart.values()))), pytest.approx(max(apart.values())), pytest.approx(np.mean(list(apart.values()))))
+    assert J.vector_pair_statistics(frame.where("id < 1"), "id", "v").first().asDict() == {"median": None, "max": None, "mean": None, "n": 0}
