@@ -27,3 +27,8 @@ def written(frame: DataFrame, kind: str) -> DataFrame:
     path = fresh_path(spark, kind)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def tasks(frame: DataFrame, rows: int = 500_000) -> int:
+    """How many tasks of about so many rows the frame makes, at least those of a shuffle: a task's share stays the same."""
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // rows))
