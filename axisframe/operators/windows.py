@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from axisframe.store import tasks
+
 
 def rank_within(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """class_rank (from 1), class_n and rank_fraction within each class."""
@@ -51,10 +53,15 @@ def sign_changes(frame: DataFrame, keys: list[str], position: str, value: str) -
     return out.where("_turn < 0").withColumn("across_gap", F.col("next_position") - F.col(position) > 1).select(*keys, position, "next_position", "across_gap")
 
 
+def _dealt(frame: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """Keys and positions, dealt by keys to so many tasks that a task's share stays the same as tables grow."""
+    return frame.select(*keys, position).repartition(tasks(frame), *keys)
+
+
 def gaps(frame: DataFrame, keys: list[str], position: str) -> DataFrame:
     """Breaks in the numbering: the positions on both sides and how many are missing."""
     w = Window.partitionBy(*keys).orderBy(position)
-    out = frame.select(*keys, position).distinct().withColumn("after", F.lead(position).over(w))
+    out = _dealt(frame, keys, position).distinct().withColumn("after", F.lead(position).over(w))
     return out.where(F.col("after") - F.col(position) > 1).select(*keys, F.col(position).alias("before"), "after", (F.col("after") - F.col(position) - 1).alias("n_missing"))
 
 
@@ -62,7 +69,7 @@ def islands(frame: DataFrame, keys: list[str], position: str, tolerance: int = 1
     """Runs of positions at most ``tolerance`` apart: lo, hi and n."""
     w = Window.partitionBy(*keys).orderBy(position)
     start = F.when(F.col(position) - F.lag(position).over(w) <= tolerance, 0).otherwise(1)
-    marked = frame.select(*keys, position).distinct().withColumn("_new", start).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = _dealt(frame, keys, position).distinct().withColumn("_new", start).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_run").agg(F.min(position).alias("lo"), F.max(position).alias("hi"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
