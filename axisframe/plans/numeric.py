@@ -155,7 +155,7 @@ def _(spark, d):
     select s.grp, coalesce(shared_with, '') shared_with, coalesce(identical_to, '') identical_to from s left join n on n.grp = s.grp""",
 )
 def _(spark, d):
-    g = table(spark, d, "lineitem").select(F.col("l_partkey").alias("grp"), F.col("l_orderkey").alias("edge")).distinct()
+    g = table(spark, d, "lineitem").select(F.col("l_partkey").alias("grp"), F.col("l_orderkey").alias("edge"))
     named = M.shared_edges(g, "grp", "edge")
     number = lambda c: F.array_join(F.transform(F.array_sort(F.transform(F.filter(F.split(c, ";"), lambda x: x != ""), lambda x: x.cast("long"))), lambda x: x.cast("string")), ";")
     return named.select("grp", number("shared_with").alias("shared_with"), number("identical_to").alias("identical_to"))
