@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from axisframe.store import written
+from axisframe.store import tasks, written
 
 from axisframe.operators.gates import require_same_keys, require_unique
 
@@ -265,7 +265,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, point: str, low: str,
 
 def best_partner(left: DataFrame, right: DataFrame, left_id: str, right_id: str, member: str, least: int = 1) -> DataFrame:
     """Per left id: the right id that shares most members (ties to the smaller id), with ``n_shared`` >= least."""
-    a, b = left.select(left_id, member).distinct(), right.select(right_id, member).distinct()
-    shared = a.join(b, member).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("n_shared"))
+    parts = max(tasks(left), tasks(right))  # a task's share stays the same as tables grow
+    a, b = (x.repartition(parts, member).distinct() for x in (left.select(left_id, member), right.select(right_id, member)))
+    shared = a.join(b, member).select(left_id, right_id).repartition(parts, left_id).groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("n_shared"))
     w = Window.partitionBy(left_id).orderBy(F.col("n_shared").desc(), right_id)
     return shared.where(F.col("n_shared") >= least).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
