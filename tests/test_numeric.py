@@ -212,6 +212,18 @@ def test_unsolvable_conditions_keep_their_rows(spark):
     assert ("isolated", "ok", False) in kept and ("flexible", "singular partner block", True) in kept
 
 
+def test_loose_groups_of_held_atoms_are_checked_like_others(spark):
+    p, nodes, grid = _cloud(spark, seed=5, n=(8, 3))
+    # two atoms of three springs each, five in all: a motion of both stretches none; receptor's node 0 has no spring at all
+    hinge = M.spring_table(nodes, grid.withColumn("cutoff", F.lit(1e3))).where("i > 0 and j < 10 or i in (1, 2, 3, 4) and j = 10")
+    hinge = hinge.where("j < 8 or j = 10 or (i, j) in ((8, 9), (1, 8), (2, 8), (3, 9), (4, 9))")
+    assert {(r.state, r.gap is not None and r.gap < 1e-9) for r in M.response_checks(hinge, nodes, grid).collect()} == {("rigid", True), ("flexible", True)}
+    assert {(r.softer, r.status) for r in M.order_checks(hinge, nodes, grid).collect()} == {("isolated", "ok"), ("flexible", "ok"), ("rigid", "ok")}
+    loose = hinge.where("(i, j) <> (4, 9)")
+    assert {(r.state, r.gap is None) for r in M.response_checks(loose, nodes, grid).collect()} == {("rigid", False), ("flexible", True)}
+    assert {(r.softer, r.status) for r in M.order_checks(loose, nodes, grid).collect()} == {("isolated", "unsolvable"), ("flexible", "unsolvable"), ("rigid", "ok")}
+
+
 def test_queries_of_states(spark):
     ok = {(r.condition, r.state) for r in answer(spark, "partner_states") if r.status == "ok"}
     effects = answer(spark, "spring_effects")
