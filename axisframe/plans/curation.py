@@ -14,7 +14,7 @@ from axisframe.operators import selection as S
 from axisframe.plans.numeric import _conformers, r6
 from axisframe.plans.registry import query
 from axisframe.sources import sinks, text
-from axisframe.store import fresh_path
+from axisframe.store import fresh_path, tasks
 from axisframe.tables import table
 
 
@@ -144,7 +144,9 @@ def _(spark, d):
 def _(spark, d):
     """A network an order: its suppliers, joined where their least part numbers lie within a fifth of all parts."""
     reach = table(spark, d, "part").count() / 5
-    nodes = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_suppkey").alias("node")).agg((F.max(F.col("l_partkey") % 2) == 0).alias("receptor"), F.min("l_partkey").alias("x"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    lines = lines.repartition(tasks(lines), "l_orderkey")  # a task's share stays the same as tables grow
+    nodes = lines.groupBy("l_orderkey", F.col("l_suppkey").alias("node")).agg((F.max(F.col("l_partkey") % 2) == 0).alias("receptor"), F.min("l_partkey").alias("x"))
     one, two = nodes.select("l_orderkey", F.col("node").alias("a"), F.col("x").alias("ax")), nodes.select("l_orderkey", F.col("node").alias("b"), F.col("x").alias("bx"))
     edges = one.join(two, "l_orderkey").where((F.col("a") < F.col("b")) & (F.abs(F.col("ax") - F.col("bx")) <= reach)).select("l_orderkey", "a", "b", F.lit(1.0).alias("weight"))
     return graph.connectivity(nodes.select("l_orderkey", "node", "receptor"), edges, "l_orderkey")

@@ -84,6 +84,17 @@ def test_connectivity_counts_lone_nodes_and_cut_receptors(spark):
     with pytest.raises(GateError, match="x: 2 components"):
         graph.require_networks(got, "s")
     assert graph.require_networks(got.where("s <> 'x'"), "s").count() == 2
+    # large networks by rounds, small ones in a row each, alike
+    made = spark.createDataFrame(edges + [("x", 0, 9, -1.0), ("q", 0, 1, 1.0)], "s string, a int, b int, weight double")
+    for largest in (0, 2, 1000):
+        assert sorted(map(tuple, graph.connectivity(nodes, made, "s", largest=largest).collect())) == rows
+
+
+def test_small_networks_need_no_rounds(spark, monkeypatch):
+    nodes = spark.range(60).selectExpr("id div 6 as s", "id as node", "id % 2 = 0 as receptor")
+    edges = spark.range(59).selectExpr("id div 6 as s", "id as a", "id + 1 as b", "1.0D as weight")
+    monkeypatch.setattr(graph, "components", None)
+    assert {tuple(r)[1:] for r in graph.connectivity(nodes, edges, "s").collect()} == {(5, 5, True, 1, 3, False)}
 
 
 # components and fields -----------------------------------------------------------------------------------------------
