@@ -219,6 +219,37 @@ def typed_contacts(pairs: DataFrame, labels: DataFrame, id_column: str, label: s
     return joined.withColumn("contact_class", F.concat_ws("-", F.least("_li", "_lj"), F.greatest("_li", "_lj"))).drop("_li", "_lj")
 
 
+def _crowded(here: DataFrame, there: DataFrame, sizes: DataFrame, cells: list[str], n: int, cutoff: float) -> DataFrame:
+    """(_id, _best, _k) of each row of ``here`` in each of these cells and each tile of the cell's rows ``there``.
+
+    A cell's rows are dealt by a hash of ids into tiles of about ``_BLOCK`` on both sides, and each two meet in a task as
+    matrices: no task holds a whole cell, and no pair leaves its task.
+    """
+    of = {"_na": "_own_a", "_nb": "_own_b"}
+    tiled = lambda frame, own, other, key: frame.join(sizes, cells).withColumn(of[own], F.pmod(F.xxhash64(key), F.ceil(F.col(own) / _BLOCK)).cast("int")).withColumn(of[other], F.explode(F.sequence(F.lit(0), (F.ceil(F.col(other) / _BLOCK) - 1).cast("int")))).drop("_na", "_nb")
+    one, two = tiled(here, "_na", "_nb", "_id"), tiled(there, "_nb", "_na", "_to")
+    one = one.select(*cells, *of.values(), "_id", *[f"a_x{i}" for i in range(n)])
+
+    def meet(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"_id": [], "_d": [], "_to": [], "_k": []}).astype({"_id": a["_id"].dtype, "_to": b["_to"].dtype, "_k": "int64"})
+        b = b.sort_values("_to")  # of equally near ones, the first is the smallest
+        to, parts = b["_to"].to_numpy(), []
+        for at in range(0, len(a), _SLICE):
+            some = a.iloc[at : at + _SLICE]
+            square = np.zeros((len(some), len(b)))
+            for i in range(n):
+                square += (some[f"a_x{i}"].to_numpy()[:, None] - b[f"b_x{i}"].to_numpy()[None, :]) ** 2
+            d = np.sqrt(square)
+            least = d.argmin(axis=1)
+            parts.append(pd.DataFrame({"_id": some["_id"].to_numpy(), "_d": d[np.arange(len(some)), least], "_to": to[least], "_k": (d <= cutoff).sum(axis=1)}))
+        return pd.concat(parts)
+
+    schema = T.StructType([T.StructField("_id", here.schema["_id"].dataType), T.StructField("_d", T.DoubleType()), T.StructField("_to", there.schema["_to"].dataType), T.StructField("_k", T.LongType())])
+    keys = [*cells, *of.values()]
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(meet, schema).select("_id", F.struct("_d", "_to").alias("_best"), "_k")
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coordinates: list[tuple[str, str]], cutoff: float, *, groups: list[str] = ()) -> DataFrame:
     """Per left row: its nearest right row (ties to the smaller id), the distance, and how many lie within cutoff.
 
@@ -226,7 +257,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coor
     has nulls and 0.
 
     Points meet in cells of side ``cutoff`` and their neighbours; rows whose nearest is not surely among those go on to
-    cells four times as large, and so on, so only far-off rows meet many others. Rows without a coordinate are left
+    cells four times as large, and so on, so only far-off rows meet many others. Crowded cells are cut into tiles, whose
+    memory is bounded; what lies within the cutoff is counted, so their work is that of all pairs. Rows without a coordinate are left
     out; ids are distinct. An empty right side gives no rows.
     """
     n = len(coordinates)
@@ -243,8 +275,13 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coor
         for i in range(n):
             here = here.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"a_x{i}") / side).cast("long") + d for d in (-1, 0, 1)])))
         there = b.withColumns({f"c{i}": F.floor(F.col(f"b_x{i}") / side).cast("long") for i in range(n)})
-        met = here.join(there, [*groups, *[f"c{i}" for i in range(n)]]).withColumn("_d", _apart(n))
-        best = met.groupBy("_id").agg(F.min(F.struct("_d", "_to")).alias("_best"), F.count_if(F.col("_d") <= cutoff).alias("_k"))
+        cells = [*groups, *[f"c{i}" for i in range(n)]]
+        sizes = here.groupBy(*cells).agg(F.count(F.lit(1)).alias("_na")).join(there.groupBy(*cells).agg(F.count(F.lit(1)).alias("_nb")), cells)
+        sizes = written(sizes.where(F.col("_na") * F.col("_nb") > _BLOCK), "cells")
+        met = here.join(there, cells) if sizes.isEmpty() else here.join(sizes, cells, "left_anti").join(there, cells)
+        found_here = met.withColumn("_d", _apart(n)).groupBy("_id").agg(F.min(F.struct("_d", "_to")).alias("_best"), F.count_if(F.col("_d") <= cutoff).alias("_k"))
+        crowded = _crowded(here, there, sizes, cells, n, cutoff)
+        best = found_here.union(crowded).groupBy("_id").agg(F.min("_best").alias("_best"), F.sum("_k").alias("_k"))
         # the first cells hold all that lies within the cutoff
         tried = written(left_over.join(best, "_id", "left").withColumn("_near", F.coalesce("_near", "_k", F.lit(0))).drop("_k"), "nearest")
         last = side >= extent

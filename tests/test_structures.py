@@ -455,6 +455,25 @@ def test_nearest_of_far_off_rows_and_groups(spark):
     assert joins.nearest(a, b.where("false"), "id", "to", [("x", "x")], 8.0).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 1 << 12])
+def test_crowded_cells_meet_in_tiles(spark, monkeypatch, block):
+    monkeypatch.setattr(joins, "_BLOCK", block)
+    random = np.random.default_rng(4)
+    p, q = random.integers(0, 3, (30, 2)).astype(float), random.integers(0, 3, (40, 2)).astype(float)
+    a, b = (spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rows)], f"{name} long, x double, y double") for rows, name in ((p, "id"), (q, "to")))
+    got = {r.id: (r.nearest_id, r.min_distance, r.n_within) for r in joins.nearest(a, b, "id", "to", [(c, c) for c in "xy"], 5.0).collect()}
+    r = np.linalg.norm(p[:, None] - q[None], axis=2)
+    assert got == {i: (int(x.argmin()), x.min(), int((x <= 5).sum())) for i, x in enumerate(r)}
+
+
+def test_tiles_hold_no_more_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(joins, "_BLOCK", 16)
+    cell = spark.range(200).selectExpr("id as _id", "0L as c0", "cast(id as double) as a_x0"), spark.range(100).selectExpr("id as _to", "0L as c0", "cast(id as double) as b_x0")
+    sizes = spark.createDataFrame([(0, 200, 100)], "c0 long, _na long, _nb long")
+    found = joins._crowded(*cell, sizes, ["c0"], 1, 5.0).collect()
+    assert len(found) == 200 * 7 and sum(r["_k"] for r in found) == sum(abs(i - j) <= 5 for i in range(200) for j in range(100))
+
+
 def test_series_correlation_by_plain_sums(spark):
     random = np.random.default_rng(14)
     x = np.cumsum(random.normal(size=50))
