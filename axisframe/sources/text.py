@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axisframe.operators.gates import GateError, require_columns, require_unique
+from axisframe.store import written
 
 _TOKEN = re.compile(r"'(.*?)'(?=\s|$)|\"(.*?)\"(?=\s|$)|(\S+)")
 
@@ -97,6 +98,7 @@ def range_groups(texts: DataFrame, accession: str, longest: int | None = None) -
     f = lambda n: F.try_element_at("fields", F.lit(n))
     rows = mmcif_loop(texts, "struct_ref_seq").where(F.upper(f("pdbx_db_accession")) == accession.upper())
     rows = rows.select("path", "row", f("db_align_beg").try_cast("int").alias("beg"), f("db_align_end").try_cast("int").alias("end"), F.trim(F.coalesce(f("pdbx_strand_id"), F.lit(""))).alias("strand"))
+    rows = written(rows, "ranges")  # texts are parsed once, not again for the check
     bad = ~F.coalesce((F.col("beg") >= 1) & (F.col("end") >= F.col("beg")) & (F.col("end") <= (longest or 2**31 - 1)), F.lit(False))
     wrong = rows.where(bad)
     if not wrong.isEmpty():
