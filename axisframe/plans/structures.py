@@ -268,7 +268,7 @@ def _bundle_files(frame):
     """Bundles in turn as a directory and as a ZIP."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (whole.iloc[at : at + 256] for whole in batches for at in range(0, len(whole), 256)):  # few files at once
             rows = []
             for vec_id, vector in zip(pdf["vec_id"], pdf["embedding"], strict=True):
                 files = _members(vector)

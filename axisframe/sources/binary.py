@@ -10,12 +10,15 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the formats.
 VOXELS = {0: "<i1", 1: "<i2", 2: "<f4", 6: "<u2"}
 XTC_MAGIC = 1995
+#: Values that a task holds before it passes them on.
+_VALUES = 1 << 17
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
@@ -74,16 +77,33 @@ def bundle_arrays(files: DataFrame, members: list[str], *, folder: str = "data/"
     checked = named.groupBy("bundle").agg(F.when((whole == len(members)) & (F.count_distinct("member", "is_zip") <= len(members)), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")).alias("whole"))
 
     def run(batches):
-        for pdf in batches:
-            for bundle, is_zip, where, member, content in zip(*(pdf[c] for c in ("bundle", "is_zip", "path", "member", "content")), strict=True):
+        rows, size = [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):  # a file's bytes are taken out of the batch in turn
+                bundle, is_zip, where, member, content = (c[at].as_py() for c in batch.columns)
                 parts = zip(members, _zip_members(where, content, members, folder), strict=True) if is_zip else [(member, content)]
                 for name, raw in parts:
                     loaded = np.load(io.BytesIO(raw), allow_pickle=False)
                     arrays = {name.removesuffix(".npy"): loaded} if isinstance(loaded, np.ndarray) else {n: loaded[n] for n in loaded.files}
-                    yield pd.DataFrame({"bundle": bundle, "member": name, "name": list(arrays), "shape": [list(a.shape) for a in arrays.values()], "values": [a.astype(float).ravel() for a in arrays.values()]})
+                    for n, array in arrays.items():
+                        rows.append((bundle, name, n, list(array.shape), array.astype(float).ravel()))
+                        size += array.size
+                if size >= _VALUES:
+                    yield _arrays(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _arrays(rows)
 
     rows = named.join(checked, "bundle").where("whole").select("bundle", "is_zip", "path", "member", "content")
-    return rows.mapInPandas(run, "bundle string, member string, name string, shape array<int>, values array<double>")
+    return rows.mapInArrow(run, "bundle string, member string, name string, shape array<int>, values array<double>")
+
+
+def _arrays(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (bundle, member, name, shape, values) as one batch."""
+    bundle, member, name, shape, values = zip(*rows, strict=True)
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+    return pa.RecordBatch.from_arrays([pa.array(bundle), pa.array(member), pa.array(name), pa.array(shape, pa.list_(pa.int32())), lists], names=["bundle", "member", "name", "shape", "values"])
 
 
 def map_header(raw: bytes) -> dict:
@@ -119,8 +139,15 @@ def density_voxels(maps: DataFrame, stride: int = 1) -> DataFrame:
     """(path, voxel, value): every ``stride``-th voxel, numbered in file order; a short file is an error."""
 
     def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+        rows, held = [], 0
+
+        def passed() -> pa.RecordBatch:
+            path = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(rows), dtype=np.int32), [len(at) for _, at, _ in rows]), pa.array([p for p, _, _ in rows], pa.string()))
+            return pa.RecordBatch.from_arrays([path.dictionary_decode(), *[pa.array(np.concatenate([r[k] for r in rows])) for k in (1, 2)]], names=["path", "voxel", "value"])
+
+        for batch in batches:
+            for of in range(batch.num_rows):  # a file's bytes are taken out of the batch in turn
+                path, content = (c[of].as_py() for c in batch.columns)
                 raw = _plain(content)
                 head = map_header(raw)
                 kind, n = np.dtype(VOXELS[head["mode"]]), int(np.prod(head["dimensions"]))
@@ -128,11 +155,17 @@ def density_voxels(maps: DataFrame, stride: int = 1) -> DataFrame:
                 if len(raw) < start + n * kind.itemsize:
                     raise ValueError(f"{path} has fewer voxels than its header says")
                 values = np.frombuffer(raw, kind, n, start)
-                for low in range(0, n, 1 << 20):
-                    at = np.arange(low + -low % stride, min(n, low + (1 << 20)), stride)
-                    yield pd.DataFrame({"path": path, "voxel": at, "value": values[at].astype(float)})
-
-    return maps.select("path", "content").mapInPandas(run, "path string, voxel long, value double")
+                for low in range(0, n, _VALUES):
+                    at = np.arange(low + -low % stride, min(n, low + _VALUES), stride)
+                    rows.append((path, at, values[at].astype(float)))
+                    held += len(at)
+                    if held >= _VALUES:
+                        yield passed()
+                        rows, held = [], 0
+        if rows:
+            yield passed()
+
+    return maps.select("path", "content").mapInArrow(run, "path string, voxel long, value double")
 
 
 def xtc_records(content: bytes):

@@ -633,3 +633,23 @@ def test_curation_rules_by_sets(spark):
     }
     common = {r.variant: (r.n_structures, r.n_positions) for r in rules.common_positions(kept, residues, asked).collect()}
     assert common == {"plain": (1, 20), "share": (2, 19), "drop": (3, 19), "ends": (2, 16), "best": (2, 20), "any": (2, 20)}
+
+
+# how work is passed on ------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("name,slow", [("mapped_ranges", "MapInPandas"), ("near_best_modes", "FlatMapCoGroupsInPandas")])
+def test_structures_and_texts_are_rows_of_batches(spark, name, slow):
+    frame = registry.queries()[name](spark, SF)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    # parsed texts come from a written table; a structure's modes are one row, not a group of its own
+    assert slow not in plan
+    assert frame.count() > 0
+
+
+def test_files_of_a_batch_leave_together(spark):
+    raw = structures._members(np.arange(64.0))
+    files = spark.createDataFrame([(f"s/b{i}/{n}", x) for i in range(40) for n, x in raw.items()], "path string, content binary").coalesce(1)
+    got = binary.bundle_arrays(files, ["half.npy", "table.npz"])
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString() and got.count() == 120
+    assert {(r.name, sum(r["values"])) for r in got.collect()} == {("half", 496.0), ("square", 2016.0), ("first", 0.0)}
+    made = registry.queries()["density_voxels"](spark, SF)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString() and made.count() == 22 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
