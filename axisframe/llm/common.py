@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Paths of tables that go when their block of ``passing`` ends; the innermost block is last.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -26,10 +32,30 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, kind: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables that ``written`` makes inside are deleted at the end, but for those that stay."""
+    blocks = _PASSING.get()
+    mark = _PASSING.set((*blocks, mine := []))
+    try:
+        yield
+    finally:
+        _PASSING.reset(mark)
+        for name in mine:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(frame: DataFrame, kind: str, *, stays: bool = False) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    In a block of ``passing`` it lasts as long as the block; a table that ``stays`` belongs to the block around that.
+    """
     spark = frame.sparkSession
     path = fresh_path(spark, kind)
+    blocks = _PASSING.get()[:-1] if stays else _PASSING.get()
+    if blocks:
+        blocks[-1].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -5,7 +5,8 @@ common to all, so documents meet in blocks by those members. The order puts memb
 common lines seldom bring documents together. In a block, each fingerprint has its Hamming distances to reference
 fingerprints (fixed pivots, and the member nearest to the block's majority); pairs of larger sets with a larger
 difference in any coordinate than ``BITS`` are discarded, survivors are verified bit by bit, and these and all pairs
-of small sets by their whole shingle sets.
+of small sets by their whole shingle sets. Before whole sets are brought together, their parity sketches are: sets that
+differ in few members have sketches that differ in as few bits, so this loses no pair.
 
 Links are sought in three steps, so that a large group costs little more than its size: first each block's stars of
 some hubs and neighbours along the pivot coordinates; then, in blocks that these links leave in several components,
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisframe.llm.common import written
+from axisframe.llm.common import passing, written
 from axisframe.llm.graph import components
 
 WIDTH = 5
@@ -78,6 +79,22 @@ def set_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Of each residue of the set's hashes whether an odd number has it: a bit for each member at least, a power of two."""
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """Two sets differ in so many members or more: each turns one bit of their sketches, the longer folded to the shorter."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
@@ -107,7 +124,7 @@ def _slot_counts(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _prints(keyed: DataFrame, counts) -> DataFrame:
-    """(k, d, s, n, fp, prefix): s names the shingle set, n is its size, prefix its first n // 5 + 1 members in order."""
+    """(k, d, s, n, fp, prefix, sketch): s names the shingle set, n is its size, prefix its first n // 5 + 1 members in order."""
 
     def run(batches):
         for pdf in batches:
@@ -115,11 +132,11 @@ def _prints(keyed: DataFrame, counts) -> DataFrame:
             for t in pdf["t"]:
                 h = shingles(t)
                 first = h[np.lexsort((h, counts.value[_slots(h)]))[: len(h) // 5 + 1]]
-                out.append((np.array(xxhash.xxh64_intdigest(h.tobytes()), np.uint64).view(np.int64), len(h), set_fingerprint(h), first.tobytes()))
-            s, n, fp, prefix = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"k": pdf["k"], "d": pdf["d"].astype("Int64"), "s": np.array(s, np.int64), "n": np.array(n, np.int32), "fp": np.array(fp, np.int64), "prefix": list(prefix)})
+                out.append((np.array(xxhash.xxh64_intdigest(h.tobytes()), np.uint64).view(np.int64), len(h), set_fingerprint(h), first.tobytes(), sketch(h).tobytes()))
+            s, n, fp, prefix, odd = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pd.DataFrame({"k": pdf["k"], "d": pdf["d"].astype("Int64"), "s": np.array(s, np.int64), "n": np.array(n, np.int32), "fp": np.array(fp, np.int64), "prefix": list(prefix), "sketch": list(odd)})
 
-    return keyed.mapInPandas(run, "k long, d long, s long, n int, fp long, prefix binary")
+    return keyed.mapInPandas(run, "k long, d long, s long, n int, fp long, prefix binary, sketch binary")
 
 
 def _members(batches):
@@ -136,6 +153,13 @@ def _sets(batches):
         yield pd.DataFrame({"s": pdf["s"], "h": [shingles(t).tobytes() for t in pdf["t"]]})
 
 
+def _perhaps(batches):
+    for pdf in batches:
+        # of sets with a similarity of 4/5 or more, at most a ninth of both sizes is in one alone
+        least = [least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(pdf["qa"], pdf["qb"], strict=True)]
+        yield pdf.loc[9 * np.array(least, np.int64) <= pdf["na"] + pdf["nb"], ["a", "b"]]
+
+
 def _similar(batches):
     for pdf in batches:
         good = []
@@ -269,11 +293,15 @@ def _tiled(met: DataFrame, two_by_two: bool) -> DataFrame:
     return met.repartition("m", "x", "y").sortWithinPartitions("m", "x", "y", "s")
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, keyed: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, firsts: DataFrame, keyed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of 4/5 or more.
 
-    Only documents of these pairs are read for their sets, one for each set.
+    Only documents of pairs that their sketches leave are read for their sets, one for each set.
     """
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("s").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"q{end}")), end)
+    with _small_batches(keyed.sparkSession):
+        pairs = written(pairs.select("a", "b", "na", "nb", "qa", "qb").mapInPandas(_perhaps, "a long, b long"), "perhaps")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     chosen = written(firsts.join(wanted, F.col("s") == F.col("w"), "left_semi"), "chosen")
     sets = keyed.select("k", "t").join(chosen, F.col("k") == F.col("c")).select("s", "t").mapInPandas(_sets, "s long, h binary")
@@ -301,27 +329,32 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """(s, least, root): sets linked, transitively, by a Jaccard similarity of 4/5 or more have one root.
 
     ``s`` names a set of shingles, so exact copies are one node; ``least`` is the least of its rows (those without an
-    id last): their id ``d`` and ``k``, a hash of id and text, by which a row is known. Wordless texts have one set.
+    id last): their id ``d`` and ``k``, a hash of id and text, by which a row is known, and how many rows (``copies``)
+    have it. Wordless texts have one set.
     Sets of up to ``SMALL`` shingles lose no link. Of larger ones a pair is lost whose fingerprints differ in more than
     ``BITS`` of 64 bits (at the very limit of similarity about one in 10^11); no other is. Sets and rows go
     by 64-bit hashes. An empty table gives no rows.
     """
     keyed = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("k"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    with _small_batches(docs.sparkSession):
-        counts = docs.sparkSession.sparkContext.broadcast(_slot_counts(docs, text))
-        prints = written(_prints(keyed, counts), "prints")
-    nodes = written(prints.select("s", "n", "fp", "prefix").dropDuplicates(["s"]), "nodes")
-    members = nodes.select("s", "prefix").mapInPandas(_members, "m long, s long, at int")
-    sizes = members.groupBy("m").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("m", "mm")
-    shared = written(members.join(sizes, F.col("m") == F.col("mm")).drop("mm"), "shared")
-    met = written(shared.join(nodes.drop("prefix"), "s").withColumn("r", F.col("s")), "met")
-    firsts = written(prints.groupBy("s").agg(F.min("k").alias("c")), "firsts")  # copies fold before any join
+    spark = docs.sparkSession
+    with passing(spark):
+        with _small_batches(spark):
+            counts = spark.sparkContext.broadcast(_slot_counts(docs, text))
+            prints = written(_prints(keyed, counts), "prints")
+        rows = written(prints.groupBy("k", "d", "s").agg(F.count(F.lit(1)).alias("copies")), "rows", stays=True)
+        whole = written(prints.select("s", "n", "fp", "prefix", "sketch").dropDuplicates(["s"]), "whole")
+        nodes = written(whole.drop("prefix"), "nodes", stays=True)
+        members = whole.select("s", "prefix").mapInPandas(_members, "m long, s long, at int")
+        sizes = members.groupBy("m").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("m", "mm")
+        shared = written(members.join(sizes, F.col("m") == F.col("mm")).drop("mm"), "shared")
+        met = written(shared.join(nodes.drop("sketch"), "s").withColumn("r", F.col("s")), "met", stays=True)
+    firsts = written(rows.groupBy("s").agg(F.min("k").alias("c")), "firsts")  # copies fold before any join
     tried = written(_searched(_tiled(met, False), "star"), "pairs")
-    links = _verified(tried, firsts, keyed)
+    links = _verified(tried, nodes, firsts, keyed)
     for how in ("nearest", "apart"):
         met = _apart(met, links)
         new = written(_searched(_tiled(met, how == "apart"), how).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(new, firsts, keyed))
+        links = links.unionByName(_verified(new, nodes, firsts, keyed))
         tried = tried.unionByName(new)
-    least = prints.groupBy("s").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k")).alias("least"))
+    least = rows.groupBy("s").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k", "copies")).alias("least"))
     return least.join(written(components(links), "roots"), F.col("s") == F.col("node"), "left").select("s", "least", F.coalesce("root", "s").alias("root"))

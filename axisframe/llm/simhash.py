@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axisframe.llm import nearcopies
-from axisframe.llm.common import free_name, written
+from axisframe.llm.common import free_name, passing, written
 from axisframe.llm.graph import components
 
 SEED = 42
@@ -185,22 +185,26 @@ def deduplicate(docs: DataFrame, *, bits: int = 3, similarity: float | None = No
     so a row goes only for another of its own group, and of rows that repeat one stays. Null, empty and wordless
     texts are one group. An empty table gives no rows; columns of any name pass through.
     """
-    key, nth, stays = (free_name(docs, stem=s) for s in ("row_key", "nth", "stays"))
-    row = F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
-    least = F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k"))
-    if similarity is None:
-        prints = written(_keyed_fingerprints(docs, row, doc_id, text), "fingerprints")
-        nodes, roots = _roots(prints, bits)
-        groups = prints.join(nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root")), F.col("fp") == F.col("f"))
-        keep = groups.withColumnRenamed("doc_id", "d").groupBy("root").agg(least.alias("least"))
-    elif similarity == 0.8:
-        keep = nearcopies.near_copies(docs, doc_id=doc_id, text=text).groupBy("root").agg(F.min("least").alias("least"))
-    else:
+    if similarity not in (None, 0.8):
         raise ValueError("similarity is 0.8")
-    keep = written(keep.select(F.col("least.k").alias(stays)), "kept")
-    rows = docs.withColumn(key, row)
-    stay = rows.join(keep, F.col(key) == F.col(stays), "left_semi")
-    return stay.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).drop(nth, key)
+    key, nth, stays, copies = (free_name(docs, stem=s) for s in ("row_key", "nth", "stays", "copies"))
+    row = F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+    with passing(docs.sparkSession):
+        if similarity is None:
+            prints = written(_keyed_fingerprints(docs, row, doc_id, text), "fingerprints")
+            nodes, roots = _roots(prints, bits)
+            counted = prints.groupBy("k", F.col("doc_id").alias("d"), "fp").agg(F.count(F.lit(1)).alias("copies"))
+            groups = counted.join(nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root")), F.col("fp") == F.col("f"))
+            keep = groups.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("nameless"), "d", "k", "copies")).alias("least"))
+        else:
+            keep = nearcopies.near_copies(docs, doc_id=doc_id, text=text).groupBy("root").agg(F.min("least").alias("least"))
+        keep = written(keep.select(F.col("least.k").alias(stays), F.col("least.copies").alias(copies)), "kept", stays=True)
+    rows, met = docs.withColumn(key, row), F.col(key) == F.col(stays)
+    # only rows that repeat meet their like; the others stay where they are
+    single = rows.join(keep.where(F.col(copies) == 1), met, "left_semi").drop(key)
+    several = rows.join(keep.where(F.col(copies) > 1), met, "left_semi")
+    several = several.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).drop(nth, key)
+    return single.unionByName(several)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 import numpy as np
 
 import corpus_pipeline
-from axisframe.llm import simhash
+from axisframe.llm import nearcopies, simhash
+from axisframe.llm.common import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +73,30 @@ def test_near_dedup_stage_tells_rows_apart_by_text(spark):
     got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()]
     assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[3], rows[5]], key=str)  # the null id's copy of row 0 goes
     assert corpus_pipeline.near_dedup(spark, frame.limit(0), SF).count() == 0
+
+
+def test_sketches_lose_no_pair_and_spare_whole_sets():
+    random = np.random.default_rng(11)
+    for n in (1, 3, 40, 65, 300, 1025, 9000):
+        x = np.unique(random.integers(0, 2**63, n).astype(np.uint64))
+        for apart in (0, n // 9, n // 5, n):
+            y = np.unique(np.concatenate((x[apart:], random.integers(0, 2**63, random.integers(0, apart + 1)).astype(np.uint64))))
+            truly = len(np.setxor1d(x, y))
+            least = nearcopies.least_difference(nearcopies.sketch(x), nearcopies.sketch(y))
+            assert least == nearcopies.least_difference(nearcopies.sketch(y), nearcopies.sketch(x)) <= truly
+            assert truly > 0 or least == 0
+        other = np.unique(random.integers(0, 2**63, n).astype(np.uint64))
+        assert n < 40 or 9 * nearcopies.least_difference(nearcopies.sketch(x), nearcopies.sketch(other)) > len(x) + len(other)
+
+
+def test_near_dedup_leaves_one_table_of_its_own(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    disk = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lambda: {f.getPath().getName() for f in disk.listStatus(folder)} if disk.exists(folder) else set()
+    rows = [(1, "one text of a few words"), (1, "one text of a few words"), (2, "one text of a few words"), (3, "another text"), (None, "another text"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity in (None, 0.8):
+        before = tables()
+        out = simhash.deduplicate(docs, similarity=similarity)
+        assert {name.split("-")[0] for name in tables() - before} == {"kept"}
+        assert sorted(out.collect()) == [(1, rows[0][1]), (3, "another text"), (4, None)]
