@@ -45,8 +45,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTER = _byte_letters()
-#: Western letters and at most full stops and commas behind them: two pieces, whose lower case is plain.
-_SIMPLE = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+#: Western letters and at most ASCII signs behind them: two pieces, whose lower case is plain. Apostrophes begin pieces of
+#: their own, and < and | special tokens.
+_SIMPLE = re.compile("([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\\[-`{}~]*)")
 
 
 #: Texts that tell a tokenizer of words from others: blanks, case, accents, marks, digits, joined words, specials.
@@ -59,11 +60,36 @@ _PROBES = [
     "supercalifragilisticexpialidocious internationalisation antidisestablishmentarianism",
     "def f(x): return x**2  # code\n\tif a!=b: c+=1;",
     "<|endoftext|> <s> </s> [CLS] [SEP] <unk> <pad>",
+    "what?! 50%%% yes*** a$$$ so... é;;: b)) c-- d__ e~~ f\"\" g>> h== i]] j}} k@@ l## m&& n++ o// p`` q^^ r\\\\ s,*** t:-)",
     "https://example.org/a?b=c&d=e user@example.org @name #tag $5 €7 ...",
     "",
 ]
 
 
+class _Words(dict):
+    """Encoded words: a word that is not there is encoded on the way.
+
+    Of ``_KEPT_WORDS`` a new start is made, with the last words beside it; long words are kept for one call alone.
+    """
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.before, self.long = encode, {}, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > _KEPT_BYTES:
+            if word not in self.long:
+                self.long[word] = self.encode(word)
+            return self.long[word]
+        if (ids := self.before.get(word)) is None:
+            ids = self.encode(word)
+        if len(self) >= _KEPT_WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes whole texts word by word with memory of the words seen.
 
@@ -77,8 +103,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.known = _Words(self.word)
         self.pieces: dict[str, bytes] = {}
         self.by_words = False
         self.by_words = all(self._by_words([t])[0] == self.whole(t) for t in _PROBES)
@@ -107,21 +132,12 @@ class Encoder:
         return self._by_words(texts) if self.by_words else [self.whole(t) for t in texts]
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
-        split = []
+        out, ids = [], self.known.__getitem__
         for t in texts:
             raw = t.encode("utf-8", "surrogatepass")
             # lower case is what the tokenizer makes of A-Z anyway; its special tokens are told by their case
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        known, before = self.known, self.before
-        new = [w for w in {w for words in split for w in words} if w not in known]
-        for w in new:
-            known[w] = before[w] if w in before else self.word(w)
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in new:
-            if len(w) > _KEPT_BYTES:
-                del known[w]
-        if len(known) > _KEPT_WORDS:
-            self.before, self.known = known, {}
+            out.append(b"".join(map(ids, (raw if b"<|" in raw else raw.lower()).split())))
+        self.known.long.clear()
         return out
 
 

@@ -495,3 +495,18 @@ def test_mix_follows_given_weights(spark):
     assert abs(head["a"] - 1200) < 2 * 10 + 160  # slots are rounded to sixteenths, one at least
     with pytest.raises(ValueError):
         mixing.mix(frame, {"a": 0.0})
+
+
+def test_words_with_signs_spare_the_library_and_memory_is_bounded_in_one_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    texts = [head + sign * n + tail for head in ("ab", "É", "don") for sign in map(chr, range(33, 127)) for n in (1, 3) for tail in ("", " c", "é")]
+    texts += [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)), "long" * 20 + " " + "long" * 20, "é!! á"]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "_KEPT_WORDS", 100)
+    encoder = tokens.Encoder(tokenizer_path())
+    assert encoder.ids(texts) == want
+    assert max(len(encoder.known), len(encoder.known.before)) <= 100 and not encoder.known.long
+    monkeypatch.setattr(encoder, "whole", None)
+    assert encoder.ids(["what?! yes***"]) == [np.array(library.encode("what?! yes***", add_special_tokens=False).ids, dtype="<u4").tobytes()]
