@@ -262,8 +262,10 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coor
     out; ids are distinct. An empty right side gives no rows.
     """
     n = len(coordinates)
-    a = left.select(*groups, F.col(left_id).alias("_id"), *[F.col(c[0]).cast("double").alias(f"a_x{i}") for i, c in enumerate(coordinates)]).dropna()
-    b = right.select(*groups, F.col(right_id).alias("_to"), *[F.col(c[1]).cast("double").alias(f"b_x{i}") for i, c in enumerate(coordinates)]).dropna()
+    # groups get names of their own: where both sides come from one table, they would be ambiguous in a cogroup
+    named = [F.col(g).alias(g) for g in groups]
+    a = left.select(*named, F.col(left_id).alias("_id"), *[F.col(c[0]).cast("double").alias(f"a_x{i}") for i, c in enumerate(coordinates)]).dropna()
+    b = right.select(*named, F.col(right_id).alias("_to"), *[F.col(c[1]).cast("double").alias(f"b_x{i}") for i, c in enumerate(coordinates)]).dropna()
     spans = [x.agg(*[f(c) for c in x.columns[1 + len(groups) :] for f in (F.min, F.max)]).first() for x in (a, b)]
     empty = a.select(F.col("_id").alias(left_id)).limit(0).crossJoin(b.select(F.col("_to").alias("nearest_id")).limit(0)).select(left_id, "nearest_id", F.lit(0.0).alias("min_distance"), F.lit(0).cast("long").alias("n_within"))
     if any(v is None for s in spans for v in s):
