@@ -6,19 +6,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from axisframe.store import tasks, written
+from axisframe.store import block_pairs, blocks_of, dealt_by_pair, tasks, written
 
 from axisframe.operators.gates import require_same_keys, require_unique
 
-#: Vectors of a block whose pairs a task takes, rows of it taken at once, and pairs worked out from differences at once.
+#: Vectors of a block whose pairs a task takes (at least, while blocks are few), rows of it taken at once, and pairs worked out or rows handed over at once.
 _BLOCK, _SLICE, _PAIRS = 4096, 512, 1 << 16
-#: Trailing bits of a distance that its count leaves out.
-_BITS = 39
+#: Vectors of a block at most, its bytes, and rows and columns of a matrix of distances.
+_WIDE, _HELD, _ROWS, _COLUMNS = 65536, 1 << 26, 256, 256
+#: Pairs whose distances are all kept, distances held by a task, and vectors for each place by which a sample pairs them.
+_FEW, _KEPT, _SHARE = 1 << 21, 1 << 20, 512
+#: Trailing bits of a distance that a sample's count leaves out.
+_BITS = 34
 
 
 def join_exact(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,90 +106,210 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(square)
 
 
-def _vector_pairs(vectors: DataFrame, id_column: str, vector: str, schema: T.StructType, found: Callable[[Iterator[tuple]], pd.DataFrame]) -> DataFrame:
-    """found(slices) rows of each two blocks of vectors; a slice is (ids of a, ids of b, distances), where a's ids are smaller
-    or pairs don't count (their distance is NaN).
-
-    Blocks are dealt by a hash of ids, and each two meet in a task: memory is bounded, the work is that of all pairs.
-    Vectors that are null or hold a null have no pairs, nor have those of different lengths.
-    """
+def _matrices(a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
+    """(first row, first column, distances) of a's rows from b's; where a is b, only of columns from the first row on."""
+    la, lb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    bounded = len(a) and len(b) and np.isfinite(la.max() * 4 + lb.max() * 4)
+    # products with lengths as two more components are the squares
+    left, right = np.column_stack([-2 * a, la, np.ones(len(a))]), np.column_stack([b, np.ones(len(b)), lb])
+    for at in range(0, len(a), _ROWS):
+        for to in range(at if a is b else 0, len(b), _COLUMNS):
+            i, j = slice(at, at + _ROWS), slice(to, to + _COLUMNS)
+            if not bounded:
+                yield at, to, _distances(a[i], b[j])
+                continue
+            square = left[i] @ right[j].T
+            near = np.flatnonzero(square.min(axis=1) <= 1e-6 * (la[i] + lb[j].max()))  # rows with pairs that products would blur
+            if len(near):
+                one, two = np.nonzero(square[near] <= 1e-6 * (la[i][near, None] + lb[j]))
+                for k in range(0, len(one), _PAIRS):
+                    x, y = near[one[k : k + _PAIRS]], two[k : k + _PAIRS]
+                    square[x, y] = ((a[at + x] - b[to + y]) ** 2).sum(axis=1)
+            yield at, to, np.sqrt(square, out=square)
+
+
+def _whole_vectors(vectors: DataFrame, id_column: str, vector: str) -> tuple[DataFrame, int, int]:
+    """(id, v) of the vectors that have pairs, their number, and the blocks to deal them to."""
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
-    blocks = max(1, -(-rows.count() // _BLOCK))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    return rows, seen["n"], blocks_of(seen["n"], _BLOCK, max(1, min(_WIDE, _HELD // (8 * max(1, seen["d"] or 0)))))
 
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf[pdf["own"] == k] for k in key[1:]]
-        ids = [x["id"].to_numpy() for x in sides]
-        if not len(sides[0]) or not len(sides[1]):
-            return found(iter(()))
-        a, b = (np.stack(x["v"].to_list()).astype(float) for x in sides)
 
-        def slices() -> Iterator[tuple]:
-            for at in range(0, len(a), _SLICE):
-                one = ids[0][at : at + _SLICE]
-                r = _distances(a[at : at + _SLICE], b)
-                r[one[:, None] >= ids[1][None, :] if key[1] == key[2] else one[:, None] == ids[1][None, :]] = np.nan
-                yield one, ids[1], r
+def _by_length(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[tuple]:
+    """(columns of these names, vectors) of the rows of each length of a partition."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        size = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+        for k in np.unique(size):
+            own = batch if (size == k).all() else batch.filter(pa.array(size == k))
+            v = own.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, k)
+            held.setdefault(int(k), []).append((*(own.column(c).to_numpy(zero_copy_only=False) for c in names), v))
+    return [tuple(np.concatenate(c) for c in zip(*parts, strict=True)) for parts in held.values()]
 
-        return found(slices())
 
-    return dealt.groupBy(F.size("v").alias("size"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).applyInPandas(meet, schema)
+def _vector_pairs(vectors: DataFrame, id_column: str, vector: str, schema: T.StructType, found: Callable[[Iterator[tuple]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """Rows that found(slices) gives of each two blocks of vectors; a slice is (ids of a, ids of b, distances), where a's ids
+    are smaller or the blocks differ; pairs that don't count have the distance NaN.
+
+    Blocks are dealt by a hash of ids, and each two meet in a task: memory is bounded, the work is that of all pairs.
+    Vectors that are null or hold a null have no pairs, nor have those of different lengths.
+    """
+    rows, _, blocks = _whole_vectors(vectors, id_column, vector)
+    dealt = dealt_by_pair(block_pairs(rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "own", blocks), blocks)
+    kinds = to_arrow_schema(schema)
+
+    def slices(parts: list[tuple]) -> Iterator[tuple]:
+        for low, high, own, ids, v in parts:
+            if low[0] != high[0]:
+                one, two = own == low[0], own == high[0]
+                a, b, i, j = v[one], v[two], ids[one], ids[two]
+                for at, to, r in _matrices(a, b):
+                    yield i[at : at + _ROWS], j[to : to + _COLUMNS], r
+                continue
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            place = np.unique(ids, return_inverse=True)[1]
+            for at, to, r in _matrices(v, v):
+                i, j = place[at : at + _ROWS], place[to : to + _COLUMNS]
+                if i[-1] >= j[0]:
+                    r[i[:, None] >= j[None, :]] = np.nan
+                yield ids[at : at + _ROWS], ids[to : to + _COLUMNS], r
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in found(slices(_by_length(batches, ["low", "high", "own", "id"]))):
+            yield from pa.Table.from_pandas(rows, schema=kinds, preserve_index=False).to_batches()
+
+    return dealt.select("low", "high", "own", "id", "v").mapInArrow(meet, schema)
 
 
 def vector_contacts(vectors: DataFrame, id_column: str, vector: str, cutoff: float, *, least: float = 1e-6) -> DataFrame:
     """Pairs i < j of vectors with least < r <= cutoff: i, j, r. For vectors of many dimensions, all of which meet."""
     kind = vectors.schema[id_column].dataType
 
-    def found(slices: Iterator[tuple]) -> pd.DataFrame:
-        out = [pd.DataFrame({"i": [], "j": [], "r": []})]
+    def found(slices: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for one, two, r in slices:
             at, to = np.nonzero((r > least) & (r <= cutoff))
-            i, j, far = one[at], two[to], r[at, to]
-            out.append(pd.DataFrame({"i": np.where(i < j, i, j), "j": np.where(i < j, j, i), "r": far}))
-        return pd.concat(out[1:] or out, ignore_index=True)
+            if len(at):
+                i, j = one[at], two[to]
+                out.append(pd.DataFrame({"i": np.where(i < j, i, j), "j": np.where(i < j, j, i), "r": r[at, to]}))
+                held += len(at)
+            if held >= _PAIRS:
+                yield pd.concat(out, ignore_index=True)
+                out, held = [], 0
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
     return _vector_pairs(vectors, id_column, vector, T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("r", T.DoubleType())]), found)
 
 
+def _bits(r) -> np.ndarray:
+    """Whole numbers in the order of these distances."""
+    return np.asarray(r, dtype=float).view(np.int64)
+
+
+def _holding(counts: DataFrame, key: str, ranks: list[int]) -> list:
+    """(key, below) of the keys that hold these ranks (from 0), given each key's ``n``; ``below`` counts what lies before."""
+    upto, holds = F.col("upto"), F.lit(False)
+    for m in ranks:
+        holds = holds | ((upto > m) & (upto - F.col("n") <= m))
+    summed = counts.withColumn("upto", F.sum("n").over(Window.orderBy(key)))
+    return summed.where(holds).select(key, (upto - F.col("n")).alias("below")).orderBy(key).collect()  # as many as ranks at most
+
+
+def _about_the_median(vectors: DataFrame, id_column: str, vector: str, margin: float) -> tuple[float, float]:
+    """Bounds between which the median of all pairs' distances all but surely lies; no bounds for few pairs or a wide margin.
+
+    Vectors are dealt to tasks, and each meets those that are some random numbers of rows on. So each is in as many pairs
+    of the sample, in which the median's rank strays by half the root of their number; ``margin`` is in such roots.
+    """
+    rows, count, blocks = _whole_vectors(vectors, id_column, vector)
+    if count * (count - 1) // 2 <= _FEW:
+        return -np.inf, np.inf
+    rounds = max(16, count // _SHARE)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _by_length(batches, [])
+        whole = sum(len(v) for (v,) in parts)
+        for (v,) in parts:
+            if len(v) < 2:
+                continue
+            random, twice, held, counted = np.random.default_rng(len(v)), np.concatenate([v, v]), [], pd.Series(dtype="int64")
+            times = -(-rounds * len(v) // whole)
+            for k in range(times):
+                by = int(random.integers(1, len(v)))
+                for at in range(0, len(v), _SLICE):
+                    gap = v[at : at + _SLICE] - twice[at + by : min(at + _SLICE, len(v)) + by]
+                    held.append(np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+                if len(held) * _SLICE >= _KEPT or k == times - 1:
+                    r = np.concatenate(held)
+                    bucket, n = np.unique(_bits(r[~np.isnan(r)]) >> _BITS, return_counts=True)
+                    held, counted = [], counted.add(pd.Series(n, bucket), fill_value=0)
+            yield pa.RecordBatch.from_arrays([pa.array(counted.index.to_numpy(np.int64)), pa.array(counted.to_numpy(np.int64))], ["bucket", "n"])
+
+    sample = written(rows.repartition(blocks, F.xxhash64("id")).select("v").mapInArrow(paired, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "sample")
+    seen = sample.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    ranks = [int(seen / 2 + k * margin * seen**0.5 / 2) for k in (-1, 1)]
+    if ranks[0] <= 0 or ranks[1] >= seen - 1:
+        return -np.inf, np.inf
+    found = _holding(sample, "bucket", ranks)
+    low, high = (np.array([found[0]["bucket"] << _BITS, ((found[-1]["bucket"] + 1) << _BITS) - 1])).view(float)
+    return float(low), float(high) if high == high else np.inf
+
+
 def vector_pair_statistics(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(median, max, mean, n) of the distances of all pairs of vectors, exact; no pair leaves its task.
+    """(median, max, mean, n) of the distances of all pairs of vectors, exact.
 
-    Distances are counted by their leading bits first. The second round gives the values of the bits that hold the
-    middle ones, with their counts.
+    A sample gives bounds of the median; tasks then count all pairs below them and hand over only the distances between
+    them, with their counts. Bounds that don't hold the median, as the counts show, are drawn wider and all is done anew.
     """
-    bits = lambda r: r.view(np.int64) >> _BITS
-
-    def counted(slices: Iterator[tuple]) -> pd.DataFrame:
-        parts = [pd.DataFrame({"bucket": np.array([], np.int64), "n": np.array([], np.int64), "total": [], "top": []})]
-        for _, _, r in slices:
-            r = r[~np.isnan(r)]
-            own = pd.DataFrame({"bucket": bits(r), "r": r}).groupby("bucket")["r"].agg(["size", "sum", "max"]).reset_index()
-            parts.append(own.set_axis(["bucket", "n", "total", "top"], axis=1))
-        return pd.concat(parts[1:] or parts).groupby("bucket", as_index=False).agg({"n": "sum", "total": "sum", "top": "max"})
-
-    per = _vector_pairs(vectors, id_column, vector, T.StructType.fromDDL("bucket long, n long, total double, top double"), counted)
-    per = written(per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top")), "distances")
-    whole = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    middle = [(whole - 1) // 2, whole // 2]
-    reached = lambda frame, key: frame.withColumn("upto", F.sum("n").over(Window.orderBy(key)))
-    holds = F.lit(False)
-    for m in middle:
-        holds = holds | ((F.col("upto") > m) & (F.col("upto") - F.col("n") <= m))
-    found = reached(per, "bucket").where(holds).select("bucket", (F.col("upto") - F.col("n")).alias("below")).orderBy("bucket").collect()  # two at most
-    wanted, below = [r["bucket"] for r in found], (found[0]["below"] if found else 0)
-
-    def valued(slices: Iterator[tuple]) -> pd.DataFrame:
-        parts = [np.empty(0)]
-        for _, _, r in slices:
-            r = r[~np.isnan(r)]
-            parts.append(r[np.isin(bits(r), wanted)])
-        value, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pd.DataFrame({"r": value, "n": n})
-
-    values = _vector_pairs(vectors, id_column, vector, T.StructType.fromDDL("r double, n long"), valued).groupBy("r").agg(F.sum("n").alias("n"))
-    at = lambda m: F.min(F.when(F.col("upto") + below > m, F.col("r")))
-    median = reached(values, "r").agg(((at(middle[0]) + at(middle[1])) / 2).alias("median"))
-    return per.agg(F.max("top").alias("max"), (F.sum("total") / F.sum("n")).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).crossJoin(median).select("median", "max", "mean", "n")
+    margin = 12.0
+    while True:
+        low, high = _about_the_median(vectors, id_column, vector, margin)
+        shift = max(0, int(_bits(high) - _bits(max(low, 0.0))).bit_length() - 16)
+
+        def rows(r: list, low=low, shift=shift) -> pd.DataFrame:
+            value, n = np.unique(np.concatenate(r), return_counts=True)
+            return pd.DataFrame({"bucket": _bits(value) >> shift, "r": value, "n": n, "below": 0, "total": 0.0, "top": 0.0})
+
+        def counted(slices: Iterator[tuple], low=low, high=high, rows=rows) -> Iterator[pd.DataFrame]:
+            n, below, total, top, kept, held = 0, 0, 0.0, np.nan, [], 0
+            for _, _, r in slices:
+                r = r.ravel()
+                if np.isnan(most := r.max()):
+                    r = r[~np.isnan(r)]
+                    if not len(r):
+                        continue
+                    most = r.max()
+                n, total, top = n + len(r), total + float(r.sum()), np.fmax(top, most)
+                inside = r >= low
+                below += len(r) - np.count_nonzero(inside)
+                inside &= r <= high
+                kept.append(r[inside])
+                held += len(kept[-1])
+                if held >= _KEPT:
+                    yield rows(kept)
+                    kept, held = [], 0
+            if held:
+                yield rows(kept)
+            yield pd.DataFrame({"bucket": [-1], "r": [np.nan], "n": [n], "below": [below], "total": [total], "top": [top]})
+
+        per = written(_vector_pairs(vectors, id_column, vector, T.StructType.fromDDL("bucket long, r double, n long, below long, total double, top double"), counted), "distances")
+        sums, values = per.where("bucket < 0"), per.where("bucket >= 0")
+        s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "below")], F.sum("total").alias("total"), F.max("top").alias("top")).first()
+        spark = vectors.sparkSession
+        schema = "median double, max double, mean double, n long"
+        if not s["n"]:
+            return spark.createDataFrame([(None, None, None, 0)], schema)
+        middle = [(s["n"] - 1) // 2 - s["below"], s["n"] // 2 - s["below"]]
+        held = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        if middle[0] >= 0 and middle[1] < held:
+            break
+        margin *= 16
+    found = _holding(values.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket", middle)
+    exact = values.where(F.col("bucket").isin([r["bucket"] for r in found])).groupBy("r").agg(F.sum("n").alias("n"))
+    ends = _holding(exact, "r", [m - found[0]["below"] for m in middle])
+    return spark.createDataFrame([((ends[0]["r"] + ends[-1]["r"]) / 2, s["top"], s["total"] / s["n"], s["n"])], schema)
 
 
 def partner_census(receptor: DataFrame, partners: DataFrame, groups: list[str], role: str, point_id: str, coordinates: list[str], cutoff: float) -> DataFrame:
